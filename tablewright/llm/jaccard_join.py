@@ -36,13 +36,13 @@ WIDTH, PERCENT, PIVOTS = 5, 80, 2
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; the whole text is one shingle if it has fewer words, none if it has none."""
     words, at = T.word_hashes(column, True)
-    every = T.window_hashes(words, width)
+    every = T.window_hashes(words, width).view(np.int64)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= width:
             out.append(np.unique(every[a : b - width + 1]))
         else:
-            out.append(np.array([T.whole_hash(words[a:b]) ^ (b - a)] if b > a else [], np.uint64))
+            out.append(np.array([T.whole_hash(words[a:b])] if b > a else [], np.uint64).view(np.int64))
     return out
 
 
@@ -52,14 +52,14 @@ def _least(n, percent: int):
 
 
 def _batch(sets: list[np.ndarray], rows: dict[str, pa.Array], name: str) -> pa.RecordBatch:
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    columns = rows | {name: T.list_column(values.view(np.int64), [len(s) for s in sets], pa.int64())}
+    values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    columns = rows | {name: T.list_column(values, [len(s) for s in sets], pa.int64())}
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _signature(sets: list[np.ndarray]) -> dict[str, pa.Array]:
     """Size and a 128-bit hash of each set."""
-    sums = [(int(T.mix(s).sum()), int(T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum())) for s in sets]
+    sums = [(int(T.mix(s).sum()), int(T.mix(s.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).sum())) for s in sets]
     return {
         "n": pa.array([len(s) for s in sets], pa.int64()),
         "s1": pa.array(np.array([a for a, _ in sums], np.uint64).view(np.int64)),
