@@ -33,6 +33,14 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "n_tokens", F.col("pass_no").cast("long").alias("pass_no"), "from_token", F.round("weight", 9).alias("weight"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a class bigram model of those whose id's crc32 modulo 7 is not 2."""
+    from tablewright.llm.brown_lm import score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 7 != 2).alias("training"))
+    return score_texts(docs).select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 13-word windows of benchmark items, and the verdict."""
     from tablewright.llm.decontam import contamination, find_benchmark
@@ -83,6 +91,7 @@ QUERIES = {
     for f in (
         op3_ngram_jaccard_join,
         op4_temperature_mixing,
+        op5_brown_lm,
         op6_benchmark_decontamination,
         op7_language_id,
         op8_token_counts,
