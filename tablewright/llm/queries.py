@@ -18,6 +18,23 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_topk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every embedding whose id is divisible by 20, among all."""
+    from tablewright.llm.topk_codes import search, sign_codes
+
+    codes = sign_codes(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 64)
+    return search(codes, codes.where("id % 20 = 0"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best license notice of every document, and how many it has."""
+    from tablewright.llm.license_scan import scan_licenses
+
+    best = F.col("licenses")[0]
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("best", F.when(F.size("licenses") > 0, best))
+    return found.select("doc_id", F.col("best.license").alias("license"), F.round("best.coverage", 6).alias("coverage"), F.col("best.first_word").alias("first_word"), F.col("best.end_word").alias("end_word"), F.size("licenses").cast("long").alias("n_licenses"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at a similarity of 0.8 over 5-word shingles."""
     from tablewright.llm.jaccard_join import shingle_components
@@ -89,6 +106,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_exact_topk_codes,
+        op2_license_scan,
         op3_ngram_jaccard_join,
         op4_temperature_mixing,
         op5_brown_lm,
@@ -104,6 +123,16 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+_OP1 = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS b FROM embeddings WHERE len(embedding) = 64),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(q.b[i] - c.b[i]))) AS INTEGER) AS distance
+  FROM c q, c WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) WHERE rank <= 10
+"""
+
 _OP3 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
 s AS (
@@ -185,6 +214,7 @@ FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
 ORACLE = {
+    "op1_exact_topk_codes": _OP1,
     "op3_ngram_jaccard_join": _OP3,
     "op4_temperature_mixing": _OP4,
     "op6_benchmark_decontamination": _OP6,
