@@ -505,8 +505,8 @@ def interval_merge(spark, sf_dir):
 
 
 @query(r"""WITH s AS (SELECT doc_id, text, generate_subscripts(regexp_extract_all(text, 'tion'), 1) AS k FROM documents),
-p AS (SELECT doc_id, length(array_to_string(string_split(text, 'tion')[1 : k], 'tion')) AS at, length(text) AS n FROM s),
-i AS (SELECT doc_id, greatest(0, at - 200) AS start, least(n, at + 400) AS "end" FROM p),
+p AS (SELECT doc_id, length(array_to_string(string_split(text, 'tion')[1 : k], 'tion')) AS x, length(text) AS n FROM s),
+i AS (SELECT doc_id, greatest(0, x - 200) AS start, least(n, x + 400) AS "end" FROM p),
 r AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i),
 k AS (SELECT *, sum(CASE WHEN r IS NULL OR start > r + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM r)
 SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", count(*) AS n FROM k GROUP BY doc_id, k""")
@@ -564,7 +564,7 @@ def metadata_checks(spark, sf_dir):
 
 
 _SCORED = """v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN -99999.0 WHEN 5 THEN 0.0 ELSE round(abs(value), 2) END AS g,
-CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN -99999.0 ELSE round(abs(value) * (1 + (event_id % 8) / 10), 2) END AS p FROM events)"""
+CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN -99999.0 ELSE abs(value) * (1 + (event_id % 8) / 10) END AS p FROM events)"""
 
 
 @query(f"""WITH {_SCORED} SELECT event_id, CASE WHEN g IS NULL THEN NULL WHEN g = -99999.0 THEN CASE WHEN p IS NULL THEN 0.5 WHEN p = -99999.0 THEN 1.0 ELSE 0.3 END WHEN p IS NULL OR p = -99999.0 THEN 0.0
@@ -574,7 +574,7 @@ def tier_scores(spark, sf_dir):
     """Scores of values and of nulls."""
     k = F.col("event_id")
     g = F.when(k % 6 == 0, None).when(k % 6 == 1, vocab.BELOW_DETECTION).when(k % 6 == 5, 0.0).otherwise(F.round(F.abs("value"), 2))
-    p = F.when(k % 10 == 0, None).when(k % 10 == 1, vocab.BELOW_DETECTION).otherwise(F.round(F.abs("value") * (1 + (k % 8) / 10), 2))
+    p = F.when(k % 10 == 0, None).when(k % 10 == 1, vocab.BELOW_DETECTION).otherwise(F.abs("value") * (1 + (k % 8) / 10))
     e = _read(spark, sf_dir, "events").select("event_id", g.alias("g"), p.alias("p"))
     return e.select("event_id", F.round(metrics.numeric_score(F.col("g"), F.col("p")), 6).alias("t2"), metrics.null_score(F.col("g"), F.col("p")).alias("t4"))
 
@@ -712,7 +712,8 @@ def class_report(spark, sf_dir):
     return metrics.class_report(l, "g", "p")
 
 
-@query("""SELECT p_brand, p_size, s AS score FROM (SELECT p_brand, p_size, round(avg(p_retailprice), 4) AS s, row_number() OVER (PARTITION BY p_brand ORDER BY round(avg(p_retailprice), 4) DESC, p_size) AS k FROM part GROUP BY ALL) WHERE k = 1""")
+@query("""WITH s AS (SELECT p_brand, p_size, round(avg(p_retailprice), 4) AS score FROM part GROUP BY ALL)
+SELECT p_brand, p_size, score FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_size) AS k FROM s) WHERE k = 1""")
 def best_parameter(spark, sf_dir):
     """The parameter with the best score."""
     s = _read(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.round(F.avg("p_retailprice"), 4).alias("score"))

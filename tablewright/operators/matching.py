@@ -110,22 +110,27 @@ def tolerance_match(pred: DataFrame, gold: DataFrame, keys: list[str], value: st
     """
     kinds = {c: t for c, t in pred.dtypes}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", p_ord long, g_ord long"
-
-    def pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(order), right.sort_values(order)
-        values, taken, out = right[value].to_numpy(float), [False] * len(right), []
-        for o, v in zip(left[order], left[value], strict=True):
-            scale = 1.0
-            for k, g in enumerate(values):
-                if relative:
-                    scale = max(abs(g), 1e-9)
-                if not taken[k] and abs(v - g) / scale < tolerance:
-                    taken[k] = True
-                    out.append((*key, o, right[order].iloc[k]))
+    # A group is many classes of keys: a call for each small class would cost more than its work.
+    buckets = 4 * int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        truths: dict = {}
+        for *key, o, v in right.sort_values("o")[[*keys, "o", "v"]].itertuples(index=False):
+            truths.setdefault(tuple(key), []).append((v, o))
+        out = []
+        for *key, o, v in left.sort_values("o")[[*keys, "o", "v"]].itertuples(index=False):
+            open_ = truths.get(tuple(key), ())
+            for k, (g, g_ord) in enumerate(open_):
+                if abs(v - g) / (max(abs(g), 1e-9) if relative else 1.0) < tolerance:
+                    out.append((*key, o, g_ord))
+                    del open_[k]
                     break
         return pd.DataFrame(out, columns=[*keys, "p_ord", "g_ord"])
 
-    side = lambda df: df.select(*keys, F.col(order), F.col(value).cast("double").alias(value)).dropna(subset=[value]).groupBy(*keys)
+    def side(df: DataFrame):
+        rows = df.select(*[F.col(k).alias(k) for k in keys], F.col(order).alias("o"), F.col(value).cast("double").alias("v")).dropna(subset=["v", *keys])
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
+
     return side(pred).cogroup(side(gold)).applyInPandas(pairs, schema)
 
 
