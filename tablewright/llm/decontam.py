@@ -161,12 +161,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             at = places[hi - 1][1]
         return b"".join([*out, data[at:]]).decode()
 
+    columns = docs.columns
+
     def run(batches):
         for batch in batches:
             new = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("hit_spans").to_pylist(), strict=True)]
             k = batch.schema.get_field_index("text")
             out = batch.set_column(k, "text", pa.array(new, pa.string()))
-            yield out.select(docs.columns)
+            yield out.select(columns)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return find_benchmark(docs, benchmark).mapInArrow(run, schema)
