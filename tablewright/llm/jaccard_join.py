@@ -102,22 +102,24 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     hashes, whole sets by 128-bit hashes.
 
     Null and empty texts, and texts without words, have no shingles and no links.  Rows
-    that share a doc_id are one document, linked by the text of either.  A row with a null
+    that share a doc_id are one document; if their texts differ, the one whose set has the
+    least hash makes its links.  A row with a null
     doc_id has links to none and a null component_id.  An empty table gives no rows.
     Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
 
     def prefixes(batches):
-        for batch in batches:
+        for batch in T.parts(batches, 1):
             sets = shingle_sets(batch.column(1), width)
             some = [s[: len(s) - _least(len(s), percent) + 1 + len(s) // 20] for s in sets]
             yield _batch(some, {"doc": batch.column(0)} | _signature(sets), "prefix")
 
     every = settle(docs.mapInArrow(prefixes, "doc long, n long, s1 long, s2 long, prefix array<long>"))
     kept = every.where("n > 0 and doc is not null")
-    same = kept.groupBy("s1", "s2", "n").agg(F.min("doc").alias("first"))
-    copies = kept.join(same, ["s1", "s2", "n"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    one = kept.groupBy("doc").agg(F.min(F.struct("s1", "s2", "n")).alias("x")).select("doc", "x.*")
+    same = one.groupBy("s1", "s2", "n").agg(F.min("doc").alias("first"))
+    copies = one.join(same, ["s1", "s2", "n"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
 
     def shared(batches):
         """Rows (h, doc, credit, known): shingles that are in one document of the batch, those known to be in more, and the documents' numbers of the latter."""
@@ -156,18 +158,20 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     able = firsts.join(credits, "doc").where(F.col("credit") > F.floor(F.col("n") / 20)).select("doc", "n", "s1", "s2")
 
     def whole(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(1), width)
-            yield _batch(sets, {"doc": batch.column(0)} | _signature(sets), "hashes")
+        """The sets of texts that are the wanted ones of their doc_id."""
+        for batch in T.parts(batches, "text"):
+            sets = shingle_sets(batch.column("text"), width)
+            signs = _signature(sets)
+            same = np.logical_and.reduce([np.asarray(batch.column(c)) == np.asarray(signs[c]) for c in ("n", "s1", "s2")])
+            yield _batch([s for s, k in zip(sets, same, strict=True) if k], {"doc": batch.column("doc").filter(pa.array(same)), "n": signs["n"].filter(pa.array(same))}, "hashes")
 
-    able = settle(able)
-    again = docs.join(able.select("doc").distinct(), "doc", "left_semi").mapInArrow(whole, "doc long, n long, s1 long, s2 long, hashes array<long>")
-    sets = settle(again.join(able.withColumn("m", F.lit(1)), ["doc", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc", "s1", "s2"]).select("doc", "n", "hashes"))
+    able = settle(able, free=True)
+    sets = settle(docs.join(able, "doc").mapInArrow(whole, "doc long, n long, hashes array<long>"), free=True)
 
     def postings(batches):
-        """Rows (h, docs, sizes): the documents of a batch that hold a shingle."""
-        for batch in batches:
-            lists = batch.column(2)
+        """Rows (h, docs): the documents of a batch that hold a shingle."""
+        for batch in (b.slice(a, 2000) for b in batches for a in range(0, b.num_rows, 2000)):
+            lists = batch.column(1)
             at = np.asarray(lists.offsets)
             h = np.asarray(lists.values)[at[0] : at[-1]]
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
@@ -176,23 +180,17 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             fresh[1:] = h[order[1:]] != h[order[:-1]]
             lead = np.flatnonzero(fresh)
             lengths = np.diff(np.append(lead, len(h)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[order[lead]]),
-                    T.list_column(np.asarray(batch.column(0))[row[order]], lengths, pa.int64()),
-                    T.list_column(np.asarray(batch.column(1))[row[order]], lengths, pa.int64()),
-                ],
-                ["h", "docs", "sizes"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(h[order[lead]]), T.list_column(np.asarray(batch.column(0))[row[order]], lengths, pa.int64())], ["h", "docs"])
 
-    lists = sets.mapInArrow(postings, "h long, docs array<long>, sizes array<long>")
+    lists = sets.select("doc", "hashes").mapInArrow(postings, "h long, docs array<long>")
     held = lists.withColumn("df", F.sum(F.size("docs")).over(Window.partitionBy("h"))).where("df > 1")
-    entries = held.select("h", "df", F.explode(F.arrays_zip("docs", "sizes")).alias("e")).select("h", "df", F.col("e.docs").alias("doc"), F.col("e.sizes").alias("n"))
-    ordered = entries.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held"))
+    # A set is there twice if its row was repeated; the entries are one set all the same.
+    ordered = held.select("h", "df", F.explode("docs").alias("doc")).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("held"))
+    ordered = ordered.join(sets.select("doc", "n").distinct(), "doc")
     least = F.ceil(F.col("n") * percent / F.lit(100) - F.lit(1e-9)).cast("int")
     # Shingles of this set alone come first in the order, and make no column.
     ordered = ordered.withColumn("alone", F.col("n").cast("int") - F.size("held")).withColumn("take", F.col("n").cast("int") - least + 1 - F.col("alone")).where("take > 0")
-    columns = settle(ordered.select("doc", "n", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("take")))).select(F.col("col.h").alias("h"), "doc", "n", (F.col("alone") + F.col("pos")).alias("place"), "alone"))
+    columns = settle(ordered.select("doc", "n", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("take")))).select(F.col("col.h").alias("h"), "doc", "n", (F.col("alone") + F.col("pos")).alias("place"), "alone"), free=True)
 
     links = copies
     for step in range(PIVOTS):

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, free: bool = False) -> DataFrame:
     """The rows written once to the shared checkpoint folder, and read from there.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (as in
-    tests on one machine) a temporary one is set.
+    tests on one machine) a temporary one is set.  free: wait until the shuffle files of
+    what is settled now can be dropped, so that they and the next step's do not add up.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -20,5 +23,10 @@ def settle(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(where)
     out = df.checkpoint(eager=True)
-    sc._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is settled now
+    del df  # Spark's cleaner drops shuffle files once nothing, here or in the JVM, refers to their plan
+    if free:
+        gc.collect()
+        for _ in range(4):
+            sc._jvm.System.gc()
+            time.sleep(0.3)
     return out

@@ -156,6 +156,18 @@ def whole_hash(words: np.ndarray) -> int:
     return int(window_hashes(words, len(words))[0]) if len(words) else 0
 
 
+def parts(batches, column: int | str, most: int = 8 << 20):
+    """The batches' rows in slices of about so many bytes of text, so that work on a slice has bounded memory."""
+    for batch in batches:
+        _, offsets = raw(batch.column(column))
+        a, n = 0, batch.num_rows
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+            b = min(b, n)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def list_column(values: np.ndarray, lengths, kind) -> pa.Array:
     """A list column from concatenated values and the rows' lengths."""
     offsets = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))]).astype(np.int32)
