@@ -17,7 +17,7 @@ _AMOUNT = r"\d+(?:\.\d+)?|\([\d.xyz+\-*/ ]+\)|[xyz]"
 _SEPARATOR = r"\s*[-–−+·,:\s]\s*"
 _FORMS = (
     rf"(?P<a>(?:{_AMOUNT})\s*%?\s*(?:{_COMPOUND})(?:{_SEPARATOR}(?:{_AMOUNT})\s*%?\s*(?:{_COMPOUND}))+)",  # 60SiO2-40Na2O
-    rf"(?P<b>\((?:{_COMPOUND})\)(?:{_AMOUNT})(?:{_SEPARATOR}?\((?:{_COMPOUND})\)(?:{_AMOUNT}))+)",  # (SiO2)60(Na2O)40
+    rf"(?P<b>\((?:{_COMPOUND})\)(?:{_AMOUNT})(?:(?:{_SEPARATOR})?\((?:{_COMPOUND})\)(?:{_AMOUNT}))+)",  # (SiO2)60(Na2O)40
     rf"(?P<c>(?:{_COMPOUND})\s+(?:{_AMOUNT})(?:{_SEPARATOR}(?:{_COMPOUND})\s+(?:{_AMOUNT}))+)",  # SiO2 60, Na2O 40
 )
 

@@ -7,8 +7,6 @@ Arrow UDFs meant for distinct values only.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,18 +57,21 @@ def common_words(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(count(a, w), count(b, w)))
 
 
-def word_f1(gold: Column, pred: Column, fold: bool = False) -> Column:
+def word_f1(gold: Column, pred: Column) -> Column:
     """Word-level F1 of two texts after H02, 0 where nothing is shared."""
-    g, p = words(normalize_text(gold, fold)), words(normalize_text(pred, fold))
+    g, p = words(normalize_text(gold)), words(normalize_text(pred))
     both = F.size(g) + F.size(p)
     return F.when(both > 0, 2 * common_words(g, p) / both).otherwise(F.lit(0.0))
 
 
-def attr_match(gold: Column, pred: Column, threshold: float = 0.25, fold: bool = False) -> Column:
-    """An unknown first argument matches all; else equality, equality without hyphens and blanks, or word F1."""
-    g, p = normalize_text(gold, fold), normalize_text(pred, fold)
+def attr_match(gold: Column, pred: Column, threshold: float = 0.25) -> Column:
+    """An unknown first argument matches all; else equality, equality without hyphens and blanks, or word F1.
+
+    Columns with other than ASCII text are folded before (a column of nfkc), as no UDF may stand inside.
+    """
+    g, p = normalize_text(gold), normalize_text(pred)
     plain = lambda c: F.regexp_replace(c, "[- ]", "")
-    return (g == UNKNOWN) | (g == p) | (plain(g) == plain(p)) | (word_f1(gold, pred, fold) >= threshold)
+    return (g == UNKNOWN) | (g == p) | (plain(g) == plain(p)) | (word_f1(gold, pred) >= threshold)
 
 
 def clean_value(c: Column) -> Column:
@@ -120,14 +121,18 @@ def element_header(c: Column) -> Column:
     s = F.regexp_replace(raw, r"_pp[mb]_(content|conc)$", "")
     s = F.regexp_replace(s, r"_pp[mb]_m\d+", "")
     s = F.regexp_replace(s, r"[_\s]+(mean|2se|2sd|sd|se|median|avg|rsd|1sd|1se)$", "")
-    for ending in vocab.UNIT_ENDINGS:
-        s = F.regexp_replace(s, re.escape(ending) + "$", "")
+    cut = lambda acc, e: F.when(F.endswith(acc, e), F.left(acc, F.length(acc) - F.length(e))).otherwise(acc)
+    s = F.aggregate(F.array(*map(F.lit, vocab.UNIT_ENDINGS)), s, cut)
     s = F.trim(F.regexp_replace(F.trim(s), "_+$", ""))
     names = F.create_map(*[F.lit(x) for pair in ({e: e for e in vocab.ELEMENTS} | vocab.ELEMENT_NAMES).items() for x in pair])
-    short = F.length(s) <= 6
-    after = F.regexp_extract(s, r"^(.*?[^0-9])[0-9]{2,}$", 1)
-    before = F.regexp_extract(s, r"^[0-9]{2,}([^0-9].*)$", 1)
-    found = F.coalesce(F.try_element_at(names, s), F.when(short, F.try_element_at(names, after)), F.when(short, F.try_element_at(names, before)))
+
+    def symbol(x):
+        after, before = F.regexp_extract(x, r"^(.*?[^0-9])[0-9]{2,}$", 1), F.regexp_extract(x, r"^[0-9]{2,}([^0-9].*)$", 1)
+        tries = F.array(x, F.when(F.length(x) <= 6, after), F.when(F.length(x) <= 6, before))
+        return F.get(F.filter(F.transform(tries, lambda t: F.try_element_at(names, t)), lambda e: e.isNotNull()), 0)
+
+    # The cleaned header is bound once, as the element of an array, and looked up in its three readings.
+    found = F.get(F.transform(F.array(s), symbol), 0)
     return F.when(~raw.rlike(r"_pp[mb]_(lod|dl|det_lim)$"), found)
 
 
