@@ -23,6 +23,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+def table(mapping: dict[str, str]) -> Column:
+    """A constant map as one literal, which is folded when the query is planned."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in mapping.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def collapse(c: Column) -> Column:
     """White space runs become one blank; none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -122,9 +127,9 @@ def element_header(c: Column) -> Column:
     s = F.regexp_replace(s, r"_pp[mb]_m\d+", "")
     s = F.regexp_replace(s, r"[_\s]+(mean|2se|2sd|sd|se|median|avg|rsd|1sd|1se)$", "")
     cut = lambda acc, e: F.when(F.endswith(acc, e), F.left(acc, F.length(acc) - F.length(e))).otherwise(acc)
-    s = F.aggregate(F.array(*map(F.lit, vocab.UNIT_ENDINGS)), s, cut)
+    s = F.aggregate(F.split(F.lit("\x01".join(vocab.UNIT_ENDINGS)), "\x01"), s, cut)
     s = F.trim(F.regexp_replace(F.trim(s), "_+$", ""))
-    names = F.create_map(*[F.lit(x) for pair in ({e: e for e in vocab.ELEMENTS} | vocab.ELEMENT_NAMES).items() for x in pair])
+    names = table({e: e for e in vocab.ELEMENTS} | vocab.ELEMENT_NAMES)
 
     def symbol(x):
         after, before = F.regexp_extract(x, r"^(.*?[^0-9])[0-9]{2,}$", 1), F.regexp_extract(x, r"^[0-9]{2,}([^0-9].*)$", 1)
@@ -151,7 +156,7 @@ def canonical(c: Column, mapping: dict[str, str], keep: bool = True, blanks: boo
         key = F.replace(key, F.lit(" "), F.lit(""))
     if not mapping:
         return c if keep else F.lit(None).cast("string")
-    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), key)
+    found = F.try_element_at(table(mapping), key)
     return F.coalesce(found, c) if keep else found
 
 
@@ -191,8 +196,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def rename_keys(c: Column, names: dict[str, str]) -> Column:
     """A map with some of its keys renamed."""
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.transform_keys(c, lambda k, _: F.coalesce(F.try_element_at(table, k), k))
+    return F.transform_keys(c, lambda k, _: F.coalesce(F.try_element_at(table(names), k), k))
 
 
 def section_or_text(sections: Column, names: list[str], text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions import vocab
+from tablewright.functions import strings, vocab
 
 
 def forward_fill(rows: DataFrame, group: list[str], order: list[str], column: str) -> DataFrame:
@@ -28,8 +28,7 @@ def fill_sparse_ids(rows: DataFrame, table: list[str], order: str, name: str, ha
 def heading(line: Column) -> Column:
     """The section that a heading line (numbered or not) names, or null."""
     s = F.lower(F.trim(F.regexp_replace(line, r"^\s*(\d+(\.\d+)*\.?|[IVX]+\.)?\s*", "")))
-    names = F.create_map(*[F.lit(x) for pair in vocab.HEADINGS.items() for x in pair])
-    return F.when(F.length(s) <= 60, F.try_element_at(names, F.regexp_replace(s, r"[.:]$", "")))
+    return F.when(F.length(s) <= 60, F.try_element_at(strings.table(vocab.HEADINGS), F.regexp_replace(s, r"[.:]$", "")))
 
 
 def label_sections(lines: DataFrame, doc: list[str], order: str, starts: Column, default: str = "preamble") -> DataFrame:

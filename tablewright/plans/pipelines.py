@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import strings, vocab
 from tablewright.operators import consensus, filters, grid, metrics
+from tablewright.plans.stages import settle
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def split_minerals(rows: DataFrame) -> DataFrame:
     named = F.filter(F.transform(F.split("mineral", ","), F.trim), lambda x: x != "")
     inferred = strings.first_pattern(F.coalesce("sample_local_id", "sample_name"), [(m, m) for m in sorted(vocab.MINERALS, key=len, reverse=True)])
     code = F.lower(F.regexp_extract(F.coalesce("sample_local_id", "sample_name"), r"(?i)(?:^|[^a-z])(" + "|".join(sorted(vocab.MINERAL_CODES, key=len, reverse=True)) + r")(?:[^a-z]|$)", 1))
-    coded = F.try_element_at(F.create_map(*[F.lit(x) for p in vocab.MINERAL_CODES.items() for x in p]), code)
+    coded = F.try_element_at(strings.table(vocab.MINERAL_CODES), code)
     return rows.withColumn("mineral", F.explode_outer(F.when(F.size(named) > 0, named))).withColumn("mineral", F.coalesce("mineral", inferred, coded))
 
 
@@ -50,14 +51,14 @@ def extract(cells: DataFrame, config: Config = Config()) -> DataFrame:
     parsed, rows that are no samples left out, versions of several backends reconciled.
     """
     table = ["doc_id", "backend", "table_no"]
-    cells = grid.clean_cells(cells.where(F.col("backend").isin(*config.backends)))
+    cells = settle(grid.clean_cells(cells.where(F.col("backend").isin(*config.backends))))  # files are read and parsed once
     first = cells.groupBy(*table).agg(F.min("row").alias("first"))
     heads = first.join(grid.header_row(cells, table), table, "left").select(*table, F.coalesce("header_row", "first").alias("h"))
     raw_headers = cells.join(heads, table).where("row = h").select(*table, "col", F.col("raw").alias("header"))
     turned = grid.transposed(cells, raw_headers, table)
     cells = grid.transpose(cells, turned, table)
     heads = heads.join(turned, table, "left").select(*table, F.coalesce("label_col", "h").alias("h"))
-    placed = cells.join(heads, table)
+    placed = settle(cells.join(heads, table))
     headers = grid.unique_headers(placed.where("row = h").select(*table, "col", F.col("raw").alias("header")), table)
     body = placed.where("row > h").drop("h")
     ids = grid.sample_id_column(headers, grid.column_profile(body, table), table)
