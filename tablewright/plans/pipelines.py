@@ -37,7 +37,7 @@ def ablations(base: Config) -> dict[str, Config]:
 
 def split_minerals(rows: DataFrame) -> DataFrame:
     """A row for each mineral of a list; a mineral that is not given is inferred from the analysis id."""
-    named = F.filter(F.transform(F.split("mineral", ","), F.trim), lambda x: x != "")
+    named = F.filter(F.transform(F.split("mineral", ","), lambda x: F.trim(x)), lambda x: x != "")
     inferred = strings.first_pattern(F.coalesce("sample_local_id", "sample_name"), [(m, m) for m in sorted(vocab.MINERALS, key=len, reverse=True)])
     code = F.lower(F.regexp_extract(F.coalesce("sample_local_id", "sample_name"), r"(?i)(?:^|[^a-z])(" + "|".join(sorted(vocab.MINERAL_CODES, key=len, reverse=True)) + r")(?:[^a-z]|$)", 1))
     coded = F.try_element_at(strings.table(vocab.MINERAL_CODES), code)
