@@ -5,7 +5,7 @@ more than once alone are extended to the whole length.  At the first level a win
 whole length is stood for by one half-length window inside it, the one with the least
 hash: equal windows have the same one at the same place, so nothing repeated is missed,
 and about one position in six is shuffled.  At the second level all windows whose half
-survived are compared by 128-bit hashes.
+survived are compared by 96-bit hashes.
 
 Windows that repeat within a batch are settled there: at most one row for each window and
 batch is shuffled, so that a passage of a third of all documents makes no large group.  A
@@ -53,17 +53,21 @@ def _anchors(words: np.ndarray, at: np.ndarray, window: int):
     return starts, _least(hashes, window - half + 1)[starts], hashes
 
 
-def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """For texts with windows that start earlier: t1, t2 (the text's hash), whole (all of it is an earlier text), starts.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with doc (the order of documents) and the text's hash t1, t2."""
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), F.col("text"))})
 
-    docs: doc_id, text.  Earlier is a smaller doc_id, or the same and an earlier start;
-    starts are word positions of windows whose words also start earlier.
+
+def repeated_windows(keyed: DataFrame, window: int = 20) -> DataFrame:
+    """For texts with windows that start earlier: doc, t1, t2, whole (all of it is an earlier text), starts.
+
+    keyed: from _keyed.  Earlier is a smaller doc, or the same and an earlier start; starts
+    are word positions of windows whose words also start earlier.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2")]
-    docs = docs.where("text is not null").select(*key, "text")
+    docs = keyed.where("text is not null").select("doc", "t1", "t2", "text")
 
     def halves(batches):
-        for batch in batches:
+        for batch in T.parts(batches, 1):
             words, at = T.word_hashes(batch.column(1), False)
             _, place, hashes = _anchors(words, at, window)
             place = np.unique(place)
@@ -82,7 +86,7 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
             free = T.mix(doc.astype(np.uint64) ^ (place.astype(np.uint64) << np.uint64(32)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.where(many, free, own), own[told]]).view(np.int64)),
+                    pa.array((np.concatenate([np.where(many, free, own), own[told]]) >> np.uint64(16)).view(np.int64)),  # 48 bits: here a chance hit only costs a later look
                     pa.array(np.concatenate([doc, doc[told]])),
                     pa.array(np.concatenate([place - at[row], np.full(len(told), -1)]).astype(np.int32)),
                     pa.array(np.concatenate([many, np.zeros(len(told), bool)])),
@@ -95,21 +99,22 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     alive = spread.withColumn("n", F.count("*").over(first)).where("place >= 0 and (known or n > 1)").groupBy("doc").agg(F.collect_list("place").alias("places"))
     firsts = docs.groupBy("t1", "t2").agg(F.min("doc").alias("first"))
     texts = docs.select("doc", "t1", "t2").distinct().join(firsts, ["t1", "t2"])
-    plan = settle(texts.join(alive, "doc", "left").select("doc", "t1", "t2", (F.col("doc") > F.col("first")).alias("whole"), F.when(F.col("doc") == F.col("first"), F.col("places")).alias("places")))
+    plan = settle(texts.join(alive, "doc", "left").select("doc", "t1", "t2", (F.col("doc") > F.col("first")).alias("whole"), F.when(F.col("doc") == F.col("first"), F.col("places")).alias("places")), free=True)
 
     def wholes(batches):
-        for batch in batches:
-            words, at = T.word_hashes(batch.column(1), False)
+        for batch in T.parts(batches, "text"):
+            words, at = T.word_hashes(batch.column("text"), False)
             starts, place, _ = _anchors(words, at, window)
-            lists = batch.column(2)
+            lists = batch.column("places")
             row_of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
             alive = np.zeros(len(words) + 1, bool)
             alive[np.minimum(at[row_of] + np.asarray(lists.values)[np.asarray(lists.offsets)[0] : np.asarray(lists.offsets)[-1]], len(words))] = True
             starts = starts[alive[place]]
             h1, h2 = (T.window_hashes(words, window, k)[starts] if len(starts) else np.zeros(0, np.uint64) for k in (0, 1))
+            h2 &= np.uint64(0xFFFFFFFF00000000)
             row = np.searchsorted(at, starts, "right") - 1
-            text = (np.asarray(batch.column(3)) & 0x7FFFFFFF)[row] << 32  # tells texts of one doc_id apart
-            doc, place = np.asarray(batch.column(0))[row], starts - at[row] + text
+            text = (np.asarray(batch.column("t1")) & 0x7FFFFFFF)[row] << 32  # tells texts of one doc_id apart
+            doc, place = np.asarray(batch.column("doc"))[row], starts - at[row] + text
             order = np.lexsort((place, doc, h2, h1))
             h1, h2, doc, place = h1[order], h2[order], doc[order], place[order]
             fresh = np.ones(len(h1), bool)
@@ -117,14 +122,16 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
             lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h1)), 0)) if len(h1) else np.zeros(0, np.int64)
             same = ~fresh & (doc == doc[lead]) & (place == place[lead])
             free = T.mix(doc.astype(np.uint64) ^ (place.astype(np.uint64) << np.uint64(32)))
-            keep = ~same
+            keep = np.flatnonzero(~same)
+            keep = keep[np.lexsort((place[keep], doc[keep]))]  # neighbours are alike, and so shuffled in less
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(fresh, h1, free)[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(doc[keep]), pa.array(place[keep]), pa.array(~fresh[keep])],
+                [pa.array(np.where(fresh, h1, free)[keep].view(np.int64)), pa.array((h2[keep] >> np.uint64(32)).astype(np.int64)), pa.array(doc[keep]), pa.array(place[keep]), pa.array(~fresh[keep])],
                 ["h1", "h2", "doc", "start", "known"],
             )
 
-    texts = docs.join(plan.where("size(places) > 0"), ["doc", "t1", "t2"])
-    spread = texts.select("doc", "text", "places", "t1").mapInArrow(wholes, "h1 long, h2 long, doc long, start long, known boolean")
+    # All columns, in the plan of remove_repeats' last join: one shuffle of the texts serves both.
+    texts = keyed.join(plan.where("size(places) > 0").drop("whole"), ["doc", "t1", "t2"])
+    spread = texts.mapInArrow(wholes, "h1 long, h2 long, doc long, start long, known boolean")
     earliest = F.min(F.struct("doc", "start")).over(Window.partitionBy("h1", "h2", "known"))
     late = spread.withColumn("earliest", earliest).where(F.col("known") | (F.col("earliest") < F.struct("doc", "start")))
     text = F.col("start").bitwiseAND(0x7FFFFFFF << 32)
@@ -145,7 +152,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     one another; other texts of one doc_id come in the order of their hashes.  An empty table gives no rows.  Columns named like added ones are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept", "doc", "t1", "t2", "whole", "starts")
-    marks = repeated_windows(docs.select("doc_id", "text"), window)
+    keyed = _keyed(docs)
+    marks = repeated_windows(keyed, window)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def cut(batches):
@@ -171,7 +179,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             own = batch.select(batch.schema.names[:-2])
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*own.schema.names, "n_words", "n_removed", "kept"])
 
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), F.col("text"))})
     return keyed.join(marks, ["doc", "t1", "t2"], "left").select(*docs.columns, F.coalesce("whole", F.lit(False)).alias("whole"), "starts").mapInArrow(cut, f"{schema}, n_words long, n_removed long, kept string")
 
 
