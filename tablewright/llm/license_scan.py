@@ -5,15 +5,17 @@ license text are anchors; the longest increasing run of anchors is kept, and the
 between them are aligned in the same way.  Coverage is the share of the license's words
 that are aligned.
 
-Stretches are windows of twice the license's length, one length apart, so that a notice lies
-whole in one of them wherever it stands and however often it is repeated.  Windows with
-too few of the license's words to reach the wished coverage are not aligned.
+Stretches are windows of twice the license's length that start at each word of the document,
+so a notice lies whole in the one that starts with it, wherever it stands, with as many
+inserted words as the license has words.  Windows with too few of the
+license's words to reach the wished coverage, or to better the best so far, are not aligned.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,27 +114,51 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _stretch(own: list, wording: list, a: int, most: int, coverage: float) -> tuple[int, int, int]:
+    """(words aligned, first word, word after the last) of the alignment that starts at word a; most: a bound of the first."""
+    size = len(wording)
+    pairs = align(own[a : a + 2 * size], wording)
+    if len(pairs) < most:
+        # Where the notice is repeated at once, words of the next one are no anchors: end before it, too.
+        for end in range(a + max(1, int(coverage * size)), min(a + 2 * size, len(own))):
+            if own[end] == own[a]:
+                pairs = max(pairs, align(own[a:end], wording), key=len)
+    if not pairs:
+        return 0, a, a
+    # The last words may be aligned with later ones like them: as short as it gets.
+    while pairs[-1][0] - pairs[0][0] + 1 > len(pairs):
+        a, n = a + pairs[0][0], pairs[-1][0] - pairs[0][0]
+        shorter = align(own[a : a + n], wording)
+        pairs = [(i - pairs[0][0], x) for i, x in pairs]
+        if len(shorter) < len(pairs):
+            break
+        pairs = shorter
+    return len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1
+
+
 def scan(own: list, licenses: dict[str, list], coverage: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, word after the last) of the best stretch for each license that reaches coverage."""
     out = []
     for name, wording in licenses.items():
-        size, need = len(wording), set(wording)
-        hits = [k for k, w in enumerate(own) if w in need]
-        best = None
-        for a in sorted({max(0, (k // size - d) * size) for k in hits for d in (0, 1)}):
-            part = own[a : a + 2 * size]
-            counts: dict = {}
-            for w in part:
-                if w in need:
-                    counts[w] = counts.get(w, 0) + 1
-            if sum(min(n, wording.count(w)) for w, n in counts.items()) < coverage * size:
-                continue
-            pairs = align(part, wording)
-            share = len(pairs) / size
-            if share >= coverage and (best is None or share > best[0]):
-                best = (share, a + pairs[0][0], a + pairs[-1][0] + 1)
+        size, limit = len(wording), Counter(wording)
+        counts = dict.fromkeys(limit, 0)
+        best, end, most = None, 0, 0
+        for a, first in enumerate(own):
+            for w in own[end : a + 2 * size]:
+                if w in limit:
+                    counts[w] += 1
+                    most += counts[w] <= limit[w]
+            end = a + 2 * size
+            # At most so many words of this stretch can be aligned.
+            if most >= coverage * size and (best is None or most > best[0] or most == best[0] < best[2] - best[1]):
+                found = _stretch(own, wording, a, most, coverage)
+                if found[0] / size >= coverage and (best is None or (-found[0], found[2] - found[1]) < (-best[0], best[2] - best[1])):
+                    best = found
+            if first in limit:
+                most -= counts[first] <= limit[first]
+                counts[first] -= 1
         if best:
-            out.append((name, *best))
+            out.append((name, best[0] / size, *best[1:]))
     return sorted(out, key=lambda x: (-x[1], -len(licenses[x[0]]), x[0]))
 
 
@@ -141,7 +167,7 @@ def scan_licenses(docs: DataFrame, licenses: dict[str, str] | None = None, cover
 
     licenses: wording by name; by default LICENSES.  Words are runs of letters, digits and
     non-ASCII characters, with A-Z lower-cased.  A license is listed once, by its best
-    stretch (the first of equals), if at least `coverage` of its words are aligned; ties go
+    stretch (the shortest of equals, then the first), if at least `coverage` of its words are aligned; ties go
     to the longer wording, then by name.
 
     Null and empty texts have none (an empty array), and so have all without licenses.

@@ -100,6 +100,34 @@ def test_licenses_found(spark):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_insertions_at_every_offset():
+    rng = random.Random(8)
+    every = {n: license_scan.words(t) for n, t in license_scan.LICENSES.items()}
+    for name in ("All rights reserved", "MIT", "GPL-3.0", "BSD"):
+        w = every[name]
+        size = len(w)
+        for inserted in sorted({0, 1, size // 2, size}):
+            at = sorted(rng.choices(range(1, size), k=inserted))
+            notice = [x for k, word in enumerate(w) for x in [b"new"] * at.count(k) + [word]]
+            for offset in range(size):
+                for own in ([b"x"] * offset + notice + [b"x"] * (2 * size), [b"x"] * offset + notice * 3):
+                    assert license_scan.scan(own, {name: w}, 0.8) == [(name, 1.0, offset, offset + len(notice))], (name, inserted, offset)
+    own = "x x x copyright 2020 acme all rights reserved x x copyright of all works".encode().split()
+    assert license_scan.scan(own, {"c": every["All rights reserved"]}, 0.8) == [("c", 1.0, 3, 9)]
+
+
+def test_license_scan_as_a_scan_of_all_starts():
+    rng = random.Random(9)
+    for _ in range(300):
+        wording = [rng.choice("abcde") for _ in range(rng.randrange(3, 7))]
+        own = [rng.choice("abcdexyz") for _ in range(24)]
+        size = len(wording)
+        most = max(len(license_scan.align(own[a : a + 2 * size], wording)) for a in range(len(own)))
+        got = license_scan.scan(own, {"l": wording}, 0.6)
+        assert (got[0][1] if got else 0) >= (most / size if most / size >= 0.6 else 0)
+        assert all(sum((Counter(own[a:b]) & Counter(wording)).values()) >= round(c * size) for _, c, a, b in got)
+
+
 # 3
 
 
