@@ -2,10 +2,12 @@
 
 The kernel is the blended spectrum of presence: the number of distinct byte n-grams
 (n = 1, 2, 3) that two texts share, divided by the root of the product of their own
-numbers.  A bounded sample of labelled texts gives Nystroem landmarks, and another bounded
-sample the one-versus-rest kernel ridge regressions.  As a prediction is linear in the
-n-grams present, all landmarks fold into one n-gram-by-language matrix, and batches are
-scored by products of a presence matrix with it.  Every text is read whole.
+numbers.  A bounded sample of each label's texts gives Nystroem landmarks, and another one
+the one-versus-rest kernel ridge regressions; both grow with the number of labels.  As a
+prediction is linear in the n-grams present, all landmarks fold into one n-gram-by-language
+matrix, and batches are scored by products of a presence matrix with it.  Where that matrix
+would be large, kernel values are multiplied with the regressions instead: the same sums.
+Every label is learnt, and every text is read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-LANGUAGES, LANDMARKS, FIT_ROWS = 64, 192, 2048
+LANDMARKS, FIT_ROWS = 192, 2048
+EACH_LANDMARKS, EACH_FIT_ROWS = 3, 32  # of each label at least
+FOLDED, BLOCK = 1 << 22, 2048
 
 
 def _fold(data: np.ndarray) -> np.ndarray:
@@ -58,11 +62,40 @@ class _Distinct:
         return keys[self.stamp[keys] == at]
 
 
+class Landmarks:
+    """The n-grams of the landmarks' sets, and for each n-gram the landmarks that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.grams, place = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[np.argsort(place, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(self.grams)))])
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many of some distinct n-grams each landmark has."""
+        if not len(self.grams):
+            return np.zeros(len(self.sizes), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        at = at[self.grams[at] == own]
+        n = self.start[at + 1] - self.start[at]
+        return np.bincount(self.ids[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(self.sizes))
+
+    def kernel(self, own: np.ndarray) -> np.ndarray:
+        """Kernel values of one text with all landmarks."""
+        return self.shared(own) / np.sqrt(self.sizes * max(1, len(own)))
+
+    def folded(self, alpha: np.ndarray) -> np.ndarray:
+        """The weight of each n-gram for each language."""
+        out = np.zeros((len(self.grams), alpha.shape[1]), np.float32)
+        np.add.at(out, np.repeat(np.arange(len(self.grams)), np.diff(self.start)), (alpha / np.sqrt(self.sizes)[:, None]).astype(np.float32)[self.ids])
+        return out
+
+
 class Model:
-    """Languages, the n-grams of the landmarks, and a weight for each n-gram and language."""
+    """Languages, landmarks, the regressions' values for each landmark and language, and their constants."""
 
-    def __init__(self, languages: list[str], grams: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.grams, self.weights, self.bias = languages, grams, weights, bias
+    def __init__(self, languages: list[str], landmarks: Landmarks, alpha: np.ndarray, bias: np.ndarray):
+        self.languages, self.landmarks, self.alpha, self.bias = languages, landmarks, alpha, bias
 
 
 def _sample(docs: DataFrame, each: int) -> DataFrame:
@@ -71,18 +104,17 @@ def _sample(docs: DataFrame, each: int) -> DataFrame:
     return docs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
 
 
-def fit(docs: DataFrame, languages: int = LANGUAGES, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, ridge: float = 1e-3) -> Model | None:
+def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, ridge: float = 1e-3) -> Model | None:
     """A model of docs (doc_id, text, lang); rows with null lang, or text without letters, are left out.
 
-    languages: the most frequent labels are learnt, this many at most.  landmarks and
-    fit_rows: bounds of the two samples; both are spread evenly over the languages.  None
-    if there is nothing to learn from.
+    Every label is learnt.  landmarks and fit_rows: sizes of the two samples; both are spread
+    evenly over the labels, and each label has EACH_LANDMARKS and EACH_FIT_ROWS at least (if
+    it has so many rows).  None if there is nothing to learn from.
     """
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    names = [r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    names = [r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not names:
         return None
-    docs = docs.where(F.col("lang").isin(names))
 
     def grams(batches):
         distinct = _Distinct()
@@ -91,68 +123,55 @@ def fit(docs: DataFrame, languages: int = LANGUAGES, landmarks: int = LANDMARKS,
             found = [distinct(_keys(data[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([T.list_column(np.concatenate(found), [len(f) for f in found], pa.int32()), batch.column(1)], ["grams", "lang"])
 
-    base = _sample(docs, max(1, landmarks // len(names))).select("text", "lang").mapInArrow(grams, "grams array<int>, lang string").orderBy("lang", F.size("grams"), F.hash("grams")).toArrow()
+    base = _sample(docs, max(EACH_LANDMARKS, landmarks // len(names))).select("text", "lang").mapInArrow(grams, "grams array<int>, lang string").orderBy("lang", F.size("grams"), F.hash("grams")).toArrow()
     sets = [np.asarray(x.values) for x in base.column("grams")]
-    vocabulary, place = np.unique(np.concatenate(sets), return_inverse=True)
-    incidence = np.zeros((len(vocabulary), len(sets)), np.float32)
-    incidence[place, np.repeat(np.arange(len(sets)), [len(s) for s in sets])] = 1
-    incidence /= np.sqrt([len(s) for s in sets], dtype=np.float32)
-    given = docs.sparkSession.sparkContext.broadcast((vocabulary, incidence))
+    known = Landmarks(sets)
+    given = docs.sparkSession.sparkContext.broadcast(known)
 
     def kernel(batches):
         distinct = _Distinct()
-        known, columns = given.value
+        known = given.value
         for batch in batches:
             data, at = T.raw(batch.column(0))
-            out = [_similar(distinct(_keys(data[a:b])), known, columns) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([T.list_column(np.concatenate(out), [columns.shape[1]] * len(out), pa.float32()), batch.column(1)], ["row", "lang"])
-
-    rows = _sample(docs, max(1, fit_rows // len(names))).select("text", "lang").mapInArrow(kernel, "row array<float>, lang string").orderBy("lang", "row").toArrow()
-    k_nm = np.stack([np.asarray(x.values) for x in rows.column("row")]).astype(float)
-    target = np.where(np.array(rows.column("lang").to_pylist())[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    norms = np.sqrt([len(s) for s in sets])
-    k_mm = _gram(sets) / norms[:, None] / norms[None, :]
-    mean, centre = target.mean(0), k_nm.mean(0)
-    x = k_nm - centre
-    alpha = np.linalg.solve(x.T @ x + ridge * len(x) * k_mm + 1e-6 * np.eye(len(sets)), x.T @ (target - mean))
-    return Model(names, vocabulary, (incidence.astype(float) @ alpha).astype(np.float32), (mean - centre @ alpha).astype(np.float32))
-
-
-def _gram(sets: list[np.ndarray]) -> np.ndarray:
-    every = [np.sort(s) for s in sets]
-    out = np.zeros((len(sets), len(sets)))
-    for i, a in enumerate(every):
-        mark = np.zeros(1 << 24, bool)
-        mark[a] = True
-        out[i] = [mark[b].sum() for b in every]
-    return out
-
-
-def _similar(own: np.ndarray, known: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Kernel values of one text with all landmarks."""
-    if not len(own):
-        return np.zeros(columns.shape[1], np.float32)
-    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    return columns[place[known[place] == own]].sum(0) / np.float32(np.sqrt(len(own)))
-
-
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+            out = [known.kernel(distinct(_keys(data[a:b]))).astype(np.float32) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([T.list_column(np.concatenate(out), [len(known.sizes)] * len(out), pa.float32()), batch.column(1)], ["row", "lang"])
+
+    rows = _sample(docs, max(EACH_FIT_ROWS, fit_rows // len(names))).select("text", "lang").mapInArrow(kernel, "row array<float>, lang string").orderBy("lang", "row").toArrow()
+    number = {name: k for k, name in enumerate(names)}
+    label = np.array([number[x] for x in rows.column("lang").to_pylist()])
+    mean, centre = 2 * np.bincount(label, minlength=len(names)) / len(label) - 1, np.zeros(len(sets))
+    k_mm = np.stack([known.kernel(s) for s in sets])
+    left, right = ridge * len(label) * k_mm + 1e-6 * np.eye(len(sets)), np.zeros((len(sets), len(names)))
+    blocks = [(np.stack([np.asarray(x.values) for x in rows.column("row")[a : a + BLOCK]]), label[a : a + BLOCK]) for a in range(0, len(label), BLOCK)]
+    for x, _ in blocks:
+        centre += x.sum(0, dtype=float) / len(label)
+    for x, own in blocks:
+        x = x - centre
+        left += x.T @ x
+        right += x.T @ (np.where(own[:, None] == np.arange(len(names)), 1.0, -1.0) - mean)
+    alpha = np.linalg.solve(left, right)
+    return Model(names, known, alpha, (mean - centre @ alpha).astype(np.float32))
+
+
+def predict(docs: DataFrame, model: Model | None, folded: int = FOLDED) -> DataFrame:
     """docs with lang_pred and score (0 to 1: half of 1 + the winning regression's value, within the bounds).
 
     Only the text column is looked at.  Null texts and texts without a letter are "und"
     with score 0; so is everything when there is no model.  Ties go to the language that
     comes first by frequency in training.  Columns lang_pred and score of docs are replaced.
+    folded: the most values of the n-gram-by-language matrix; above it, it is not made.
     """
     docs = docs.drop("lang_pred", "score")
     given = docs.sparkSession.sparkContext.broadcast(model)
+    fold = model is not None and len(model.landmarks.grams) * len(model.languages) <= folded
 
     def run(batches):
         model = given.value
         distinct = _Distinct()
-        if model is not None:
+        if fold:
             place = np.zeros(1 << 24, np.int32)  # 0: no n-gram of a landmark
-            place[model.grams] = np.arange(1, len(model.grams) + 1)
-            weights = np.concatenate([np.zeros((1, len(model.languages)), np.float32), model.weights])
+            place[model.landmarks.grams] = np.arange(1, len(model.landmarks.grams) + 1)
+            weights = np.concatenate([np.zeros((1, len(model.languages)), np.float32), model.landmarks.folded(model.alpha)])
         for batch in batches:
             column = batch.column("text")
             data, at = T.raw(column)
@@ -160,13 +179,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             able = [k for k in range(batch.num_rows) if model is not None and at[k] < at[k + 1] and _letters(data[at[k] : at[k + 1]], lambda k=k: column[k].as_py() or "")]
             for a in range(0, len(able), 64):
                 some = able[a : a + 64]
-                present = np.zeros((len(some), len(weights)), np.float32)
-                norms = np.empty((len(some), 1), np.float32)
-                for i, k in enumerate(some):
-                    own = distinct(_keys(data[at[k] : at[k + 1]]))
-                    norms[i] = np.sqrt(len(own))
-                    present[i, place[own]] = 1
-                value = present @ weights / norms + model.bias
+                if fold:
+                    present = np.zeros((len(some), len(weights)), np.float32)
+                    norms = np.empty((len(some), 1), np.float32)
+                    for i, k in enumerate(some):
+                        own = distinct(_keys(data[at[k] : at[k + 1]]))
+                        norms[i] = np.sqrt(len(own))
+                        present[i, place[own]] = 1
+                    value = present @ weights / norms + model.bias
+                else:
+                    value = np.stack([model.landmarks.kernel(distinct(_keys(data[at[k] : at[k + 1]]))) for k in some]) @ model.alpha + model.bias
                 top = value.argmax(1)
                 for i, k in enumerate(some):
                     best[k] = model.languages[top[i]]

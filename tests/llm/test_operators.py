@@ -322,6 +322,20 @@ def test_language_awkward(spark):
     assert langid.predict(frame(spark, [(1, "漢字だけ"), (2, "12 34")]), langid.fit(docs)).where("lang_pred = 'und'").count() == 1
 
 
+@pytest.mark.parametrize("bounds", [{}, {"folded": 0}])
+def test_every_language_is_learnt(spark, bounds):
+    """90 labels, more than the samples' sizes are meant for."""
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x561, 0x587)]
+    stems = ["".join(rng.sample(letters, 6)) for _ in range(90)]
+    text = lambda k: " ".join("".join(rng.choice(stems[k]) for _ in range(5)) for _ in range(40))
+    docs = frame(spark, [(n * 90 + k, text(k), f"l{k}") for k in range(90) for n in range(8)], DOCS + ", lang string")
+    model = langid.fit(docs.where("doc_id < 540"))
+    got = langid.predict(docs.where("doc_id >= 540"), model, **bounds).collect()
+    assert len(model.languages) == 90 and len(got) == 180 and {r.lang_pred for r in got} == {f"l{k}" for k in range(90)}
+    assert sum(r.lang == r.lang_pred for r in got) >= 175
+
+
 # 8
 
 
