@@ -80,7 +80,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray):
             while lo < hi:
                 to = min(hi, lo + PIECE_BYTES)
                 while to < hi:  # cut only where white space follows an ASCII character that is none
-                    part = data[to - 1 : to + PIECE_BYTES]
+                    part = data[to - 1 : min(hi, to + PIECE_BYTES)]
                     cut = np.flatnonzero(_SPACES[part[1:]] & ~_SPACES[part[:-1]] & (part[:-1] < 128))
                     if len(cut):
                         to += int(cut[0])

@@ -53,6 +53,30 @@ def test_pretokens_as_the_library_splits():
     assert out == [pattern.findall(t or "") for t in every]
 
 
+def test_long_rows_are_cut_inside_themselves():
+    n = T.PIECE_BYTES
+    for long in ("x" * (n + 3), "ab " * (n // 3) + "x" * 9, "漢" * (n // 3 + 2), "x" * (2 * n + 3)):
+        every = ["one", long, "two three", long, "four"]
+        hashes, at = T.word_hashes(pa.array(every), False)
+        alone = [T.word_hashes(pa.array([t]), False)[0].tolist() for t in every]
+        assert np.diff(at).tolist() == [len(t.split()) for t in every] and hashes.tolist() == sum(alone, [])
+        data, offsets = T.raw(pa.array(every))
+        spans = [(lo, hi) for _, _, lo, hi in T.pieces(data, offsets)]
+        assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_pretokens_of_long_rows_are_their_own():
+    import regex
+
+    pattern = regex.compile(P.PATTERN)
+    every = ["x" * (T.PIECE_BYTES + 3), "two three", "漢" * (T.PIECE_BYTES // 3 + 2), "four"]
+    out = [[] for _ in every]
+    for points, starts, _, rows, _ in X.pretokens(pa.array(every)):
+        for s, r in zip(X.strings(points, starts, np.arange(len(starts))), rows.tolist(), strict=True):
+            out[r].append(s)
+    assert out == [pattern.findall(t) for t in every]
+
+
 def test_special_strings_are_cut_out():
     every = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|endoftext|> 's", "<|endoftext"]
     path = P.path("byte_bpe_50k.json")
