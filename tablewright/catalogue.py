@@ -621,6 +621,16 @@ def position_offset(spark, sf_dir):
     return matching.best_offset(p, e, ["user_id"], "i", "element", "v")
 
 
+@query()
+def position_pairs(spark, sf_dir):
+    """Rows paired by position, and greedily where predictions exceed three times the truth (every third user)."""
+    from pyspark.sql import Window
+
+    e = _read(spark, sf_dir, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"), F.lit("v").alias("element"), F.col("value").alias("v"))
+    p = e.withColumn("i", F.col("i") + (F.col("user_id") % 4).cast("int"))
+    return matching.position_pairs(p, e.where("user_id % 3 <> 0 or i % 4 = 1"), ["user_id"], "i", "element", "v").withColumn("score", F.round("score", 6))
+
+
 def _graph(spark, sf_dir):
     l = _read(spark, sf_dir, "lineitem")  # noqa: E741
     rows = l.select(

@@ -8,6 +8,8 @@ tolerance is no equivalence and stays ordered inside a group (tolerance_match).
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -213,6 +215,51 @@ def best_offset(pred: DataFrame, gold: DataFrame, doc: list[str], index: str, el
     return scored.groupBy(*doc).agg(F.max(F.struct("agreeing", (-F.col("shift")).alias("n"))).alias("b")).select(*doc, (-F.col("b.n")).alias("shift"), F.col("b.agreeing").alias("agreeing"))
 
 
+def position_pairs(pred: DataFrame, gold: DataFrame, doc: list[str], index: str, element: str, value: str, offsets: int = 10, tolerance: float = 0.1, least: float = 0.3, over: int = 3) -> DataFrame:
+    """(doc..., g_index, p_index, score): rows aligned by position, and how large a share of their common elements agrees.
+
+    pred and gold: doc..., index (the row's number in the document), element (once a row),
+    value; only values above 0 are compared, but all rows count.  The shift of a document (0
+    to offsets - 1) is that of the largest total score, the least of equals; its pairs are
+    those with a score of `least` or more.  Where a document has more than `over` times as
+    many predicted rows as true ones, each true row in order takes the unused prediction of
+    the highest score above `least`, the first of equals.
+    """
+    n = lambda df, name: df.groupBy(*doc).agg(F.count_distinct(index).alias(name))
+    kind = n(gold, "n_g").join(n(pred, "n_p"), doc).select(*doc, (F.col("n_p") > over * F.col("n_g")).alias("large"))
+    number = F.col(value).cast("double")
+    side = lambda df, i, v: df.where((number > 0) & ~F.isnan(number)).select(*doc, F.col(index).cast("long").alias(i), F.col(element).alias("element"), number.alias(v)).join(kind, doc)
+    g, p = side(gold, "g_index", "g"), side(pred, "p_index", "p")
+    close = F.abs(F.col("p") - F.col("g")) / F.col("g") < tolerance
+
+    shifted = p.where("not large").drop("large").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(offsets - 1)))).withColumn("g_index", F.col("p_index") - F.col("shift"))
+    scored = g.where("not large").drop("large").join(shifted, [*doc, "g_index", "element"]).groupBy(*doc, "shift", "g_index", "p_index").agg((F.count_if(close) / F.count("*")).alias("score"))
+    total = scored.groupBy(*doc, "shift").agg(F.round(F.sum("score"), 9).alias("total"))
+    best = total.groupBy(*doc).agg((-F.max(F.struct("total", (-F.col("shift")).alias("n")))["n"]).alias("shift"))
+    aligned = scored.join(best, [*doc, "shift"]).where(F.col("score") >= least).select(*doc, "g_index", "p_index", "score")
+
+    # Values that agree are in the same class of sizes or in neighbouring ones.
+    size = lambda c: F.floor(F.ln(c) / -math.log(1 - tolerance)).cast("long")
+    lg, lp = g.where("large").drop("large"), p.where("large").drop("large")
+    near = lg.withColumn("size", F.explode(F.sequence(size("g") - 1, size("g") + 1))).join(lp.withColumn("size", size("p")), [*doc, "element", "size"]).where(close)
+    elements = lambda df, i, c: df.groupBy(*doc, i).agg(F.collect_set("element").alias(c))
+    both = near.groupBy(*doc, "g_index", "p_index").agg(F.count("*").alias("n"))
+    both = both.join(elements(lg, "g_index", "g_e"), [*doc, "g_index"]).join(elements(lp, "p_index", "p_e"), [*doc, "p_index"])
+    candidates = both.select(*doc, "g_index", "p_index", (F.col("n") / F.size(F.array_intersect("g_e", "p_e"))).alias("score")).where(F.col("score") > least)
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["g_index", "score", "p_index"], ascending=[True, False, True])
+        done, used, out = set(), set(), []
+        for k, (i, j) in enumerate(zip(rows["g_index"], rows["p_index"], strict=True)):
+            if i not in done and j not in used:
+                done.add(i)
+                used.add(j)
+                out.append(k)
+        return rows.iloc[out]
+
+    return aligned.unionByName(candidates.groupBy(*doc).applyInPandas(take, candidates.schema))
+
+
 def gap_fill(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both by key; values of the first win, its nulls are filled from the second."""
     columns = [c for c in first.columns if c not in keys]

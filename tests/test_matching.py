@@ -93,3 +93,43 @@ def test_near_misses(spark):
     gold = spark.createDataFrame([(1, 0, "100", "b", "u"), (1, 1, "100", "a", "u"), (1, 2, "5", "a", "u")], schema)
     got = {r["class"]: r.n for r in matching.error_classes(pred, gold, ["doc"]).select(F.col("class"), "n").collect()}
     assert got == {"VAL_MATCH_ATTR_WRONG": 1, "NEAR_MISS": 1, "OVER_EXTRACT": 2, "MISSED": 1, "SCHEMA_ERR": 1}
+
+
+def by_position(pred, gold):
+    """Pairs of rows (dicts of values) as the survey's J09 describes them."""
+
+    def score(a, b):
+        both = [k for k in a if k in b]
+        return sum(abs(b[k] - a[k]) / a[k] < 0.1 for k in both) / max(1, len(both))
+
+    if len(pred) <= 3 * len(gold):
+        at = lambda s: [(i, i + s, score(g, pred[i + s])) for i, g in enumerate(gold) if i + s < len(pred)]
+        shift = max(range(min(len(pred), 10)), key=lambda s: (round(sum(x[2] for x in at(s)), 9), -s))
+        return [x for x in at(shift) if x[2] >= 0.3]
+    out, used = [], set()
+    for i, g in enumerate(gold):
+        n, j = max((score(g, p), -j) for j, p in enumerate(pred) if j not in used)
+        if n > 0.3:
+            out.append((i, -j, n))
+            used.add(-j)
+    return out
+
+
+def test_pairs_by_position_and_greedy_ones_of_many_predictions(spark):
+    rng = random.Random(13)
+    row = lambda: {e: float(rng.randrange(1, 40)) for e in rng.sample(["fe", "cu", "zn", "pb"], 3)}
+    docs = []
+    for d in range(40):
+        gold = [row() for _ in range(rng.randrange(1, 6))]
+        copies = [{e: v * rng.choice([1, 1.05, 0.95, 2]) for e, v in g.items()} for g in gold]
+        extra = [row() for _ in range(rng.randrange(3) if d % 2 else 3 * len(gold))]
+        if d % 2 == 0:
+            copies += [dict(copies[0])]
+            rng.shuffle(copies)
+        docs.append((extra + copies, gold))
+    schema = "doc int, ord int, element string, value double"
+    rows = lambda k: [(d, i, e, v) for d, doc in enumerate(docs) for i, r in enumerate(doc[k]) for e, v in r.items()]
+    got = matching.position_pairs(spark.createDataFrame(rows(0), schema), spark.createDataFrame(rows(1), schema), ["doc"], "ord", "element", "value").collect()
+    want = [(d, *x) for d, (p, g) in enumerate(docs) for x in by_position(p, g)]
+    assert sorted((r.doc, r.g_index, r.p_index, round(r.score, 9)) for r in got) == sorted((*x[:3], round(x[3], 9)) for x in want)
+    assert {d % 2 for d, *_ in want} == {0, 1}
