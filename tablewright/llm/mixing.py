@@ -36,8 +36,13 @@ def bisect_exponent(tokens, budget: float, evenness: float, max_repeats: float,
     """
     tokens = np.asarray(tokens, float)
     counts = np.broadcast_to(np.asarray(counts, float), tokens.shape)
-    flat = entropy(tempered(tokens, 1, counts), counts)
-    goal = flat + evenness * (np.log(counts.sum()) - flat)
+    return _exponent(lambda a: entropy(tempered(tokens, a, counts), counts), lambda a: (tempered(tokens, a, counts) * budget / tokens).max(), counts.sum(), evenness, max_repeats)
+
+
+def _exponent(entropy_at, repeats_at, n: float, evenness: float, max_repeats: float) -> float:
+    """The same for n sources, from functions of the exponent."""
+    flat = entropy_at(1)
+    goal = flat + evenness * (np.log(n) - flat)
 
     def least(fits) -> float:
         lo, hi = 0.0, 1.0
@@ -48,34 +53,52 @@ def bisect_exponent(tokens, budget: float, evenness: float, max_repeats: float,
             lo, hi = (lo, mid) if fits(mid) else (mid, hi)
         return hi
 
-    by_entropy = least(lambda a: entropy(tempered(tokens, a, counts), counts) <= goal + 1e-12)
-    by_repeats = least(lambda a: (tempered(tokens, a, counts) * budget / tokens).max() <= max_repeats)
+    by_entropy = least(lambda a: entropy_at(a) <= goal + 1e-12)
+    by_repeats = least(lambda a: repeats_at(a) <= max_repeats)
     return max(by_entropy, by_repeats)
 
 
+def _exponent_of_many(sizes: DataFrame, budget: float, evenness: float, max_repeats: float) -> float:
+    """bisect_exponent of sizes (size, count), with an aggregate for each exponent tried."""
+    n, most = sizes.agg(F.sum("count"), F.max("size")).first()
+    logs, known = F.ln(F.col("size") / F.lit(most)), {}
+
+    def at(alpha: float) -> tuple[float, float]:
+        if alpha not in known:
+            raised = F.exp(F.lit(float(alpha)) * logs)
+            norm, mean, least = sizes.agg(F.sum(F.col("count") * raised), F.sum(F.col("count") * raised * logs), F.max(raised / F.col("size"))).first()
+            known[alpha] = (float(np.log(norm) - alpha * mean / norm), least * budget / norm)
+        return known[alpha]
+
+    return _exponent(lambda a: at(a)[0], lambda a: at(a)[1], float(n), evenness, max_repeats)
+
+
 def source_weights(sources: DataFrame, budget: int | None, evenness: float, max_repeats: float) -> DataFrame:
     """sources (source, tokens) with weight, quota and alpha, for those with tokens.
 
     The driver gets sizes and how many sources have each; where there are more than
-    DRIVER_SIZES sizes, they are rounded to 1 part in 1000 first, which bounds their number.
+    DRIVER_SIZES sizes, they stay where they are, and each step of the bisection is an aggregate.
     """
     sources = sources.where("tokens > 0")
     sizes = sources.groupBy(F.col("tokens").cast("double").alias("size")).count()
-    if sizes.limit(DRIVER_SIZES + 1).count() > DRIVER_SIZES:
-        step = float(np.log1p(1e-3))
-        sizes = sources.groupBy(F.exp(F.round(F.ln("tokens") / step) * step).alias("size")).count()
-    rows = sizes.orderBy("size").collect()
-    if not rows:
+    many = sizes.limit(DRIVER_SIZES + 1).count() > DRIVER_SIZES
+    rows = [] if many else sizes.orderBy("size").collect()
+    if not many and not rows:
         return sources.withColumn("weight", F.lit(0.0)).withColumn("quota", F.lit(0).cast("long")).withColumn("alpha", F.lit(1.0))
     total = sources.agg(F.sum("tokens")).first()[0]
     budget = total if budget is None else budget
-    alpha = bisect_exponent([r[0] for r in rows], budget, evenness, max_repeats, [r[1] for r in rows])
+    if many:
+        sizes = sizes.persist()
+        alpha = _exponent_of_many(sizes, float(budget), evenness, max_repeats)
+        sizes.unpersist()
+    else:
+        alpha = bisect_exponent([r[0] for r in rows], budget, evenness, max_repeats, [r[1] for r in rows])
     raised = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(alpha))
     norm = sources.agg(F.sum(raised)).first()[0]
     weight = raised / F.lit(norm)
     out = sources.withColumn("weight", weight).withColumn("quota", F.floor(weight * F.lit(float(budget))).cast("long")).withColumn("alpha", F.lit(alpha))
     # A counted number of sources is broadcast, so that no source's documents meet in one task; more of them are no hot ones.
-    return F.broadcast(out) if sum(r[1] for r in rows) <= DRIVER_SIZES else out
+    return F.broadcast(out) if not many and sum(r[1] for r in rows) <= DRIVER_SIZES else out
 
 
 def count_words(text="text"):

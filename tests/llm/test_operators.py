@@ -223,6 +223,17 @@ def test_mixing_takes_passes(spark):
     assert mixing.mix(frame(spark, [], "doc_id long, source string, n_tokens long")).count() == 0
 
 
+def test_many_sizes_give_the_same_weights(spark, monkeypatch):
+    rows = [(f"s{k}", 17 * k * k + 3) for k in range(1, 13)] + [("again", 20)]
+    sources = spark.createDataFrame(rows, "source string, tokens long")
+    for evenness, repeats in ((0.5, 100.0), (1.0, 3.0)):
+        got = []
+        for most in (100, 3):
+            monkeypatch.setattr(mixing, "DRIVER_SIZES", most)
+            got.append({r.source: (r.alpha, r.weight) for r in mixing.source_weights(sources, None, evenness, repeats).collect()})
+        assert all(got[1][k] == pytest.approx(got[0][k], rel=1e-9) for k in got[0]) and len(got[1]) == 13
+
+
 # 5
 
 
