@@ -10,11 +10,15 @@ permutation, so no source is ever sorted in one task.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS, DRIVER_SIZES = 50, 100_000
+from tablewright.llm.store import settle
+
+STEPS, DRIVER_SIZES, SLICE_ROWS = 50, 100_000, 100_000
 
 
 def tempered(tokens: np.ndarray, alpha: float, counts=1) -> np.ndarray:
@@ -76,35 +80,78 @@ def _exponent_of_many(sizes: DataFrame, budget: float, evenness: float, max_repe
 def source_weights(sources: DataFrame, budget: int | None, evenness: float, max_repeats: float) -> DataFrame:
     """sources (source, tokens) with weight, quota and alpha, for those with tokens.
 
-    The driver gets sizes and how many sources have each; where there are more than
-    DRIVER_SIZES sizes, they stay where they are, and each step of the bisection is an aggregate.
+    sources is read several times, so it should be a written table.  The driver gets sizes
+    and how many sources have each; where there are more than DRIVER_SIZES sizes, they stay
+    where they are, and each step of the bisection is an aggregate.
     """
     sources = sources.where("tokens > 0")
     sizes = sources.groupBy(F.col("tokens").cast("double").alias("size")).count()
-    many = sizes.limit(DRIVER_SIZES + 1).count() > DRIVER_SIZES
-    rows = [] if many else sizes.orderBy("size").collect()
-    if not many and not rows:
+    rows = sizes.limit(DRIVER_SIZES + 1).collect()
+    many = len(rows) > DRIVER_SIZES
+    if not rows:
         return sources.withColumn("weight", F.lit(0.0)).withColumn("quota", F.lit(0).cast("long")).withColumn("alpha", F.lit(1.0))
     total = sources.agg(F.sum("tokens")).first()[0]
     budget = total if budget is None else budget
     if many:
-        sizes = sizes.persist()
+        sizes = settle(sizes)
         alpha = _exponent_of_many(sizes, float(budget), evenness, max_repeats)
-        sizes.unpersist()
     else:
+        rows.sort()
         alpha = bisect_exponent([r[0] for r in rows], budget, evenness, max_repeats, [r[1] for r in rows])
     raised = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(alpha))
     norm = sources.agg(F.sum(raised)).first()[0]
     weight = raised / F.lit(norm)
-    out = sources.withColumn("weight", weight).withColumn("quota", F.floor(weight * F.lit(float(budget))).cast("long")).withColumn("alpha", F.lit(alpha))
-    # A counted number of sources is broadcast, so that no source's documents meet in one task; more of them are no hot ones.
-    return F.broadcast(out) if not many and sum(r[1] for r in rows) <= DRIVER_SIZES else out
+    return sources.withColumn("weight", weight).withColumn("quota", F.floor(weight * F.lit(float(budget))).cast("long")).withColumn("alpha", F.lit(alpha))
 
 
 def count_words(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _weighed(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """rows with their source's weights: the DRIVER_SIZES largest sources are broadcast, so that no hot one meets in one task; smaller ones are joined by shuffle."""
+    heads = weights.orderBy(F.desc("tokens"), "source").limit(DRIVER_SIZES)
+    if weights.count() <= DRIVER_SIZES:
+        return rows.join(F.broadcast(weights), "source")
+    heads = settle(heads)
+    tail = weights.join(F.broadcast(heads.select("source")), "source", "left_anti")
+    return rows.join(F.broadcast(heads), "source").unionByName(rows.join(tail, "source"))
+
+
+def draw(docs: DataFrame, tokens: Column | None = None, budget: int | None = None, evenness: float = 0.5, max_repeats: float = 4.0, seed: str = "mix") -> DataFrame:
+    """row (a struct of the columns of docs), pass_no, from_token, weight and alpha: what mix gives, with docs' columns apart.
+
+    tokens: how many tokens a row has; by default its column n_tokens.
+    """
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), source.alias("source"), (F.col("n_tokens") if tokens is None else tokens).cast("long").alias("n"))
+    # Tokens are counted once; all that follows reads the written rows.
+    rows = settle(own.where("n > 0"))
+    totals = settle(rows.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")))
+    weights = settle(source_weights(totals, budget, evenness, max_repeats).where("quota > 0").drop("rows"))
+    most = totals.agg(F.max("rows")).first()[0] or 0
+    # Hexadecimal digits of the key that make a slice: SLICE_ROWS rows of the largest source in each, or fewer.
+    digits = max(2, math.ceil(math.log(max(most / SLICE_ROWS, 1), 16)))
+    hashed = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    passes = (
+        _weighed(rows, weights)
+        .withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.floor((F.greatest("quota", F.lit(1)) - 1) / F.col("tokens")).cast("int"))))
+        .withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("pass_no").cast("string"), F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("none "), F.xxhash64(*hashed).cast("string"))))))
+        .withColumn("slice", F.substring("key", 1, digits))
+    )
+    group = ["source", "pass_no", "slice"]
+    sums = passes.groupBy(*group).agg(F.sum("n").alias("own"))
+    before = sums.select(*group, (F.sum("own").over(Window.partitionBy("source", "pass_no").orderBy("slice")) - F.col("own")).alias("before"))
+    ties = Window.partitionBy(*group).orderBy("key", "row.doc_id", "n", F.xxhash64(*hashed)).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        passes.withColumn("within", F.sum("n").over(ties))
+        .join(before, group)
+        .withColumn("from_token", F.col("pass_no") * F.col("tokens") + F.col("before") + F.col("within") - F.col("n"))
+        .where("from_token + n <= quota")
+        .select("row", "pass_no", "from_token", "weight", "alpha")
+    )
+
+
 def mix(docs: DataFrame, budget: int | None = None, evenness: float = 0.5, max_repeats: float = 4.0, seed: str = "mix") -> DataFrame:
     """The rows of docs (doc_id, source, n_tokens, others) that the budget takes, once for each pass that takes them.
 
@@ -114,28 +161,10 @@ def mix(docs: DataFrame, budget: int | None = None, evenness: float = 0.5, max_r
     by less than a document.
 
     A null source is a source of its own.  Rows without tokens (or with null n_tokens) are
-    never taken.  Repeated rows are separate rows next to each other.  An empty table
-    gives no rows.  Columns of docs named like added ones are replaced.
+    never taken.  doc_id may be of any type that casts to text; a hash of the columns stands
+    for a null one.  Rows of one doc_id come next to each other in a pass, by tokens, then by
+    a hash of their columns; repeated rows are separate rows.  The length of a text plays no part.  An empty table
+    gives no rows.  Columns of docs named like the four added ones are replaced; all others stay.
     """
-    docs = docs.drop("pass_no", "from_token", "weight", "alpha", "quota", "tokens", "source_key", "key", "slice", "before", "within").where("n_tokens > 0")
-    docs = docs.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
-    totals = docs.groupBy("source_key").agg(F.sum("n_tokens").alias("tokens"))
-    weights = source_weights(totals.withColumnRenamed("source_key", "source"), budget, evenness, max_repeats).withColumnRenamed("source", "source_key")
-    passes = (
-        docs.join(weights, "source_key")
-        .where("quota > 0")
-        .withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.floor((F.greatest("quota", F.lit(1)) - 1) / F.col("tokens")).cast("int"))))
-        .withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("pass_no").cast("string"), F.col("doc_id").cast("string"))))
-        .withColumn("slice", F.substring("key", 1, 3))
-    )
-    group = ["source_key", "pass_no", "slice"]
-    sums = passes.groupBy(*group).agg(F.sum("n_tokens").alias("own"))
-    before = sums.select(*group, (F.sum("own").over(Window.partitionBy("source_key", "pass_no").orderBy("slice")) - F.col("own")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy(*group).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        passes.withColumn("within", within)
-        .join(before, group)
-        .withColumn("from_token", F.col("pass_no") * F.col("tokens") + F.col("before") + F.col("within") - F.col("n_tokens"))
-        .where("from_token + n_tokens <= quota")
-        .drop("source_key", "key", "slice", "before", "within", "tokens", "quota")
-    )
+    added = ["pass_no", "from_token", "weight", "alpha"]
+    return draw(docs, None, budget, evenness, max_repeats, seed).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added), *added)
