@@ -6,9 +6,10 @@ growing radius, one segment after the other, verifies whole distances, and stops
 k-th distance is covered: after radius s in segments 0 to j and s - 1 in the others, no
 code within m * s + j bits is missing.
 
-The index is blocks of distinct codes, each with its least ids; every block has tables of
-its own and answers for itself, and answers are merged.  The stated queries meet the
-blocks in chunks of a bounded size.
+The index is blocks of distinct codes, each with its least ids; the stated queries are cut
+into chunks.  Every cell of a block and a chunk is a task: it makes the block's tables once
+and answers its queries, and answers of the blocks are merged.  Nothing comes to the driver
+but counts.  Small tables are one block and many chunks, so that all cores have work.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.store import settle
 
-BLOCK_CODES, QUERY_CHUNK = 1 << 18, 1 << 18
+BLOCK_CODES, QUERY_CHUNK, LEAST_CHUNK = 1 << 20, 1 << 18, 64
 
 
 def sign_codes(vectors: DataFrame, bits: int) -> DataFrame:
-    """id and code (a bit per number: 1 above 0) of rows (id, vector); vectors that are null or of another length have none."""
+    """id and code (a bit per number: 1 above 0) of rows (id, vector).
+
+    Rows without an id, or whose vector is null or of another length, have none.  Null
+    numbers and NaN count as 0.  Repeated rows give a row each; an empty table none.
+    """
 
     def packed(batches):
         for batch in batches:
@@ -101,12 +106,14 @@ class Index:
         return best
 
 
-def _answers(given, k: int):
-    """A function from a block's rows to the answers of the queries that were broadcast."""
+def _answers(k: int):
+    """A function from a cell's codes and queries to the queries' answers."""
 
-    def answered(table):
-        index = Index([bytes(x) for x in table.column("code").to_pylist()], table.column("ids").to_pylist())
-        out = [(q, d, i) for q in given.value for d, i in index.search(q, k)]
+    def answered(codes: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if codes.num_rows and queries.num_rows:
+            index = Index([bytes(x) for x in codes.column("code").to_pylist()], codes.column("ids").to_pylist())
+            out = [(q, d, i) for q in queries.column("code").to_pylist() for d, i in index.search(q, k)]
         return pa.table([pa.array([x[t] for x in out], kind) for t, kind in enumerate((pa.binary(), pa.int32(), pa.int64()))], ["code", "distance", "neighbor_id"])
 
     return answered
@@ -115,30 +122,28 @@ def _answers(given, k: int):
 def search(codes: DataFrame, queries: DataFrame, k: int = 10, block_codes: int = BLOCK_CODES, query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """query_id, rank (from 1), neighbor_id and distance: for each query the k rows of codes with the least (distance, id).
 
-    codes and queries: id, code (of one length in bytes).  A row that is also a query is
-    its own neighbour.  Fewer than k rows give fewer neighbours; an empty table none.
-    Null ids and codes are left out.  Repeated rows (one id and code) count once.
+    codes and queries: id, code (of one length in bytes); other columns are ignored, so their
+    names cannot clash.  A row that is also a query is its own neighbour.  Fewer than k rows
+    give fewer neighbours; an empty table none.  Null ids and codes are left out.  Repeated
+    rows (one id and code) count once.
     """
     spark = codes.sparkSession
     codes = codes.where("id is not null and code is not null").select("id", "code").distinct()
     order = Window.partitionBy("code").orderBy("id")
     kept = codes.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
     distinct = settle(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    n = distinct.count()
-    blocks = max(math.ceil(n / block_codes), min(spark.sparkContext.defaultParallelism, math.ceil(n / 4096)), 1)
     queries = settle(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), "code").distinct())
-    wanted = queries.select("code").distinct()
-    chunks = max(1, math.ceil(wanted.count() / query_chunk))
-    found = None
-    for c in range(chunks):
-        some = wanted if chunks == 1 else wanted.where(F.pmod(F.xxhash64("code"), F.lit(chunks)) == c)
-        given = spark.sparkContext.broadcast([bytes(r[0]) for r in some.collect()])
-
-        block = F.pmod(F.xxhash64(F.lit(7), F.col("code")), F.lit(blocks))
-        one = distinct.withColumn("block", block).groupBy("block").applyInArrow(_answers(given, k), "code binary, distance int, neighbor_id long")
-        if chunks > 1:
-            one = settle(one)
-        found = one if found is None else found.union(one)
+    wanted = settle(queries.select("code").distinct())
+    blocks, n = max(1, math.ceil(distinct.count() / block_codes)), wanted.count()
+    idle = math.ceil(2 * spark.sparkContext.defaultParallelism / blocks)
+    chunks = max(1, math.ceil(n / query_chunk), min(idle, math.ceil(n / LEAST_CHUNK)))
+    cells = blocks * chunks
+    numbers = lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
+    left = distinct.withColumn("block", F.pmod(F.xxhash64(F.lit(7), F.col("code")), F.lit(blocks)).cast("int")).withColumn("chunk", numbers(chunks))
+    right = wanted.withColumn("chunk", F.pmod(F.xxhash64(F.col("code")), F.lit(chunks)).cast("int")).withColumn("block", numbers(blocks))
+    # A count of its own, so that cells are not put together in few tasks; three for each, as some get two cells.
+    side = lambda df: df.repartition(min(3 * cells, max(cells, 100_000)), "block", "chunk").groupBy("block", "chunk")
+    found = side(left).cogroup(side(right)).applyInArrow(_answers(k), "code binary, distance int, neighbor_id long")
     rank = Window.partitionBy("code").orderBy("distance", "neighbor_id")
     top = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     lists = top.groupBy("code").agg(F.collect_list(F.struct("rank", "neighbor_id", "distance")).alias("near"))
