@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.store import settle
+from tablewright.llm.store import release, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("v").alias("to"), F.col("c").alias("further"))
         new = settle(least.join(jump, "to", "left").select("v", F.least("to", F.coalesce("further", "to")).alias("c"), F.col("c").alias("was")))
         changed = new.where("c <> was").limit(1).count()
+        release(labels)
         labels = new.select("v", "c")
         if not changed:
+            release(both)
             return labels

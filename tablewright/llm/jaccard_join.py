@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import text as T
 from tablewright.llm.graph import components
-from tablewright.llm.store import settle
+from tablewright.llm.store import release, settle
 
 WIDTH, PERCENT, PIVOTS = 5, 80, 2
 
@@ -99,15 +99,17 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     A-Z are lower-cased; words are runs of other characters than ASCII white space.  Sets
     are linked if 100 * intersection >= percent * union.  Shingles are compared by 64-bit
-    hashes, whole sets by 128-bit hashes.
+    hashes, whole sets by 128-bit hashes; these are polynomials modulo 2**64, which texts made
+    for it (words of 2 KB and more in Thue-Morse order) could bring to collide.
 
-    Null and empty texts, and texts without words, have no shingles and no links.  Rows
+    doc_id is a whole number; a value that is none counts as null.  Long texts are read whole,
+    by pieces.  Null and empty texts, and texts without words, have no shingles and no links.  Rows
     that share a doc_id are one document; if their texts differ, the one whose set has the
     least hash makes its links.  A row with a null
     doc_id has links to none and a null component_id.  An empty table gives no rows.
     Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc"), F.col("text").alias("text"))
 
     def prefixes(batches):
         for batch in T.parts(batches, 1):
@@ -165,8 +167,8 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             same = np.logical_and.reduce([np.asarray(batch.column(c)) == np.asarray(signs[c]) for c in ("n", "s1", "s2")])
             yield _batch([s for s, k in zip(sets, same, strict=True) if k], {"doc": batch.column("doc").filter(pa.array(same)), "n": signs["n"].filter(pa.array(same))}, "hashes")
 
-    able = settle(able, free=True)
-    sets = settle(docs.join(able, "doc").mapInArrow(whole, "doc long, n long, hashes array<long>"), free=True)
+    able = settle(able)
+    sets = settle(docs.join(able, "doc").mapInArrow(whole, "doc long, n long, hashes array<long>"))
 
     def postings(batches):
         """Rows (h, docs): the documents of a batch that hold a shingle."""
@@ -190,7 +192,7 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     least = F.ceil(F.col("n") * percent / F.lit(100) - F.lit(1e-9)).cast("int")
     # Shingles of this set alone come first in the order, and make no column.
     ordered = ordered.withColumn("alone", F.col("n").cast("int") - F.size("held")).withColumn("take", F.col("n").cast("int") - least + 1 - F.col("alone")).where("take > 0")
-    columns = settle(ordered.select("doc", "n", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("take")))).select(F.col("col.h").alias("h"), "doc", "n", (F.col("alone") + F.col("pos")).alias("place"), "alone"), free=True)
+    columns = settle(ordered.select("doc", "n", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("take")))).select(F.col("col.h").alias("h"), "doc", "n", (F.col("alone") + F.col("pos")).alias("place"), "alone"))
 
     links = copies
     for step in range(PIVOTS):
@@ -199,7 +201,12 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             labelled = columns.withColumn("c", F.col("doc"))
         pivots = labelled.groupBy("h").agg(F.min(order).alias("p"), F.min_by(F.struct("doc", "n", "c"), order).alias("pivot"), F.count("*").alias("times")).where("times > 1")
         pairs = labelled.join(pivots, "h").where("c <> pivot.c and 100 * least(n, pivot.n) >= {0} * greatest(n, pivot.n)".format(percent)).select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
-        links = settle(links.union(_linked(pairs, sets, percent)))
+        more = settle(links.union(_linked(pairs, sets, percent)))
+        if step:
+            release(links)
+            release(labels)
+            release(labelled)
+        links = more
         labels = components(links)
         labelled = settle(columns.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc")))
     # Columns with several components: each set outside the most frequent one, with all sets of other components.
@@ -215,6 +222,8 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rest = _linked(pairs, sets, percent)
     joined = labels.select(F.col("v").alias("a"), F.col("c").alias("b"))
     final = components(joined.union(rest))
+    for done in (able, sets, columns, links, labelled, labels):
+        release(done)
     return (
         every.join(final.withColumnRenamed("v", "doc"), "doc", "left")
         .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "doc").alias("component_id"))
@@ -222,7 +231,12 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; rows without a doc_id stay."""
-    groups = shingle_components(docs).select(F.col("doc_id").alias("keep_id"), "component_id").distinct()
-    keep = groups.where("keep_id = component_id").select("keep_id")
-    return docs.join(keep, docs["doc_id"].cast("long") == F.col("keep_id"), "left_semi").union(docs.where("doc_id is null"))
+    """One document of each component, the one with the least doc_id, with its own columns, whatever their names; rows without a doc_id stay.
+
+    Rows of one doc_id are one document: all of them stay, or none.
+    """
+    groups = shingle_components(docs)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].try_cast("long").alias("id"))
+    kept = rows.where("id is not null").join(keep, "id", "left_semi").unionByName(rows.where("id is null"))
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
