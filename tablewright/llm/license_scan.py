@@ -20,8 +20,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tablewright.llm import text as T
+from tablewright.llm.store import with_columns
 
 # Names and wording of public license notices.
 LICENSES = {
@@ -170,13 +172,13 @@ def scan_licenses(docs: DataFrame, licenses: dict[str, str] | None = None, cover
     stretch (the shortest of equals, then the first), if at least `coverage` of its words are aligned; ties go
     to the longer wording, then by name.
 
-    Null and empty texts have none (an empty array), and so have all without licenses.
+    Null and empty texts have none (an empty array), and so have all without licenses.  Long
+    texts are aligned whole, around each place where enough of a wording's words stand.
     Repeated rows get a result each.  An empty table gives no rows.  A column of docs named
     licenses is replaced.
     """
     docs = docs.drop("licenses")
     wordings = {k: w for k, v in (LICENSES if licenses is None else licenses).items() if (w := words(v))}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
     def run(batches):
@@ -187,7 +189,7 @@ def scan_licenses(docs: DataFrame, licenses: dict[str, str] | None = None, cover
         member = np.array([[w in set(wordings[n]) for n in names] for w in every], np.int64).reshape(len(every), len(names))[rank]
         known = known[rank]
         needed = np.array([np.ceil(coverage * len(wordings[n])) - (len(wordings[n]) - len(set(wordings[n]))) for n in names])
-        for batch in batches:
+        for batch in T.parts(batches, "text"):
             column = batch.column("text")
             h, at = T.word_hashes(column, True, _BETWEEN)
             found: list[list] = [[] for _ in range(batch.num_rows)]
@@ -205,4 +207,5 @@ def scan_licenses(docs: DataFrame, licenses: dict[str, str] | None = None, cover
             rows = [[dict(zip(("license", "coverage", "first_word", "end_word"), x, strict=True)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "licenses"])
 
-    return docs.mapInArrow(run, f"{schema}, licenses array<struct<license: string, coverage: double, first_word: bigint, end_word: bigint>>")
+    found = StructType([StructField("license", StringType()), StructField("coverage", DoubleType()), StructField("first_word", LongType()), StructField("end_word", LongType())])
+    return docs.mapInArrow(run, with_columns(docs.schema, ("licenses", ArrayType(found))))
