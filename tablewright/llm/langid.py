@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from tablewright.llm import text as T
+from tablewright.llm.store import settle, with_columns
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -26,6 +28,7 @@ _FOLD[65:91] = np.arange(97, 123)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 LANDMARKS, FIT_ROWS = 192, 2048
+LEAST_SCORE = 0.4
 EACH_LANDMARKS, EACH_FIT_ROWS = 3, 32  # of each label at least
 FOLDED, BLOCK = 1 << 22, 2048
 
@@ -99,9 +102,27 @@ class Model:
 
 
 def _sample(docs: DataFrame, each: int) -> DataFrame:
-    """Up to `each` rows of each language, by the hash of the id (ties by text): the same rows wherever they lie."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"))
-    return docs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    """text, lang, place: up to `each` different rows of each label, by the hash of id and text: the same rows wherever they lie.
+
+    Hashes and labels alone are ranked, and of those only as many as may be among the first
+    by the labels' counts; the chosen rows' texts are fetched afterwards.
+    """
+    rows = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    keys = rows.select("lang", "key")
+    # 0 to 1, evenly: of n rows, each + 8 * sqrt(each) + 20 are expected below the cut, so a label with fewer than `each` there has repeated rows.
+    at = F.pmod(F.col("key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    cuts = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(each + 8 * each**0.5 + 20) / F.count("*")).alias("cut"))
+    cuts = settle(cuts)
+    order = Window.partitionBy("lang").orderBy("at", "key")
+    ranked = lambda some: some.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    near = settle(ranked(keys.withColumn("at", at).join(F.broadcast(cuts), "lang").where("at <= cut").select("lang", "key", "at")))
+    short = near.groupBy("lang").count().where(F.col("count") >= each).select("lang")
+    short = settle(cuts.where("cut < 1").join(short, "lang", "left_anti").select("lang"))
+    if short.limit(1).count():
+        near = near.join(short, "lang", "left_anti").unionByName(ranked(keys.withColumn("at", at).join(F.broadcast(short), "lang")).select(near.columns))
+        near = settle(near)
+    fetched = rows.join(F.broadcast(near.select("lang", "key", "place")), ["lang", "key"])
+    return settle(fetched.groupBy("lang", "key", "place").agg(F.first("text").alias("text")).select("text", "lang", "place"))
 
 
 def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, ridge: float = 1e-3) -> Model | None:
@@ -109,12 +130,17 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
 
     Every label is learnt.  landmarks and fit_rows: sizes of the two samples; both are spread
     evenly over the labels, and each label has EACH_LANDMARKS and EACH_FIT_ROWS at least (if
-    it has so many rows).  None if there is nothing to learn from.
+    it has so many different rows).  A repeated row is sampled once; sampled texts are read
+    whole, however long.  lang and doc_id may be of any type that casts to text; a null
+    doc_id is an id.  None if there is nothing to learn from, as with an empty table.
     """
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     names = [r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not names:
         return None
+    most = max(EACH_FIT_ROWS, fit_rows // len(names))
+    first = max(EACH_LANDMARKS, landmarks // len(names))
+    sample = _sample(docs, max(most, first))
 
     def grams(batches):
         distinct = _Distinct()
@@ -123,7 +149,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
             found = [distinct(_keys(data[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([T.list_column(np.concatenate(found), [len(f) for f in found], pa.int32()), batch.column(1)], ["grams", "lang"])
 
-    base = _sample(docs, max(EACH_LANDMARKS, landmarks // len(names))).select("text", "lang").mapInArrow(grams, "grams array<int>, lang string").orderBy("lang", F.size("grams"), F.hash("grams")).toArrow()
+    base = sample.where(F.col("place") <= first).select("text", "lang").mapInArrow(grams, "grams array<int>, lang string").orderBy("lang", F.size("grams"), F.hash("grams")).toArrow()
     sets = [np.asarray(x.values) for x in base.column("grams")]
     known = Landmarks(sets)
     given = docs.sparkSession.sparkContext.broadcast(known)
@@ -136,7 +162,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
             out = [known.kernel(distinct(_keys(data[a:b]))).astype(np.float32) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([T.list_column(np.concatenate(out), [len(known.sizes)] * len(out), pa.float32()), batch.column(1)], ["row", "lang"])
 
-    rows = _sample(docs, max(EACH_FIT_ROWS, fit_rows // len(names))).select("text", "lang").mapInArrow(kernel, "row array<float>, lang string").orderBy("lang", "row").toArrow()
+    rows = sample.where(F.col("place") <= most).select("text", "lang").mapInArrow(kernel, "row array<float>, lang string").orderBy("lang", "row").toArrow()
     number = {name: k for k, name in enumerate(names)}
     label = np.array([number[x] for x in rows.column("lang").to_pylist()])
     mean, centre = 2 * np.bincount(label, minlength=len(names)) / len(label) - 1, np.zeros(len(sets))
@@ -156,8 +182,10 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
 def predict(docs: DataFrame, model: Model | None, folded: int = FOLDED) -> DataFrame:
     """docs with lang_pred and score (0 to 1: half of 1 + the winning regression's value, within the bounds).
 
-    Only the text column is looked at.  Null texts and texts without a letter are "und"
-    with score 0; so is everything when there is no model.  Ties go to the language that
+    Only the text column is looked at, whole; memory grows with the longest text.  Null and
+    empty texts and texts without a letter are "und"
+    with score 0; so is everything when there is no model.  Repeated rows get a result each; an
+    empty table gives no rows.  Ties go to the language that
     comes first by frequency in training.  Columns lang_pred and score of docs are replaced.
     folded: the most values of the n-gram-by-language matrix; above it, it is not made.
     """
@@ -195,8 +223,7 @@ def predict(docs: DataFrame, model: Model | None, folded: int = FOLDED) -> DataF
                 score[some] = np.clip((1 + value[np.arange(len(some)), top].astype(float)) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, with_columns(docs.schema, ("lang_pred", StringType()), ("score", DoubleType())))
 
 
 def remainder(column: str = "doc_id", by: int = 4) -> F.Column:
@@ -204,6 +231,15 @@ def remainder(column: str = "doc_id", by: int = 4) -> F.Column:
     return F.crc32(F.col(column).cast("string")) % by
 
 
-def reject(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents that have a language: all but those predicted "und". Columns stay as they are."""
-    return predict(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
+def reject(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE, wanted: list[str] | None = None) -> DataFrame:
+    """The documents that have a language, with their own columns.
+
+    Rejected are those predicted "und", those whose score is below `least` (from 0.5 down, every
+    one-versus-rest regression says "rest"; the default asks for a clear no), and, where `wanted` is given, those of other languages.
+    Columns of docs named lang_pred and score stay as they are.
+    """
+    scored = predict(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"]), model)
+    keep = (F.col("lang_pred") != "und") & (F.col("score") >= least)
+    if wanted is not None:
+        keep &= F.col("lang_pred").isin(wanted)
+    return scored.where(keep).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
