@@ -83,7 +83,8 @@ def pack_tokens(docs: DataFrame, path: str, length: int = 2048, block_tokens: in
     start again at 0; ids, length little-endian ids of 2 bytes (4 if the vocabulary needs
     them).
 
-    Null and empty texts are a lone end id; a null doc_id stays null.  Repeated rows are
+    doc_id is a whole number; a value that is none becomes null.  Null and empty texts are a
+    lone end id; a null doc_id stays null.  Long texts are tokenised by pieces.  Repeated rows are
     packed once per row.  An empty table gives no rows.  Other columns are ignored.
     """
 
@@ -157,7 +158,7 @@ def pack_tokens(docs: DataFrame, path: str, length: int = 2048, block_tokens: in
         if chunks:
             yield from emit()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(packed, SCHEMA)
+    return docs.select(docs["doc_id"].try_cast("long").alias("doc_id"), docs["text"]).mapInArrow(packed, SCHEMA)
 
 
 def unpack(row, length: int) -> dict:

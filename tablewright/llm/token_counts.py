@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tablewright.llm import pieces as X
 from tablewright.llm import text as T
@@ -26,7 +27,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = 100_0
     or other token is added; its special strings inside texts count as the library counts
     them by default.  head: how many of the commonest pre-tokens are broadcast at most.
 
-    Null and empty texts have 0 bytes and 0 tokens.  Repeated rows give a row each.  An
+    doc_id may be of any type, and null.  Long texts are split whole, by pieces.  Null and
+    empty texts have 0 bytes and 0 tokens.  Repeated rows give a row each.  An
     empty table gives no rows.  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
@@ -110,8 +112,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = 100_0
                 ["row", "piece", "n", "doc_id", "n_bytes"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(joined, f"row long, piece string, n long, doc_id {kind}, n_bytes long")
+    kind = docs.schema["doc_id"].dataType
+    # Written before they are shuffled: rows are named by their place in an input partition, which a task that runs again could deal otherwise.
+    rows = settle(docs.mapInArrow(joined, StructType([StructField("row", LongType()), StructField("piece", StringType()), StructField("n", LongType()), StructField("doc_id", kind), StructField("n_bytes", LongType())])))
     rest = sizes.where(F.col("freq") < least) if least else sizes
     # A row with a document's own sum has a key that is no pre-token (a NUL and a letter never share one).
     return (
