@@ -1,53 +1,76 @@
 """A Brown class-based bigram language model (operator 5).
 
-p(w | v) = p(class of w | class of v) * p(w | class of w).  Exchange clustering assigns words to
-classes: each pass over the corpus counts, for every word, the classes before and after
-it, and moves words to the class that raises the likelihood most.  The clustering
-vocabulary has the commonest words and, for all rarer words, their endings, both bounded
-by parameters; p(w | class) of a rarer word is that of its ending times its own smoothed
-share among words with that ending.  Counts are those of all training tokens.
-
-The commonest words are broadcast; counts of all others are joined by shuffle, so the
-whole vocabulary never has to fit anywhere.
+p(w | v) = p(class of w | class of v) * p(w | class of w).  Exchange clustering assigns
+every word of the training texts to a class, in two steps.
+
+1.  The commonest words, and the endings of all others, are exchanged in passes over the
+    corpus until the likelihood comes to rest: a pass counts the classes before and after each and moves it to
+    the class that raises the likelihood of class bigrams most.  What this step holds is
+    bounded; it gives the classes their meaning.
+2.  All other words, however many, are exchanged where they lie: their contexts are
+    shuffled by word, and each goes to the class under which its contexts are likeliest,
+    given the class bigrams.
+
+Class bigrams and masses are then counted anew over all training tokens.  A word's share of its
+class is smoothed by one, as in the unigram base, with one unknown word in each class; a
+word that training lacks has the class of its ending.  The commonest words are broadcast;
+all others are joined by shuffle, so the whole vocabulary never has to fit anywhere.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from tablewright.llm.store import settle
+from tablewright.llm import text as T
+from tablewright.llm.store import release, settle
 
-CLASSES, COMMON, ENDINGS, ENDING_BYTES, PASSES = 40, 24_000, 6_000, 3, 4
+CLASSES, COMMON, ENDINGS, ENDING_BYTES, PASSES, RISE = 40, 24_000, 6_000, 3, 40, 1e-3
 _OTHER, _END = 0, 1  # ids of a rare word with a rare ending, and of the end of a text
-
-
-def _words(text) -> list[bytes]:
-    return text.as_py().encode().lower().split() if text.is_valid else []
+_NONE = 255  # no neighbour in this segment
+SEGMENT_BYTES = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _segments(text):
+    """The words of a text, by pieces of about SEGMENT_BYTES."""
+    data = text.as_py().encode().lower() if text.is_valid else b""
+    lo = 0
+    while True:
+        cut = _BLANK.search(data, lo + SEGMENT_BYTES) if len(data) - lo > SEGMENT_BYTES else None
+        hi = cut.start() if cut else len(data)
+        own = data[lo:hi].split()
+        if own or lo == 0 or hi == len(data):
+            yield own, hi == len(data)
+        lo = hi
+        if hi == len(data):
+            return
 
 
 class Vocabulary:
     """Ids of common words and of endings; both are bytes, with their training counts."""
 
-    def __init__(self, common: list[tuple[bytes, int]], endings: list[tuple[bytes, int, int]], other: tuple[int, int], ends: int, total: int, distinct: int):
+    def __init__(self, common: list[tuple[bytes, int]], endings: list[tuple[bytes, int]], other: int, ends: int, total: int, distinct: int):
         self.words = {w: k for k, (w, _) in enumerate(common, 2)}
-        self.endings = {e: k for k, (e, _, _) in enumerate(endings, 2 + len(common))}
+        self.endings = {e: k for k, (e, _) in enumerate(endings, 2 + len(common))}
         self.first_ending = 2 + len(common)
         self.size = self.first_ending + len(endings)
-        self.counts = np.array([other[0], ends, *(c for _, c in common), *(c for _, c, _ in endings)], np.float64)
+        self.counts = np.array([other, ends, *(c for _, c in common), *(c for _, c in endings)], np.float64)
         self.total, self.distinct = total, distinct
-        # Of a rare word, log10 of what its own count + 1 is divided by.
-        self.rare = np.zeros(self.size)
-        self.rare[_OTHER] = np.log10(other[0] + other[1] + 1)
-        self.rare[self.first_ending :] = [np.log10(c + v + 1) for _, c, v in endings]
 
-    def is_rare(self, ids: np.ndarray) -> np.ndarray:
-        return (ids == _OTHER) | (ids >= self.first_ending)
+    @property
+    def kind(self) -> str:
+        """The numbers that hold ids."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
 
 
 def _limit(table: DataFrame, column: str, most: int) -> int | None:
@@ -73,10 +96,11 @@ def _count(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(_words(text))
-                if len(held) > 500_000:
-                    yield out()
-                    held = Counter()
+                for own, _ in _segments(text):
+                    held.update(own)
+                    if len(held) > 500_000:
+                        yield out()
+                        held = Counter()
         yield out()
 
     return train.select("text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -88,85 +112,110 @@ def _vocabulary(train: DataFrame, counts: DataFrame, common: int, endings: int)
     least = _limit(counts, "c", common)
     top = [(bytes(w), c) for w, c in counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").collect()] if least else []
     rest = counts.where(F.col("c") < least) if least else counts
-    by_end = rest.groupBy(F.expr(f"substring(word, greatest(length(word) - {ENDING_BYTES - 1}, 1), {ENDING_BYTES})").alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
+    by_end = rest.groupBy(F.expr(f"substring(word, greatest(length(word) - {ENDING_BYTES - 1}, 1), {ENDING_BYTES})").alias("e")).agg(F.sum("c").alias("c"))
     by_end = settle(by_end)
     enough = _limit(by_end, "c", endings)
-    some = [(bytes(e), c, v) for e, c, v in by_end.where(F.col("c") >= enough).orderBy(F.desc("c"), "e").collect()] if enough else []
+    some = [(bytes(e), c) for e, c in by_end.where(F.col("c") >= enough).orderBy(F.desc("c"), "e").collect()] if enough else []
     others = by_end.where(F.col("c") < enough) if enough else by_end
-    other = others.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return Vocabulary(top, some, (int(other[0]), int(other[1])), ends, n + ends, distinct + (1 if ends else 0)), least
+    other = others.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    return Vocabulary(top, some, int(other), ends, n + ends, distinct + (1 if ends else 0)), least
 
 
 def _coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """row, doc_id, training, ids (2 bytes each, the end's last), rare (the words that are not common, in order, blanks between)."""
+    """A row for each segment of a text: row, doc (the first segment's row), doc_id, training, lead, ids, rare.
+
+    ids: of the words, and of the end behind the last segment's; where lead holds, the word
+    before the segment comes first once more.  rare: those of the words that are not common,
+    in order, with blanks between.
+    """
     given = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def coded(batches):
         v = given.value
         words, endings = v.words, v.endings
-        shard, at = TaskContext.get().partitionId() << 40, 0
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, rare = [], []
-            for text in batch.column(1):
-                own = _words(text)
-                found = [words.get(w, 0) for w in own]
-                rest = []
-                if 0 in found:
-                    for k, w in enumerate(own):
-                        if not found[k]:
-                            found[k] = endings.get(w[-ENDING_BYTES:], _OTHER)
-                            rest.append(w)
-                found.append(_END)
-                ids.append(np.array(found, "<u2").tobytes())
-                rare.append(b" ".join(rest))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(shard + at, shard + at + batch.num_rows), pa.int64()), batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())],
-                ["row", "doc_id", "training", "ids", "rare"],
-            )
-            at += batch.num_rows
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "training").mapInArrow(coded, f"row long, doc_id {kind}, training boolean, ids binary, rare binary")
-
-
-def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in order, and the id before each (the end before the first)."""
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                of, row, doc, lead, ids, rare = [], [], [], [], [], []
+                for k, text in enumerate(part.column(1)):
+                    first, before = at, None
+                    for own, last in _segments(text):
+                        if before is not None:
+                            own = [before, *own]
+                        found = [words.get(w, 0) for w in own]
+                        rest = []
+                        if 0 in found:
+                            for i, w in enumerate(own):
+                                if not found[i]:
+                                    found[i] = endings.get(w[-ENDING_BYTES:], _OTHER)
+                                    rest.append(w)
+                        if last:
+                            found.append(_END)
+                        of.append(k)
+                        row.append(at)
+                        doc.append(first)
+                        lead.append(before is not None)
+                        ids.append(np.array(found, v.kind).tobytes())
+                        rare.append(b" ".join(rest))
+                        before = own[-1] if own else before
+                        at += 1
+                take = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), part.column(0).take(take), part.column(2).take(take), pa.array(lead, pa.bool_()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())],
+                    ["row", "doc", "doc_id", "training", "lead", "ids", "rare"],
+                )
+
+    fields = [("row", LongType()), ("doc", LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("training", BooleanType()), ("lead", BooleanType()), ("ids", BinaryType()), ("rare", BinaryType())]
+    return docs.select("doc_id", "text", "training").mapInArrow(coded, StructType([StructField(n, t) for n, t in fields]))
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column's rows one after the other, and where rows begin and end."""
     column = column.cast(pa.large_binary())
     _, off, data = column.buffers()
     off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
-    ids = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<u2").astype(np.int64)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]  # a text ends with the end
-    before[:1] = _END
-    return ids, before
+    numbers = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return numbers, (off - off[0]) // np.dtype(kind).itemsize
+
+
+def _before(values: np.ndarray, at: np.ndarray, first) -> np.ndarray:
+    """The value before each in its row; `first` before the first."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[at[:-1][at[:-1] < len(out)]] = first
+    return out
 
 
-def _contexts(coded: DataFrame, size: int, of: np.ndarray, n_classes: int) -> np.ndarray:
-    """For each id, how often each class is before and after it: size x 2 x n_classes, summed on the executors by blocks of ids."""
-    given = coded.sparkSession.sparkContext.broadcast(of)
+def _rare_words(column: pa.Array) -> pa.Array:
+    """All rare words of a column of words with blanks between, in order."""
+    data, at = T.raw(column)
+    lo, hi = (int(at[0]), int(at[-1])) if len(at) > 1 else (0, 0)
+    starts, ends = T.word_spans(data, at, lo, hi)
+    own = data[lo:hi]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(own[own != 32]))])
+
+
+def _contexts(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, n_classes: int) -> np.ndarray:
+    """For each id, how often each class is before and after it: 2 x size x n_classes, summed on the executors by blocks of ids."""
+    given, size, kind = coded.sparkSession.sparkContext.broadcast(of), vocabulary.size, vocabulary.kind
     step = 1000
 
     def partial(batches):
         classes = given.value
-        total = np.zeros(2 * size * n_classes, np.int64)
-        held, room = [], 0
-
-        def add():
-            nonlocal held, room
-            if held:
-                ids, before = (np.concatenate(x) for x in zip(*held, strict=True))
-                for one, other, at in ((ids, before, 0), (before, ids, len(total) // 2)):
-                    total[at : at + len(total) // 2] += np.bincount(one * n_classes + classes[other], minlength=len(total) // 2)
-            held, room = [], 0
-
+        total = np.zeros((2, size * n_classes), np.int64)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                ids, before = _pairs(batch.column(0).slice(a, 256))
-                held.append((ids, before))
-                room += len(ids)
-                if room > 1 << 20:
-                    add()
-        add()
+                part = batch.slice(a, 256)
+                ids, at = _flat(part.column(0), kind)
+                ids = ids.astype(np.int64)
+                before = _before(ids, at, _END)
+                fresh = np.ones(len(ids), bool)
+                fresh[at[:-1][np.asarray(part.column(1))]] = False  # a leading word is counted in the segment before
+                ids, before = ids[fresh], before[fresh]
+                for side, (one, other) in enumerate(((ids, before), (before, ids))):
+                    total[side] += np.bincount(one * n_classes + classes[other], minlength=size * n_classes)
         whole = total.reshape(2, size, n_classes)
         for k in range(0, size, step):
             block = whole[:, k : k + step]
@@ -183,7 +232,7 @@ def _contexts(coded: DataFrame, size: int, of: np.ndarray, n_classes: int) -> np
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([one.tobytes()], pa.binary())], ["k", "counts"])
 
     schema = "k int, counts binary"
-    rows = coded.where("training").select("ids").mapInArrow(partial, schema).repartition("k").mapInArrow(summed, schema).collect()
+    rows = coded.where("training").select("ids", "lead").mapInArrow(partial, schema).repartition("k").mapInArrow(summed, schema).collect()
     out = np.zeros((2, size, n_classes))
     for k, raw in rows:
         out[:, k : k + step] = np.frombuffer(raw, np.int64).reshape(2, -1, n_classes)
@@ -194,7 +243,19 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(contexts: np.ndarray, of: np.ndarray, fixed: int, half: int) -> tuple[np.ndarray, int]:
+def _bigrams(contexts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Counts of class bigrams."""
+    table = np.zeros((contexts.shape[2],) * 2)
+    np.add.at(table, of, contexts[1])
+    return table
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log-likelihood that classes decide."""
+    return float(_f(table).sum() - _f(table.sum(0)).sum() - _f(table.sum(1)).sum())
+
+
+def exchange(contexts: np.ndarray, of: np.ndarray, fixed: int, half: int) -> np.ndarray:
     """One pass of moves over the words of one half (by id): each to the class that raises the likelihood of class bigrams most.
 
     contexts: counts of classes before (0) and after (1) each word, under the classes `of`.
@@ -203,10 +264,7 @@ def exchange(contexts: np.ndarray, of: np.ndarray, fixed: int, half: int) -> tup
     half only.
     """
     before, after = contexts
-    n = before.shape[1]
-    table = np.zeros((n, n))
-    np.add.at(table, of, after)
-    of, moved = of.copy(), 0
+    table, of = _bigrams(contexts, of), of.copy()
     totals = after.sum(1)
     for w in np.argsort(-totals, kind="stable").tolist():
         if of[w] < fixed or w % 2 != half or not totals[w]:
@@ -222,89 +280,224 @@ def exchange(contexts: np.ndarray, of: np.ndarray, fixed: int, half: int) -> tup
         b = int(gain.argmax())
         if gain[b] <= gain[a] + 1e-9:
             b = a
-        moved += b != a
         of[w] = b
         table[b] += right
         table[:, b] += left
-    return of, moved
-
+    return of
 
-def score_texts(docs: DataFrame, classes: int = CLASSES, common: int = COMMON, endings: int = ENDINGS, passes: int = PASSES) -> DataFrame:
-    """Scores of each row of docs (doc_id, text, training) by a model of the rows with training.
 
-    Returns doc_id, training, n_tokens, n_known, train_tokens, base_score, score and
-    perplexity.  Tokens are the words, with A-Z lower-cased, and an end.  base_score is
-    the add-one unigram model's log10 probability, score the class model's; n_known counts
-    tokens that training has.
+def _moved_tail(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, table: np.ndarray) -> DataFrame:
+    """word, c, class of all words that are not common: each goes to the class under which its contexts are likeliest.
 
-    Null texts count as empty: one token, the end.  A null `training` counts as false.
-    Repeated rows are scored and counted each.  With nothing to learn from, every token is
-    unknown to both models.  An empty table gives no rows.  Other columns are ignored.
+    table: class bigrams.  A word's own counts are few beside them, so what a move adds to
+    the likelihood is taken to first order: the logarithms of the bigrams it would join,
+    over those of both classes' sums.
     """
-    docs = docs.select("doc_id", "text", F.coalesce("training", F.lit(False)).alias("training"))
-    spark = docs.sparkSession
+    kind, first_ending, n = vocabulary.kind, vocabulary.first_ending, len(table)
+    smooth = np.log(table + 0.5)
+    right = np.zeros((256, n), np.float32)
+    left = np.zeros((256, n), np.float32)
+    right[:n] = (smooth - np.log(table.sum(1) + 0.5 * n)[:, None]).T
+    left[:n] = smooth - np.log(table.sum(0) + 0.5 * n)[None, :]
+    left[:, _END] = -np.inf
+    given = coded.sparkSession.sparkContext.broadcast((of.astype(np.uint8), left, right))
+
+    def contexts(batches):
+        """A row (word, around) for each rare word: the classes before and after it."""
+        classes = given.value[0]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids, at = _flat(part.column(0), kind)
+                own = classes[ids]
+                lead = at[:-1][np.asarray(part.column(1))]
+                before = _before(own, at, _END)
+                before[lead] = _NONE
+                after = np.full_like(own, _NONE)
+                after[:-1] = own[1:]
+                after[at[1:][at[1:] > at[:-1]] - 1] = _NONE
+                some = (ids == _OTHER) | (ids >= first_ending)
+                yield pa.RecordBatch.from_arrays([_rare_words(part.column(2)), pa.array(before[some].astype(np.int32) << 8 | after[some])], ["word", "around"])
+
+    def chosen(batches):
+        """Sorted by word: a word's contexts are next to each other, maybe over several batches."""
+        _, left, right = given.value
+        held, c, total = None, 0, None
+
+        def out(words, counts, sums):
+            best = np.stack(sums).argmax(1) if len(sums) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(best.astype(np.int32))], ["word", "c", "class"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, around = batch.column(0), np.asarray(batch.column(1))
+            fresh = np.flatnonzero(np.concatenate([[True], np.asarray(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False), bool)]))
+            sums = np.add.reduceat(left[around >> 8] + right[around & 255], fresh, axis=0)
+            counts = np.add.reduceat((around >> 8 != _NONE).astype(np.int64), fresh)
+            names = words.take(pa.array(fresh)).to_pylist()
+            if held is not None:
+                if names[0] == held:
+                    sums[0] += total
+                    counts[0] += c
+                else:
+                    yield out([held], [c], [total])
+            held, c, total = names[-1], int(counts[-1]), sums[-1].copy()
+            if len(names) > 1:
+                yield out(names[:-1], counts[:-1], sums[:-1])
+        if held is not None:
+            yield out([held], [c], [total])
+
+    rows = coded.where("training").select("ids", "lead", "rare").mapInArrow(contexts, "word binary, around int")
+    return settle(rows.repartition("word").sortWithinPartitions("word").mapInArrow(chosen, "word binary, c long, class int"))
+
+
+def _classed(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, tail: DataFrame) -> DataFrame:
+    """doc, doc_id, training, lead, classes (a byte for each id), n, known and gain (the sum of log10(count + 1)) of each segment."""
+    kind, first_ending = vocabulary.kind, vocabulary.first_ending
+    given = coded.sparkSession.sparkContext.broadcast((of.astype(np.uint8), vocabulary.counts))
+
+    def places(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids, at = _flat(part.column(1), kind)
+                some = np.flatnonzero((ids == _OTHER) | (ids >= first_ending))
+                row = np.searchsorted(at, some, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column(0))[row]), pa.array((some - at[row]).astype(np.int32)), _rare_words(part.column(2))], ["row", "place", "word"])
+
+    rows = coded.select("row", "ids", "rare").mapInArrow(places, "row long, place int, word binary")
+    # Place, class and count in one number: 20, 8 and 35 bits.
+    found = rows.join(tail, "word").select("row", F.expr("(cast(place as long) << 43) | (cast(class as long) << 35) | least(c, (1L << 35) - 1)").alias("x"))
+    lists = found.groupBy("row").agg(F.collect_list("x").alias("found"))
+
+    def put(batches):
+        of, counts = given.value
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
+            ids, at = _flat(batch.column("ids"), kind)
+            lists = batch.column("found")
+            edges = np.asarray(lists.offsets)
+            x = np.asarray(lists.values)[edges[0] : edges[-1]]
+            spot = (x >> 43) + np.repeat(at[:-1], np.diff(edges))
+            classes = of[ids]
+            classes[spot] = (x >> 35) & 255
+            c = np.where((ids == _OTHER) | (ids >= first_ending), 0, counts[ids])
+            c[spot] = x & ((1 << 35) - 1)
+            lead = np.asarray(batch.column("lead"))
+            c[at[:-1][lead]] = 0
+            sums = lambda v, at=at: np.diff(np.concatenate([[0], np.cumsum(v)])[at])
+            gain = np.array([np.log10(c[i:j] + 1.0).sum() for i, j in zip(at[:-1], at[1:], strict=True)])
+            binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(classes))])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in ("doc", "doc_id", "training", "lead")), binary, pa.array(np.diff(at) - lead), pa.array(sums((c > 0).astype(np.int64))), pa.array(gain)],
+                ["doc", "doc_id", "training", "lead", "classes", "n", "known", "gain"],
+            )
+
+    both = coded.drop("rare").join(lists, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<long>")))
+    fields = [("doc", "long"), ("doc_id", coded.schema["doc_id"].dataType), ("training", "boolean"), ("lead", "boolean"), ("classes", "binary"), ("n", "long"), ("known", "long"), ("gain", "double")]
+    schema = StructType()
+    for name, kind_ in fields:
+        schema = schema.add(name, kind_)
+    return settle(both.mapInArrow(put, schema))
+
+
+@dataclass
+class Model:
+    """Classes of common words and endings (by id) and of all other words (tail), and log10 of what scores sum."""
+
+    vocabulary: Vocabulary
+    of: np.ndarray
+    tail: DataFrame
+    transition: np.ndarray
+    spread: np.ndarray  # what a word's count + 1 is divided by, for each class
+
+
+def build(docs: DataFrame, classes: int = CLASSES, common: int = COMMON, endings: int = ENDINGS, passes: int = PASSES) -> tuple[Model, DataFrame]:
+    """A model of the rows of docs (doc_id, text, training) with training, and the classed segments of all rows."""
     train = docs.where("training")
     counts = settle(_count(train))
-    vocabulary, least = _vocabulary(train, counts, common, endings)
+    vocabulary, _ = _vocabulary(train, counts, common, endings)
+    release(counts)
     coded = settle(_coded(docs, vocabulary))
     n_classes = classes + 2
     of = np.concatenate([[_OTHER, _END], 2 + np.arange(max(vocabulary.size - 2, 0)) % classes]).astype(np.int64)
-    for step in range(passes):
-        of, moved = exchange(_contexts(coded, vocabulary.size, of, n_classes), of, 2, step % 2)
-        if not moved and step:
+    reached: list[float] = []
+    for step in range(passes + 1):
+        contexts = _contexts(coded, vocabulary, of, n_classes)
+        table = _bigrams(contexts, of)
+        reached.append(likelihood(table))
+        # Both halves were moved, and the likelihood rose by less than RISE.
+        if step == passes or step > 2 and reached[-1] - reached[-3] <= RISE * abs(reached[-3]):
             break
-    after = _contexts(coded, vocabulary.size, of, n_classes)[1]
-    table = np.zeros((n_classes, n_classes))
-    np.add.at(table, of, after)
-    mass = np.bincount(of, vocabulary.counts, minlength=n_classes)
+        of = exchange(contexts, of, 2, step % 2)
+    tail = _moved_tail(coded, vocabulary, of, table)
+    segments = _classed(coded, vocabulary, of, tail)
+    release(coded)
+
+    def pairs(batches):
+        total = np.zeros(n_classes * n_classes, np.int64)
+        for batch in batches:
+            own, at = _flat(batch.column(0), "u1")
+            before = _before(own, at, _END)
+            fresh = np.ones(len(own), bool)
+            fresh[at[:-1][np.asarray(batch.column(1))]] = False
+            total += np.bincount(before[fresh].astype(np.int64) * n_classes + own[fresh], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["k", "n"])
+
+    table = np.zeros(n_classes * n_classes)
+    for k, n in segments.where("training").select("classes", "lead").mapInArrow(pairs, "k int, n long").groupBy("k").agg(F.sum("n")).collect():
+        table[k] = n
+    table = table.reshape(n_classes, n_classes)
+    mass = table.sum(0)
+    types = np.bincount(of[1 : vocabulary.first_ending], minlength=n_classes).astype(float)
+    for k, n in tail.groupBy("class").count().collect():
+        types[k] += n
     single = (mass + 1) / (mass.sum() + n_classes)
     kinds = (table > 0).sum(1, keepdims=True)
     # Witten-Bell: as many unseen transitions are expected as kinds were seen.
     transition = np.log10(np.where(kinds > 0, (table + kinds * single) / np.maximum(table.sum(1, keepdims=True) + kinds, 1), single))
-    emission = np.log10(np.maximum(vocabulary.counts, 1) / np.maximum(mass, 1)[of])
-    emission[[_OTHER, _END]] = 0
-    given = spark.sparkContext.broadcast((vocabulary, of, transition, emission - vocabulary.rare))
-    below = np.log10(vocabulary.total + vocabulary.distinct + 1)
+    return Model(vocabulary, of, tail, transition, np.log10(mass + types + 1)), segments
+
+
+def score_texts(docs: DataFrame, classes: int = CLASSES, common: int = COMMON, endings: int = ENDINGS, passes: int = PASSES) -> DataFrame:
+    """Scores of each row of docs (doc_id, text, training) by a model of the rows with training.
+
+    Returns doc_id, training, n_tokens, n_known, train_tokens, base_score, score and
+    perplexity.  Tokens are the words, with A-Z lower-cased, and an end.  base_score is
+    the add-one unigram model's log10 probability, score the class model's; n_known counts
+    tokens that training has.  common and endings bound what is held in memory and
+    broadcast; every other word of training has a class of its own choice, too.  passes:
+    of the first step at most, if it has not come to rest before.  classes: up to 250.
+
+    Null texts count as empty: one token, the end.  Long texts are scored whole, by segments.
+    A null `training` counts as false.  doc_id may be of any type, and null.  Repeated rows
+    are scored and counted each.  With nothing to learn from, every token is
+    unknown to both models.  An empty table gives no rows.  Other columns are ignored.
+    """
+    docs = docs.select("doc_id", "text", F.coalesce("training", F.lit(False)).alias("training"))
+    model, segments = build(docs, classes, common, endings, passes)
+    given = docs.sparkSession.sparkContext.broadcast((model.transition, model.spread))
 
     def scored(batches):
-        v, of, transition, emission = given.value
-        rare = v.is_rare(np.arange(v.size))
-        base = np.where(rare, 0.0, np.log10(v.counts + 1))
-        for batch in batches:
-            outs = []
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids, before = _pairs(part.column(3))
-                ends = np.flatnonzero(ids == _END) + 1
-                starts = np.concatenate([[0], ends[:-1]])
-                sums = lambda x: np.add.reduceat(x, starts)
-                outs.append((ends - starts, sums((~rare[ids] & (v.counts[ids] > 0)).astype(np.int64)), sums(base[ids]), sums(transition[of[before], of[ids]] + emission[ids])))
-            n, known, low, high = (np.concatenate(x) for x in zip(*outs, strict=True)) if outs else (np.zeros(0),) * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(low), pa.array(high)], ["row", "doc_id", "training", "n_tokens", "known", "low", "high"])
-
-    def rare_words(batches):
-        for batch in batches:
-            rows, words, n = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = Counter(text.as_py().split(b" ")) if len(text.as_py()) else {}
-                rows += [row] * len(own)
-                words += own
-                n += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["row", "word", "n"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = coded.mapInArrow(scored, f"row long, doc_id {kind}, training boolean, n_tokens long, known long, low double, high double")
-    rest = counts.where(F.col("c") < least) if least else counts
-    rare = coded.select("row", "rare").mapInArrow(rare_words, "row long, word binary, n long").join(rest, "word")
-    rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"))
-    gain = F.coalesce("gain", F.lit(0.0))
-    out = rows.join(rare, "row", "left").select(
+        transition, spread = given.value
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
+            own, at = _flat(batch.column("classes"), "u1")
+            each = transition[_before(own, at, _END), own] - spread[own]
+            each[at[:-1][np.asarray(batch.column("lead"))]] = 0
+            rest = np.array([each[i:j].sum() for i, j in zip(at[:-1], at[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc", "doc_id", "training", "n", "known", "gain")), pa.array(rest, pa.float64())], ["doc", "doc_id", "training", "n", "known", "gain", "rest"])
+
+    schema = StructType([f for f in segments.schema.fields if f.name not in ("lead", "classes")]).add("rest", "double")
+    rows = segments.mapInArrow(scored, schema).groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("training").alias("training"), *(F.sum(k).alias(k) for k in ("n", "known", "gain", "rest")))
+    below = float(np.log10(model.vocabulary.total + model.vocabulary.distinct + 1))
+    out = rows.select(
         "doc_id",
         "training",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(vocabulary.total).cast("long").alias("train_tokens"),
-        (F.col("low") + gain - F.col("n_tokens") * F.lit(float(below))).alias("base_score"),
-        (F.col("high") + gain).alias("score"),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        F.lit(model.vocabulary.total).cast("long").alias("train_tokens"),
+        (F.col("gain") - F.col("n") * F.lit(below)).alias("base_score"),
+        (F.col("gain") + F.col("rest")).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
