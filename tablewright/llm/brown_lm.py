@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from tablewright.llm import text as T
-from tablewright.llm.store import release, settle
+from tablewright.llm.store import cleaning, release, settle
 
 CLASSES, COMMON, ENDINGS, ENDING_BYTES, PASSES, RISE = 40, 24_000, 6_000, 3, 40, 1e-3
 _OTHER, _END = 0, 1  # ids of a rare word with a rare ending, and of the end of a text
 _NONE = 255  # no neighbour in this segment
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES, HELD = 1 << 20, 1 << 20
+_COUNTS = (1 << 35) - 1  # a place, a class and a count are one number of 20, 8 and 35 bits
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -220,19 +221,20 @@ def _contexts(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, n_classe
         for k in range(0, size, step):
             block = whole[:, k : k + step]
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["k", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block.astype("<u4").tobytes()], pa.binary())], ["k", "counts"])
 
     def summed(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.frombuffer(raw.as_py(), np.int64)
+                one = np.frombuffer(raw.as_py(), "<u4").astype(np.int64)
                 held[k] = held[k] + one if k in held else one
         for k, one in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([one.tobytes()], pa.binary())], ["k", "counts"])
 
     schema = "k int, counts binary"
-    rows = coded.where("training").select("ids", "lead").mapInArrow(partial, schema).repartition("k").mapInArrow(summed, schema).collect()
+    with cleaning(coded.sparkSession):
+        rows = coded.where("training").select("ids", "lead").mapInArrow(partial, schema).repartition("k").mapInArrow(summed, schema).collect()
     out = np.zeros((2, size, n_classes))
     for k, raw in rows:
         out[:, k : k + step] = np.frombuffer(raw, np.int64).reshape(2, -1, n_classes)
@@ -287,7 +289,7 @@ def exchange(contexts: np.ndarray, of: np.ndarray, fixed: int, half: int) -> np.
 
 
 def _moved_tail(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, table: np.ndarray) -> DataFrame:
-    """word, c, class of all words that are not common: each goes to the class under which its contexts are likeliest.
+    """word, c, class of all words that are not common, and classes and counts by place (row, found): each word goes to the class under which its contexts are likeliest.
 
     table: class bigrams.  A word's own counts are few beside them, so what a move adds to
     the likelihood is taken to first order: the logarithms of the bigrams it would join,
@@ -303,73 +305,108 @@ def _moved_tail(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, table:
     given = coded.sparkSession.sparkContext.broadcast((of.astype(np.uint8), left, right))
 
     def contexts(batches):
-        """A row (word, around) for each rare word: the classes before and after it."""
+        """A row for each rare word of a segment: word, row, and in one number its place, whether it is of training, and the classes before and after it."""
         classes = given.value[0]
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                ids, at = _flat(part.column(0), kind)
+                ids, at = _flat(part.column("ids"), kind)
                 own = classes[ids]
-                lead = at[:-1][np.asarray(part.column(1))]
+                lead = at[:-1][np.asarray(part.column("lead"))]
                 before = _before(own, at, _END)
                 before[lead] = _NONE
                 after = np.full_like(own, _NONE)
                 after[:-1] = own[1:]
                 after[at[1:][at[1:] > at[:-1]] - 1] = _NONE
-                some = (ids == _OTHER) | (ids >= first_ending)
-                yield pa.RecordBatch.from_arrays([_rare_words(part.column(2)), pa.array(before[some].astype(np.int32) << 8 | after[some])], ["word", "around"])
+                some = np.flatnonzero((ids == _OTHER) | (ids >= first_ending))
+                row = np.searchsorted(at, some, "right") - 1
+                info = (some - at[row]) << 17 | np.asarray(part.column("training")).astype(np.int64)[row] << 16 | before[some].astype(np.int64) << 8 | after[some]
+                yield pa.RecordBatch.from_arrays([_rare_words(part.column("rare")), pa.array(np.asarray(part.column("row"))[row]), pa.array(info)], ["word", "row", "info"])
 
     def chosen(batches):
-        """Sorted by word: a word's contexts are next to each other, maybe over several batches."""
+        """Sorted by word: a word's rows are next to each other, maybe over several batches.
+
+        Gives (word, c, class) of each word of training, and (row, found) of each place of
+        one; places of a word with more than HELD of them in turn are (word, row, found)
+        without a class, to be joined later.
+        """
         _, left, right = given.value
-        held, c, total = None, 0, None
+        word, c, total, rows, infos, held = None, 0, None, [], [], 0
+
+        def batch_of(words, counts, best, row, found):
+            pad = len(row)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(pad, pa.binary())]) if words is not None else pa.array([word] * pad, pa.binary()),
+                    pa.concat_arrays([pa.array(counts, pa.int64()), pa.nulls(pad, pa.int64())]),
+                    pa.concat_arrays([pa.array(best, pa.int32()), pa.nulls(pad, pa.int32())]),
+                    pa.concat_arrays([pa.nulls(len(counts), pa.int64()), pa.array(row, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(len(counts), pa.int64()), pa.array(found, pa.int64())]),
+                ],
+                ["word", "c", "class", "row", "found"],
+            )
 
-        def out(words, counts, sums):
-            best = np.stack(sums).argmax(1) if len(sums) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(best.astype(np.int32))], ["word", "c", "class"])
+        def closed():
+            """The word that is over."""
+            row, place = np.concatenate(rows), np.concatenate(infos) >> 17
+            if not c:
+                return batch_of([], [], [], [], [])
+            best = int(total.argmax())
+            return batch_of([word], [c], [best], row, place << 43 | best << 35 | min(c, _COUNTS))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, around = batch.column(0), np.asarray(batch.column(1))
+            words, row, info = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2))
             fresh = np.flatnonzero(np.concatenate([[True], np.asarray(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False), bool)]))
-            sums = np.add.reduceat(left[around >> 8] + right[around & 255], fresh, axis=0)
-            counts = np.add.reduceat((around >> 8 != _NONE).astype(np.int64), fresh)
-            names = words.take(pa.array(fresh)).to_pylist()
-            if held is not None:
-                if names[0] == held:
-                    sums[0] += total
-                    counts[0] += c
-                else:
-                    yield out([held], [c], [total])
-            held, c, total = names[-1], int(counts[-1]), sums[-1].copy()
-            if len(names) > 1:
-                yield out(names[:-1], counts[:-1], sums[:-1])
-        if held is not None:
-            yield out([held], [c], [total])
-
-    rows = coded.where("training").select("ids", "lead", "rare").mapInArrow(contexts, "word binary, around int")
-    return settle(rows.repartition("word").sortWithinPartitions("word").mapInArrow(chosen, "word binary, c long, class int"))
-
-
-def _classed(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, tail: DataFrame) -> DataFrame:
+            training = (info >> 16 & 1).astype(bool)
+            each = left[info >> 8 & 255] + right[info & 255]
+            each[~training] = 0
+            sums = np.add.reduceat(each, fresh, axis=0)
+            counts = np.add.reduceat((training & (info >> 8 & 255 != _NONE)).astype(np.int64), fresh)
+            edges = np.append(fresh, len(info))
+            first, last = words[0].as_py(), words[len(words) - 1].as_py()
+            start = 0
+            if word is not None and first == word:
+                c, total, start = c + int(counts[0]), total + sums[0], 1
+                rows.append(row[: edges[1]])
+                infos.append(info[: edges[1]])
+                held += int(edges[1])
+            if word is not None and (start == 0 or len(fresh) > 1):
+                yield closed()
+                word = None
+            if start < len(fresh):
+                # All but the last word of the batch are whole.
+                lo, hi = edges[start], fresh[-1]
+                size = np.diff(edges[start:-1]) if len(fresh) - 1 > start else np.zeros(0, np.int64)
+                best, n = sums[start:-1].argmax(1), counts[start:-1]
+                known = np.flatnonzero(n > 0)
+                if len(known):
+                    of, c_of = np.repeat(best, size), np.repeat(n, size)
+                    keep = c_of > 0
+                    found = (info[lo:hi] >> 17) << 43 | of << 35 | np.minimum(c_of, _COUNTS)
+                    yield batch_of(words.take(pa.array(fresh[start:-1][known])).to_pylist(), n[known], best[known].astype(np.int32), row[lo:hi][keep], found[keep])
+                word, c, total = last, int(counts[-1]), sums[-1].copy()
+                rows, infos, held = [row[hi:]], [info[hi:]], len(row) - int(hi)
+            if held > HELD:
+                yield batch_of(None, [], [], np.concatenate(rows), np.concatenate(infos) >> 17)
+                rows, infos, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        if word is not None:
+            yield closed()
+
+    rows = coded.select("row", "training", "lead", "ids", "rare").mapInArrow(contexts, "word binary, row long, info long")
+    return settle(rows.repartition("word").sortWithinPartitions("word").mapInArrow(chosen, "word binary, c long, class int, row long, found long"))
+
+
+def _classed(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, moved: DataFrame) -> DataFrame:
     """doc, doc_id, training, lead, classes (a byte for each id), n, known and gain (the sum of log10(count + 1)) of each segment."""
     kind, first_ending = vocabulary.kind, vocabulary.first_ending
     given = coded.sparkSession.sparkContext.broadcast((of.astype(np.uint8), vocabulary.counts))
 
-    def places(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids, at = _flat(part.column(1), kind)
-                some = np.flatnonzero((ids == _OTHER) | (ids >= first_ending))
-                row = np.searchsorted(at, some, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column(0))[row]), pa.array((some - at[row]).astype(np.int32)), _rare_words(part.column(2))], ["row", "place", "word"])
-
-    rows = coded.select("row", "ids", "rare").mapInArrow(places, "row long, place int, word binary")
-    # Place, class and count in one number: 20, 8 and 35 bits.
-    found = rows.join(tail, "word").select("row", F.expr("(cast(place as long) << 43) | (cast(class as long) << 35) | least(c, (1L << 35) - 1)").alias("x"))
-    lists = found.groupBy("row").agg(F.collect_list("x").alias("found"))
+    classes = moved.where("c is not null").select("word", "c", "class")
+    late = moved.where("c is null and word is not null").select("word", "row", "found").join(classes, "word")
+    found = moved.where("word is null").select("row", "found").unionByName(late.select("row", F.expr(f"(found << 43) | (cast(class as long) << 35) | least(c, {_COUNTS}L)").alias("found")))
+    lists = found.groupBy("row").agg(F.collect_list("found").alias("found"))
 
     def put(batches):
         of, counts = given.value
@@ -382,7 +419,7 @@ def _classed(coded: DataFrame, vocabulary: Vocabulary, of: np.ndarray, tail: Dat
             classes = of[ids]
             classes[spot] = (x >> 35) & 255
             c = np.where((ids == _OTHER) | (ids >= first_ending), 0, counts[ids])
-            c[spot] = x & ((1 << 35) - 1)
+            c[spot] = x & _COUNTS
             lead = np.asarray(batch.column("lead"))
             c[at[:-1][lead]] = 0
             sums = lambda v, at=at: np.diff(np.concatenate([[0], np.cumsum(v)])[at])
@@ -430,9 +467,10 @@ def build(docs: DataFrame, classes: int = CLASSES, common: int = COMMON, endings
         if step == passes or step > 2 and reached[-1] - reached[-3] <= RISE * abs(reached[-3]):
             break
         of = exchange(contexts, of, 2, step % 2)
-    tail = _moved_tail(coded, vocabulary, of, table)
-    segments = _classed(coded, vocabulary, of, tail)
+    moved = _moved_tail(coded, vocabulary, of, table)
+    segments = _classed(coded, vocabulary, of, moved)
     release(coded)
+    tail = moved.where("c is not null").select("word", "c", "class")
 
     def pairs(batches):
         total = np.zeros(n_classes * n_classes, np.int64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
@@ -23,19 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
-    """The rows written to path as Parquet and read from there; the shuffle files that made them are dropped."""
-    spark = df.sparkSession
+@contextmanager
+def cleaning(spark: SparkSession):
+    """Executions inside drop their shuffle files when they end."""
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """The rows written to path as Parquet and read from there; the shuffle files that made them are dropped."""
+    with cleaning(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
