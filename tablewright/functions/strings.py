@@ -38,17 +38,25 @@ def normalize_text(c: Column, fold: bool = False) -> Column:
     c = F.lower(F.trim(c.cast("string")))
     if fold:
         c = nfkc(c)
-    c = F.regexp_replace(c, "[\u2212\u2013\u2014\u00ad\uff0d]", "-")
-    c = F.regexp_replace(c, r"[{}\[\],()@$+%&#_^~|<>\\\u00a0]", " ")
+    c = F.translate(c, "".join(vocab.DASHES), "-" * len(vocab.DASHES))
+    c = F.translate(c, "".join(vocab.MARKUP), " " * len(vocab.MARKUP))
     return collapse(c)
 
 
 def value_core(c: Column) -> Column:
-    """The value before an uncertainty or a bracket, without a unit of up to 15 letters; comparators stay."""
-    c = F.trim(F.split_part(c.cast("string"), F.lit("\u00b1"), F.lit(1)))
-    c = F.trim(F.regexp_replace(F.regexp_replace(c, "[\u00a0\u2009]", ""), r"(?s)\s*\(.*$", ""))
-    unit = r"^\s*([><]?\s*[-+]?\d[\d,]*\.?\d*(?:[eE][-+]?\d+)?)\s*([a-zA-Z\u03bc\u00b5%/\u00b7\s]{1,15})\s*$"
-    return F.when(c.rlike(unit), F.replace(F.regexp_extract(c, unit, 1), F.lit(" "), F.lit(""))).otherwise(c)
+    """The value before an uncertainty or a bracket, without a unit of up to 15 letters; comparators stay.
+
+    A number is a comparator, a sign, digits with thousands and decimals, and a power of ten; what
+    follows it is a unit if it is short and of letters, blanks and unit marks only.
+    """
+    c = F.trim(F.split_part(F.translate(c.cast("string"), "\u00a0\u2009", ""), F.lit("\u00b1"), F.lit(1)))
+    c = F.rtrim(F.split_part(c, F.lit("("), F.lit(1)))
+    digits, power = r"\d[\d,]*[.]?\d*", r"([eE][+-]?\d+)?"
+    number = F.regexp_extract(c, rf"^[<>]?\s*[+-]?{digits}{power}", 0)
+    unit = F.trim(F.substr(c, F.length(number) + 1))
+    letters = F.translate(unit, "\u03bc\u00b5%/\u00b7", "")
+    named = (number != "") & F.length(unit).between(1, 15) & letters.rlike(r"^[A-Za-z\s]*$")
+    return F.when(named, F.regexp_replace(number, r"\s", "")).otherwise(c)
 
 
 def words(c: Column) -> Column:
@@ -168,10 +176,34 @@ def short_deposit(c: Column) -> Column:
 
 
 def reference_materials(c: Column) -> Column:
-    """Names of reference materials in order of first mention, joined."""
-    pattern = r"(?i)\b(NIST[\s-]*(?:SRM[\s-]*)?6\d\d[a-z]?|MASS-?\d|BHVO-?\d\w?|BCR-?\d\w?|BIR-?\d\w?|GSE-?\d\w?|GSD-?\d\w?|STDGL\w*|PTC-?\w+|Po\d{3}|PS-?1)\b"
-    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda x: F.upper(F.regexp_replace(x, r"\s+", " ")))
-    return F.array_join(F.array_distinct(found), "; ")
+    """Codes of reference materials, by kind and then by mention, each once (any case), joined by commas; a text without any stays."""
+    number = r"\d+[a-z]?"
+    kinds = [
+        *(rf"{code}-{number}" for code in vocab.STANDARD_CODES),
+        *(series.replace(" ", r"\s*") + rf"\s*{number}" for series in vocab.STANDARD_SERIES),
+        r"stdgl\d+[a-z]*-?\d*",
+        r"usgs\s+[a-z]+[-\d]+",
+        r"s-[a-z]+\d+[a-z]?",
+        rf"[a-z]+-{number}",
+        *(rf"{sulfide}\b(?:\s*\([^)]+\))?" for sulfide in vocab.STANDARD_SULFIDES),
+    ]
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(c, F.lit(f"(?i)(?<![a-z]){k}"), F.lit(0)), lambda x: F.trim(x)) for k in kinds)))
+    once = F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
+    return F.when(F.size(once) > 0, F.array_join(once, ", ")).otherwise(c)
+
+
+def deposit_kind(c: Column) -> tuple[Column, Column]:
+    """Environment and group of a deposit type, by the first name that it contains."""
+    return tuple(first_pattern(F.trim(c), [(d[0], d[k]) for d in vocab.DEPOSITS]) for k in (1, 2))
+
+
+def country_code(c: Column) -> Column:
+    """The country that a text names first in the list, as three letters."""
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "), F.lit(" "))
+    out = F.lit(None).cast("string")
+    for name, code in reversed(vocab.COUNTRIES.items()):
+        out = F.when(padded.contains(f" {name} "), F.lit(code)).otherwise(out)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import numbers, strings, vocab
 
-SUMMARY_ROW = r"(?i)^\s*(mean|average|avg\.?|median|std\.?\s*dev\.?|standard\s+deviation|stdev|s\.?d\.?|min(imum)?|max(imum)?|range|total|sum|n\s*=\s*\d+|[12]\s*σ|rsd|detection\s+limits?|lod|mdl|d\.?l\.?)\b.*$"
-EMBEDDED_SUMMARY = r"(?i)\(\s*n\s*=\s*\d+\s*\)|\bmean\b|\baverage\b"
-REFERENCE_STANDARD = r"(?i)^\s*(nist[\s-]*(srm[\s-]*)?6\d\d|mass-?\d|stdgl\w*|ptc-?\d?|bhvo-?\d|bcr-?\d|gse-?\d|gsd-?\d|reference\s+standard)\w?\s*$"
-CITATION = r"(?i)source:\s*|\bet\s+al\.?\s*\(\d{4}\)|\bet\s+al\.?\s*,\s*\d{4}|^\d{4}[a-z]?\s+[a-z][a-z]"
+def _any(names: list[str]) -> str:
+    """A pattern of any of some names, blanks being white space."""
+    return "(?:" + "|".join(re.escape(n).replace(r"\ ", r"\s+") for n in names) + ")"
+
+
+SUMMARY_ROW = rf"(?i)^\s*(?:{_any(vocab.STATISTIC_ROWS + vocab.NOTE_ROWS)}(?!\w)|n\s*=|sample\s*$|sp[a-z]\s+n\s*=)"
+EMBEDDED_SUMMARY = rf"(?i)\(\s*n\s*=\s*\d+\s*\)|\b{_any(vocab.STATISTIC_WORDS)}\b"
+#: The name of a material and its number; in front, s_ or g_ of sulfide and glass standards.
+REFERENCE_STANDARD = (
+    rf"(?i)^\s*(?:(?:[sg]_?)?{_any(vocab.NUMBERED_STANDARDS)}[-_]?\d+\w?|(?:[sg]_?)?{_any(vocab.SPACED_STANDARDS)}\s*\d+\w?|[sg]_?nist|usgs\s*\w+|stdgl\w*|reference\s+standard)\s*$"
+)
 NOTE_MARKS = r"^(Note:|note:|\*|†|‡|§)"
 NOT_A_SAMPLE = r"(?i)^\s*(note|source|remark|abbreviation|detection limit|mean|average|median|std|standard deviation|min|max|total)\b"
 
@@ -21,9 +30,16 @@ def is_note(c: Column) -> Column:
     return (s == "") | (F.length(s) > 80) | (s.endswith(".") & s.contains(" ") & (F.length(s) > 30)) | s.rlike(NOTE_MARKS)
 
 
+def is_citation(c: Column) -> Column:
+    """a source line, authors with a year, or a year before a name."""
+    low = F.lower(c)
+    authors = F.regexp_extract(low, r"\bet\s+al[.]?(.*)", 1)
+    return low.contains("source:") | F.ltrim(authors).rlike(r"^(,\s*|\()\d{4}") | low.rlike(r"^\d{4}[a-z]?\s+[a-z]{2}")
+
+
 def is_sample(name: Column) -> Column:
     """whether a row's sample id names a sample: no statistics, reference material, note, citation or blank."""
-    bad = name.rlike(SUMMARY_ROW) | name.rlike(EMBEDDED_SUMMARY) | name.rlike(REFERENCE_STANDARD) | is_note(name) | name.rlike(CITATION)
+    bad = name.rlike(SUMMARY_ROW) | name.rlike(EMBEDDED_SUMMARY) | name.rlike(REFERENCE_STANDARD) | is_note(name) | is_citation(name)
     return name.isNotNull() & ~F.trim(name).isin("", "nan", "None", "NaN") & ~bad
 
 
@@ -80,8 +96,11 @@ def valid_compositions(rows: DataFrame) -> DataFrame:
 
 
 def valid_results(rows: DataFrame) -> DataFrame:
-    """result records of a known type, with canonical metrics."""
-    return rows.where(F.col("type").isin(*vocab.RESULT_TYPES)).withColumn("metric", strings.canonical(F.col("metric"), vocab.METRICS))
+    """result records of a known type (canonical), with canonical metrics, tasks, attributes, parameters, datasets and models, where there are such columns."""
+    kind = F.coalesce(strings.canonical(F.col("type"), vocab.RESULT_TYPE_NAMES, keep=False), F.col("type"))
+    out = rows.withColumn("type", kind).where(F.col("type").isin(*vocab.RESULT_TYPES))
+    names = {"metric": vocab.METRICS, "task": vocab.TASKS, "attribute_name": vocab.STATISTICS, "parameter_name": vocab.PARAMETERS, "dataset": vocab.DATASETS, "model": vocab.MODELS}
+    return out.withColumns({c: strings.canonical(F.col(c), v) for c, v in names.items() if c in rows.columns})
 
 
 def null_kind(value: Column, domain: str) -> Column:

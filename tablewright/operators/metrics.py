@@ -110,7 +110,7 @@ def consistency(rows: DataFrame, methods: list[str] | None = None, minerals: lis
     """Share of metadata checks that hold (method, mineral with half credit for unknown ones, country, year 1990 to 2030); a half without any."""
     from tablewright.functions.numbers import first_year, has_mark
 
-    methods = methods or [m for m, _ in vocab.METHODS]
+    methods = methods or list(vocab.METHODS)
     minerals = minerals or list(vocab.MINERALS)
     method, mineral, country, date = (strings.clean_value(F.col(c)) for c in ("analytical_method", "mineral", "country", "publication_date"))
     checks = F.array(
