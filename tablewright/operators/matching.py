@@ -1,8 +1,9 @@
 """One-to-one matching of predicted and true records.
 
 Greedy matching in which the first unmatched prediction takes the first unmatched truth
-of the same key is, for equality of keys, a join on the key and the rank within it.  So
-every pass is a rank join; the next, coarser pass works on what is left.  Matching by
+of the same key is, for equality of keys, ranking both sides within the key: equal ranks
+are a pair.  Both sides are one table, shuffled once by document and the keys that all
+passes share; every pass ranks what the passes before left, where it lies.  Matching by
 tolerance is no equivalence and stays ordered inside a group (tolerance_match).
 """
 
@@ -17,35 +18,42 @@ from pyspark.sql import functions as F
 from tablewright.functions import strings
 
 
-def rank_join(pred: DataFrame, gold: DataFrame, doc: list[str], keys: list[str], order: str = "ord") -> DataFrame:
-    """Pairs (doc..., p_ord, g_ord) of one pass; null keys match nothing."""
-    ranked = lambda df, name: (
-        df.dropna(subset=keys).select(*doc, *keys, F.row_number().over(Window.partitionBy(*doc, *keys).orderBy(order)).alias("rank"), F.col(order).alias(name))
-    )
-    return ranked(pred, "p_ord").join(ranked(gold, "g_ord"), [*doc, *keys, "rank"]).select(*doc, "p_ord", "g_ord")
+def records(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[str]], columns: list[str] | None = None, order: str = "ord") -> DataFrame:
+    """Every record once: matched pairs, lone predictions and lone truths.
+
+    doc..., p_ord, g_ord, pass_no (null for lone ones), and the columns as p_... and g_...  A pass
+    matches equal keys of its list; null keys match nothing.  Keys and columns have one type on both sides.
+    """
+    columns = columns or []
+    keys = list(dict.fromkeys(k for p in passes for k in p))
+    shared = [k for k in keys if all(k in p for p in passes)]
+
+    def side(df: DataFrame, true: bool) -> DataFrame:
+        return df.select(*doc, *(F.col(k).alias(f"__k_{k}") for k in keys), F.lit(true).alias("__true"), F.col(order).alias("__ord"), F.struct(*(F.col(c).alias(c) for c in columns), F.col(order).alias("__o")).alias("__row"))
+
+    place = [*doc, *(f"__k_{k}" for k in shared)]
+    rows = side(pred, False).unionByName(side(gold, True)).repartition(*place).withColumns({"__pass": F.lit(None).cast("int"), "__rank": F.lit(None).cast("int")})
+    for number, names in enumerate(passes, 1):
+        by = [*place, *(f"__k_{k}" for k in names if k not in shared)]
+        rows = rows.withColumn("__open", F.col("__pass").isNull() & ~F.greatest(*(F.col(f"__k_{k}").isNull() for k in names), F.lit(False)))
+        rank = F.row_number().over(Window.partitionBy(*by, "__open", "__true").orderBy("__ord"))
+        rows = rows.withColumn("__r", rank)
+        both = Window.partitionBy(*by)
+        other = F.when(F.col("__true"), F.count_if(F.col("__open") & ~F.col("__true")).over(both)).otherwise(F.count_if(F.col("__open") & F.col("__true")).over(both))
+        hit = F.col("__open") & (F.col("__r") <= F.col("__n"))
+        rows = rows.withColumn("__n", other).withColumns({"__pass": F.when(hit, F.lit(number)).otherwise(F.col("__pass")), "__rank": F.when(hit, F.col("__r")).otherwise(F.col("__rank"))})
+    lone = F.col("__pass").isNull()
+    # A pair has the keys of its pass and a rank in common; a lone record is a group of its own.
+    used = {k: F.when(F.col("__pass").isin([n for n, names in enumerate(passes, 1) if k in names]), F.col(f"__k_{k}")) for k in keys if k not in shared}
+    group = rows.withColumns({f"__k_{k}": c for k, c in used.items()} | {"__alone": F.when(lone, F.col("__true")), "__at": F.when(lone, F.col("__ord"))})
+    by = [*place, *(f"__k_{k}" for k in used), "__pass", "__rank", "__alone", "__at"]
+    pairs = group.groupBy(*by).agg(F.first(F.when(~F.col("__true"), F.col("__row")), ignorenulls=True).alias("p"), F.first(F.when(F.col("__true"), F.col("__row")), ignorenulls=True).alias("g"))
+    return pairs.select(*doc, F.col("p.__o").alias("p_ord"), F.col("g.__o").alias("g_ord"), F.col("__pass").alias("pass_no"), *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "pg" for c in columns))
 
 
 def match_passes(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[str]], order: str = "ord") -> DataFrame:
     """Pairs (doc..., p_ord, g_ord, pass_no), one pass after the other over what earlier passes left."""
-    out = None
-    for k, keys in enumerate(passes, 1):
-        p, g = pred, gold
-        if out is not None:
-            p = pred.join(out.select(*doc, F.col("p_ord").alias(order)), [*doc, order], "left_anti")
-            g = gold.join(out.select(*doc, F.col("g_ord").alias(order)), [*doc, order], "left_anti")
-        pairs = rank_join(p, g, doc, keys, order).withColumn("pass_no", F.lit(k))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
-def all_records(pred: DataFrame, gold: DataFrame, pairs: DataFrame, doc: list[str], columns: list[str], order: str = "ord") -> DataFrame:
-    """Every record once: matched pairs, lone predictions and lone truths, with columns as p_... and g_..."""
-    p = pred.select(*doc, F.col(order).alias("p_ord"), *(F.col(c).alias(f"p_{c}") for c in columns))
-    g = gold.select(*doc, F.col(order).alias("g_ord"), *(F.col(c).alias(f"g_{c}") for c in columns))
-    matched = pairs.join(p, [*doc, "p_ord"]).join(g, [*doc, "g_ord"])
-    lone_p = p.join(pairs, [*doc, "p_ord"], "left_anti")
-    lone_g = g.join(pairs, [*doc, "g_ord"], "left_anti")
-    return matched.unionByName(lone_p, allowMissingColumns=True).unionByName(lone_g, allowMissingColumns=True)
+    return records(pred, gold, doc, passes, order=order).where("pass_no is not null")
 
 
 def bag_counts(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[str]], correct: Column | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -54,10 +62,8 @@ def bag_counts(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[li
     A matched pair counts as correct, or as one false positive and one false negative if
     `correct`, an expression over p_ and g_ columns, does not hold.
     """
-    pairs = match_passes(pred, gold, doc, passes)
-    rows = all_records(pred, gold, pairs, doc, columns or [])
-    matched = F.col("p_ord").isNotNull() & F.col("g_ord").isNotNull()
-    right = matched & (F.lit(True) if correct is None else F.coalesce(correct, F.lit(False)))
+    rows = records(pred, gold, doc, passes, columns)
+    right = F.col("pass_no").isNotNull() & (F.lit(True) if correct is None else F.coalesce(correct, F.lit(False)))
     return rows.groupBy(*doc).agg(
         F.count_if(right).alias("tp"),
         F.count_if(~right & F.col("p_ord").isNotNull()).alias("fp"),
@@ -74,7 +80,7 @@ def without_other(pred: DataFrame, gold: DataFrame, doc: list[str], value: str =
 
 def attribute_counts(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[str]], attributes: list[str]) -> DataFrame:
     """Tp, fp and fn over attributes; xx is an attribute that is not given."""
-    rows = all_records(pred, gold, match_passes(pred, gold, doc, passes), doc, attributes)
+    rows = records(pred, gold, doc, passes, attributes)
     has = lambda c: F.coalesce(c, F.lit(strings.UNKNOWN)) != strings.UNKNOWN
     tp, fp, fn = F.lit(0), F.lit(0), F.lit(0)
     for a in attributes:
@@ -172,6 +178,29 @@ def max_weight_pairs(weights: list[list[float]], least: float = 0.25) -> list[tu
     return sorted((owner[j] - 1, j - 1) for j in range(1, size + 1) if owner[j] <= n and j <= m and weights[owner[j] - 1][j - 1] > least)
 
 
+def first_fit(candidates: DataFrame, doc: list[str], order: list, left: str, right: str) -> DataFrame:
+    """Of candidate pairs, document by document in an order, those whose both ends no earlier one has taken.
+
+    Rows stream through a task sorted; what is held are the taken ends of one document.
+    """
+
+    def taken(batches):
+        now, used_left, used_right = None, set(), set()
+        for batch in batches:
+            keep = []
+            for *at, a, b in zip(*(batch[c] for c in [*doc, left, right]), strict=True):
+                if at != now:
+                    now, used_left, used_right = at, set(), set()
+                fits = a not in used_left and b not in used_right
+                if fits:
+                    used_left.add(a)
+                    used_right.add(b)
+                keep.append(fits)
+            yield batch[keep]
+
+    return candidates.repartition(*doc).sortWithinPartitions(*doc, *order).mapInPandas(taken, candidates.schema)
+
+
 PREFIX_SEPARATORS = "-.@_ #"
 
 
@@ -180,30 +209,21 @@ def name_match(pred: DataFrame, gold: DataFrame, doc: list[str], name: str = "na
 
     Phase 1 is equality, 2 equality after normalising dashes and blanks, 3 a prefix of the
     other followed by a separator.  Phase 3 goes in sorted order of names, so that ties
-    are settled alike everywhere; forward (the prediction is longer) comes first.
+    are settled alike everywhere; forward (the prediction is longer) comes first.  Its
+    candidates come from a join on the prefixes that end before a separator.
     """
-    g = gold.select(*doc, F.col(name).alias("g_name")).dropna().distinct()
-    p = pred.select(*doc, F.col(name).alias("p_name")).dropna().distinct()
-    equal = g.join(p.withColumn("g_name", F.col("p_name")), [*doc, "g_name"]).withColumn("phase", F.lit(1))
-    rest = lambda a, b, c: a.join(b.select(*doc, c), [*doc, c], "left_anti")
-    g2, p2 = rest(g, equal, "g_name"), rest(p, equal, "p_name")
-    rank = lambda df, c: df.withColumn("norm", strings.sample_name(F.col(c))).withColumn("rank", F.row_number().over(Window.partitionBy(*doc, "norm").orderBy(c)))
-    normed = rank(g2, "g_name").join(rank(p2, "p_name"), [*doc, "norm", "rank"]).select(*doc, "g_name", "p_name").withColumn("phase", F.lit(2))
-    g3, p3 = rest(g2, normed, "g_name"), rest(p2, normed, "p_name")
-    schema = ", ".join(f"`{k}` {t}" for k, t in gold.dtypes if k in doc) + ", g_name string, p_name string"
-
-    def prefixes(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, out = sorted(right["norm"].items(), key=lambda x: (x[1], right["p_name"][x[0]])), []
-        follows = lambda long, short: len(long) > len(short) and long.startswith(short) and long[len(short)] in PREFIX_SEPARATORS
-        for a, name_a in sorted(zip(left["norm"], left["g_name"], strict=True)):
-            found = next((x for x in free if follows(x[1], a)), None) or next((x for x in free if follows(a, x[1])), None)
-            if found:
-                free.remove(found)
-                out.append((*key, name_a, right["p_name"][found[0]]))
-        return pd.DataFrame(out, columns=[*doc, "g_name", "p_name"])
-
-    third = rank(g3, "g_name").groupBy(*doc).cogroup(rank(p3, "p_name").groupBy(*doc)).applyInPandas(prefixes, schema).withColumn("phase", F.lit(3))
-    return equal.select(*doc, "g_name", "p_name", "phase").unionByName(normed).unionByName(third)
+    side = lambda df: df.select(*doc, F.col(name).alias("own")).dropna().distinct().withColumn("norm", strings.sample_name(F.col("own"))).select(*doc, "own", "norm", F.struct("norm", "own").alias("at"))
+    found = records(side(pred), side(gold), doc, [["own"], ["norm"]], ["own", "norm"], order="at")
+    pairs = found.where("pass_no is not null").select(*doc, F.col("g_own").alias("g_name"), F.col("p_own").alias("p_name"), F.col("pass_no").alias("phase"))
+    left = lambda x: found.where(f"pass_no is null and {x}_own is not null").select(*doc, F.col(f"{x}_own").alias(f"{x}_name"), F.col(f"{x}_norm").alias(f"{x}_norm"))
+    ends = lambda c: F.filter(F.sequence(F.lit(1), F.length(c)), lambda k: F.contains(F.lit(PREFIX_SEPARATORS), F.substr(c, k + 1, F.lit(1))) & (k < F.length(c)))
+    prefixed = lambda x, other: left(x).withColumn(f"{other}_norm", F.explode(F.transform(ends(F.col(f"{x}_norm")), lambda k: F.left(F.col(f"{x}_norm"), k))))
+    longer = prefixed("p", "g").join(left("g"), [*doc, "g_norm"]).withColumn("back", F.lit(False))
+    shorter = prefixed("g", "p").join(left("p"), [*doc, "p_norm"]).withColumn("back", F.lit(True))
+    candidates = longer.unionByName(shorter).select(*doc, "g_norm", "g_name", "back", "p_norm", "p_name")
+
+    third = first_fit(candidates, doc, ["g_norm", "g_name", "back", "p_norm", "p_name"], "g_name", "p_name")
+    return pairs.unionByName(third.select(*doc, "g_name", "p_name", F.lit(3).alias("phase")))
 
 
 def best_offset(pred: DataFrame, gold: DataFrame, doc: list[str], index: str, element: str, value: str, offsets: int = 10, tolerance: float = 0.1) -> DataFrame:
@@ -247,17 +267,8 @@ def position_pairs(pred: DataFrame, gold: DataFrame, doc: list[str], index: str,
     both = both.join(elements(lg, "g_index", "g_e"), [*doc, "g_index"]).join(elements(lp, "p_index", "p_e"), [*doc, "p_index"])
     candidates = both.select(*doc, "g_index", "p_index", (F.col("n") / F.size(F.array_intersect("g_e", "p_e"))).alias("score")).where(F.col("score") > least)
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["g_index", "score", "p_index"], ascending=[True, False, True])
-        done, used, out = set(), set(), []
-        for k, (i, j) in enumerate(zip(rows["g_index"], rows["p_index"], strict=True)):
-            if i not in done and j not in used:
-                done.add(i)
-                used.add(j)
-                out.append(k)
-        return rows.iloc[out]
-
-    return aligned.unionByName(candidates.groupBy(*doc).applyInPandas(take, candidates.schema))
+    taken = first_fit(candidates, doc, ["g_index", F.desc("score"), "p_index"], "g_index", "p_index")
+    return aligned.unionByName(taken)
 
 
 def gap_fill(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
@@ -286,11 +297,12 @@ def row_by_name(names: DataFrame, rows: DataFrame, doc: list[str], name: str, co
 def error_classes(pred: DataFrame, gold: DataFrame, doc: list[str], near: bool = True) -> DataFrame:
     """Counts (class, n) of attribute errors, near misses (under 5 percent off), surplus and missed records.
 
-    pred and gold: doc..., ord, value, type, unit.
+    pred and gold: doc..., ord, value, type, unit.  Values are matched by their cores, types and units compared after H02.
     """
-    pairs = match_passes(pred, gold, doc, [["value"]])
-    rows = all_records(pred, gold, pairs, doc, ["value", "type", "unit"])
-    wrong = rows.where("p_ord is not null and g_ord is not null").where(~(F.col("p_type").eqNullSafe(F.col("g_type")) & F.col("p_unit").eqNullSafe(F.col("g_unit")))).select(F.lit("VAL_MATCH_ATTR_WRONG").alias("class"))
+    cored = lambda df: df.withColumns({"__core": strings.normalize_text(strings.value_core(F.col("value"))), "type": F.col("type").cast("string"), "unit": F.col("unit").cast("string")})
+    rows = records(cored(pred), cored(gold), doc, [["__core"]], ["value", "type", "unit"])
+    same = lambda c: F.coalesce(strings.normalize_text(F.col(f"p_{c}")), F.lit("")) == F.coalesce(strings.normalize_text(F.col(f"g_{c}")), F.lit(""))
+    wrong = rows.where("pass_no is not null").where(~(same("type") & same("unit"))).select(F.lit("VAL_MATCH_ATTR_WRONG").alias("class"))
     number = lambda c: F.regexp_extract(c.cast("string"), r"([-+]?\d*\.?\d+)", 1).try_cast("double")
     lone_p = rows.where("g_ord is null").select(*doc, F.col("p_ord").alias("ord"), number(F.col("p_value")).alias("value"))
     lone_g = rows.where("p_ord is null").select(*doc, F.col("g_ord").alias("ord"), number(F.col("g_value")).alias("value"))

@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import permutations
 
 from hypothesis import given, settings
@@ -133,3 +134,31 @@ def test_pairs_by_position_and_greedy_ones_of_many_predictions(spark):
     want = [(d, *x) for d, (p, g) in enumerate(docs) for x in by_position(p, g)]
     assert sorted((r.doc, r.g_index, r.p_index, round(r.score, 9)) for r in got) == sorted((*x[:3], round(x[3], 9)) for x in want)
     assert {d % 2 for d, *_ in want} == {0, 1}
+
+
+def test_names_match_as_by_hand(spark):
+    """Against the three phases over lists, one document at a time."""
+    rng = random.Random(4)
+    names = ["A-1", "A - 1", "A-1@2", "A-1 x", "A", "A-11", "B 2", "B  2", "B 2.1", "B", "b", "C#1", "C"]
+    clean = lambda n: re.sub(r"\s+", " ", re.sub(r"\s*-\s*", "-", n.strip()))
+    rows = {(s, d): sorted(set(rng.sample(names, rng.randrange(9)))) for s in "pg" for d in range(30)}
+    side = lambda s: spark.createDataFrame([(d, n) for (t, d), ns in rows.items() if t == s for n in ns], "doc long, name string").repartition(3)
+    got = {(r.doc, r.g_name, r.p_name, r.phase) for r in matching.name_match(side("p"), side("g"), ["doc"]).collect()}
+    want = set()
+    for d in range(30):
+        p, g = list(rows["p", d]), list(rows["g", d])
+        for phase, same in ((1, lambda a, b: a == b), (2, lambda a, b: clean(a) == clean(b))):
+            for a in sorted(g, key=lambda n: (clean(n), n)):
+                b = next((x for x in sorted(p, key=lambda n: (clean(n), n)) if same(a, x)), None)
+                if b is not None:
+                    want.add((d, a, b, phase))
+                    p.remove(b)
+                    g.remove(a)
+        longer = lambda x, y: len(clean(x)) > len(clean(y)) and clean(x).startswith(clean(y)) and clean(x)[len(clean(y))] in "-.@_ #"
+        for a in sorted(g, key=lambda n: (clean(n), n)):
+            free = sorted(p, key=lambda n: (clean(n), n))
+            b = next((x for x in free if longer(x, a)), None) or next((x for x in free if longer(a, x)), None)
+            if b is not None:
+                want.add((d, a, b, 3))
+                p.remove(b)
+    assert got == want and {x[3] for x in got} == {1, 2, 3}
