@@ -124,7 +124,11 @@ def draw(docs: DataFrame, tokens: Column | None = None, budget: int | None = Non
     tokens: how many tokens a row has; by default its column n_tokens.
     """
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), source.alias("source"), (F.col("n_tokens") if tokens is None else tokens).cast("long").alias("n"))
+    plain = [docs[f"`{f.name}`"] for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    tie = F.xxhash64(*plain)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none "), tie.cast("string")))
+    count = F.col("n_tokens") if tokens is None else tokens
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), source.alias("source"), name.alias("name"), tie.alias("tie"), count.cast("long").alias("n"))
     # Tokens are counted once; all that follows reads the written rows.
     rows = settle(own.where("n > 0"))
     totals = settle(rows.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")))
@@ -132,17 +136,16 @@ def draw(docs: DataFrame, tokens: Column | None = None, budget: int | None = Non
     most = totals.agg(F.max("rows")).first()[0] or 0
     # Hexadecimal digits of the key that make a slice: SLICE_ROWS rows of the largest source in each, or fewer.
     digits = max(2, math.ceil(math.log(max(most / SLICE_ROWS, 1), 16)))
-    hashed = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     passes = (
         _weighed(rows, weights)
         .withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.floor((F.greatest("quota", F.lit(1)) - 1) / F.col("tokens")).cast("int"))))
-        .withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("pass_no").cast("string"), F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("none "), F.xxhash64(*hashed).cast("string"))))))
+        .withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("pass_no").cast("string"), F.col("name"))))
         .withColumn("slice", F.substring("key", 1, digits))
     )
     group = ["source", "pass_no", "slice"]
     sums = passes.groupBy(*group).agg(F.sum("n").alias("own"))
     before = sums.select(*group, (F.sum("own").over(Window.partitionBy("source", "pass_no").orderBy("slice")) - F.col("own")).alias("before"))
-    ties = Window.partitionBy(*group).orderBy("key", "row.doc_id", "n", F.xxhash64(*hashed)).rowsBetween(Window.unboundedPreceding, 0)
+    ties = Window.partitionBy(*group).orderBy("key", "n", "tie").rowsBetween(Window.unboundedPreceding, 0)
     return (
         passes.withColumn("within", F.sum("n").over(ties))
         .join(before, group)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -96,7 +97,7 @@ def test_licenses_found(spark):
     assert by[50] == ["MIT"] and by[51] == by[52] == [] and len(got) == len(rows)
     wording = {n: license_scan.words(t) for n, t in license_scan.LICENSES.items()}
     for r in got:  # without the look at distinct words first
-        assert [x.license for x in r.licenses] == [x[0] for x in license_scan.scan(license_scan.words(r.text), wording, 0.8)] or len(r.text or "") > 50_000
+        assert [x.license for x in r.licenses] == [x[0] for x in license_scan.scan(license_scan.words(r.text), wording, 0.8)]
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
@@ -269,6 +270,41 @@ def test_lm_is_a_distribution(spark):
     assert 0.05 < sum(p for i, p in got.items() if i >= 100) < 1
 
 
+def test_lm_score_equals_a_dense_model(spark, monkeypatch):
+    """Transitions, masses and types counted anew in Python from the words' classes; small segments and turns."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"{rng.choice('ab')}{rng.randrange(40)}" for _ in range(rng.randrange(80)))) for i in range(120)] + [(500, None), (501, "new words here")]
+    docs = frame(spark, rows).withColumn("training", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    whole = {r.doc_id: r.score for r in brown_lm.score_texts(docs, classes=3, common=20, endings=4).collect()}
+    monkeypatch.setattr(brown_lm, "SEGMENT_BYTES", 40)
+    monkeypatch.setattr(brown_lm, "HELD", 5)
+    model, _ = brown_lm.build(docs, classes=3, common=20, endings=4)
+    got = {r.doc_id: (r.score, r.n_tokens) for r in brown_lm.score_texts(docs, classes=3, common=20, endings=4).collect()}
+    tail = {bytes(r.word): (r["class"], r.c) for r in model.tail.collect()}
+    v = model.vocabulary
+    tokens = {i: [w.encode() for w in split((t or "").translate(LOWER))] + [None] for i, t in rows}
+    train = [ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for ws in train for w in ws)
+    assert all(c == count[w] for w, (_, c) in tail.items()) and set(tail) | set(v.words) == set(count) - {None}
+
+    def of(w):
+        return 1 if w is None else int(model.of[v.words[w]]) if w in v.words else tail[w][0] if w in tail else int(model.of[v.endings.get(w[-3:], 0)])
+
+    n, table, mass, types = 5, Counter(), Counter(), Counter(of(w) for w in count)
+    for ws in train:
+        for a, b in zip([None, *ws], ws, strict=False):
+            table[of(a), of(b)] += 1
+            mass[of(b)] += 1
+    for i, ws in tokens.items():
+        score = 0.0
+        for a, b in zip([None, *ws], ws, strict=False):
+            row = [table[of(a), k] for k in range(n)]
+            kinds, single = sum(x > 0 for x in row), (mass[of(b)] + 1) / (sum(mass.values()) + n)
+            score += math.log10((row[of(b)] + kinds * single) / (sum(row) + kinds) if kinds else single)
+            score += math.log10((count[b] + 1) / (mass[of(b)] + types[of(b)] + 1))
+        assert got[i] == (pytest.approx(score), len(ws)) and whole[i] == pytest.approx(score)
+
+
 def test_lm_awkward(spark):
     assert len(lm(spark, AWKWARD)) == 8
     none = frame(spark, AWKWARD).withColumn("training", F.lit(None).cast("boolean"))
@@ -312,6 +348,17 @@ def test_decontamination(spark):
     assert left == {1: "keep, ! end", 2: None}
 
 
+def test_index_of_benchmark_is_bounded():
+    rng = random.Random(13)
+    items = [(f"item{k}", " ".join(rng.choice(["a", "bc", "def"]) for _ in range(rng.choice([3, 40, 4000])))) for k in range(40)]
+    for most in (20_000, 200_000):
+        parts = list(decontam.index_parts(items, 13, most))
+        assert len(parts) > 1 and all(0 < w.nbytes <= most and len(pickle.dumps(w)) <= most + 2000 for w in parts)
+        windows = {(n, w.data[w.starts[k] : w.starts[k + n] - 1]) for w in parts for n, (_, places) in w.tables.items() for k in places.tolist()}
+        own = [decontam.words(t) for _, t in items]
+        assert windows >= {(min(13, len(x)), b" ".join(x[k : k + 13])) for x in own for k in range(max(1, len(x) - 12))}
+
+
 # 7
 
 
@@ -330,6 +377,8 @@ def test_language_awkward(spark):
     assert langid.fit(docs.limit(0)) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.reject(docs, langid.fit(docs)).columns == docs.columns
+    assert {r.doc_id for r in langid.reject(docs, langid.fit(docs), 0.0).collect()} == {4, 5, None, 6, 7}
+    assert langid.reject(docs, langid.fit(docs), 0.0, ["yy"]).count() < 6 and langid.reject(docs, langid.fit(docs), 1.1).count() == 0
     assert langid.predict(frame(spark, [(1, "漢字だけ"), (2, "12 34")]), langid.fit(docs)).where("lang_pred = 'und'").count() == 1
 
 
@@ -347,6 +396,32 @@ def test_every_language_is_learnt(spark, bounds):
     assert sum(r.lang == r.lang_pred for r in got) >= 175
 
 
+def test_regression_equals_a_dense_one(spark):
+    """With all texts as landmarks and fitting rows: kernel ridge regression over a dense kernel matrix."""
+    rng = random.Random(21)
+    stems = {"a": "abcde", "b": "cdefg", "c": "fghij"}
+    rows = [(k, " ".join("".join(rng.choice(stems[lang]) for _ in range(4)) for _ in range(rng.randrange(1, 9))), lang) for k, lang in enumerate("abcab" * 8)]
+    docs = frame(spark, [*rows, *rows[:9]], DOCS + ", lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs, 300, 300)).collect()}
+    sets = [{t.encode()[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)} for _, t, _ in rows]
+    kernel = np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in sets] for x in sets])
+    names = [n for n, _ in Counter(x for *_, x in rows).most_common()]
+    truth = np.array([[1.0 if lang == n else -1.0 for n in names] for *_, lang in rows])
+    centred = kernel - kernel.mean(0)
+    alpha = np.linalg.solve(1e-3 * len(rows) * kernel + 1e-6 * np.eye(len(rows)) + centred.T @ centred, centred.T @ (truth - truth.mean(0)))
+    value = centred @ alpha + truth.mean(0)
+    for (k, _, _), own in zip(rows, value, strict=True):
+        assert got[k][0] == names[own.argmax()] and got[k][1] == pytest.approx(min(1, max(0, (1 + own.max()) / 2)), abs=2e-4)
+
+
+def test_sample_is_whole_for_short_labels(spark):
+    """A label with repeated rows only, beside large ones, is sampled all the same."""
+    rows = [(k, f"aa bb {k}", "big") for k in range(3000)] + [(1, "zz yy", "same")] * 3000 + [(9, "qq", "one")]
+    docs = frame(spark, rows, DOCS + ", lang string")
+    got = Counter(r.lang for r in langid._sample(docs, 20).collect())
+    assert got == {"big": 20, "same": 1, "one": 1}
+
+
 # 8
 
 
@@ -383,7 +458,7 @@ def removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [4, 5, 20])
+@pytest.mark.parametrize("window", [1, 4, 5, 20, 50])
 def test_repeats_removed(spark, window):
     rng = random.Random(window)
     rows = []
@@ -450,5 +525,44 @@ def test_packing_round_trip(spark, tmp_path):
     assert packing.pack_tokens(frame(spark, []), path).count() == 0
 
 
+CLASHING = "doc_id long, text string, source string, n_tokens long, key string, slice long, tokens long, quota long, row string, id long, n long, keep_id long, doc long, t1 long, t2 long, whole long, starts long, licenses long, struct struct<`a b`:int>"
+
+
+def clashing(spark):
+    rows = [(i, t, "s", 999, "k", 1, 2, 3, "r", 4, 5, 6, 7, 8, 9, 10, 11, 12, (13,)) for i, t in AWKWARD]
+    return frame(spark, rows, CLASHING)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = clashing(spark)
+    rest = lambda df: sorted(map(str, df.drop("licenses").distinct().collect()))
+    own = rest(docs)
+    assert rest(jaccard_join.keep_one(docs)) == own
+    assert rest(substring_dedup.remove_repeats(docs).select(*docs.columns)) == own
+    bench = frame(spark, [(1, "zz")], "item_id long, text string")
+    assert rest(decontam.remove_documents(docs, bench)) == own and rest(decontam.remove_spans(docs, bench)) == own
+    assert rest(license_scan.scan_licenses(docs)) == own
+    assert set(rest(mixing.draw(docs, mixing.count_words()).select("row.*"))) <= set(own)
+    assert rest(mixing.mix(docs).drop("pass_no", "from_token", "weight", "alpha")) == own
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = frame(spark, [("x", "a b c d e f"), ("7", "a b c d e f"), ("9", "a b c d e f"), (None, "q")], "doc_id string, text string")
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.shingle_components(docs).collect()) == [(0, 1, 0), (0, 2, 0), (7, 2, 7), (9, 2, 7)]
+    assert {r.doc_id for r in jaccard_join.keep_one(docs).collect()} == {"x", "7", None}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, 4).collect()} == {"x": 6, "7": 0, "9": 6, None: 0}
+    assert sorted(str(d) for r in packing.pack_tokens(docs, P.path("byte_bpe_50k.tiktoken"), 64).collect() for d in r.doc_ids) == ["7", "9", "None", "None"]
+    assert token_counts.count_tokens(docs, P.path("byte_bpe_50k.json")).count() == 4 and len(lm(spark, [(1, "a")])) == 1
+
+
+def test_ladder():
+    assert substring_dedup.ladder(20) == [5, 10] and substring_dedup.ladder(50) == [6, 12, 25] and substring_dedup.ladder(5) == [2] and substring_dedup.ladder(1) == [1]
+
+
+def test_no_candidates_survive(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(20)]
+    assert {r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()} == {0}
+
+
 def test_digests():
     assert decontam.digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
