@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+GROUP_BYTES = 16 << 20
 #: Spark's switch to drop an execution's shuffle files when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -41,7 +42,8 @@ def cleaning(spark: SparkSession):
 def write(df: DataFrame, path: str) -> DataFrame:
     """The rows written to path as Parquet and read from there; the shuffle files that made them are dropped."""
     with cleaning(df.sparkSession):
-        df.write.parquet(path)
+        # Small row groups: a writer holds one in memory.
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
