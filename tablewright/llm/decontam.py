@@ -188,14 +188,19 @@ def contamination(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """docs as a struct, and the text, so that no column's name clashes."""
-    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"])
+    """The columns of docs but text as a struct, and the text, so that no column's name clashes."""
+    others = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    return docs.select(F.struct(F.lit(0).alias("0"), *others).alias("row"), docs["text"])
+
+
+def _together(found: DataFrame, columns: list[str]) -> DataFrame:
+    return found.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns, whatever their names."""
     found = contamination(find_benchmark(_apart(docs), benchmark))
-    return found.where(~F.col("contaminated")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return _together(found.where(~F.col("contaminated")), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -219,7 +224,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = find_benchmark(_apart(docs), benchmark)
     schema = StructType([StructField(f.name, f.dataType) for f in found.schema.fields[:2]])
-    return found.mapInArrow(run, schema).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return _together(found.mapInArrow(run, schema), docs.columns)
 
 
 def digest(names: list[str]) -> str:

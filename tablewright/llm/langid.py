@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model | None, folded: int = FOLDED) -> DataF
             place = np.zeros(1 << 24, np.int32)  # 0: no n-gram of a landmark
             place[model.landmarks.grams] = np.arange(1, len(model.landmarks.grams) + 1)
             weights = np.concatenate([np.zeros((1, len(model.languages)), np.float32), model.landmarks.folded(model.alpha)])
-        for batch in batches:
+        for batch in T.parts(batches, "text"):
             column = batch.column("text")
             data, at = T.raw(column)
             best, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
@@ -238,8 +238,9 @@ def reject(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE, wan
     one-versus-rest regression says "rest"; the default asks for a clear no), and, where `wanted` is given, those of other languages.
     Columns of docs named lang_pred and score stay as they are.
     """
-    scored = predict(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"]), model)
+    others = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    scored = predict(docs.select(docs["text"], F.struct(F.lit(0).alias("0"), *others).alias("row")), model)
     keep = (F.col("lang_pred") != "und") & (F.col("score") >= least)
     if wanted is not None:
         keep &= F.col("lang_pred").isin(wanted)
-    return scored.where(keep).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return scored.where(keep).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
