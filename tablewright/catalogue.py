@@ -525,12 +525,12 @@ def budget_pack(spark, sf_dir):
     return windows.budget_pack(c, ["conv_id"], ["turn"], "n", 1000, F.col("role") == "system").select("conv_id", "turn", "taken")
 
 
-@query("""WITH d AS (SELECT doc_id, text, unnest(range(0, least(greatest(CAST(ceil((length(text) - 400) / 5600) AS BIGINT), 1), 12))) AS k FROM documents WHERE length(text) > 0)
+@query("""WITH d AS (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 400) / 5600) AS BIGINT), 1))) AS k FROM documents WHERE length(text) > 0)
 SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, md5(substring(text, k * 5600 + 1, 6000)) AS chunk FROM d""")
 def text_chunks(spark, sf_dir):
-    """Overlapping chunks of texts."""
+    """Overlapping chunks of whole texts."""
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return consensus.text_chunks(d, "text").select("doc_id", "chunk_no", F.md5("chunk").alias("chunk"))
+    return consensus.text_chunks(d, "text", most=None).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk"))
 
 
 @query(r"""WITH w AS (SELECT event_id, unnest(string_split(CASE WHEN event_id % 4 = 0 THEN '<5.1|(a) 3|- ' ELSE '12 ± 3|x7|1,234' END, '|')) AS raw, unnest([0, 1, 2]) AS col FROM events)
@@ -666,13 +666,13 @@ def graph_stats(spark, sf_dir):
     return graph.statistics(*_graph(spark, sf_dir))
 
 
-@query("""WITH v AS (SELECT c_custkey - 1 AS i, c_acctbal AS v FROM customer WHERE c_custkey <= 100),
-d AS (SELECT b, (('0x' || substring(md5('42:' || b || ':' || i), 1, 15))::BIGINT) % 100 AS at FROM range(0, 200) x(b), range(0, 100) y(i))
+@query("""WITH v AS (SELECT c_custkey - 1 AS i, c_acctbal AS v FROM customer), s AS (SELECT count(*) AS n FROM customer),
+d AS (SELECT b, (('0x' || substring(md5('42:' || b || ':' || v.i), 1, 15))::BIGINT) % s.n AS at FROM range(0, 200) x(b), v, s)
 SELECT b AS replicate, round(avg(v), 6) AS mean FROM d JOIN v ON v.i = d.at GROUP BY b""")
 def bootstrap_means(spark, sf_dir):
-    """Means of resamples of a small set of scores."""
-    v = _read(spark, sf_dir, "customer").where("c_custkey <= 100").select((F.col("c_custkey") - 1).alias("i"), F.col("c_acctbal").alias("v"))
-    return metrics.bootstrap(v, "v", "i", 100, 200).withColumn("mean", F.round("mean", 6))
+    """Means of resamples of all customers' balances (keys run from 1 without gaps)."""
+    c = _read(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("i"), F.col("c_acctbal").alias("v"))
+    return metrics.bootstrap(c, "v", "i", c.count(), 200).withColumn("mean", F.round("mean", 6))
 
 
 @query()
