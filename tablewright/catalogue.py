@@ -666,12 +666,12 @@ def graph_stats(spark, sf_dir):
     return graph.statistics(*_graph(spark, sf_dir))
 
 
-@query("""WITH v AS (SELECT c_custkey - 1 AS i, c_acctbal AS v FROM customer), s AS (SELECT count(*) AS n FROM customer),
+@query("""WITH v AS (SELECT c_custkey AS i, c_acctbal AS v FROM customer), s AS (SELECT count(*) AS n FROM customer),
 d AS (SELECT b, (('0x' || substring(md5('42:' || b || ':' || v.i), 1, 15))::BIGINT) % s.n AS at FROM range(0, 200) x(b), v, s)
 SELECT b AS replicate, round(avg(v), 6) AS mean FROM d JOIN v ON v.i = d.at GROUP BY b""")
 def bootstrap_means(spark, sf_dir):
-    """Means of resamples of all customers' balances (keys run from 1 without gaps)."""
-    c = _read(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("i"), F.col("c_acctbal").alias("v"))
+    """Means of resamples of all customers' balances (keys run from 0 without gaps)."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").alias("v"))
     return metrics.bootstrap(c, "v", "i", c.count(), 200).withColumn("mean", F.round("mean", 6))
 
 
