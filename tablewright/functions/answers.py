@@ -91,8 +91,8 @@ def records(c: Column, required: tuple[str, ...] = ()) -> Column:
 
 def tolerant(c: Column, schema: str) -> Column:
     """from_json, with the tolerant parser only where that finds nothing."""
-    valid = F.get_json_object(c, "$").isNotNull()
-    return F.coalesce(F.when(valid, F.from_json(c, schema)), F.from_json(answer_json(c), schema))
+    valid = F.get_json_object(c, "$").isNotNull()  # the others alone reach Python
+    return F.coalesce(F.when(valid, F.from_json(c, schema)), F.from_json(answer_json(F.when(~valid, c)), schema))
 
 
 HINTS = "header_row int, skip_rows int, transpose boolean, min_element_cols int, sample_id_col string, unit_override string, sheet_name string"

@@ -76,6 +76,11 @@ def capped_removal(rows: DataFrame, table: list[str], flag: Column, order: str,
     return rows.withColumns({"__f": flagged, "__k": place, "__m": most}).where(~F.col("__f") | (F.col("__k") > F.col("__m"))).drop("__f", "__k", "__m")
 
 
+def is_unsafe_name(name: Column) -> Column:
+    """a name that is a statistic and nothing else, has a count of analyses in brackets, or starts a source line."""
+    return name.rlike(rf"(?i)^\s*(?:{_any(vocab.SAFE_REMOVALS)}|n\s*=)\s*$") | name.rlike(r"(?i)\(n\s*=\s*\d+\)") | name.rlike(r"(?i)^source:\s")
+
+
 def may_be_relevant(text: Column) -> Column:
     """a table's text of 30 characters or more with a digit among the first 500."""
     return F.coalesce((F.length(text) >= 30) & F.left(text, F.lit(500)).rlike("[0-9]"), F.lit(False))

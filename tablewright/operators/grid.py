@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import numbers, strings, vocab
 from tablewright.operators.filters import is_sample
+from tablewright.operators.windows import fill_sparse_ids
 
 #: Names of columns by role, in order of preference.
 ROLES = {
@@ -43,11 +44,11 @@ def promote_header(cells: DataFrame, headers: DataFrame, table: list[str]) -> tu
 
 
 def merge_header_rows(headers: DataFrame, second: DataFrame, table: list[str], share: float = 0.4) -> DataFrame:
-    """Headers (table..., col, header) where a share of columns is unnamed take the labels of the next row for those, unless they are elements."""
+    """Headers (table..., col, header) take the labels of the next row for columns without names, where it labels a share of those (one at least); elements are no labels."""
     label = second.where(strings.element_header(F.col("raw")).isNull() & ~F.coalesce(numbers.plain_float(F.col("raw")).isNotNull(), F.lit(False))).select(*table, "col", F.trim("raw").alias("label"))
     rows = headers.join(label, [*table, "col"], "left").withColumn("__open", F.col("header").rlike(r"(?i)^(unnamed.*)?$"))
     over = Window.partitionBy(*table)
-    enough = F.count_if(F.col("__open") & F.col("label").isNotNull()).over(over) >= F.greatest(F.lit(1.0), share * F.count("*").over(over))
+    enough = F.count_if(F.col("__open") & F.col("label").isNotNull()).over(over) >= F.greatest(F.lit(1.0), share * F.count_if("__open").over(over))
     return rows.withColumn("__e", enough).select(*table, "col", F.when(F.col("__e") & F.col("__open"), F.coalesce("label", "header")).otherwise(F.col("header")).alias("header"))
 
 
@@ -73,12 +74,9 @@ def column_profile(cells: DataFrame, table: list[str], value: str = "raw") -> Da
 
 def role_columns(headers: DataFrame, table: list[str], roles: dict[str, list[str]] | None = None) -> DataFrame:
     """(table..., role, col): for each role the first column whose lower-cased name is one of the role's."""
-    rows = None
-    for role, names in (roles or ROLES).items():
-        place = F.array_position(F.array(*map(F.lit, names)), F.lower(F.trim("header")))
-        one = headers.where(place > 0).select(*table, F.lit(role).alias("role"), "col")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy(*table, "role").agg(F.min("col").alias("col"))
+    name = F.lower(F.trim("header"))
+    named = F.array_compact(F.array(*[F.when(name.isin(*names), F.lit(role)) for role, names in (roles or ROLES).items()]))
+    return headers.withColumn("role", F.explode(named)).groupBy(*table, "role").agg(F.min("col").alias("col"))
 
 
 def sample_id_column(headers: DataFrame, profile: DataFrame, table: list[str]) -> DataFrame:
@@ -195,21 +193,42 @@ def local_ids(rows: DataFrame, table: list[str], name: str, order: str, spot: st
     return out.withColumn("sample_local_id", F.coalesce(F.col(given), made) if given else made).drop("__k", "__n", "__m")
 
 
-def measurements(cells: DataFrame, headers: DataFrame, table: list[str], ids: DataFrame, least: int = 3) -> DataFrame:
-    """Long records of tables with enough element columns.
+def sample_names(cells: DataFrame, headers: DataFrame, table: list[str], ids: DataFrame, fill: bool = True, only_samples: bool = True) -> DataFrame:
+    """(table..., row, sample_name, mineral, sample_local_id) of data rows, in one pass over the cells.
+
+    Sparse ids are filled downwards; rows that name no sample are left out; repeated names
+    get local ids, by the column of spots where a table has one.
+    """
+    elements = element_columns(headers, table).groupBy(*table).agg(F.collect_set("col").alias("__e"))
+    roles = role_columns(headers, table).where("role in ('mineral', 'spot')").groupBy(*table)
+    roles = roles.agg(*[F.max(F.when(F.col("role") == r, F.col("col"))).alias(f"__{r}") for r in ("mineral", "spot")])
+    places = ids.select(*table, F.col("col").alias("__id")).join(elements, table, "left").join(roles, table, "left")
+    at = lambda c: F.max(F.when(F.col("col") == F.col(c), F.nullif(F.trim("raw"), F.lit(""))))
+    data = F.bool_or(F.array_contains("__e", F.col("col")) & numbers.plain_float(F.col("raw")).isNotNull())
+    # A column of spots that is the id itself gives no second part.
+    spot = F.max(F.when((F.col("col") == F.col("__spot")) & (F.col("__spot") != F.col("__id")), F.nullif(F.trim("raw"), F.lit(""))))
+    rows = cells.join(places, table).groupBy(*table, "row").agg(at("__id").alias("sample_name"), at("__mineral").alias("mineral"), spot.alias("__at"), data.alias("__has"))
+    if fill:
+        rows = fill_sparse_ids(rows, table, "row", "sample_name", F.coalesce("__has", F.lit(False)))
+    rows = rows.where(is_sample(F.col("sample_name")) if only_samples else F.col("sample_name").isNotNull())
+    return local_ids(rows, table, "sample_name", "row", "__at").drop("__at", "__has")
+
+
+def measurements(cells: DataFrame, headers: DataFrame, table: list[str], ids: DataFrame, least: int = 3, fill: bool = True, only_samples: bool = True) -> DataFrame:
+    """Long records of tables with enough element columns.
 
     cells without header; headers: table..., col, header; ids: table..., col of the sample
-    id.  Columns (table..., row, sample_name, element, value_ppm, state, detection_limit,
-    original_value, original_unit).  A column's unit is its header's, else that of the
-    unit row, else wt% by the range of a major element's values in a table that is not
-    ppm throughout, else ppm.
+    id.  Columns (table..., row, sample_name, sample_local_id, mineral, element, value_ppm,
+    state, detection_limit, original_value, original_unit).  A column's unit is its header's,
+    else that of the unit row, else wt% by the range of a major element's values in a table
+    that is not ppm throughout, else ppm.  `fill` and `only_samples`: see sample_names.
     """
     elements = element_columns(headers, table)
     enough = elements.groupBy(*table).agg(F.count_distinct("element").alias("k")).where(F.col("k") >= least).select(*table)
     units = unit_rows(cells, table)
     stated = cells.join(units, [*table, "row"], "left_semi").select(*table, "col", numbers.header_unit(F.col("raw")).alias("row_unit"))
     body = cells.join(units, [*table, "row"], "left_anti").join(enough, table, "left_semi")
-    names = body.join(ids, [*table, "col"], "left_semi").select(*table, "row", F.trim("raw").alias("sample_name")).where(is_sample(F.col("sample_name")))
+    names = sample_names(body, headers, table, ids, fill, only_samples)
     parsed = body.join(elements.join(stated, [*table, "col"], "left"), [*table, "col"]).withColumn("cell", numbers.parse_cell(F.col("raw")))
     totals = cells.join(headers.where("lower(trim(header)) = 'total'").select(*table, "col"), [*table, "col"], "left_semi")
     near = totals.groupBy(*table).agg(F.avg(numbers.plain_float(F.col("raw"))).between(85, 110).alias("percent_total"))
@@ -218,7 +237,7 @@ def measurements(cells: DataFrame, headers: DataFrame, table: list[str], ids: Da
     guess = F.when(F.coalesce("percent_total", F.lit(False)) & F.coalesce("is_percent", F.lit(False)), "wt%").otherwise("ppm")
     rows = rows.withColumn("unit", F.coalesce("unit", "row_unit", guess))
     return rows.join(names, [*table, "row"]).select(
-        *table, "row", "sample_name", "element",
+        *table, "row", "sample_name", "sample_local_id", "mineral", "element",
         F.round(numbers.to_ppm(F.col("cell.value"), F.col("unit")), 6).alias("value_ppm"),
         F.col("cell.state").alias("state"),
         F.round(numbers.to_ppm(F.col("cell.detection_limit"), F.col("unit")), 6).alias("detection_limit"),

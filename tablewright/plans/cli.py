@@ -60,7 +60,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
                 done = None
             sinks.write_results(sinks.unfinished(rows, done, "doc_id"), a.output, "doc_id")
         elif a.command == "graph":
-            more = {c: F.lit(None).cast("string") for c in ("deposit", "laboratory", "method", "mineral", "sample_local_id")}
+            more = {c: F.lit(None).cast("string") for c in ("deposit", "laboratory", "method")}
             nodes, edges = graph.build(rows.withColumns(more))
             nodes.write.parquet(f"{a.output}/nodes")
             edges.write.parquet(f"{a.output}/edges")

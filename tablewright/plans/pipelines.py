@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions import strings, vocab
+from tablewright.functions import numbers, strings, vocab
 from tablewright.operators import consensus, filters, grid, metrics
 from tablewright.plans.stages import settle
 
@@ -22,7 +22,11 @@ class Config:
     validate: bool = True
     explode_minerals: bool = True
     vote: bool = True
-    without: frozenset[str] = field(default_factory=frozenset)
+    promote: bool = True
+    fill_ids: bool = True
+    filter_rows: bool = True
+    only_data_tables: bool = False
+    text_backends: tuple[str, ...] = ("pdftext",)
 
     def variant(self, **changes) -> Config:
         return replace(self, **changes)
@@ -35,6 +39,11 @@ def ablations(base: Config) -> dict[str, Config]:
     return out | {f"without_{b}": base.variant(backends=tuple(x for x in base.backends if x != b)) for b in base.backends}
 
 
+def grid_ablations(base: Config) -> dict[str, Config]:
+    """Variants of the steps on grids: without each, and with only tables of data."""
+    return {"no_promotion": base.variant(promote=False), "no_id_fill": base.variant(fill_ids=False), "no_row_filter": base.variant(filter_rows=False), "only_data_tables": base.variant(only_data_tables=True)}
+
+
 def split_minerals(rows: DataFrame) -> DataFrame:
     """A row for each mineral of a list; a mineral that is not given is inferred from the analysis id."""
     named = F.filter(F.transform(F.split("mineral", ","), lambda x: F.trim(x)), lambda x: x != "")
@@ -44,11 +53,38 @@ def split_minerals(rows: DataFrame) -> DataFrame:
     return rows.withColumn("mineral", F.explode_outer(F.when(F.size(named) > 0, named))).withColumn("mineral", F.coalesce("mineral", inferred, coded))
 
 
+def named_columns(body: DataFrame, headers: DataFrame, table: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Headers that are all numbers, or lack names, take those of the first row of data: headers, and (table..., start) where data begin.
+
+    A row with numbers is data, and gives no names to columns without one.
+    """
+    body, headers = grid.promote_header(body, headers, table)
+    # Cells without text are not in the grid, so a column without a name is one that only the body has.
+    every = body.select(*table, "col").distinct().join(headers, [*table, "col"], "left").select(*table, "col", F.coalesce("header", F.lit("")).alias("header"))
+    first = body.groupBy(*table).agg(F.min("row").alias("row"))
+    second = body.join(first, [*table, "row"], "left_semi")
+    labels = second.join(second.where(numbers.plain_float(F.col("raw")).isNotNull()), table, "left_anti")
+    merged = settle(grid.merge_header_rows(every, labels, table).join(every.withColumnRenamed("header", "was"), [*table, "col"]))
+    gained = merged.groupBy(*table).agg(F.bool_or((F.col("was") == "") & (F.col("header") != "")).alias("gained"))
+    starts = first.join(gained, table).select(*table, (F.col("row") + F.col("gained").cast("int")).alias("start"))
+    return merged.where("header <> ''").drop("was"), starts
+
+
+def without_flagged(rows: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """long records without the samples whose names tell that they are none, a fifth of a document's samples at most."""
+    samples = rows.groupBy("doc_id", key).agg(F.max(name).alias(name), F.min(order).alias(order))
+    return rows.join(filters.capped_removal(samples, ["doc_id"], filters.is_unsafe_name(F.col(name)), order), ["doc_id", key], "left_semi")
+
+
 def extract(cells: DataFrame, config: Config = Config()) -> DataFrame:
     """Measurements of cell grids (doc_id, backend, table_no, row, col, raw), all documents at once.
 
-    Header rows are found, transposed tables turned, columns given roles and units, cells
-    parsed, rows that are no samples left out, versions of several backends reconciled.
+    Tables of statistics found in plain text are left out (B17), and, if asked for, grids too
+    small for data (B16); header rows are found, transposed tables turned, number headers and
+    second header rows promoted (B02, A02), columns given roles and units, sparse sample ids
+    filled downwards (W01), cells parsed, rows that are no samples left out, local ids made
+    (B19), versions of several backends reconciled, flagged samples removed under a cap (F03),
+    and a row given for each mineral (N13).  Each stage has its switch (P05).
     """
     table = ["doc_id", "backend", "table_no"]
     cells = settle(grid.clean_cells(cells.where(F.col("backend").isin(*config.backends))))  # files are read and parsed once
@@ -59,15 +95,28 @@ def extract(cells: DataFrame, config: Config = Config()) -> DataFrame:
     cells = grid.transpose(cells, turned, table)
     heads = heads.join(turned, table, "left").select(*table, F.coalesce("label_col", "h").alias("h"))
     placed = settle(cells.join(heads, table))
-    headers = grid.unique_headers(placed.where("row = h").select(*table, "col", F.col("raw").alias("header")), table)
-    body = placed.where("row > h").drop("h")
-    ids = grid.sample_id_column(headers, grid.column_profile(body, table), table)
-    rows = grid.measurements(body, headers, table, ids, config.least_elements)
-    if not config.vote:
-        return rows.select("doc_id", "backend", "sample_name", "element", "value_ppm", "state", "detection_limit", "original_value", "original_unit")
-    numbered = rows.withColumn("ord", F.col("table_no").cast("long") * 1_000_000 + F.col("row"))
+    headers, body = placed.where("row = h").select(*table, "col", F.col("raw").alias("header")), placed.where("row > h").drop("h")
+    if config.only_data_tables:
+        body = body.join(grid.is_data_table(body, table).where("is_data"), table, "left_semi")
+    if set(config.text_backends) & set(config.backends):
+        texts = body.where(F.col("backend").isin(*config.text_backends))
+        body = body.join(grid.is_summary_table(texts, table).where("is_summary"), table, "left_anti")
+    if config.promote:
+        headers, starts = named_columns(body, headers, table)
+        body = body.join(settle(starts), table).where("row >= start").drop("start")
+    headers = grid.unique_headers(headers, table)
+    ids = settle(grid.sample_id_column(headers, grid.column_profile(body, table), table))
+    rows = grid.measurements(body, headers, table, ids, config.least_elements, config.fill_ids, config.filter_rows)
+    rows = rows.withColumns({"ord": F.col("table_no").cast("long") * 1_000_000 + F.col("row"), "__key": F.coalesce("sample_local_id", "sample_name")})
+    rows = settle(rows)  # what follows reads them several times
+    if config.validate:
+        rows = without_flagged(rows, "__key", "sample_name", "ord")
     values = ["value_ppm", "state", "detection_limit", "original_value", "original_unit"]
-    return consensus.consensus(numbered, ["doc_id"], ["sample_name", "element"], "backend", "ord", values)
+    if config.vote:
+        rows = consensus.consensus(rows, ["doc_id"], ["__key", "element"], "backend", "ord", ["sample_name", "sample_local_id", "mineral", *values]).drop("__key")
+    else:
+        rows = rows.select("doc_id", "backend", "sample_name", "sample_local_id", "mineral", "element", *values)
+    return split_minerals(rows) if config.explode_minerals else rows
 
 
 def domain_records(cells: DataFrame, headers: DataFrame, domain: str, config: Config = Config()) -> DataFrame:

@@ -11,10 +11,13 @@ def settle(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder, and read from there.
 
     What several later steps need is then made once, and their plans start from it.  The
-    folder is the session's spark.checkpoint.dir; where that is unset, a temporary one.
+    folder is the session's spark.checkpoint.dir; a local session without one takes a
+    temporary folder, a cluster stops with an error, since its executors could not read it.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

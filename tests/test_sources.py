@@ -113,6 +113,40 @@ def test_pipeline_votes_and_turns(spark):
     assert len(pipelines.ablations(pipelines.Config())) == 14
 
 
+def test_extract_stages(spark):
+    """B02, A02, B16, B17, W01, B19, N13 and F03 as stages of the pipeline, each with its switch."""
+    grids = {
+        ("numbers", "docling"): [["0", "1", "2", "3"], ["Sample", "Fe ppm", "Cu ppm", "Zn ppm"], ["A", "1", "2", "3"]],
+        ("second", "docling"): [["Sample", "Fe ppm", "Cu ppm", "Zn ppm"], ["", "", "", "", "Mineral"], ["A", "1", "2", "3", "py, sph"]],
+        ("sparse", "docling"): [["Sample", "Fe ppm", "Cu ppm", "Zn ppm"]] + [[f"S{k // 5}" if k % 5 == 0 else "", str(k + 1), "2", "3"] for k in range(15)],
+        ("spots", "docling"): [["Sample", "Spot", "Fe ppm", "Cu ppm", "Zn ppm"], ["A", "1", "1", "2", "3"], ["A", "2", "4", "5", "6"], ["B", "1", "7", "8", "9"]],
+        ("statistics", "pdftext"): [["Sample", "Fe ppm", "Cu ppm", "Zn ppm"], ["A", "1", "2", "3"], ["Median", "1", "2", "3"]],
+        ("flags", "docling"): [["Sample", "Fe ppm", "Cu ppm", "Zn ppm"], ["A", "1", "2", "3"], ["Mean", "1", "2", "3"], ["Total", "4", "5", "6"]],
+    }
+    cells = [(d, b, 0, r, c, v) for (d, b), rows in grids.items() for r, row in enumerate(rows) for c, v in enumerate(row) if v]
+    cells = spark.createDataFrame(cells, "doc_id string, backend string, table_no int, row int, col int, raw string")
+    base = pipelines.Config(backends=("docling", "pdftext"))
+
+    def run(**changes):
+        got = {}
+        for r in pipelines.extract(cells, base.variant(**changes)).where("element = 'fe'").collect():
+            got.setdefault(r.doc_id, []).append((r.sample_name, r.sample_local_id, r.mineral, r.value_ppm))
+        return {k: sorted(v, key=str) for k, v in got.items()}
+
+    got = run()
+    assert got["numbers"] == [("A", None, None, 1.0)] and "statistics" not in got and got["flags"] == [("A", None, None, 1.0)]
+    assert got["second"] == [("A", None, "py", 1.0), ("A", None, "sph", 1.0)]
+    assert got["spots"] == [("A", "A-spot1", None, 1.0), ("A", "A-spot2", None, 4.0), ("B", "B-spot1", None, 7.0)]
+    assert len(got["sparse"]) == 15 and ("S1", "S1-5", None, 10.0) in got["sparse"]
+    other = run(fill_ids=False, filter_rows=False, explode_minerals=False, promote=False, text_backends=())
+    assert len(other["sparse"]) == 3 and len(other["statistics"]) == 1
+    assert other["second"] == [("A", None, None, 1.0)]  # without the second header row the column of minerals has no name
+    assert [r[0] for r in other["flags"]] == ["A", "Total"]  # a fifth of the samples at most, one at least: the first flagged
+    assert [r[0] for r in run(filter_rows=False, validate=False)["flags"]] == ["A", "Mean", "Total"]
+    assert set(run(only_data_tables=True)) == {"sparse", "spots", "flags"}
+    assert set(pipelines.grid_ablations(base)) == {"no_promotion", "no_id_fill", "no_row_filter", "only_data_tables"}
+
+
 def test_graph_round_trip(spark):
     rows = spark.createDataFrame([("p", "D", None, "EPMA", "pyrite", "S1@1", "S1-1", "cu", 5.0, "measured"), ("p", "D", None, "SIMS", "pyrite", "S1@1", "S1-1", "cu", 6.0, "measured")], "doc_id string, deposit string, laboratory string, method string, mineral string, sample_name string, sample_local_id string, element string, value_ppm double, state string")
     nodes, edges = graph.build(rows, element_edges=True)
