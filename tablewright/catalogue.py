@@ -266,7 +266,7 @@ def leaderboard(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
 def topk_per_group(spark, sf_dir):
-    """Three largest orders of each customer."""
+    """Three largest orders of each customer."""
     o = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return windows.top_k(o, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
 
@@ -282,7 +282,7 @@ def fingerprint_dedup(spark, sf_dir):
 @query("""SELECT user_id, arg_min(CASE WHEN event_id % 3 <> 0 THEN event_type END, CASE WHEN event_id % 3 <> 0 THEN event_id END) AS event_type,
 arg_min(CASE WHEN event_id % 4 <> 0 THEN value END, CASE WHEN event_id % 4 <> 0 THEN event_id END) AS value, min(event_id) AS event_id FROM events GROUP BY user_id""")
 def first_non_null_merge(spark, sf_dir):
-    """One row a user, columns from the first event that has them."""
+    """One row a user, columns from the first event that has them."""
     e = _read(spark, sf_dir, "events")
     rows = e.select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"))
     return consensus.first_non_null(rows, ["user_id"], "event_id").select("user_id", "event_type", "value", "event_id")
@@ -545,9 +545,9 @@ def numeric_cells(spark, sf_dir):
 
 @query("SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events")
 def json_props(spark, sf_dir):
-    """JSON by schema, tolerantly."""
+    """JSON by schema, tolerantly."""
     e = _read(spark, sf_dir, "events")
-    return e.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    return e.select("event_id", answers.tolerant(F.col("props"), "k int")["k"].alias("k"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS k FROM customer)
@@ -780,7 +780,7 @@ def mineral_split(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
 def resume_unfinished(spark, sf_dir):
-    """Documents without a result."""
+    """Documents without a result."""
     done = _read(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
     return sinks.unfinished(_read(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
@@ -794,7 +794,7 @@ def backend_cascade(spark, sf_dir):
 
 @query("""SELECT conv_id, md5(to_json({'c': list({'turn': turn, 'role': role} ORDER BY turn)})) AS node FROM conversations GROUP BY conv_id""")
 def nested_json_export(spark, sf_dir):
-    """Nested JSON of each group."""
+    """Nested JSON of each group."""
     c = _read(spark, sf_dir, "conversations")
     node = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("c")))
     return c.groupBy("conv_id").agg(F.md5(node).alias("node"))
@@ -812,6 +812,102 @@ def local_ids(spark, sf_dir):
     return grid.local_ids(rows, ["l_orderkey"], "name", "o").select("l_orderkey", "l_linenumber", "l_partkey", "sample_local_id")
 
 
+@query(f"""WITH {_GP}, r AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN type END AS c1, type AS c2, CASE WHEN value % 3 <> 0 THEN value END AS v FROM gold),
+t AS (SELECT doc_id, ord, v, 0 AS p, c1 AS name FROM r UNION ALL SELECT doc_id, ord, v, 1, c2 FROM r), k AS (SELECT *, min(p) OVER (PARTITION BY doc_id, name) AS least FROM t WHERE name IS NOT NULL)
+SELECT doc_id, name, arg_min(v, CASE WHEN v IS NOT NULL THEN ord END) AS v, min(ord) AS ord FROM k WHERE p = least GROUP BY ALL""")
+def row_lookup(spark, sf_dir):
+    """Each order's records by type, in the first of two columns that has it, merged by first non-null."""
+    _, gold = _records(spark, sf_dir)
+    rows = gold.select("doc_id", "ord", F.when(F.col("ord") % 2 == 0, F.col("type")).alias("c1"), F.col("type").alias("c2"), F.when(F.col("value") % 3 != 0, F.col("value")).alias("v"))
+    names = gold.select("doc_id", F.col("type").alias("name")).distinct()
+    return matching.row_by_name(names, rows, ["doc_id"], "name", ["c1", "c2"])
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(event_id % 5 AS INTEGER) END AS header_row, CASE WHEN event_id % 3 < 2 THEN event_id % 2 = 0 END AS transpose, CASE WHEN event_id % 3 = 0 THEN event_type END AS sheet_name FROM events""")
+def parse_hints(spark, sf_dir):
+    """Parsing hints from answers that are plain JSON, fenced JSON in prose, or none."""
+    e = _read(spark, sf_dir, "events")
+    number, flag = (F.col("event_id") % 5).cast("string"), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false")
+    whole = F.format_string('{"header_row": %s, "transpose": %s, "sheet_name": "%s"}', number, flag, F.col("event_type"))
+    fenced = F.format_string('The header is in row %s:\n```json\n{"header_row": %s, "transpose": %s}\n```', number, number, flag)
+    answer = F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 3 == 1, fenced).otherwise("no idea")
+    return e.select("event_id", answers.hints(answer).alias("h")).select("event_id", "h.header_row", "h.transpose", "h.sheet_name")
+
+
+@query("""SELECT conv_id, md5(to_json({'@context': 'https://schema.org/', '@type': 'Sample', '@id': CAST(conv_id AS VARCHAR), 'measurement': list({'element': role, 'value_ppm': turn, 'state': 'measured'} ORDER BY role, turn)})) AS node FROM conversations GROUP BY conv_id""")
+def jsonld_export(spark, sf_dir):
+    """A JSON-LD node of each conversation, its turns as measurements."""
+    c = _read(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("element"), F.col("turn").alias("value_ppm"), F.lit("measured").alias("state"))
+    return sinks.to_jsonld(c, "conv_id").select("conv_id", F.md5("node").alias("node"))
+
+
+@query("""WITH done AS (SELECT DISTINCT 'b' || (o_orderkey % 3) AS model, o_orderpriority AS domain, CAST(o_custkey % 4 AS INTEGER) AS shots FROM orders)
+SELECT m AS model, d AS domain, s AS shots FROM unnest(['b0', 'b1', 'b2']) x(m), (SELECT DISTINCT o_orderpriority AS d FROM orders), unnest([0, 1, 3, 5]) z(s) WHERE (m, d, s) NOT IN (SELECT (model, domain, shots) FROM done)""")
+def job_matrix(spark, sf_dir):
+    """Combinations of system, priority and number of examples without a result."""
+    o = _read(spark, sf_dir, "orders")
+    done = o.select(F.concat(F.lit("b"), (F.col("o_orderkey") % 3).cast("string")).alias("model"), F.col("o_orderpriority").alias("domain"), (F.col("o_custkey") % 4).cast("int").alias("shots")).distinct()
+    domains = [r[0] for r in o.select("o_orderpriority").distinct().collect()]  # the few values of an enumeration
+    return pipelines.job_matrix(spark, ["b0", "b1", "b2"], domains, [0, 1, 3, 5], done)
+
+
+_TYPES = [(1, "widget works", "economy", "Brand#5", "small parts of brass"), (2, "bolt shop", "standard", "Brand#13", "cold steel bolts and large widgets"), (3, "gear yard", "promo", "Brand#2", "red gear, economy size")]
+
+
+@query(r"""WITH t AS (SELECT unnest([{'i': 1, 'n': 'widget works', 'g': 'economy', 'e': 'brand#5', 'd': 'small parts of brass'}, {'i': 2, 'n': 'bolt shop', 'g': 'standard', 'e': 'brand#13', 'd': 'cold steel bolts and large widgets'}, {'i': 3, 'n': 'gear yard', 'g': 'promo', 'e': 'brand#2', 'd': 'red gear, economy size'}]) AS t),
+d AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS g, lower(p_brand) AS e, lower(split_part(p_name, ' ', 1)) AS c FROM part),
+w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(n, '[^a-z0-9]+'), lambda x: len(x) > 2)) AS k, list_distinct(list_filter(regexp_split_to_array(t.d, '[^a-z0-9]+'), lambda x: len(x) > 2)) AS td, list_distinct(list_filter(regexp_split_to_array(t.n, '[^a-z0-9]+'), lambda x: len(x) > 2)) AS tn FROM d, t),
+s AS (SELECT p_partkey, t.i AS type_id, t.n AS name, round(least(1.0, (CASE WHEN contains(n, t.n) OR contains(t.n, n) THEN 0.4::DOUBLE ELSE 0 END) + (CASE WHEN contains(g, t.g) OR contains(t.g, g) THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN e = t.e THEN 0.1::DOUBLE ELSE 0 END)
+ + least(0.2::DOUBLE, 0.2::DOUBLE * len(list_intersect(k, td)) / greatest(len(k), 1)) + (CASE WHEN contains(t.d, c) THEN 0.1::DOUBLE ELSE 0 END) + (CASE WHEN len(list_intersect(k, tn)) > 0 THEN 0.1::DOUBLE ELSE 0 END)), 4) AS score FROM w)
+SELECT p_partkey, type_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, type_id) AS r FROM s WHERE score > 0.05) WHERE r <= 2""")
+def type_scores(spark, sf_dir):
+    """The two best of three types for each part, by six signals."""
+    p = _read(spark, sf_dir, "part")
+    docs = p.select("p_partkey", F.col("p_name").alias("deposit"), F.col("p_type").alias("deposit_group"), F.col("p_brand").alias("environment"), F.col("p_name").alias("keywords"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("commodity"))
+    types = spark.createDataFrame(_TYPES, "type_id int, name string, grp string, environment string, description string")
+    return windows.score_types(docs, types, 2).select("p_partkey", "type_id", "name", "score")
+
+
+@query(r"""WITH p AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id), u AS (SELECT conv_id, unnest(r) AS x, generate_subscripts(r, 1) AS k FROM p), f AS (SELECT conv_id, x, min(k) AS k FROM u GROUP BY ALL)
+SELECT conv_id, string_agg(x, ',' ORDER BY k) AS roles FROM f GROUP BY conv_id""")
+def ordered_distinct(spark, sf_dir):
+    """The roles of a conversation in order of first appearance."""
+    c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
+    return c.select("conv_id", F.array_join(windows.ordered_distinct(F.col("r")), ",").alias("roles"))
+
+
+@query(r"""SELECT doc_id, coalesce(length(text) >= 30 AND regexp_matches(left(text, 500), '[0-9]'), false) AS relevant FROM documents""")
+def table_relevance(spark, sf_dir):
+    """whether a text may hold a table."""
+    return _read(spark, sf_dir, "documents").select("doc_id", filters.may_be_relevant(F.col("text")).alias("relevant"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN value END AS v, regexp_extract(cast(ts AS VARCHAR), '([0-9]{4})', 1)::INTEGER AS year FROM events""")
+def plain_numbers(spark, sf_dir):
+    """Plain numbers in texts that may have units, and years."""
+    e = _read(spark, sf_dir, "events")
+    text = F.when(F.col("event_type").isin("click", "view"), F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" "))).otherwise(F.concat(F.col("value").cast("string"), F.lit(" ppm")))
+    return e.select("event_id", numbers.plain_float(text).alias("v"), numbers.first_year(F.col("ts")).alias("year"))
+
+
+@query("""SELECT p_partkey, round((p_size + 2) * p_partkey / 4.0 - 1, 6) AS total FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 2 = 1""")
+def safe_arithmetic(spark, sf_dir):
+    """Expressions of numbers, and others that have no value."""
+    text = F.when(F.col("p_partkey") % 2 == 0, F.format_string("(%d + 2) * %d / 4 - 1", "p_size", "p_partkey")).otherwise(F.format_string("size(%d) + 1", "p_size"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.round(numbers.evaluate_column(text), 6).alias("total"))
+
+
+@query(r"""WITH c AS (SELECT p_partkey // 5 AS t, p_partkey % 5 AS row, unnest([0, 1, 2, 3]) AS col, unnest([CASE WHEN p_partkey % 13 = 0 THEN 'Mean ' || p_name ELSE p_name END, p_type, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) AS raw FROM part),
+n AS (SELECT t, count(DISTINCT row) AS n_rows, bool_or(col = 0 AND regexp_matches(raw, '^Mean ')) AS is_summary FROM c GROUP BY t)
+SELECT t, n_rows, 2 * n_rows AS n_numeric, n_rows >= 3 AS is_data, is_summary FROM n""")
+def table_kinds(spark, sf_dir):
+    """Tables of data and tables of statistics, of five parts each."""
+    p = _read(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 13 == 0, F.concat(F.lit("Mean "), F.col("p_name"))).otherwise(F.col("p_name"))
+    cells = p.select(F.floor(F.col("p_partkey") / 5).alias("t"), (F.col("p_partkey") % 5).alias("row"), F.posexplode(F.array(name, "p_type", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))).alias("col", "raw"))
+    return grid.is_data_table(cells, ["t"]).join(grid.is_summary_table(cells, ["t"]), "t").select("t", "n_rows", "n_numeric", "is_data", "is_summary")
+
+
 @query()
 def name_match(spark, sf_dir):
     """One-to-one sample names by equality, normalised equality and prefix."""
