@@ -908,6 +908,39 @@ def table_kinds(spark, sf_dir):
     return grid.is_data_table(cells, ["t"]).join(grid.is_summary_table(cells, ["t"]), "t").select("t", "n_rows", "n_numeric", "is_data", "is_summary")
 
 
+@query("""WITH r AS (SELECT user_id AS doc_id, event_id, CAST(event_id % 4 AS VARCHAR) AS value, CASE event_id % 3 WHEN 0 THEN 'Result' WHEN 1 THEN 'Data Stat.' END AS type, event_type AS model, CASE WHEN event_id % 5 <> 0 THEN 'd' || (event_id % 2) END AS dataset,
+ CASE WHEN event_id % 2 = 0 THEN 'accuracy' ELSE 'other score' END AS metric FROM events)
+SELECT doc_id, event_id, value, type, model, dataset, metric FROM r WHERE type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, value, type, model, coalesce(dataset, '') ORDER BY event_id) = 1""")
+def result_records(spark, sf_dir):
+    """Records of results with types and metrics as they are written, validated and deduplicated."""
+    n = F.col("event_id")
+    r = _read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), "event_id", (n % 4).cast("string").alias("value"), F.when(n % 3 == 0, "Scores").when(n % 3 == 1, "dataset statistics").otherwise("colour").alias("type"),
+        F.col("event_type").alias("model"), F.when(n % 5 != 0, F.concat(F.lit("d"), (n % 2).cast("string"))).alias("dataset"), F.when(n % 2 == 0, "Acc.").otherwise("other score").alias("metric"),
+    )
+    return pipelines.result_records(r, ["event_id"])
+
+
+@query(r"""WITH t AS (SELECT p_partkey // 10 AS t, p_partkey AS row, unnest(['fe', 'cu', 'zn', 'pb']) AS element, unnest([CAST(p_size AS DOUBLE), p_retailprice, 1.0, CASE WHEN p_partkey % 2 = 0 THEN 5.0 + p_partkey END]) AS value FROM part),
+e AS (SELECT t, element, count(value) AS n, count(DISTINCT value) AS d FROM t GROUP BY ALL), u AS (SELECT t, count(*) FILTER (n > 0) AS n_elements, count(*) FILTER (n > 3 AND d = 1) AS n_uniform FROM e GROUP BY t), r AS (SELECT t, count(DISTINCT row) AS n_rows FROM t GROUP BY t)
+SELECT t, n_rows, n_elements, n_uniform, round(40 + least(30.0, 30.0 * n_elements / 15) + CASE WHEN t % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN n_uniform = 0 THEN 10 ELSE 0 END, 2) AS score, n_rows >= 1 AND n_elements >= 3 AS passed FROM r JOIN u USING (t)""")
+def quality_gate(spark, sf_dir):
+    """quick score of tables of ten parts."""
+    p = _read(spark, sf_dir, "part").withColumn("t", F.floor(F.col("p_partkey") / 10))
+    value = lambda e, c: F.struct(F.lit(e).alias("element"), c.cast("double").alias("value"))
+    four = F.array(value("fe", F.col("p_size")), value("cu", F.col("p_retailprice")), value("zn", F.lit(1.0)), value("pb", F.when(F.col("p_partkey") % 2 == 0, 5.0 + F.col("p_partkey"))))
+    cells = p.select("t", F.col("p_partkey").alias("row"), F.inline(four))
+    return filters.quick_quality(cells, ["t"], p.select("t", (F.col("t") % 2 == 0).alias("has_id")).distinct())
+
+
+@query("""SELECT doc_id, event_id, kind FROM (SELECT user_id AS doc_id, event_id, CASE event_id % 5 WHEN 0 THEN 'inactive' WHEN 1 THEN 'below_detection' ELSE 'none' END AS kind FROM events)""")
+def null_words(spark, sf_dir):
+    """what the values of assays say instead of a number."""
+    n = F.col("event_id")
+    text = F.when(n % 5 == 0, F.concat(F.lit(">"), F.col("value").cast("string"))).when(n % 5 == 1, F.concat(F.lit(" <"), F.col("value").cast("string"))).otherwise(F.col("value").cast("string"))
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", filters.null_kind(text, "assay").alias("kind"))
+
+
 @query()
 def name_match(spark, sf_dir):
     """One-to-one sample names by equality, normalised equality and prefix."""

@@ -129,6 +129,18 @@ def domain_records(cells: DataFrame, headers: DataFrame, domain: str, config: Co
     return consensus.keep_first(data, keys, ["table_no", "row", "col"])
 
 
+def result_records(records: DataFrame, order: list[str], config: Config = Config()) -> DataFrame:
+    """Records of experimental results (doc_id, value, type, model, dataset, and metric, task or others), validated against the vocabularies and deduplicated.
+
+    They come from a model's answers (N11); the first in order of each value, type, model
+    and dataset stays, a missing part being like an empty one.
+    """
+    data = filters.valid_results(records) if config.validate else records
+    parts = ["value", "type", "model", "dataset"]
+    keyed = data.withColumns({f"__{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts})
+    return consensus.keep_first(keyed, ["doc_id", *(f"__{c}" for c in parts)], order).drop(*(f"__{c}" for c in parts))
+
+
 def job_matrix(spark, models: list[str], domains: list[str], shots: list[int], done: DataFrame | None = None) -> DataFrame:
     """All combinations (model, domain, shots) that are not done."""
     jobs = spark.createDataFrame(list(product(models, domains, shots)), "model string, domain string, shots int")
