@@ -97,6 +97,13 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE_RANKS))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest edits and a digest of what they leave."""
+    from tablewright.llm.conversation_repair import damage, repair, summarise
+
+    return summarise(repair(damage(_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,6 +123,7 @@ QUERIES = {
         op8_token_counts,
         op9_substring_dedup,
         op10_token_packing,
+        op12_conversation_repair,
         pipeline,
     )
 }
@@ -213,10 +221,81 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, len(w.w) - coalesce(k.n, 0
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
+
+
+def _edit(key: str, cost: str, letter: str) -> str:
+    """A key of 10 digits of cost and the edits so far, after one more edit."""
+    return f"(lpad(CAST(CAST(left({key}, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({key}, 11) || '{letter}')"
+
+
+def _if(test: str, value: str) -> str:
+    return f"CASE WHEN {test} THEN {value} END"
+
+
+# The least of (cost, edits) by row and state (b: nothing yet, s, u, a: after that role), row after row.
+_OP12 = rf"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+),
+c AS (
+  SELECT k.*, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT)), lambda c, b: xor(t.t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295) % 20 AS kind FROM k, t
+),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM c WHERE kind <> 0
+),
+o AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest, left(role, 1) AS ini
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN rest = '' THEN 'b' WHEN again THEN 'd' WHEN right(rest, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o
+),
+n AS MATERIALIZED (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id
+),
+r(conv_id, i, b, s, u, a) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '0000000000', CAST(NULL AS VARCHAR), '0000000005I', '0000000010II' FROM n
+  UNION ALL
+  SELECT conv_id, i, b, s, u, least(a, {_edit("u", "5", "I")}) FROM (
+    SELECT conv_id, i, b, s, least(u, {_edit("b", "5", "I")}, {_edit("s", "5", "I")}, {_edit("a", "5", "I")}) AS u, a FROM (
+      SELECT r.conv_id, f.i, {_edit("r.b", "2", "D")} AS b,
+        least({_edit("r.s", "2", "D")}, {_if("ok AND ini = 's'", _edit("r.b", "more", "K"))}) AS s,
+        least({_edit("r.u", "2", "D")}, {", ".join(_if("ok AND ini = 'u'", _edit(f"r.{x}", "more", "K")) + ", " + _if("ok", _edit(f"r.{x}", "1 + more", "R")) for x in "bsa")}) AS u,
+        least({_edit("r.a", "2", "D")}, {_if("ok AND ini = 'a'", _edit("r.u", "more", "K"))}, {_if("ok", _edit("r.u", "1 + more", "R"))}) AS a
+      FROM r JOIN (SELECT conv_id, i, ini, fault NOT IN ('b', 'd') AS ok, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS more FROM f) f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1
+    )
+  )
+),
+e AS MATERIALIZED (SELECT r.conv_id, CAST(left(least(b, a), 10) AS BIGINT) AS cost, substr(least(b, a), 11) AS audit FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = n.n),
+p AS (SELECT conv_id, x, substr(audit, x, 1) AS l FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS x FROM e)),
+q AS (SELECT *, count(*) FILTER (l <> 'I') OVER w AS i, count(*) FILTER (l <> 'D') OVER w AS y FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY x)),
+v AS (
+  SELECT q.conv_id, q.x, q.y, l, f.role, f.text, max(CASE WHEN q.y = 1 AND l = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS system
+  FROM q LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i WHERE l <> 'D'
+),
+g AS (
+  SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN (y - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY x) AS body
+  FROM v GROUP BY conv_id
+)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) z
+LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
 ORACLE = {
     "op1_exact_topk_codes": _OP1,
     "op3_ngram_jaccard_join": _OP3,
     "op4_temperature_mixing": _OP4,
     "op6_benchmark_decontamination": _OP6,
     "op9_substring_dedup": _OP9,
+    "op12_conversation_repair": _OP12,
 }
