@@ -104,6 +104,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(repair(damage(_table(spark, sf_dir, "conversations"))))
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and likenesses to that and to the next document."""
+    from tablewright.llm.order_minhash import edited_pairs
+
+    pairs = edited_pairs(_table(spark, sf_dir, "documents"))
+    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,6 +132,7 @@ QUERIES = {
         op9_substring_dedup,
         op10_token_packing,
         op12_conversation_repair,
+        op13_order_minhash,
         pipeline,
     )
 }
