@@ -97,6 +97,13 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE_RANKS))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for every benchmark item."""
+    from tablewright.llm.impact_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation, its cheapest edits and a digest of what they leave."""
     from tablewright.llm.conversation_repair import damage, repair, summarise
@@ -131,6 +138,7 @@ QUERIES = {
         op8_token_counts,
         op9_substring_dedup,
         op10_token_packing,
+        op11_impact_search,
         op12_conversation_repair,
         op13_order_minhash,
         pipeline,
@@ -231,6 +239,20 @@ FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
 
+_OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS MATERIALIZED (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20
+"""
+
 
 def _edit(key: str, cost: str, letter: str) -> str:
     """A key of 10 digits of cost and the edits so far, after one more edit."""
@@ -306,5 +328,6 @@ ORACLE = {
     "op4_temperature_mixing": _OP4,
     "op6_benchmark_decontamination": _OP6,
     "op9_substring_dedup": _OP9,
+    "op11_impact_search": _OP11,
     "op12_conversation_repair": _OP12,
 }
