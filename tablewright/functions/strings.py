@@ -46,17 +46,22 @@ def normalize_text(c: Column, fold: bool = False) -> Column:
 def value_core(c: Column) -> Column:
     """The value before an uncertainty or a bracket, without a unit of up to 15 letters; comparators stay.
 
-    A number is a comparator, a sign, digits with thousands and decimals, and a power of ten; what
-    follows it is a unit if it is short and of letters, blanks and unit marks only.
+    What starts the text and is of signs, digits, points, commas and a power of ten is read as a number.  If it is one, and what
+    follows is short and has letters, blanks and unit marks only, that is a unit; else the text stays as it is.
     """
-    c = F.trim(F.split_part(F.translate(c.cast("string"), "\u00a0\u2009", ""), F.lit("\u00b1"), F.lit(1)))
-    c = F.rtrim(F.split_part(c, F.lit("("), F.lit(1)))
-    digits, power = r"\d[\d,]*[.]?\d*", r"([eE][+-]?\d+)?"
-    number = F.regexp_extract(c, rf"^[<>]?\s*[+-]?{digits}{power}", 0)
-    unit = F.trim(F.substr(c, F.length(number) + 1))
-    letters = F.translate(unit, "\u03bc\u00b5%/\u00b7", "")
-    named = (number != "") & F.length(unit).between(1, 15) & letters.rlike(r"^[A-Za-z\s]*$")
-    return F.when(named, F.regexp_replace(number, r"\s", "")).otherwise(c)
+    plain = F.trim(F.split_part(F.split_part(F.translate(c.cast("string"), "\u00a0\u2009", ""), F.lit("\u00b1"), F.lit(1)), F.lit("("), F.lit(1)))
+    tail = F.ltrim(plain, F.lit("<>+-0123456789., "))
+    power = F.ltrim(F.substr(tail, F.lit(2)), F.lit("+-0123456789"))
+    # The letter e is a power of ten only if digits follow it.
+    raised = F.lower(F.left(tail, F.lit(1))).eqNullSafe("e") & (F.length(power) < F.length(tail) - 1)
+    rest = F.when(raised, power).otherwise(tail)
+    number = F.trim(F.left(plain, F.length(plain) - F.length(rest)))
+    compared = F.left(number, F.lit(1)).isin("<", ">")
+    bare = F.when(compared, F.ltrim(F.substr(number, F.lit(2)))).otherwise(number)
+    counts = F.replace(bare, F.lit(","), F.lit("")).try_cast("double").isNotNull() & ~F.left(bare, F.lit(1)).isin(".", ",") & ~F.substring(bare, 1, 2).isin("+.", "-.")
+    unit = F.trim(rest)
+    named = counts & F.length(unit).between(1, 15) & (F.translate(F.lower(unit), "abcdefghijklmnopqrstuvwxyz\u03bc\u00b5%/\u00b7 ", "") == "")
+    return F.when(named, F.when(compared, F.concat(F.left(number, F.lit(1)), bare)).otherwise(bare)).otherwise(plain)
 
 
 def words(c: Column) -> Column:
@@ -176,18 +181,29 @@ def short_deposit(c: Column) -> Column:
 
 
 def reference_materials(c: Column) -> Column:
-    """Codes of reference materials, by kind and then by mention, each once (any case), joined by commas; a text without any stays."""
-    number = r"\d+[a-z]?"
-    kinds = [
-        *(rf"{code}-{number}" for code in vocab.STANDARD_CODES),
-        *(series.replace(" ", r"\s*") + rf"\s*{number}" for series in vocab.STANDARD_SERIES),
-        r"stdgl\d+[a-z]*-?\d*",
-        r"usgs\s+[a-z]+[-\d]+",
-        r"s-[a-z]+\d+[a-z]?",
-        rf"[a-z]+-{number}",
-        *(rf"{sulfide}\b(?:\s*\([^)]+\))?" for sulfide in vocab.STANDARD_SULFIDES),
-    ]
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(c, F.lit(f"(?i)(?<![a-z]){k}"), F.lit(0)), lambda x: F.trim(x)) for k in kinds)))
+    """Codes of reference materials in the order of mention, each once (any case), joined by commas; a text without any stays.
+
+    A code is a word of letters, a dash and a number (MASS-1, BHVO-2g); a series with its number in the same word or the next one
+    (SRM610, NBS 612, USGS MASS-1), together with NIST before SRM; or a sulfide by its formula.
+    """
+    marks = " ,;:()[]\n\t"
+    tokens = F.filter(F.split(F.translate(c, marks, " " * len(marks)), " +"), lambda w: w != "")
+    series = F.array(*map(F.lit, vocab.STANDARD_SERIES))
+    sulfides = F.array(*(F.lit(s.lower()) for s in vocab.STANDARD_SULFIDES))
+    letters = lambda w: F.upper(F.regexp_replace(w, "[^A-Za-z].*$", ""))
+    after = lambda w: F.substr(w, F.length(letters(w)) + 1)
+    numbered = lambda x: x.rlike("^[0-9]+[A-Za-z]?$")
+
+    def code(w, i):
+        name, tail = letters(w), after(w)
+        following, before = F.coalesce(F.get(tokens, i + 1), F.lit("")), F.upper(F.coalesce(F.get(tokens, i - 1), F.lit("")))
+        dashed = (name != "") & (F.left(tail, F.lit(1)) == "-") & (numbered(F.substr(tail, F.lit(2))) | ((name == "S") & tail.rlike("^-[A-Za-z]+[0-9]+[A-Za-z]?$")))
+        joined = F.array_contains(series, name) & ((tail != "") & F.left(tail, F.lit(1)).rlike("[0-9]"))
+        apart = F.array_contains(series, F.upper(w)) & numbered(following)
+        prefix = F.when(before.isin("NIST", "USGS") & (F.upper(w) != before), F.concat(F.get(tokens, i - 1), F.lit(" "))).otherwise("")
+        return F.when(dashed | joined, F.concat(prefix, w)).when(apart, F.concat(prefix, w, F.lit(" "), following)).when(F.array_contains(sulfides, F.lower(w)), w)
+
+    found = F.filter(F.transform(tokens, code), lambda x: x.isNotNull())
     once = F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
     return F.when(F.size(once) > 0, F.array_join(once, ", ")).otherwise(c)
 

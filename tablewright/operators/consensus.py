@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import strings
+from tablewright.operators.components import connected
 
 
 def fingerprint(c: Column, fold: bool = False, head: int = 1200, length: int = 400) -> Column:
@@ -71,10 +72,19 @@ def text_chunks(docs: DataFrame, text: str, size: int = 6000, overlap: int = 400
 
 
 def judge_groups(tables: DataFrame, groups: DataFrame, doc: list[str], order: str, text: str) -> DataFrame:
-    """Of tables that a judge's groups (doc..., group_id, order) put together the longest; tables it does not mention stay."""
-    g = tables.join(groups, [*doc, order], "left").withColumn("__g", F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat(F.lit("t"), F.col(order).cast("string"))))
+    """Of tables that a judge put together the longest, the first of equals; tables it does not mention stay.
+
+    groups: doc..., group_id, order: a judge's answers, of several calls or judges if need be.  Groups that share a table are one,
+    however many steps it takes (connected components over tables and groups), so no table is kept twice.  Tables that are in no group, and
+    numbers that are no table's, change nothing.
+    """
+    node = lambda kind, c: F.struct(*doc, F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name"))
+    named = groups.dropna(subset=["group_id", order])
+    parts = connected(named.select(node("table", order).alias("a"), node("group", "group_id").alias("b")))
+    own = parts.where("node.kind = 'table'").select(*(F.col(f"node.{c}").alias(c) for c in doc), F.col("node.name").alias("__name"), F.col("component.name").alias("__g"))
+    g = tables.withColumn("__name", F.col(order).cast("string")).join(own, [*doc, "__name"], "left").withColumn("__t", F.when(F.col("__g").isNull(), F.col("__name")))
     best = F.max_by(F.struct(order, text), F.struct(F.length(text), (-F.col(order)).alias("o")))
-    return g.groupBy(*doc, "__g").agg(best.alias("b")).select(*doc, f"b.{order}", f"b.{text}")
+    return g.groupBy(*doc, "__g", "__t").agg(best.alias("b")).select(*doc, f"b.{order}", f"b.{text}")
 
 
 def upsert_nodes(nodes: DataFrame, order: str) -> DataFrame:

@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import numbers, strings, vocab
+from tablewright.operators.dictionary import found_names
 
-def _any(names: list[str]) -> str:
-    """A pattern of any of some names, blanks being white space."""
-    return "(?:" + "|".join(re.escape(n).replace(r"\ ", r"\s+") for n in names) + ")"
+NOTE_MARKS = r"^(Note:|note:|\*|†|‡|§)"
+#: How a text that is no sample name starts.
+NOT_A_SAMPLE = ["note", "source", "remark", "abbreviation", "detection limit", "mean", "average", "median", "std", "standard deviation", "min", "max", "total"]
 
 
-SUMMARY_ROW = rf"(?i)^\s*(?:{_any(vocab.STATISTIC_ROWS + vocab.NOTE_ROWS)}(?!\w)|n\s*=|sample\s*$|sp[a-z]\s+n\s*=)"
-EMBEDDED_SUMMARY = rf"(?i)\(\s*n\s*=\s*\d+\s*\)|\b{_any(vocab.STATISTIC_WORDS)}\b"
-#: The name of a material and its number; in front, s_ or g_ of sulfide and glass standards.
-REFERENCE_STANDARD = (
-    rf"(?i)^\s*(?:(?:[sg]_?)?{_any(vocab.NUMBERED_STANDARDS)}[-_]?\d+\w?|(?:[sg]_?)?{_any(vocab.SPACED_STANDARDS)}\s*\d+\w?|[sg]_?nist|usgs\s*\w+|stdgl\w*|reference\s+standard)\s*$"
-)
-NOTE_MARKS = r"^(Note:|note:|\*|†|‡|§)"
-NOT_A_SAMPLE = r"(?i)^\s*(note|source|remark|abbreviation|detection limit|mean|average|median|std|standard deviation|min|max|total)\b"
+def _starts(low: Column, names: list[str]) -> Column:
+    """Whether a lower-cased text starts with one of some names, as a whole word."""
+    whole = lambda n: low.startswith(n) & ~F.substring(low, len(n) + 1, 1).rlike("[0-9a-z_]")
+    return reduce(lambda a, b: a | b, map(whole, names))
+
+
+def _words(low: Column) -> Column:
+    """Runs of letters and digits of a lower-cased text."""
+    return F.filter(F.split(low, "[^0-9a-z]+"), lambda w: w != "")
+
+
+def is_statistic(name: Column) -> Column:
+    """a row of statistics: it starts with one's name, has one among its words, or says how many spots it is of (n = 24)."""
+    low = strings.collapse(F.lower(name))
+    tight = F.replace(low, F.lit(" "), F.lit(""))
+    count = F.split_part(tight, F.lit("n="), F.lit(1))
+    # n = at the start, in brackets, or after a mineral's short name.
+    counted = tight.contains("n=") & ((count == "") | (count.endswith("(") & tight.rlike(r"n=[0-9]+[)]")) | (F.length(count).between(2, 4) & F.contains(low, F.lit(" n"))))
+    return _starts(low, vocab.STATISTIC_ROWS) | F.arrays_overlap(_words(low), F.array(*map(F.lit, vocab.STATISTIC_WORDS))) | counted
+
+
+def is_heading(name: Column) -> Column:
+    """a row of units or of remarks on the table, or a header row that came with the data."""
+    low = strings.collapse(F.lower(name))
+    return _starts(low, vocab.UNIT_ROWS + vocab.NOTE_ROWS) | (low == "sample")
+
+
+def is_reference_material(name: Column) -> Column:
+    """the letters of a reference material and its number (MASS-1, G_NIST610, BHVO-2G), with s_ or g_ of sulfide and glass standards before them."""
+    low = F.replace(strings.collapse(F.lower(name)), F.lit("nist srm"), F.lit("nistsrm"))
+    low = F.when(F.left(low, F.lit(2)).isin("s_", "g_"), F.substr(low, F.lit(3))).otherwise(low)
+    letters = F.regexp_replace(low, "[^a-z].*$", "")
+    number = F.ltrim(F.substr(low, F.length(letters) + 1), F.lit(" _-"))
+    known = F.array(*map(F.lit, vocab.ROW_STANDARDS))
+    shorter = F.substr(letters, F.lit(2))
+    series = F.when(F.array_contains(known, letters), letters).when(F.left(letters, F.lit(1)).isin("s", "g") & F.array_contains(known, shorter), shorter)
+    # A few stand alone, or with a word in place of the number.
+    bare = ((series == "nist") & (number == "")) | ((series == "usgs") & (F.size(_words(low)) == 2)) | low.startswith("stdgl") | (low == "reference standard")
+    return F.coalesce(bare, F.lit(False)) | F.coalesce(number.rlike("^[0-9]+[a-z]?$") & series.isNotNull(), F.lit(False))
 
 
 def is_note(c: Column) -> Column:
@@ -39,7 +71,7 @@ def is_citation(c: Column) -> Column:
 
 def is_sample(name: Column) -> Column:
     """whether a row's sample id names a sample: no statistics, reference material, note, citation or blank."""
-    bad = name.rlike(SUMMARY_ROW) | name.rlike(EMBEDDED_SUMMARY) | name.rlike(REFERENCE_STANDARD) | is_note(name) | is_citation(name)
+    bad = is_statistic(name) | is_heading(name) | is_reference_material(name) | is_note(name) | is_citation(name)
     return name.isNotNull() & ~F.trim(name).isin("", "nan", "None", "NaN") & ~bad
 
 
@@ -64,7 +96,7 @@ def sample_rows(rows: DataFrame, table: list[str], name: str, deposit: str | Non
 
 def is_non_sample(name: Column) -> Column:
     """a name of over 100 characters, or one that starts like a note or a statistic."""
-    return (F.length(name) > 100) | name.rlike(NOT_A_SAMPLE)
+    return (F.length(name) > 100) | _starts(F.lower(F.ltrim(name)), NOT_A_SAMPLE)
 
 
 def capped_removal(rows: DataFrame, table: list[str], flag: Column, order: str, share: float = 0.2) -> DataFrame:
@@ -78,7 +110,9 @@ def capped_removal(rows: DataFrame, table: list[str], flag: Column, order: str,
 
 def is_unsafe_name(name: Column) -> Column:
     """a name that is a statistic and nothing else, has a count of analyses in brackets, or starts a source line."""
-    return name.rlike(rf"(?i)^\s*(?:{_any(vocab.SAFE_REMOVALS)}|n\s*=)\s*$") | name.rlike(r"(?i)\(n\s*=\s*\d+\)") | name.rlike(r"(?i)^source:\s")
+    low = strings.collapse(F.lower(name))
+    tight = F.replace(low, F.lit(" "), F.lit(""))
+    return low.isin(*vocab.SAFE_REMOVALS) | (tight == "n=") | tight.rlike(r"[(]n=[0-9]+[)]") | low.startswith("source: ")
 
 
 def may_be_relevant(text: Column) -> Column:
@@ -89,14 +123,22 @@ def may_be_relevant(text: Column) -> Column:
 def valid_assays(rows: DataFrame, types: list[str]) -> DataFrame:
     """assay records of a known type, other than those not tested, with canonical units and targets."""
     kept = rows.where(F.col("type").isin(*types) & ~F.coalesce(F.lower(F.trim("value")).isin(*vocab.NOT_TESTED), F.lit(False)))
-    return kept.withColumns({"unit": strings.canonical(F.col("unit"), vocab.ASSAY_UNITS, blanks=True), "target": strings.canonical(F.col("target"), vocab.TARGETS, blanks=True)})
+    return kept.withColumns({"unit": strings.canonical(F.col("unit"), vocab.ASSAY_UNITS, blanks=True), "target": strings.canonical(F.col("target"), vocab.TARGETS)})
+
+
+def component_of(c: Column) -> Column:
+    """The formula of a component by its formula (any case, blanks and a closing bracket such as (mol%) aside) or its name; null for others."""
+    low = strings.collapse(F.lower(c))
+    formulas = {f.lower().replace(" ", ""): f for f in [*vocab.COMPOUNDS, *vocab.COMPONENT_ELEMENTS]}
+    bare = F.regexp_replace(low, r"\s*[(][^()]*[)]$", "")
+    tries = [F.try_element_at(strings.table(known), F.replace(x, F.lit(" "), F.lit("")) if known is formulas else x) for x in (low, bare) for known in (formulas, vocab.COMPONENT_NAMES)]
+    return F.coalesce(*tries)
 
 
 def valid_compositions(rows: DataFrame) -> DataFrame:
     """composition records of a known component with a value; unknown units are mol."""
-    known = {c.lower(): c for c in vocab.COMPOUNDS}
     unit = F.coalesce(numbers.glass_unit(F.col("unit")), F.lit("mol"))
-    out = rows.withColumns({"component": strings.canonical(F.col("component"), known, keep=False), "unit": unit})
+    out = rows.withColumns({"component": component_of(F.col("component")), "unit": unit})
     return out.where(F.col("component").isNotNull() & (null_kind(F.col("value"), "composition") == "none"))
 
 
@@ -121,16 +163,20 @@ def null_kind(value: Column, domain: str) -> Column:
 def check_picklist(values: DataFrame, picklist: DataFrame, field: str, value: str, least: float = 0.5) -> DataFrame:
     """(field, value, status, canonical): exact (any case), suggestion (one contains the other; best ratio of lengths above the least), unknown, or unlisted.
 
-    picklist: field, term.  Only distinct values are compared with the field's terms.
+    picklist: field, term.  Which of the distinct values holds which term, or lies in it, is found by two scans with automata
+    (found_names), not by comparing a field's values with all its terms.
     """
-    v = values.select(field, value).distinct().where(F.col(value).isNotNull())
-    terms = picklist.select(F.col("field").alias(field), "term").distinct()
-    low, term = F.lower(F.trim(value)), F.lower("term")
-    ratio = F.least(F.length(low), F.length(term)) / F.greatest(F.length(low), F.length(term))
-    score = F.when(low == term, 2.0).when((low.contains(term) | F.contains(term, low)) & (ratio > least), ratio)
-    best = v.join(F.broadcast(terms) if picklist.isLocal() else terms, field, "left").withColumn("score", score)
-    got = best.groupBy(field, value).agg(F.max_by("term", F.when(F.col("score").isNotNull(), F.struct("score", "term"))).alias("canonical"), F.max("score").alias("score"), F.count("term").alias("n_terms"))
-    status = F.when(F.col("n_terms") == 0, "unlisted").when(F.col("score") == 2, "exact").when(F.col("score").isNotNull(), "suggestion").otherwise("unknown")
+    v = values.select(field, value).distinct().where(F.col(value).isNotNull()).withColumn("__low", F.lower(F.trim(value)))
+    terms = picklist.select(F.col("field").alias(field), "term").where("term is not null").distinct().withColumn("__t", F.lower("term"))
+    lows, wanted = v.select("__low").distinct(), terms.select("__t").distinct()
+    inside = found_names(lows, ["__low"], "__low", wanted, "__t").withColumnRenamed("name", "__t")
+    around = found_names(wanted, ["__t"], "__t", lows, "__low").withColumnRenamed("name", "__low")
+    ratio = F.least(F.length("__low"), F.length("__t")) / F.greatest(F.length("__low"), F.length("__t"))
+    pairs = inside.unionByName(around).distinct().withColumn("score", F.when(F.col("__low") == F.col("__t"), 2.0).when(ratio > least, ratio)).where("score is not null")
+    best = v.join(pairs, "__low").join(terms, [field, "__t"]).groupBy(field, value).agg(F.max_by("term", F.struct("score", "term")).alias("canonical"), F.max("score").alias("score"))
+    listed = terms.select(field).distinct().withColumn("__listed", F.lit(True))
+    got = v.join(best, [field, value], "left").join(listed, field, "left")
+    status = F.when(F.col("__listed").isNull(), "unlisted").when(F.col("score") == 2, "exact").when(F.col("score").isNotNull(), "suggestion").otherwise("unknown")
     return got.select(field, value, status.alias("status"), "canonical")
 
 

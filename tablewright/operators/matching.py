@@ -9,13 +9,16 @@ tolerance is no equivalence and stays ordered inside a group (tolerance_match).
 
 from __future__ import annotations
 
+import bisect
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tablewright.functions import strings
+from tablewright.operators import dictionary, ranks, similarity
 
 
 def records(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[str]], columns: list[str] | None = None, order: str = "ord") -> DataFrame:
@@ -110,36 +113,104 @@ def index_counts(pred: DataFrame, gold: DataFrame, keys: list[str], attributes:
     return both.groupBy(*doc).agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"))
 
 
-def tolerance_match(pred: DataFrame, gold: DataFrame, keys: list[str], value: str = "value", tolerance: float = 0.01, relative: bool = False, order: str = "ord") -> DataFrame:
+class _Open:
+    """The truths of a group that are free, by value; the first in order within a tolerance is found in logarithmic time."""
+
+    def __init__(self, values: list[float], tolerance: float, relative: bool):
+        self.by_value = sorted(range(len(values)), key=values.__getitem__)
+        self.values = [values[k] for k in self.by_value]
+        self.tolerance, self.relative = tolerance, relative
+        self.size = 1 << max(0, len(values) - 1).bit_length()
+        # A tree of least places in order: leaf k is that of the k-th value, or past all if it is taken.
+        self.none = len(values)
+        self.tree = [self.none] * self.size + self.by_value + [self.none] * (self.size - len(values))
+        for k in range(self.size - 1, 0, -1):
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+        self.leaf = {place: k for k, place in enumerate(self.by_value)}
+
+    def near(self, v: float, g: float) -> bool:
+        return abs(v - g) / (max(abs(g), 1e-9) if self.relative else 1.0) < self.tolerance
+
+    def take(self, v: float) -> int | None:
+        """The place of the first free truth near a value, which is then taken."""
+        middle = bisect.bisect_left(self.values, v)
+        # Truths near v are a run around it: none between it and one that is near is not.
+        lo = bisect.bisect_left(range(middle), True, key=lambda k: self.near(v, self.values[k]))
+        hi = middle + bisect.bisect_left(range(middle, len(self.values)), True, key=lambda k: not self.near(v, self.values[k]))
+        least, a, b = self.none, lo + self.size, hi + self.size
+        while a < b:
+            if a & 1:
+                least, a = min(least, self.tree[a]), a + 1
+            if b & 1:
+                b -= 1
+                least = min(least, self.tree[b])
+            a, b = a >> 1, b >> 1
+        if least == self.none:
+            return None
+        k = self.leaf[least] + self.size
+        self.tree[k] = self.none
+        while k > 1:
+            k >>= 1
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+        return least
+
+
+def _cell(v: Column, tolerance: float, relative: bool) -> Column:
+    """A whole number by which values that can match differ by 1 at most."""
+    if not relative:
+        return F.floor(v / tolerance)
+    size = F.floor(F.ln(F.greatest(F.abs(v), F.lit(1e-9)) / 1e-9) / -math.log(1 - tolerance)) + 1
+    return F.when(F.abs(v) <= 1e-9, F.lit(0)).otherwise(F.signum(v) * size).cast("long")
+
+
+def tolerance_match(pred: DataFrame, gold: DataFrame, keys: list[str], value: str = "value", tolerance: float = 0.01, relative: bool = False, order: str = "ord", hot: int = 1 << 16) -> DataFrame:
     """Greedy pairs (keys..., p_ord, g_ord) of values closer than a tolerance, in order, inside equal keys.
 
-    The groups are the keys' classes, not whole documents, so a long document is spread.
-    relative: the difference is divided by the truth.  Values that are null are left out.
+    Each prediction in order takes the first truth in order that is free and near it.  relative: the difference is divided by the
+    truth, and the tolerance is below 1.  Rows whose value or one of whose keys is null, or whose value is no finite number, are left out.  Orders of one
+    key and side tell rows apart.
+
+    Rows stream through tasks sorted by key, truths first; of a key the truths are held in a tree, so n rows take n log n
+    steps.  A key of more than `hot` rows is cut where no value lies within the tolerance: values are put into cells of its width, and a
+    run of cells without an empty one between has nothing to do with others.
     """
-    kinds = {c: t for c, t in pred.dtypes}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", p_ord long, g_ord long"
-    # A group is many classes of keys: a call for each small class would cost more than its work.
-    buckets = 4 * int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        truths: dict = {}
-        for *key, o, v in right.sort_values("o")[[*keys, "o", "v"]].itertuples(index=False):
-            truths.setdefault(tuple(key), []).append((v, o))
-        out = []
-        for *key, o, v in left.sort_values("o")[[*keys, "o", "v"]].itertuples(index=False):
-            open_ = truths.get(tuple(key), ())
-            for k, (g, g_ord) in enumerate(open_):
-                if abs(v - g) / (max(abs(g), 1e-9) if relative else 1.0) < tolerance:
-                    out.append((*key, o, g_ord))
-                    del open_[k]
-                    break
-        return pd.DataFrame(out, columns=[*keys, "p_ord", "g_ord"])
-
-    def side(df: DataFrame):
-        rows = df.select(*[F.col(k).alias(k) for k in keys], F.col(order).alias("o"), F.col(value).cast("double").alias("v")).dropna(subset=["v", *keys])
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
-
-    return side(pred).cogroup(side(gold)).applyInPandas(pairs, schema)
+    if relative and not 0 < tolerance < 1:
+        raise ValueError("a relative tolerance is between 0 and 1")
+    side = lambda df, true: df.select(*keys, F.col(value).cast("double").alias("__v"), F.col(order).cast("long").alias("__o"), F.lit(true).alias("__true"))
+    rows = side(pred, False).unionByName(side(gold, True)).dropna(subset=["__v", *keys]).where(F.abs("__v") < float("inf")).withColumn("__run", F.lit(0).cast("long"))
+    crowded = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).drop("__n")
+    if not crowded.isEmpty():
+        much = rows.join(crowded, keys, "left_semi").withColumn("__cell", _cell(F.col("__v"), tolerance, relative))
+        cells = much.select(*keys, "__cell").distinct()
+        before = cells.select(*keys, (F.col("__cell") + 1).alias("__cell"), F.lit(True).alias("__goes_on"))
+        starts = cells.join(before, [*keys, "__cell"], "left").withColumn("__start", F.when(F.col("__goes_on").isNull(), F.col("__cell"))).drop("__goes_on")
+        runs = ranks.fill_down(starts, [*keys, "__cell"], "__start", "__r").select(*keys, "__cell", F.col("__r").cast("long").alias("__r"))
+        much = much.join(runs, [*keys, "__cell"]).select(*keys, "__v", "__o", "__true", F.col("__r").alias("__run"))
+        rows = rows.join(crowded, keys, "left_anti").unionByName(much)
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("p_ord", LongType()), StructField("g_ord", LongType())])
+
+    def paired(batches):
+        now, truths, orders, free = None, [], [], None
+        for batch in batches:
+            lists = [c.to_pylist() for c in batch.columns]
+            at, p_ord, g_ord = [], [], []
+            for k, (*key, v, o, true) in enumerate(zip(*lists, strict=True)):
+                if key != now:
+                    now, truths, orders, free = key, [], [], None
+                if true:
+                    truths.append(v)
+                    orders.append(o)
+                elif truths:
+                    free = free or _Open(truths, tolerance, relative)
+                    if (place := free.take(v)) is not None:
+                        at.append(k)
+                        p_ord.append(o)
+                        g_ord.append(orders[place])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in keys), pa.array(p_ord, pa.int64()), pa.array(g_ord, pa.int64())], schema.names)
+
+    sorted_rows = rows.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", F.desc("__true"), "__o").select(*keys, "__run", "__v", "__o", "__true")
+    return sorted_rows.mapInArrow(paired, schema)
 
 
 def max_weight_pairs(weights: list[list[float]], least: float = 0.25) -> list[tuple[int, int]]:
@@ -318,28 +389,38 @@ def error_classes(pred: DataFrame, gold: DataFrame, doc: list[str], near: bool =
     return out.groupBy("class").agg(F.count("*").alias("n"))
 
 
-def closest_text(nodes: DataFrame, wanted: DataFrame, page: list[str], least: float = 0.25) -> DataFrame:
-    """For each wanted value the page's node text with the highest word F1 (the first in text order of equals), or <NULL> below the least."""
-    scored = wanted.join(nodes, page).withColumn("f1", strings.word_f1(F.col("node_text"), F.col("value")))
-    best = scored.groupBy(*page, "attribute", "value").agg(F.max(F.struct("f1", F.expr("-node_ord").alias("k"), "node_text")).alias("b"))
-    return best.select(*page, "attribute", "value", F.when(F.col("b.f1") >= least, F.col("b.node_text")).otherwise("<NULL>").alias("node_text"), F.col("b.f1").alias("f1"))
+def closest_text(nodes: DataFrame, wanted: DataFrame, page: list[str], levels: tuple[float, ...] = (0.8, 0.5, 0.25)) -> DataFrame:
+    """For each wanted value (page..., attribute, value) the page's node text (node_ord, node_text) with the highest word F1, the first in text order of equals, or <NULL> (f1 null) below the last level.
+
+    An index search that goes down the levels (similarity.closest), so that a value is not compared with all nodes of its page.
+    """
+    found = similarity.closest(wanted.select(*page, "value"), nodes.select(*page, F.col("node_text").alias("value"), "node_ord"), page, "value", "node_ord", levels)
+    return wanted.select(*page, "attribute", "value").join(found, [*page, "value"], "left").select(*page, "attribute", "value", F.coalesce("node_text", F.lit("<NULL>")).alias("node_text"), "f1")
 
 
 def material_of(cells: DataFrame, names: DataFrame, table: list[str]) -> DataFrame:
     """For each value cell (row, col) the label cell above or left of it that best contains a known name or is contained in one.
 
-    cells: table..., row, col, raw; names: table..., material.  Best is the larger ratio of
-    lengths, then the smaller column, then the smaller row.
+    cells: table..., row, col, raw, one a place; names: table..., material.  Best is the larger ratio of
+    lengths, then the smaller column, then the smaller row.  Which label holds which name is found by two scans of the distinct texts
+    (found_names); the best label before a cell is a running maximum down its column and along its row.
     """
-    labels = cells.select(*table, F.col("row").alias("l_row"), F.col("col").alias("l_col"), F.lower(F.trim("raw")).alias("label")).where("label <> ''")
-    known = labels.join(names.select(*table, F.lower(F.trim("material")).alias("material")), table)
-    part = F.col("label").contains(F.col("material")) | F.col("material").contains(F.col("label"))
+    own = names.select(*table, F.lower(F.trim("material")).alias("material")).where("material <> ''").distinct()
+    marked = cells.select(*table, "row", "col", F.lower(F.trim("raw")).alias("label"), F.col("raw").rlike(r"^\s*[<>]?\s*[-+]?\d").alias("is_value"))
+    labels, materials = marked.select("label").where("label <> ''").distinct(), own.select("material").distinct()
+    inside = dictionary.found_names(labels, ["label"], "label", materials, "material").withColumnRenamed("name", "material")
+    around = dictionary.found_names(materials, ["material"], "material", labels, "label").withColumnRenamed("name", "label")
     ratio = F.least(F.length("label"), F.length("material")) / F.greatest(F.length("label"), F.length("material"))
-    known = known.where(part).withColumn("ratio", ratio)
-    targets = cells.where(F.col("raw").rlike(r"^\s*[<>]?\s*[-+]?\d")).select(*table, "row", "col")
-    above = targets.join(known, table).where("(l_col = col and l_row < row) or (l_row = row and l_col < col)")
-    best = F.max_by(F.col("material"), F.struct("ratio", (-F.col("l_col")).alias("a"), (-F.col("l_row")).alias("b"), "material"))
-    return above.groupBy(*table, "row", "col").agg(best.alias("material"))
+    pairs = inside.unionByName(around).distinct().withColumn("ratio", ratio)
+    known = marked.select(*table, "label").distinct().join(pairs, "label").join(own, [*table, "material"])
+    best = known.groupBy(*table, "label").agg(F.max(F.struct("ratio", "material")).alias("b"))
+    placed = marked.join(best, [*table, "label"], "left")
+    # By ratio, then the smaller column and row, then the name.
+    rank = F.when(F.col("b").isNotNull(), F.struct(F.col("b.ratio").alias("ratio"), (-F.col("col")).alias("c"), (-F.col("row")).alias("r"), F.col("b.material").alias("material")))
+    placed = placed.withColumn("rank", rank)
+    before = lambda line, along: F.max("rank").over(Window.partitionBy(*table, line).orderBy(along).rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumns({"above": before("col", "row"), "left": before("row", "col")})
+    return placed.where(F.col("is_value")).withColumn("best", F.greatest("above", "left")).where("best is not null").select(*table, "row", "col", F.col("best.material").alias("material"))
 
 
 def tuple_counts(pred: DataFrame, gold: DataFrame, keys: list[str], doc: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,3 +248,59 @@ def bootstrap_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
     ranked = means.withColumn("k", F.row_number().over(Window.orderBy("mean", "replicate")) - 1)
     lo, hi = int((1 - level) / 2 * n), min(n - 1, int((1 + level) / 2 * n))
     return ranked.agg(F.max(F.when(F.col("k") == lo, F.col("mean"))).alias("low"), F.max(F.when(F.col("k") == hi, F.col("mean"))).alias("high"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"))
+
+
+_PRIME = 2147483647
+#: The chances of 0, 1, 2, ... draws of a row in a resample, added up: e^-1 / k!.
+_POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def _draws(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each replicate draws each row: the same for a row wherever it lies.
+
+    A linear mix of row, replicate and seed modulo the prime 2^31 - 1 is squared and shifted four times, all in
+    64-bit integers, and compared with the Poisson distribution; SQL can do the same.
+    """
+    x = ((ids[:, None] % _PRIME) * 48271 + np.arange(replicates)[None, :] * 69621 + seed) % _PRIME
+    for step in range(4):
+        x = (x * x + 16807 * (step + 1) + x) % _PRIME
+    return np.searchsorted([int(_PRIME * p) for p in _POISSON], x.ravel(), side="right").reshape(x.shape)
+
+
+def poisson_bootstrap(values: DataFrame, unit: str, columns: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(replicate, n, columns...): means of each column over Poisson resamples, and how many draws there are.
+
+    A row's number of draws depends on its unit (a whole number that tells rows apart) and the replicate only, so
+    partial sums of all replicates are made in one scan; `replicates` rows a task are shuffled, whatever the number of rows.
+    Rows that lack the unit or a value are left out; a replicate without draws has null means; an empty table gives no rows.
+    """
+    names = [f"__{k}" for k in range(len(columns))]
+
+    def summed(batches):
+        total = np.zeros((replicates, len(columns) + 1))
+        some = False
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                w = _draws(part.column(0).to_numpy(), replicates, seed)
+                v = np.column_stack([np.ones(part.num_rows), *(part.column(k + 1).to_numpy() for k in range(len(columns)))])
+                total += w.T.astype(float) @ v
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), *(pa.array(total[:, k]) for k in range(len(columns) + 1))], ["replicate", "n", *names])
+
+    rows = values.select(F.col(unit).cast("long").alias("unit"), *(F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True))).dropna()
+    parts = rows.mapInArrow(summed, "replicate long, n double" + "".join(f", {n} double" for n in names))
+    out = parts.groupBy("replicate").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in names))
+    return out.select("replicate", F.col("n").cast("long").alias("n"), *((F.col(n) / F.nullif(F.col("n"), F.lit(0.0))).alias(c) for n, c in zip(names, columns, strict=True)))
+
+
+def paired_bootstrap(values: DataFrame, unit: str, a: str, b: str, replicates: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Difference of the means of two systems over the same units, its interval, and p, the share of resamples in which a is not better than b.
+
+    One row: n, mean_a, mean_b, difference, low, high, p.  Units that lack either value are left out.
+    """
+    both = values.select(unit, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
+    means = poisson_bootstrap(both.withColumn("d", F.col("a") - F.col("b")), unit, ["d"], replicates, seed).where("d is not null").select("replicate", F.round("d", 9).alias("mean"))
+    whole = both.agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("a") - F.col("b")).alias("difference"))
+    return whole.join(F.broadcast(bootstrap_interval(means, level)))

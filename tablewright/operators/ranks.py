@@ -76,3 +76,19 @@ def global_ranks(df: DataFrame, key: str, unique: str, descending: bool = False,
     out = numbered.join(F.broadcast(ends.select("__i", "added", "goes_on", "from", "more_kinds")), "__i")
     rank = F.when(F.col("goes_on") & (F.col("dense_rank") == 1), F.col("from")).otherwise(F.col("rank") + F.col("added"))
     return out.select(*rows.columns, (F.col("row_number") + F.col("added")).alias("row_number"), rank.alias("rank"), (F.col("dense_rank") + F.col("more_kinds")).alias("dense_rank"))
+
+
+def fill_down(df: DataFrame, order: list[str], value: str, name: str, intervals: int | None = None) -> DataFrame:
+    """Df with a column `name`: the last value that is not null at or before a row, in an order over the whole table.
+
+    Rows are shuffled once, to intervals of the order; what an interval starts with is the last value of those before it, a row
+    an interval.  Rows that are equal in the order are filled in any order, so it should tell those with values apart.
+    """
+    key = F.struct(*order)
+    points = cut_points(df.select(key.alias("b")), "b", intervals)
+    placed = df.withColumn("__i", interval_of(key, points, _struct_literal)).repartitionById(max(1, len(points)), F.col("__i"))
+    filled = placed.withColumn("__own", F.last(value, ignorenulls=True).over(Window.partitionBy("__i").orderBy(*order)))
+    ends = placed.groupBy("__i").agg(F.max_by(value, F.when(F.col(value).isNotNull(), key)).alias("end"))
+    before = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__i", F.last("end", ignorenulls=True).over(before).alias("__before"))
+    return filled.join(F.broadcast(ends), "__i").withColumn(name, F.coalesce("__own", "__before")).drop("__i", "__own", "__before")

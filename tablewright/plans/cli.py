@@ -39,9 +39,13 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _cells(spark: SparkSession, path: str):
+    """Cells of the files below a path; a document is a file, named by its place there, so files of one name in two folders are two."""
     cells = files.data_sheets(files.read_grids(spark, path))
+    root = path.rstrip("/").split("://")[-1].removeprefix("file:")
+    below = F.ltrim(F.substring_index("source_file", root, -1), F.lit("/"))
+    name = F.when((below != "") & F.contains(F.col("source_file"), F.lit(root)), below).otherwise(F.regexp_extract("source_file", r"([^/]*)$", 1))
     table = F.pmod(F.xxhash64("source_file", "sheet"), F.lit(1 << 31)).cast("int")
-    return cells.select(F.regexp_extract("source_file", r"([^/]*)$", 1).alias("doc_id"), F.lit("file").alias("backend"), table.alias("table_no"), "row", "col", "raw")
+    return cells.select(name.alias("doc_id"), F.lit("file").alias("backend"), table.alias("table_no"), "row", "col", "raw")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
