@@ -675,16 +675,6 @@ def bootstrap_means(spark, sf_dir):
     return metrics.bootstrap(c, "v", "i", c.count(), 200).withColumn("mean", F.round("mean", 6))
 
 
-@query()
-def bootstrap_interval(spark, sf_dir):
-    """Mean F1 over all orders with its interval of 95 percent, from 1000 resamples of all of them."""
-    f1 = metrics.prf_by(_bag(spark, sf_dir), ["doc_id"], None).select("doc_id", "f1")
-    mean = f1.agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("mean"))
-    means = metrics.bootstrap(metrics.number_rows(f1, ["doc_id"], "i"), "f1", "i", mean.first()["n"])
-    interval = metrics.bootstrap_interval(means.withColumn("mean", F.round("mean", 6)))
-    return mean.crossJoin(interval)
-
-
 @query("""SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean_s, round(median(o_totalprice), 4) AS median_s, round(sum(o_totalprice), 2) AS total_s, round(avg(o_custkey), 4) AS mean_predictions,
 round(count(*) * (12000 * 3.0 + 2000 * 15.0) / 1e6, 6) AS cost FROM orders GROUP BY o_orderpriority""")
 def cost_summary(spark, sf_dir):
@@ -967,7 +957,7 @@ def formula_components(spark, sf_dir):
     """Components of composition formulas."""
     text = F.concat((F.col("p_size") + 1).cast("string"), F.lit("SiO2-"), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit("Na2O glass"))
     p = _read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    return p.select("p_partkey", F.explode(formula.formulas("text")).alias("c")).select("p_partkey", "c.component", "c.share")
+    return p.select("p_partkey", F.explode(formula.formulas("text")).alias("c")).select("p_partkey", "c.component", F.round("c.share", 5).alias("share"))
 
 
 @query()

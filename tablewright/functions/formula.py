@@ -3,7 +3,7 @@
     composition := term (separator? term)*        two terms at least, or a bracket, and an amount somewhere
     term        := amount? unit  or  unit amount?  one of the two ways all along; elements take amounts behind only
     unit        := compound | element | bracket of a composition
-    amount      := scalar (sign scalar)* | bracket of that | number %      a scalar is 60, x or 2x
+    amount      := scalar (sign scalar)* | bracket of that | number %      a scalar is 60, x, 2x or x/2
     remainder   := bal., balance, rest             in place of one amount: what is left of 100 (of 1, if the others are shares)
 
 A group's amount goes to its parts by their shares.  Variables have values by the caller, or by what the text says of them
@@ -66,13 +66,19 @@ class _Parser:
         return self.tokens[i][0] if i < len(self.tokens) else "end"
 
     def scalar(self, i: int):
-        """(amount, next): a number, a variable, or one times the other."""
+        """(amount, next): a number, a variable, one times the other, or that by a number."""
         if self.kind(i) == "number":
-            n = float(self.tokens[i][1])
-            if self.kind(i + 1) == "variable":
-                return {self.tokens[i + 1][1]: n}, i + 2
-            return {"": n}, i + 1
-        return ({self.tokens[i][1]: 1.0}, i + 1) if self.kind(i) == "variable" else None
+            value: Linear = {"": float(self.tokens[i][1])}
+            i += 1
+            if self.kind(i) == "variable":
+                value, i = {self.tokens[i][1]: value[""]}, i + 1
+        elif self.kind(i) == "variable":
+            value, i = {self.tokens[i][1]: 1.0}, i + 1
+        else:
+            return None
+        while self.kind(i) == "sign" and self.tokens[i][1] == "/" and self.kind(i + 1) == "number" and float(self.tokens[i + 1][1]):
+            value, i = {k: v / float(self.tokens[i + 1][1]) for k, v in value.items()}, i + 2
+        return value, i
 
     def amount(self, i: int):
         """(amount, next), None if there is none."""
@@ -89,15 +95,8 @@ class _Parser:
         total, i = first
         if self.kind(i) == "percent":
             return total, i + 1
-        while self.kind(i) == "sign" and (more := self.scalar(i + 1)):
-            sign = self.tokens[i][1]
-            if sign == "/":
-                if set(more[0]) != {""} or not more[0][""]:
-                    return None
-                total = {k: v / more[0][""] for k, v in total.items()}
-            else:
-                total = _plus(total, more[0], 1.0 if sign == "+" else -1.0)
-            i = more[1]
+        while self.kind(i) == "sign" and self.tokens[i][1] != "/" and (more := self.scalar(i + 1)):
+            total, i = _plus(total, more[0], 1.0 if self.tokens[i][1] == "+" else -1.0), more[1]
         return total, i
 
     def unit(self, i: int, after: bool):
@@ -180,7 +179,7 @@ def _shares(terms, known: dict[str, float]) -> list[tuple[str, float]]:
         return []
     if open_:
         rest = sum(v for v in amounts if v is not None)
-        amounts[open_[0]] = (1.0 if rest <= 1 else 100.0) - rest
+        amounts[open_[0]] = (1.0 if rest < 1 else 100.0) - rest
         if amounts[open_[0]] < 0:
             return []
     total = sum(amounts)
@@ -241,8 +240,8 @@ def formula_components(rows: DataFrame, keys: list[str], text: str) -> DataFrame
     """
     able = rows.select(*keys, F.col(text).alias("__t")).where(F.col("__t").rlike("[A-Z]") & F.col("__t").rlike(r"[0-9xyzX]"))
     parsed = able.select("__t").distinct().withColumn("f", _compositions("__t")).where(F.size("f") > 0)
-    tall = able.join(parsed, "__t").select(*keys, F.posexplode("f").alias("k", "f"))
-    return tall.select(*keys, (F.col("k") + 1).cast("long").alias("formula_no"), F.col("f.formula").alias("formula"), F.explode("f.components").alias("c")).select(*keys, "formula_no", "formula", "c.component", "c.share")
+    tall = able.join(parsed, "__t").select(*keys, F.posexplode("f").alias("__k", "f"))
+    return tall.select(*keys, (F.col("__k") + 1).cast("long").alias("formula_no"), F.col("f.formula").alias("formula"), F.explode("f.components").alias("c")).select(*keys, "formula_no", "formula", "c.component", "c.share")
 
 
 @F.pandas_udf(T.ArrayType(_COMPONENT))

@@ -1,10 +1,10 @@
 """Pairs of similar sets by an inverted index of their rarest members, and what is built on that.
 
 A set's members are put in order of how many sets have them, rarest first.  Two sets whose
-similarity reaches a bound must share one of the first few members in that order (their
-prefixes: what is left when the least overlap that counts is taken off), so only prefixes are
-indexed, and members that nearly all sets have are hardly ever in one.  Candidates that the sizes
-or the places of the shared member rule out are dropped in the join; the rest are verified.
+similarity reaches a bound must share COMMON of the first few members in that order (their
+prefixes: what is left when the least overlap that counts is taken off, and COMMON - 1 more), or all they need to share if that is less.
+So only prefixes are indexed, and members that nearly all sets have are hardly ever in one.  Candidates that the sizes
+or the places of a shared member rule out are dropped in the join; the rest are verified.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ def qgrams(text: Column, q: int = 2) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substr(padded, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
 
 
+#: How many members two prefixes must share; each more makes prefixes one longer and candidates much fewer.
+COMMON = 3
+
+
 def prefixes(sets: DataFrame, order: DataFrame, least: float, measure: str) -> DataFrame:
     """side, by, id, n, place (from 1) and member of the members by which a set is indexed.
 
@@ -44,7 +48,7 @@ def prefixes(sets: DataFrame, order: DataFrame, least: float, measure: str) -> D
     tall = sets.select("side", "by", "id", F.size("members").alias("n"), F.explode("members").alias("member"))
     ranked = tall.join(order, ["by", "member"]).groupBy("side", "by", "id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "member"))).alias("own"))
     # A hair is taken off the bound, so that rounding never drops a pair.
-    taken = (F.col("n") - F.ceil(need(F.col("n"), least) - 1e-9) + 1).cast("int")
+    taken = (F.col("n") - F.ceil(need(F.col("n"), least) - 1e-9) + COMMON).cast("int")
     return ranked.select("side", "by", "id", "n", F.posexplode(F.slice("own", F.lit(1), F.least(taken, F.col("n")))).alias("place", "m")).select("side", "by", "id", "n", (F.col("place") + 1).alias("place"), F.col("m.member").alias("member"))
 
 
@@ -60,10 +64,12 @@ def candidates(sets: DataFrame, least: float, measure: str = "dice", itself: boo
     pairs = a.join(b, ["by", "member"])
     n, m, i, j = (F.col(c) for c in ("a_n", "b_n", "a_place", "b_place"))
     needed = both(n, m, least) - 1e-9
-    pairs = pairs.where((F.least(n, m) >= needed) & (1 + F.least(n - i, m - j) + F.least(i, j) - 1 >= needed))
+    # Members before the shared one and after it that may be shared as well.
+    pairs = pairs.where((F.least(n, m) >= needed) & (F.least(i, j) + F.least(n - i, m - j) >= needed))
     if itself:
         pairs = pairs.where("a_id < b_id")
-    return pairs.select("by", F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    shared = pairs.groupBy("by", F.col("a_id").alias("a"), F.col("b_id").alias("b")).agg(F.count("*").alias("k"), F.least(F.lit(COMMON), F.ceil(F.first(needed))).alias("least"))
+    return shared.where("k >= least").select("by", "a", "b")
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, least: float, measure: str = "dice", strict: bool = False) -> DataFrame:
