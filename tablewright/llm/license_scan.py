@@ -5,14 +5,16 @@ license text are anchors; the longest increasing run of anchors is kept, and the
 between them are aligned in the same way.  Coverage is the share of the license's words
 that are aligned.
 
-Stretches are windows of twice the license's length that start at each word of the document,
-so a notice lies whole in the one that starts with it, wherever it stands, with as many
-inserted words as the license has words.  Windows with too few of the
-license's words to reach the wished coverage, or to better the best so far, are not aligned.
+Only words of the license can be aligned, so of the whole text these are looked at, however many others
+stand between them.  A stretch starts at one of them and goes on for twice as many as the license has, within SPREAD times
+its length of the text: a notice that is torn further apart is none.  So a notice is found wherever it stands, with any other words put in between, and with as many words of the
+license's own as it has.  Where anchors align fewer words than a longest common subsequence has, that one is taken.  Stretches that cannot reach the wished coverage, by the words they share with the license or by their longest
+common subsequence with it, are not aligned.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -59,6 +61,8 @@ LICENSES = {
     "All rights reserved": "Copyright. All rights reserved.",
 }
 COVERAGE = 0.8
+#: How many times a license's length its notice may span in a text.
+SPREAD = 16
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -116,15 +120,55 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _stretch(own: list, wording: list, a: int, most: int, coverage: float) -> tuple[int, int, int]:
-    """(words aligned, first word, word after the last) of the alignment that starts at word a; most: a bound of the first."""
+def _rows(a: list, places: dict, size: int):
+    """For each start of a, the bits where its longest common subsequence with the wording's first words grows; places: the bits of each word's places."""
+    row, full = 0, (1 << size) - 1
+    yield row
+    for w in a:
+        both = row | places[w]
+        row = both & ~(both - (row << 1 | 1)) & full
+        yield row
+
+
+def common(a: list, places: dict, size: int) -> int:
+    """The length of the longest common subsequence of a and a wording: a word of a is a few operations on whole numbers."""
+    row = 0
+    for row in _rows(a, places, size):  # noqa: B007
+        pass
+    return row.bit_count()
+
+
+def _traced(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence, as early in a as can be."""
+    places = {w: sum(1 << k for k, x in enumerate(b) if x == w) for w in set(a)}
+    rows = list(_rows(a, places, len(b)))
+    length = lambda i, j: (rows[i] & ((1 << j) - 1)).bit_count()
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if length(i - 1, j) == length(i, j):
+            i -= 1
+        elif length(i, j - 1) == length(i, j):
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _stretch(own: list, wording: list, a: int, stop: int, most: int, coverage: float) -> tuple[int, int, int]:
+    """(words aligned, first word, word after the last) of the alignment of own[a:stop]; most: how many words can be aligned."""
     size = len(wording)
-    pairs = align(own[a : a + 2 * size], wording)
+    pairs = align(own[a:stop], wording)
     if len(pairs) < most:
         # Where the notice is repeated at once, words of the next one are no anchors: end before it, too.
-        for end in range(a + max(1, int(coverage * size)), min(a + 2 * size, len(own))):
+        for end in range(a + max(1, int(coverage * size)), stop):
             if own[end] == own[a]:
                 pairs = max(pairs, align(own[a:end], wording), key=len)
+    if len(pairs) < most:
+        # Anchors that lead astray: the exact subsequence, to its earliest end and from its latest start.
+        end = a + _traced(own[a:stop], wording)[-1][0] + 1
+        back = _traced(own[a:end][::-1], wording[::-1])
+        return len(back), end - 1 - back[-1][0], end
     if not pairs:
         return 0, a, a
     # The last words may be aligned with later ones like them: as short as it gets.
@@ -138,27 +182,34 @@ def _stretch(own: list, wording: list, a: int, most: int, coverage: float) -> tu
     return len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1
 
 
-def scan(own: list, licenses: dict[str, list], coverage: float) -> list[tuple[str, float, int, int]]:
+def scan(text: list, licenses: dict[str, list], coverage: float, spread: int = SPREAD) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, word after the last) of the best stretch for each license that reaches coverage."""
     out = []
     for name, wording in licenses.items():
         size, limit = len(wording), Counter(wording)
+        at = [k for k, w in enumerate(text) if w in limit]
+        own = [text[k] for k in at]
+        bits = {w: sum(1 << k for k, x in enumerate(wording) if x == w) for w in limit}
         counts = dict.fromkeys(limit, 0)
-        best, end, most = None, 0, 0
+        best, end, most, known, known_end = None, 0, 0, 0, 0
+        need = math.ceil(coverage * size - 1e-9)
         for a, first in enumerate(own):
-            for w in own[end : a + 2 * size]:
-                if w in limit:
-                    counts[w] += 1
-                    most += counts[w] <= limit[w]
-            end = a + 2 * size
-            # At most so many words of this stretch can be aligned.
-            if most >= coverage * size and (best is None or most > best[0] or most == best[0] < best[2] - best[1]):
-                found = _stretch(own, wording, a, most, coverage)
-                if found[0] / size >= coverage and (best is None or (-found[0], found[2] - found[1]) < (-best[0], best[2] - best[1])):
-                    best = found
-            if first in limit:
-                most -= counts[first] <= limit[first]
-                counts[first] -= 1
+            stop = min(a + 2 * size, bisect_left(at, at[a] + spread * size))
+            for w in own[end:stop]:
+                counts[w] += 1
+                most += counts[w] <= limit[w]
+            end = max(end, stop)
+            # At most so many words of this stretch can be aligned: as many as it shares, and a common
+            # subsequence grows by a word at most for each word that comes in.
+            if most >= need and known + end - known_end >= need and (best is None or most > best[0] or most == best[0] < best[2] - best[1]):
+                known, known_end = common(own[a:end], bits, size), end
+                if known >= need:
+                    n, i, j = _stretch(own, wording, a, end, known, coverage)
+                    found = (n, at[i], at[j - 1] + 1) if n else (0, 0, 0)
+                    if n >= need and (best is None or (-n, found[2] - found[1]) < (-best[0], best[2] - best[1])):
+                        best = found
+            most -= counts[first] <= limit[first]
+            counts[first] -= 1
         if best:
             out.append((name, best[0] / size, *best[1:]))
     return sorted(out, key=lambda x: (-x[1], -len(licenses[x[0]]), x[0]))
@@ -173,7 +224,7 @@ def scan_licenses(docs: DataFrame, licenses: dict[str, str] | None = None, cover
     to the longer wording, then by name.
 
     Null and empty texts have none (an empty array), and so have all without licenses.  Long
-    texts are aligned whole, around each place where enough of a wording's words stand.
+    texts are looked at whole; a notice may span SPREAD times its wording's length, and twice its number of words of the wording.
     Repeated rows get a result each.  An empty table gives no rows.  A column of docs named
     licenses is replaced.
     """

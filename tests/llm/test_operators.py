@@ -4,6 +4,7 @@ import hashlib
 import math
 import pickle
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -117,6 +118,38 @@ def test_insertions_at_every_offset():
     assert license_scan.scan(own, {"c": every["All rights reserved"]}, 0.8) == [("c", 1.0, 3, 9)]
 
 
+def test_stretched_notices_and_hostile_words():
+    """Up to five wordings of other words put into a notice, anywhere in a text; and many words of a license in no order."""
+    rng = random.Random(10)
+    every = {n: license_scan.words(t) for n, t in license_scan.LICENSES.items()}
+    for name in ("MIT-text", "Apache-2.0-header", "GPL-3.0-header", "BSD", "MPL-2.0"):
+        w = every[name]
+        for share in (1.1, 1.3, 2, 5):
+            at = sorted(rng.choices(range(1, len(w)), k=int(share * len(w))))
+            notice = [x for k, word in enumerate(w) for x in [b"new"] * at.count(k) + [word]]
+            for offset in (0, 1, rng.randrange(500)):
+                assert license_scan.scan([b"x"] * offset + notice + [b"y"] * 50, {name: w}, 0.8) == [(name, 1.0, offset, offset + len(notice))]
+        spaced = [x for word in w for x in (word, b"two", b"more")]
+        assert license_scan.scan(spaced, {name: w}, 0.8)[0][1] == 1.0
+    far = [x for word in every["MIT"] for x in [word, *[b"x"] * 200]]
+    assert license_scan.scan(far, {"MIT": every["MIT"]}, 0.8) == []
+    start = time.process_time()
+    license_scan.scan(rng.choices(every["MIT-text"], k=20_000), {"MIT-text": every["MIT-text"]}, 0.8)
+    assert time.process_time() - start < 3
+
+
+def test_common_subsequences():
+    rng = random.Random(11)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        places = {w: sum(1 << k for k, x in enumerate(b) if x == w) for w in "abcd"}
+        assert license_scan.common(a, places, len(b)) == table[-1][-1]
+
+
 def test_license_scan_as_a_scan_of_all_starts():
     rng = random.Random(9)
     for _ in range(300):
