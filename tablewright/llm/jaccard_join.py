@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm import ids
 from tablewright.llm import text as T
 from tablewright.llm.graph import components
 from tablewright.llm.store import release, settle
@@ -102,14 +103,20 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     hashes, whole sets by 128-bit hashes; these are polynomials modulo 2**64, which texts made
     for it (words of 2 KB and more in Thue-Morse order) could bring to collide.
 
-    doc_id is a whole number; a value that is none counts as null.  Long texts are read whole,
+    doc_id is of any type that has an order; ids that are no whole numbers are numbered in their order first.  Long texts are read whole,
     by pieces.  Null and empty texts, and texts without words, have no shingles and no links.  Rows
     that share a doc_id are one document; if their texts differ, the one whose set has the
     least hash makes its links.  A row with a null
     doc_id has links to none and a null component_id.  An empty table gives no rows.
     Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc"), F.col("text").alias("text"))
+    if not ids.is_whole(docs):
+        names = ids.numbers(docs)
+        named = docs.select("doc_id", "text").join(names, F.col("doc_id") == F.col("id"), "left")
+        found = shingle_components(named.select(F.col("number").alias("doc_id"), "text"), width, percent)
+        first, own = names.select(F.col("number").alias("component_id"), F.col("id").alias("first")), names.select(F.col("number").alias("doc_id"), F.col("id").alias("own"))
+        return found.join(own, "doc_id", "left").join(first, "component_id", "left").select(F.col("own").alias("doc_id"), "n_shingles", F.col("first").alias("component_id"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
 
     def prefixes(batches):
         for batch in T.parts(batches, 1):
@@ -237,6 +244,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = shingle_components(docs)
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].try_cast("long").alias("id"))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"))
     kept = rows.where("id is not null").join(keep, "id", "left_semi").unionByName(rows.where("id is null"))
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

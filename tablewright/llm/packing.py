@@ -14,10 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType
 
 from tablewright.llm import pieces as X
+from tablewright.llm.ids import is_whole
+from tablewright.llm.store import with_columns
 
-SCHEMA = "shard int, row_no long, n_tokens int, doc_ids array<bigint>, parts array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
+SCHEMA = "shard int, row_no long, n_tokens int, doc_ids array<{}>, parts array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
 
 
 class RoomTree:
@@ -83,11 +87,16 @@ def pack_tokens(docs: DataFrame, path: str, length: int = 2048, block_tokens: in
     start again at 0; ids, length little-endian ids of 2 bytes (4 if the vocabulary needs
     them).
 
-    doc_id is a whole number; a value that is none becomes null.  Null and empty texts are a
+    doc_id is of any type; doc_ids are of the same (whole numbers of 8 bytes).  Null and empty texts are a
     lone end id; a null doc_id stays null.  Long texts are tokenised by pieces.  Repeated rows are
     packed once per row.  An empty table gives no rows.  Other columns are ignored.
     """
 
+    if is_whole(docs):
+        docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    kind = docs.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+
     def packed(batches):
         codes, shard, row_no = X.Ids(path), TaskContext.get().partitionId(), 0
         width, end = (2, np.array([codes.end], "<u2").tobytes()) if codes.code == "H" else (4, np.array([codes.end], "<u4").tobytes())
@@ -105,7 +114,7 @@ def pack_tokens(docs: DataFrame, path: str, length: int = 2048, block_tokens: in
                         pa.array([shard] * len(some), pa.int32()),
                         pa.array(range(row_no, row_no + len(some)), pa.int64()),
                         pa.array([s[-1] for s in sums], pa.int32()),
-                        pa.array([[names[k] for k in r] for r in some], pa.list_(pa.int64())),
+                        pa.array([[names[k] for k in r] for r in some], pa.list_(arrow)),
                         pa.array([[parts[k] for k in r] for r in some], pa.list_(pa.int32())),
                         pa.array(sums, pa.list_(pa.int32())),
                         pa.array([s[:-1] for s in sums], pa.list_(pa.int32())),
@@ -158,7 +167,7 @@ def pack_tokens(docs: DataFrame, path: str, length: int = 2048, block_tokens: in
         if chunks:
             yield from emit()
 
-    return docs.select(docs["doc_id"].try_cast("long").alias("doc_id"), docs["text"]).mapInArrow(packed, SCHEMA)
+    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(packed, SCHEMA.format(kind.simpleString()))
 
 
 def unpack(row, length: int) -> dict:
@@ -179,4 +188,4 @@ def write_packed(packed: DataFrame, path: str, length: int) -> None:
                 out.append(np.concatenate([np.arange(n, dtype="<u4") for n in lengths]).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "positions"])
 
-    packed.mapInArrow(positioned, f"{SCHEMA}, positions binary").write.parquet(path)
+    packed.mapInArrow(positioned, with_columns(packed.schema, ("positions", BinaryType()))).write.parquet(path)

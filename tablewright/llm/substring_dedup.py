@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from tablewright.llm import ids
 from tablewright.llm import text as T
 from tablewright.llm.store import release, settle, with_columns
 
@@ -68,7 +69,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """doc (the order of documents), the text, its hash t1, t2, and the other columns as a struct."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     text = F.col("text")
-    return docs.select(F.coalesce(F.col("doc_id").try_cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text, F.struct(*others).alias("row"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text, F.struct(*others).alias("row"))
 
 
 def surviving(docs: DataFrame, window: int) -> DataFrame:
@@ -178,13 +179,19 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     words also start earlier: in a document with a smaller doc_id, or before in the same
     one.  Windows are those of the input.
 
-    doc_id is a whole number; a value that is none counts as null.  A null text has no words
+    doc_id is of any type that has an order; ids that are no whole numbers are numbered in their order first.  A null text has no words
     (kept is ""), as an empty one.  A null doc_id comes after all others.  Rows with equal
     doc_id and text get equal results, and are not earlier than one another; other texts of
     one doc_id come in the order of their hashes.  Long texts are read whole.  An empty table
     gives no rows.  Columns of docs named like the three added ones are replaced; all others stay.
     """
     docs = docs.drop("n_words", "n_removed", "kept")
+    if not ids.is_whole(docs):
+        names = ids.numbers(docs)
+        row = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text")).alias("row")
+        named = docs.select(row, "text").join(names, F.col("row.doc_id") == F.col("id"), "left").select(F.col("number").alias("doc_id"), "text", "row")
+        own = (F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns)
+        return remove_repeats(named, window).select(*own, "n_words", "n_removed", "kept")
     keyed = _keyed(docs)
     marks = repeated_windows(keyed, window)
 

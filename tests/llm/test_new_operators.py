@@ -1,5 +1,6 @@
 """Operators 11 to 13 against brute force on small fixtures, and on empty and awkward tables."""
 
+import datetime
 import hashlib
 import heapq
 import itertools
@@ -10,10 +11,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from test_operators import AWKWARD, DOCS, LOWER, frame
 
-from tablewright.llm import conversation_repair, impact_search, order_minhash
+from tablewright.llm import conversation_repair, impact_search, jaccard_join, order_minhash, packing, substring_dedup
 
 # 11
 
@@ -245,3 +247,25 @@ def test_edited_pairs_of_few_rows(spark):
     assert order_minhash.edited_pairs(frame(spark, [], DOCS)).count() == 0
     only = order_minhash.edited_pairs(frame(spark, [("a", "an only text", 1)], "doc_id string, text string, n_chars long")).collect()
     assert [(r.doc_id, r.n_chars, r.edited, r.near_next) for r in only] == [("a", 12, "an only tan ", 1.0)]
+
+
+# ids of any type
+
+
+@pytest.mark.parametrize("kind, name", [("string", lambda i: f"doc-{i:03d}"), ("date", lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i))])
+def test_ids_of_any_type(spark, kind, name):
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    base = [" ".join(rnd.choices(words, k=80)) for _ in range(8)]
+    rows = [(i, base[i % 8] + (" more" if i % 3 == 0 else "")) for i in range(40)] + [(None, base[0]), (40, None), (41, ""), (5, base[5])]
+    plain = frame(spark, rows)
+    other = frame(spark, [(None if i is None else name(i), t) for i, t in rows], f"doc_id {kind}, text string")
+    back = {name(i): i for i, _ in rows if i is not None} | {None: None}
+    same = lambda f, columns: Counter(tuple(back[r[c]] if c in ("doc_id", "component_id") else r[c] for c in columns) for r in f(other).collect()) == Counter(tuple(r[c] for c in columns) for r in f(plain).collect())
+    assert same(jaccard_join.shingle_components, ["doc_id", "n_shingles", "component_id"])
+    assert same(jaccard_join.keep_one, ["doc_id", "text"])
+    assert same(substring_dedup.remove_repeats, ["doc_id", "text", "n_words", "n_removed", "kept"])
+    packed = packing.pack_tokens(other, public_tokenizers.path("byte_bpe_50k.tiktoken"), 64)
+    assert dict(packed.dtypes)["doc_ids"] == f"array<{'bigint' if kind == 'int' else kind}>"
+    assert Counter(back[d] for r in packed.collect() for d, p in zip(r.doc_ids, r.parts, strict=True) if p == 0) == Counter(i for i, _ in rows)
+    packing.write_packed(packed, f"{spark.conf.get('spark.checkpoint.dir')}/packed-{kind}", 64)
