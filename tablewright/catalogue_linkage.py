@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tablewright.catalogue import _BAG, _GP, _NORM, ORACLE, _bag, _read, query
 from tablewright.functions import formula, numbers, strings, vocab
-from tablewright.operators import assignment, consensus, dictionary, filters, matching, merging, metrics, ranks, similarity
+from tablewright.operators import assignment, consensus, dictionary, filters, matching, merging, metrics, ranks, similarity, windows
+from tablewright.plans import pipelines
+from tablewright.sources import files
 
 # J06, S03
 
@@ -385,3 +387,58 @@ def metadata_consistency(spark, sf_dir):
     )
     return metrics.consistency(rows).select("k", F.round("consistency", 6).alias("consistency"))
 
+
+
+# W03, P02, B15, A04, A21
+
+
+@query(r"""WITH s AS (SELECT doc_id, text, generate_subscripts(regexp_extract_all(text, 'tion'), 1) AS k FROM documents),
+p AS (SELECT doc_id, length(array_to_string(string_split(text, 'tion')[1 : k], 'tion')) AS x, length(text) AS n FROM s),
+i AS (SELECT doc_id, greatest(0, x - 200) AS start, least(n, x + 400) AS "end" FROM p),
+r AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i),
+k AS (SELECT *, sum(CASE WHEN r IS NULL OR start > r + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM r),
+m AS (SELECT doc_id, min(start) AS start, max("end") AS "end" FROM k GROUP BY doc_id, k),
+c AS (SELECT m.*, trim(substr(text, start + 1, "end" - start)) AS chunk FROM m JOIN documents USING (doc_id)),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_no, sum(length(chunk)) OVER (PARTITION BY doc_id ORDER BY start) AS n FROM c)
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", md5(chunk) AS chunk FROM t WHERE n <= 6000""")
+def keyword_digest(spark, sf_dir):
+    """Stretches around hits of a key word, 6000 characters a document at most."""
+    found = windows.keyword_digest(_read(spark, sf_dir, "documents"), ["doc_id"], "text", "tion")
+    return found.withColumn("chunk", F.md5("chunk"))
+
+
+@query("""WITH c AS (
+  SELECT p_partkey // 4 AS doc_id, p_partkey % 4 AS row, unnest([1, 2, 3]) AS col, p_name, unnest([CAST(p_size AS VARCHAR), CAST(p_partkey % 7 AS VARCHAR), CAST(p_partkey % 3 AS VARCHAR)]) AS value FROM part WHERE p_partkey % 4 <> 3
+),
+r AS (SELECT doc_id, row, col, value, p_name AS model, CASE col WHEN 1 THEN 'accuracy' WHEN 2 THEN 'F1' ELSE 'BLEU' END AS metric FROM c)
+SELECT doc_id, value, 'Result' AS type, model, lower(metric) AS metric FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, value, model ORDER BY row, col) = 1""")
+def result_tables(spark, sf_dir):
+    """Records of results from tables of four parts: the row names the model, the header the metric; the last row has words only."""
+    p = _read(spark, sf_dir, "part")
+    words = F.col("p_partkey") % 4 == 3
+    cell = lambda c: F.when(words, "none").otherwise(c.cast("string"))
+    cells = p.select(F.floor(F.col("p_partkey") / 4).alias("doc_id"), F.lit(1).alias("table_no"), (F.col("p_partkey") % 4).cast("int").alias("row"), F.posexplode(F.array("p_name", cell(F.col("p_size")), cell(F.col("p_partkey") % 7), cell(F.col("p_partkey") % 3))).alias("col", "raw"))
+    names = F.array(F.lit("Model"), F.lit("Acc."), F.lit("F1 score"), F.lit("BLEU (test)"))
+    headers = cells.select("doc_id", "table_no").distinct().select("doc_id", "table_no", F.posexplode(names).alias("col", "header"))
+    return pipelines.domain_records(cells, headers, "result").select("doc_id", "value", "type", "model", F.lower("metric").alias("metric"))
+
+
+@query("""WITH r AS (
+  SELECT user_id % 20 AS doc_id, CASE WHEN event_id % 2 = 0 THEN 'S-' || user_id ELSE ' s - ' || user_id END AS name, 's-' || user_id AS entity, event_type AS element, event_id % 3 AS sheet, event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM events
+)
+SELECT doc_id, entity, element, arg_min(name, (sheet, event_id)) AS sample_name, arg_min(value, (sheet, event_id)) FILTER (value IS NOT NULL) AS value, count(*) AS n_records FROM r GROUP BY ALL""")
+def merged_samples(spark, sf_dir):
+    """Measurements of a document's three sheets merged by samples whose names are written differently."""
+    e = _read(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    rows = e.select(
+        (F.col("user_id") % 20).alias("doc_id"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("S-"), user)).otherwise(F.concat(F.lit(" s - "), user)).alias("sample_name"), F.lit(None).cast("string").alias("sample_local_id"),
+        F.col("event_type").alias("element"), (F.col("event_id") % 3).alias("sheet"), "event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"),
+    )
+    return pipelines.merged_samples(rows, ["sheet", "event_id"], ["value"])
+
+
+@query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k >= 100 AND k < 5000""")
+def benchmark_slice(spark, sf_dir):
+    """Orders from the 100th to the 5000th by key, numbered by ranges of the key."""
+    return files.benchmark_slice(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", None, 100, 5000)

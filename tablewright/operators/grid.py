@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import numbers, strings, vocab
-from tablewright.operators.filters import is_sample
+from tablewright.operators.filters import component_of, is_sample
 from tablewright.operators.windows import fill_sparse_ids
 
 #: Names of columns by role, in order of preference.
@@ -141,17 +141,40 @@ def interpret_headers(headers: DataFrame, table: list[str], domain: str, caption
         target = F.trim(F.regexp_replace(F.regexp_extract(low, rf"^(.*?)(?:{pattern})", 1), r"[\s,;:(\[_-]+$", ""))
         unit = strings.canonical(F.regexp_extract(h, r"[(\[]\s*([^)\]]+?)\s*[)\]]", 1), vocab.ASSAY_UNITS, keep=False, blanks=True)
         return headers.withColumns({"type": kind, "unit": F.coalesce(unit, F.lit("xx")), "target": F.when(target != "", F.substring(h, F.lit(1), F.length(target))).otherwise("xx"), "is_data": kind != "xx"})
-    known = {c.lower(): c for c in vocab.COMPOUNDS}
-    name = F.regexp_replace(low, r"\s*[(\[].*$|\s+(mol|wt|mass|at).*$", "")
-    component = strings.canonical(name, known, keep=False)
+    if domain == "result":
+        return headers.withColumns(_named_parts(low) | {"is_data": F.lit(True)})
+    name = F.regexp_replace(low, r"\s*[(\[].*$|\s+(mol|wt|mass|at)[^a-z].*$|\s+(mol|wt|mass|at)$", "")
+    component = F.coalesce(component_of(h), component_of(name))
     unit = F.coalesce(numbers.glass_unit(h), numbers.glass_unit(caption) if caption is not None else F.lit(None).cast("string"), F.lit("mol"))
     return headers.withColumns({"component": component, "unit": unit, "is_data": component.isNotNull()})
 
 
+def _named_parts(low: Column) -> dict[str, Column]:
+    """What a lower-cased header or row label names: metric, dataset, task, statistic and parameter, each the first part that the vocabulary knows."""
+    parts = F.transform(F.split(low, r"[/|(),:;\[\]]| - | on "), lambda x: F.trim(x))
+
+    def first(known):
+        # A whole name counts before a word of it.
+        found = F.array_compact(F.transform(F.concat(F.array(low), parts, F.flatten(F.transform(parts, lambda p: F.split(p, " ")))), lambda x: F.try_element_at(strings.table(known), x)))
+        return F.get(found, 0)
+
+    names = {"metric": vocab.METRICS, "dataset": vocab.DATASETS, "task": vocab.TASKS, "statistic": vocab.STATISTICS, "parameter": vocab.PARAMETERS}
+    return {name: first(known) for name, known in names.items()}
+
+
 def assemble(cells: DataFrame, headers: DataFrame, table: list[str], domain: str) -> DataFrame:
     """Records of numeric cells in data columns."""
     data = headers.where("is_data").drop("header", "is_data")
     rows = cells.join(data, [*table, "col"])
+    if domain == "result":
+        # What the header does not say, the row's label may; a row that names no measure is a model.
+        said = _named_parts(F.lower(F.trim("row_label")))
+        rows = rows.withColumns({f"__{k}": c for k, c in said.items()})
+        part = lambda k: F.coalesce(F.col(k), F.col(f"__{k}"))
+        kind = F.when(part("parameter").isNotNull(), "Hyper-parameter/Architecture").when(part("statistic").isNotNull(), "Data Stat.").when(part("metric").isNotNull(), "Result").otherwise("Other")
+        model = F.when(F.coalesce(*(F.col(f"__{k}") for k in said)).isNull(), F.trim("row_label"))
+        out = rows.select(*table, "row", "col", F.trim("raw").alias("value"), kind.alias("type"), model.alias("model"), part("dataset").alias("dataset"), part("metric").alias("metric"), part("task").alias("task"), part("statistic").alias("attribute_name"), part("parameter").alias("parameter_name"), "cell_index")
+        return out.where("type <> 'Other'")
     if domain == "assay":
         return rows.where("type not in ('xx', 'Other')").select(*table, "row", "col", F.col("raw").alias("value"), "type", "target", F.coalesce("row_label", F.lit("xx")).alias("treatment"), "unit", "cell_index")
     sample = F.concat_ws("_", *table, F.col("row").cast("string"), F.col("row_label"))

@@ -61,6 +61,20 @@ def keyword_spans(docs: DataFrame, text: str, pattern: str, before: int = 200, a
     return rows.withColumn("at", at).select(*[c for c in docs.columns if c != text], F.greatest(F.lit(0), F.col("at") - before).alias("start"), F.least(F.length(text), F.col("at") + after).alias("end"))
 
 
+def keyword_digest(docs: DataFrame, keys: list[str], text: str, pattern: str, most: int = 6000, before: int = 200, after: int = 400, gap: int = 200) -> DataFrame:
+    """(keys..., chunk_no from 0, start, end, chunk): stretches around the hits of a pattern, merged and trimmed, as long as all of them together have at most `most` characters.
+
+    The first stretch that does not fit ends a document's digest, even if a later one would fit.  Texts are looked at whole; documents without
+    a hit, or without a text, have none.  Keys tell documents apart.
+    """
+    spans = merge_intervals(keyword_spans(docs.select(*keys, text), text, pattern, before, after), keys, "start", "end", gap)
+    chunks = spans.join(docs.select(*keys, text), keys).withColumn("chunk", F.trim(F.substr(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")))).drop(text)
+    so_far = F.sum(F.length("chunk")).over(Window.partitionBy(*keys).orderBy("start"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1
+    # What is held so far only grows, so all after the first that does not fit are over as well.
+    return chunks.withColumns({"__n": so_far, "chunk_no": number}).where(F.col("__n") <= most).select(*keys, "chunk_no", "start", "end", "chunk")
+
+
 def budget_pack(parts: DataFrame, group: list[str], order: list[str], length: str, budget: int, critical: Column | None = None, least: int = 200) -> DataFrame:
     """Parts with taken: the characters of each within a budget; critical ones whole and first, a cut one only if over `least` is left."""
     first = F.lit(False) if critical is None else F.coalesce(critical, F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import numbers, strings, vocab
-from tablewright.operators import consensus, filters, grid, metrics
+from tablewright.operators import consensus, filters, grid, merging, metrics
 from tablewright.plans.stages import settle
 
 
@@ -120,9 +120,15 @@ def extract(cells: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def domain_records(cells: DataFrame, headers: DataFrame, domain: str, config: Config = Config()) -> DataFrame:
-    """Records of pre-parsed tables (doc_id, table_no, row, col, raw) of a domain, validated and deduplicated."""
+    """Records of pre-parsed tables (doc_id, table_no, row, col, raw) of a domain (assay, composition or result), validated and deduplicated.
+
+    Headers are read by rules; records of results have the model of their row's label, and the metric, dataset, task, statistic or
+    parameter that header or label name.
+    """
     table = ["doc_id", "table_no"]
     data = grid.assemble(grid.numeric_cells(cells, headers, table), grid.interpret_headers(headers, table, domain), table, domain)
+    if domain == "result":
+        return result_records(data, ["table_no", "row", "col"], config)
     if config.validate:
         data = filters.valid_assays(data, [t for _, t in vocab.ASSAY_TYPES]) if domain == "assay" else filters.valid_compositions(data.withColumn("value", F.col("value").cast("string")))
     keys = ["doc_id", "value", "treatment", "target", "type"] if domain == "assay" else ["doc_id", "sample_id", "component", "value"]
@@ -141,6 +147,19 @@ def result_records(records: DataFrame, order: list[str], config: Config = Config
     return consensus.keep_first(keyed, ["doc_id", *(f"__{c}" for c in parts)], order).drop(*(f"__{c}" for c in parts))
 
 
+def merged_samples(rows: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+    """Long records (doc_id, sample_name, sample_local_id, element, values...) of a document's sheets and files, one row for each sample and element.
+
+    A sample's key is its local id, or its name; keys that are written differently are reconciled (merging.entities).  Each value is
+    the first that is not null in the order given (file, sheet, row).  Samples without a key are left out.
+    """
+    keyed = rows.withColumn("__key", F.coalesce("sample_local_id", "sample_name")).withColumn("form", merging.key_form(F.col("__key")))
+    placed = keyed.join(merging.entities(keyed, ["doc_id"], "__key"), ["doc_id", "form"])
+    at = F.struct(*order, "__key")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    return placed.groupBy("doc_id", "entity", "element").agg(first("sample_name"), *map(first, values), F.count("*").alias("n_records"))
+
+
 def job_matrix(spark, models: list[str], domains: list[str], shots: list[int], done: DataFrame | None = None) -> DataFrame:
     """All combinations (model, domain, shots) that are not done."""
     jobs = spark.createDataFrame(list(product(models, domains, shots)), "model string, domain string, shots int")

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions import numbers, strings
+from tablewright.functions import numbers, strings, vocab
+from tablewright.operators import ranks
 
 GRID = "source_file string, sheet string, row int, col int, raw string"
 #: Words in the names of sheets that hold no samples.
@@ -207,12 +208,18 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def benchmark_slice(tables: DataFrame, table_id: str, gold: str | None, start: int = 0, end: int | None = None) -> DataFrame:
-    """Tables in order of id, from start to end; with gold, only those that have some."""
+    """Tables in order of id, from start to end; with gold, only those that have some.  The order is made by ranges of the id."""
     rows = tables if gold is None else tables.where(F.size(gold) > 0)
-    from pyspark.sql import Window
+    numbered = ranks.global_ranks(rows, table_id, table_id)
+    k = F.col("row_number") - 1
+    return numbered.where((k >= start) & (F.lit(True) if end is None else k < end)).select(*rows.columns)
 
-    numbered = rows.withColumn("__k", F.row_number().over(Window.orderBy(table_id)) - 1)
-    return numbered.where((F.col("__k") >= start) & (F.lit(True) if end is None else F.col("__k") < end)).drop("__k")
+
+def file_facts(files: DataFrame, path: str) -> DataFrame:
+    """Files with what their names tell: publication_year (four digits that start the name) and analytical_method (the first that the name holds)."""
+    name = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
+    method = strings.first_pattern(F.translate(name, "_", " "), list(vocab.METHODS.items()))
+    return files.withColumns({"publication_year": numbers.leading_year(F.col(path)), "analytical_method": method})
 
 
 def first_backend(tables: DataFrame, doc: list[str], order: list[str], forced: str | None = None) -> DataFrame:

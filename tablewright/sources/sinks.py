@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import vocab
 
-METADATA = vocab.METADATA_FIELDS
 
-
-def wide_columns(metadata: list[str] = METADATA, elements: list[str] = vocab.ELEMENTS) -> list[str]:
-    """The fixed order of columns of the wide form: ids, metadata, then four for each element."""
-    return ["sample_name", "sample_local_id", *metadata, *(f"{e}_{x}" for e in elements for x in ("ppm", "detection_limit", "original_value", "original_unit"))]
+def wide_columns(elements: list[str] = vocab.ELEMENTS) -> list[str]:
+    """The fixed order of columns of the wide form: metadata, then four for each element, then provenance."""
+    return [*vocab.WIDE_BEFORE, *(f"{e}_{x}" for e in elements for x in ("ppm", "detection_limit", "original_value", "original_unit")), *vocab.WIDE_AFTER]
 
 
 def to_wide(long: DataFrame, keys: list[str], elements: list[str] = vocab.ELEMENTS) -> DataFrame:

@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import formula, numbers, strings, vocab
-from tablewright.operators import assignment, components, consensus, dictionary, filters, matching, merging, metrics, ranks, similarity
+from tablewright.operators import assignment, components, consensus, dictionary, filters, matching, merging, metrics, ranks, similarity, windows
+from tablewright.plans import pipelines
+from tablewright.sources import files, sinks
 
 
 def frame(spark, rows, schema, parts=3):
@@ -319,3 +321,41 @@ def test_scanners(spark):
     assert [n for n, ok in zip(names + others, got, strict=True) if ok] == [n for n in names if n != "Notes-1b"] + ["Notes-1b"] * got[names.index("Notes-1b")]
     codes = {"USGS reference material MASS-1 (W et al., 2002), NIST SRM610": "MASS-1, NIST SRM610", "NIST SRM 612 and BHVO-2g; nist srm 612": "NIST SRM 612, BHVO-2g", "FeS2 and S-JP1": "FeS2, S-JP1", "none": "none", "": "", None: None}
     assert column(spark, list(codes), strings.reference_materials) == list(codes.values())
+
+
+def test_digest_ends_at_its_budget(spark):
+    text = "x" * 300 + "KEY" + "y" * 900 + "KEY" + "z" * 900 + "KEY"
+    docs = frame(spark, [(1, text), (2, "none"), (3, None), (4, "KEY"), (5, "")], "id int, text string")
+    for most, n in ((10_000, 3), (1300, 2), (700, 1), (100, 0)):
+        got = windows.keyword_digest(docs, ["id"], "text", "KEY", most).collect()
+        own = sorted((r.chunk_no, r.start, r.chunk) for r in got if r.id == 1)
+        assert [k for k, _, _ in own] == list(range(n)) and all(text[s:].startswith(c) for _, s, c in own) and sum(len(c) for _, _, c in own) <= most
+        assert sum(r.id == 4 for r in got) == 1 and {r.id for r in got} <= {1, 4}
+
+
+def test_result_records_of_tables(spark):
+    rows = [["Model", "SQuAD (F1)", "Acc. on MNLI", "Notes"], ["BERT", "90.1", "84.0", "old"], ["Ours", "91.2", "85.5", "7"], ["learning rate", "0.1", "0.2", ""]]
+    cells = [("d", 1, r, c, x) for r, row in enumerate(rows[1:]) for c, x in enumerate(row) if x]
+    headers = frame(spark, [("d", 1, c, x) for c, x in enumerate(rows[0])], "doc_id string, table_no int, col int, header string")
+    got = pipelines.domain_records(frame(spark, cells, "doc_id string, table_no int, row int, col int, raw string"), headers, "result").collect()
+    found = {(r.value, r.type, r.model, r.metric) for r in got}
+    assert {("90.1", "Result", "BERT", "F1"), ("84.0", "Result", "BERT", "accuracy"), ("91.2", "Result", "Ours", "F1"), ("85.5", "Result", "Ours", "accuracy")} <= found
+    assert all(r.type == "Hyper-parameter/Architecture" and r.model is None for r in got if r.value in ("0.1", "0.2")) and not [r for r in got if r.value == "7"]
+
+
+def test_wide_columns_and_file_facts(spark):
+    columns = sinks.wide_columns(["fe", "cu"])
+    assert len(columns) == 51 + 8 + 22 and columns[0] == "Uploaded" and columns[51:53] == ["fe_ppm", "fe_detection_limit"] and columns[-1] == "data_source_tag" and len(set(columns)) == len(columns)
+    row = sinks.project(frame(spark, [("S1", 5.0)], "sample_name string, fe_ppm double"), columns).first()
+    assert (row.sample_name, row.fe_ppm, row.country) == ("S1", 5.0, None)
+    facts = files.file_facts(frame(spark, [("/a/2019_Smith_LA-ICP-MS.csv",), ("b.csv",)], "path string"), "path").collect()
+    assert {(r.publication_year, r.analytical_method) for r in facts} == {(2019, "LA-ICPMS"), (None, None)}
+
+
+def test_files_of_one_name_are_two_documents(spark, tmp_path):
+    from tablewright.plans import cli
+
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "t.csv").write_text(f"Sample,Fe,Cu,Zn\n{folder},1,2,3\n")
+    assert {r.doc_id for r in cli._cells(spark, str(tmp_path)).select("doc_id").distinct().collect()} == {"a/t.csv", "b/t.csv"}
