@@ -215,11 +215,11 @@ def deposit_kind(c: Column) -> tuple[Column, Column]:
 
 def country_code(c: Column) -> Column:
     """The country that a text names first in the list, as three letters."""
+    names = F.array(*(F.struct(F.lit(f" {n} ").alias("n"), F.lit(code).alias("c")) for n, code in vocab.COUNTRIES.items()))
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "), F.lit(" "))
-    out = F.lit(None).cast("string")
-    for name, code in reversed(vocab.COUNTRIES.items()):
-        out = F.when(padded.contains(f" {name} "), F.lit(code)).otherwise(out)
-    return out
+    # The text is bound once, as the element of an array.
+    first = lambda text: F.get(F.filter(names, lambda x: F.contains(text, x["n"])), 0)["c"]
+    return F.get(F.transform(F.array(padded), first), 0)
 
 
 @F.pandas_udf(T.DoubleType())

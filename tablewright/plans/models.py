@@ -110,6 +110,46 @@ def classify(docs: DataFrame, client: Client, evidence: str, types: DataFrame, l
     return rows.drop("prompt", "prompt_hash", "answer", "c", "b").join(F.broadcast(types), "type_id", "left")
 
 
+EVIDENCE = "host_rocks array<string>, ore_minerals array<string>, gangue_minerals array<string>, tectonic_setting string, author_classification string"
+
+
+def classify_by_evidence(docs: DataFrame, client: Client, text: str, types: DataFrame, least: float = 0.3) -> DataFrame:
+    """Two passes: the model first lists a paper's evidence, then ranks deposit types by that evidence alone; the result is applied (apply_classification).
+
+    Documents whose first answer cannot be read are ranked without evidence.
+    """
+    first = with_answers(docs, prompt("Geological evidence of this paper as JSON:\n{text}", text=(F.col(text), None)), client)
+    known = first.withColumn("evidence", answers.tolerant(F.col("answer"), EVIDENCE)).drop("prompt", "prompt_hash", "answer")
+    second = with_answers(known, prompt("Deposit types with confidence as JSON for this evidence:\n{evidence}", evidence=(F.to_json("evidence"), None)), client)
+    return apply_classification(second.drop("prompt", "prompt_hash"), "answer", types, least, F.col("evidence.author_classification")).drop("answer", "evidence")
+
+
+def apply_classification(rows: DataFrame, answer: str, types: DataFrame, least: float = 0.3, author: Column | None = None) -> DataFrame:
+    """Rows with the first of the ranked types of an answer, if the model is sure enough: deposit_type, deposit_environment, deposit_group, deposit_type_confidence,
+    deposit_type_alternatives (the next four, with confidence) and deposit_type_original (what was there, or what the author says).
+
+    types: name, environment, grp, one a name, joined by equality.  Rows keep a deposit_type that they have where the model is not sure; an answer
+    that cannot be read changes nothing.
+    """
+    ranked = F.filter(answers.tolerant(F.col(answer), "classifications array<struct<deposit_type: string, confidence: double>>")["classifications"], lambda x: x["deposit_type"].isNotNull())
+    top = F.get("__r", F.lit(0))
+    had = F.col("deposit_type") if "deposit_type" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("__r", ranked).withColumn("__had", had).withColumn("__sure", F.coalesce(top["confidence"] >= least, F.lit(False)))
+    rows = rows.withColumn("__name", F.when(F.col("__sure"), top["deposit_type"]))
+    known = types.select(F.col("name").alias("__name"), F.col("environment").alias("deposit_environment"), F.col("grp").alias("deposit_group")).dropDuplicates(["__name"])
+    others = F.array_join(F.transform(F.slice("__r", F.lit(2), F.lit(4)), lambda x: F.concat(x["deposit_type"], F.format_string(" (%.2f)", x["confidence"]))), " | ")
+    changed = F.when(F.col("__sure") & (F.col("__had") != F.col("__name")), F.col("__had"))
+    out = rows.drop("deposit_environment", "deposit_group").join(known, "__name", "left")
+    return out.withColumns(
+        {
+            "deposit_type": F.coalesce("__name", "__had"),
+            "deposit_type_confidence": F.when(F.col("__sure"), top["confidence"]),
+            "deposit_type_alternatives": F.when(F.col("__sure") & (F.size("__r") > 1), others),
+            "deposit_type_original": F.coalesce(changed, author if author is not None else F.lit(None).cast("string")),
+        }
+    ).drop("__r", "__had", "__sure", "__name")
+
+
 def choose_backends(docs: DataFrame, client: Client, text: str, backends: list[str], default: list[str]) -> DataFrame:
     """Documents with the backends a model names, or the default."""
     rows = with_answers(docs, prompt("Which of these readers? JSON list\n{text}", text=(F.col(text), 3000)), client)

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from compare import duck, same
 
-from tablewright import catalogue, catalogue_linkage  # noqa: F401
+from tablewright import catalogue, catalogue_domains, catalogue_linkage  # noqa: F401  the others add their queries to the first
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
