@@ -198,13 +198,21 @@ def _together(found: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns, whatever their names."""
+    """The documents that are not contaminated, with their own columns, whatever their names.
+
+    A null or empty text holds nothing and stays; long texts are judged whole; equal texts, and repeated rows, are judged
+    alike, each by itself.  Without documents the result is empty; without a benchmark all stay.
+    """
     found = contamination(find_benchmark(_apart(docs), benchmark))
     return _together(found.where(~F.col("contaminated")), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All documents, without the words of hits; what stands between words stays before the next kept word."""
+    """All documents, without the words of hits; what stands between words stays before the next kept word.
+
+    Null and empty texts stay as they are, as does every text without a hit; long texts are cut whole.  Equal texts, and repeated rows, lose
+    the same words.  Items that share words remove them once.  Without documents the result is empty; without a benchmark all texts stay as they are.
+    """
 
     def cut(text, spans):
         if not spans:

@@ -29,7 +29,7 @@ BLOCK_CODES, QUERY_CHUNK, LEAST_CHUNK = 1 << 20, 1 << 18, 64
 
 
 def sign_codes(vectors: DataFrame, bits: int) -> DataFrame:
-    """id and code (a bit per number: 1 above 0) of rows (id, vector).
+    """id and code (a bit per number: 1 above 0) of rows (id, vector); vectors has these two columns only, of any names.
 
     Rows without an id, or whose vector is null or of another length, have none.  Null
     numbers and NaN count as 0.  Repeated rows give a row each; an empty table none.
