@@ -931,7 +931,8 @@ def null_words(spark, sf_dir):
     return _read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", filters.null_kind(text, "assay").alias("kind"))
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS k, min(CASE l_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END) AS phase FROM lineitem GROUP BY ALL)
+SELECT doc, 'S-' || k AS g_name, CASE phase WHEN 1 THEN 'S-' || k WHEN 2 THEN 'S - ' || k ELSE 'S-' || k || '@1' END AS p_name, CAST(phase AS INTEGER) AS phase FROM l""")
 def name_match(spark, sf_dir):
     """One-to-one sample names by equality, normalised equality and prefix."""
     l = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey")  # noqa: E741
@@ -960,7 +961,7 @@ def formula_components(spark, sf_dir):
     return p.select("p_partkey", F.explode(formula.formulas("text")).alias("c")).select("p_partkey", "c.component", F.round("c.share", 5).alias("share"))
 
 
-@query()
+@query("""SELECT event_id, '{"value": ' || event_id || '}' AS record FROM events""")
 def answer_records(spark, sf_dir):
     """Records in model answers of several shapes."""
     k = F.col("event_id").cast("string")

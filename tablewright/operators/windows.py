@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,10 @@ def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> Dat
     return rows.withColumn("__k", F.row_number().over(over)).where(F.col("__k") <= k).drop("__k")
 
 
+#: Deposit types that are sent to every task at once.
+TYPES_AT_ONCE = 2000
+
+
 def score_types(docs: DataFrame, types: DataFrame, k: int = 10) -> DataFrame:
     """Deposit types (type_id, name, grp, environment, description) scored for each row (id, deposit, deposit_group, environment, keywords, commodity): the best k above 0.05.
 
@@ -116,9 +122,15 @@ def score_types(docs: DataFrame, types: DataFrame, k: int = 10) -> DataFrame:
         + F.when((low("commodity") != "") & low("description").contains(low("commodity")), 0.1).otherwise(0.0)
         + F.when(F.size(F.array_intersect(bag("deposit"), bag("name"))) > 0, 0.1).otherwise(0.0)
     )
-    pairs = docs.join(F.broadcast(types.withColumnRenamed("environment", "type_environment")))
-    rows = pairs.withColumn("score", F.round(F.least(F.lit(1.0), score), 4)).where("score > 0.05")
-    return top_k(rows.select(*docs.columns, "type_id", "name", "score"), docs.columns, [F.desc("score"), F.col("type_id")], k)
+    # Types are a vocabulary; a longer one goes in parts of a size that every task can hold, each with the best of its part.
+    parts = max(1, -(-types.count() // TYPES_AT_ONCE))
+    named = types.withColumnRenamed("environment", "type_environment").withColumn("__part", F.pmod(F.xxhash64("type_id"), F.lit(parts)))
+    best = []
+    for part in range(parts):
+        pairs = docs.join(F.broadcast(named.where(F.col("__part") == part).drop("__part")))
+        rows = pairs.withColumn("score", F.round(F.least(F.lit(1.0), score), 4)).where("score > 0.05").select(*docs.columns, "type_id", "name", "score")
+        best.append(top_k(rows, docs.columns, [F.desc("score"), F.col("type_id")], k))
+    return top_k(reduce(DataFrame.unionByName, best), docs.columns, [F.desc("score"), F.col("type_id")], k) if parts > 1 else best[0]
 
 
 def ordered_distinct(c: Column) -> Column:

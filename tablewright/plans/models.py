@@ -107,7 +107,7 @@ def classify(docs: DataFrame, client: Client, evidence: str, types: DataFrame, l
     rows = rows.withColumn("c", answers.tolerant(F.col("answer"), CLASSIFICATION)["classifications"])
     best = F.array_max(F.transform(F.slice("c", 1, most), lambda x: F.struct(x["confidence"].alias("confidence"), x["type_id"].alias("type_id"))))
     rows = rows.withColumn("b", best).withColumn("type_id", F.when(F.col("b.confidence") >= least, F.col("b.type_id"))).withColumn("confidence", F.col("b.confidence"))
-    return rows.drop("prompt", "prompt_hash", "answer", "c", "b").join(F.broadcast(types), "type_id", "left")
+    return rows.drop("prompt", "prompt_hash", "answer", "c", "b").join(types, "type_id", "left")
 
 
 EVIDENCE = "host_rocks array<string>, ore_minerals array<string>, gangue_minerals array<string>, tectonic_setting string, author_classification string"
@@ -193,20 +193,20 @@ class Correction:
 
 
 def read_backend(files: DataFrame, name: str, backend: Backend) -> DataFrame:
-    """Raw cells (doc_id, backend, page, table_no, row, col, raw) of files (doc_id, content) by a plugged-in reader; files it fails on have none."""
+    """Raw cells (doc_id, backend, page, table_no, row, col, raw, error) of files (doc_id, content) by a plugged-in reader; a file that it fails on has one row with the error."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(doc, name, *c) for c in backend(content)]
-                except Exception:
-                    continue
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "backend", "page", "table_no", "row", "col", "raw"])
+                    rows += [(doc, name, *c, None) for c in backend(content)]
+                except Exception as e:  # of any reader
+                    rows.append((doc, name, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "backend", "page", "table_no", "row", "col", "raw", "error"])
 
-    return files.select("doc_id", "content").mapInArrow(run, "doc_id string, backend string, page int, table_no int, row int, col int, raw string")
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id string, backend string, page int, table_no int, row int, col int, raw string, error string")
 
 
 def fill_cells(cells: list[str], ask: Client, describe: Callable[[str], str | None], most: int = 5) -> dict[str, str]:

@@ -92,28 +92,43 @@ def expand(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
         yield name, content
 
 
-def cells_of(name: str, content: bytes) -> Iterator[tuple[str, str, int, int, str]]:
-    """Cells by the file's ending; files that cannot be read, or are of no known kind, have none."""
-    for path, data in expand(name, content):
+def cells_of(name: str, content: bytes) -> Iterator[tuple]:
+    """(file, sheet, row, col, raw, error) by the file's ending: its cells, or one row that says why there are none."""
+    try:
+        members = list(expand(name, content))
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+        yield (name, None, None, None, None, f"{type(e).__name__}: {e}")
+        return
+    for path, data in members:
+        kind = path.lower().rsplit(".", 1)[-1]
         try:
-            rows = list(xlsx_cells(data) if path.lower().endswith(".xlsx") else csv_cells(data) if path.lower().endswith((".csv", ".txt")) else ())
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, csv.Error):
-            rows = []
-        for row in rows:
-            yield (path, *row)
-
+            if kind not in ("xlsx", "csv", "txt"):
+                raise ValueError(f"no reader for .{kind}")
+            for row in list(xlsx_cells(data) if kind == "xlsx" else csv_cells(data)):
+                yield (path, *row, None)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, csv.Error) as e:
+            yield (path, None, None, None, None, f"{type(e).__name__}: {e}")
 
-def read_grids(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Cell grids of all tables in files: source_file, sheet, row, col, raw."""
 
+def _read(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             cells = [c for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in cells_of(p, data)]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], t) for k, t in enumerate(kinds)], ["source_file", "sheet", "row", "col", "raw"])
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], t) for k, t in enumerate(kinds)], ["source_file", "sheet", "row", "col", "raw", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, GRID)
+    return files.select("path", "content").mapInArrow(run, f"{GRID}, error string")
+
+
+def read_grids(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Cell grids of all tables in files: source_file, sheet, row, col, raw.  Files that cannot be read have none; unreadable() names them."""
+    return _read(spark, path, pattern).where("error is null").drop("error")
+
+
+def unreadable(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(source_file, error) of files, and members of archives, that are of no known kind or cannot be read."""
+    return _read(spark, path, pattern).where("error is not null").select("source_file", "error")
 
 
 def data_sheets(grids: DataFrame) -> DataFrame:
