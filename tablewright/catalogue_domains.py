@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.catalogue import _graph, _read, query
-from tablewright.functions import numbers, strings, vocab
+from tablewright.functions import answers, numbers, strings, vocab
 from tablewright.operators import filters, grid
 from tablewright.plans import graph, models, pipelines
 from tablewright.sources import sinks, tables
@@ -194,3 +194,21 @@ def applied_classification(spark, sf_dir):
     types = _read(spark, sf_dir, "nation").select(F.concat(F.lit("type "), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("environment"), F.lit("g").alias("grp"))
     out = models.apply_classification(rows, "answer", types)
     return out.select("k", "deposit_type", "deposit_environment", F.round("deposit_type_confidence", 6).alias("confidence"), F.col("deposit_type_alternatives").alias("alternatives"), F.col("deposit_type_original").alias("original"))
+
+
+@query("""WITH e AS (SELECT event_id, 'd' || (event_id // 40) AS doc_id, event_id // 40 % 2 = 0 AS even, unnest(['fe', 'cu', 'zn']) AS element, unnest([round(abs(value), 2), CAST(event_id AS DOUBLE), event_id % 7 + 1.0]) AS v FROM events)
+SELECT doc_id, 'P' || event_id AS sample_name, element, round(CASE WHEN even THEN v * 10000 ELSE v END, 6) AS value_ppm, v AS original_value, CASE WHEN even THEN 'wt%' ELSE 'ppm' END AS original_unit FROM e""")
+def hinted_extraction(spark, sf_dir):
+    """Measurements of tables whose header, sample column and unit only a model's hints tell: a row of elements stands before the header."""
+    e = _read(spark, sf_dir, "events")
+    k = F.col("event_id")
+    cells = F.array(F.lit("b"), F.concat(F.lit("P"), k.cast("string")), F.round(F.abs("value"), 2).cast("string"), k.cast("string"), (k % 7 + 1).cast("string"))
+    doc = F.concat(F.lit("d"), F.floor(k / 40).cast("string")).alias("doc_id")
+    rows = e.select(doc, F.struct((k % 40 + 2).cast("int").alias("row"), cells.alias("cells")).alias("r"))
+    head = lambda n, *c: F.struct(F.lit(n).cast("int").alias("row"), F.array(*map(F.lit, c)).alias("cells"))
+    heads = rows.select("doc_id").distinct().select("doc_id", F.explode(F.array(head(0, "Ag", "Au", "Pb", "Sb", "As"), head(1, "Batch", "Probe", "Fe", "Cu", "Zn"))).alias("r"))
+    grid_cells = rows.unionByName(heads).select("doc_id", F.lit("docling").alias("backend"), F.lit(0).alias("table_no"), F.col("r.row").alias("row"), F.posexplode("r.cells").alias("col", "raw"))
+    even = F.substr(F.col("doc_id"), F.lit(2)).cast("long") % 2 == 0
+    answer = F.concat(F.lit('Hints: {"header_row": 1, "transpose": false, "sample_id_col": "probe"'), F.when(even, ', "unit_override": "wt%"').otherwise(""), F.lit("}"))
+    hints = heads.select("doc_id").distinct().select("doc_id", F.lit(0).alias("table_no"), answers.hints(answer).alias("h")).select("doc_id", "table_no", "h.*")
+    return pipelines.extract(grid_cells, hints=hints).select("doc_id", "sample_name", "element", "value_ppm", "original_value", "original_unit")

@@ -19,6 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tablewright.functions import strings
 from tablewright.operators import dictionary, ranks, similarity
+from tablewright.plans.stages import settle
 
 
 def records(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[str]], columns: list[str] | None = None, order: str = "ord") -> DataFrame:
@@ -372,6 +373,8 @@ def error_classes(pred: DataFrame, gold: DataFrame, doc: list[str], near: bool =
     """
     cored = lambda df: df.withColumns({"__core": strings.normalize_text(strings.value_core(F.col("value"))), "type": F.col("type").cast("string"), "unit": F.col("unit").cast("string")})
     rows = records(cored(pred), cored(gold), doc, [["__core"]], ["value", "type", "unit"])
+    if near:
+        rows = settle(rows)  # read for each class, and by the match within the tolerance
     same = lambda c: F.coalesce(strings.normalize_text(F.col(f"p_{c}")), F.lit("")) == F.coalesce(strings.normalize_text(F.col(f"g_{c}")), F.lit(""))
     wrong = rows.where("pass_no is not null").where(~(same("type") & same("unit"))).select(F.lit("VAL_MATCH_ATTR_WRONG").alias("class"))
     number = lambda c: F.regexp_extract(c.cast("string"), r"([-+]?\d*\.?\d+)", 1).try_cast("double")

@@ -76,7 +76,36 @@ def without_flagged(rows: DataFrame, key: str, name: str, order: str) -> DataFra
     return rows.join(filters.capped_removal(samples, ["doc_id"], filters.is_unsafe_name(F.col(name)), order), ["doc_id", key], "left_semi")
 
 
-def extract(cells: DataFrame, config: Config = Config()) -> DataFrame:
+HINT_COLUMNS = {"header_row": "int", "transpose": "boolean", "sample_id_col": "string", "unit_override": "string"}
+
+
+def _hinted_turns(turned: DataFrame, cells: DataFrame, hints: DataFrame, table: list[str]) -> DataFrame:
+    """Tables to be turned, where hints say yes or no."""
+    keys = ["doc_id", "table_no"]
+    kept = turned.join(hints.where("transpose is not null").select(*keys), keys, "left_anti")
+    wanted = cells.join(hints.where("transpose").select(*keys), keys, "left_semi").groupBy(*table).agg(F.min("col").alias("first"))
+    return kept.unionByName(wanted.join(turned, table, "left").select(*table, F.coalesce("label_col", "first").alias("label_col")))
+
+
+def _hinted_units(rows: DataFrame, hints: DataFrame) -> DataFrame:
+    """Records whose table's unit a hint gives, scaled by it."""
+    unit = F.col("unit_override")
+    said = rows.join(hints.select("doc_id", "table_no", "unit_override"), ["doc_id", "table_no"], "left")
+    scaled = lambda state, c: F.when(unit.isNull(), F.col(c)).when(F.col("state") == state, F.round(numbers.to_ppm(F.col("original_value"), unit), 6))
+    return said.withColumns({"value_ppm": scaled("measured", "value_ppm"), "detection_limit": scaled("bdl_known", "detection_limit"), "original_unit": F.coalesce(unit, "original_unit")}).drop("unit_override")
+
+
+def corrected(cells: DataFrame, hints: DataFrame, config: Config = Config()) -> DataFrame:
+    """Measurements of all documents, and of those with hints what they lead to, if that has strictly more measured values than before."""
+    first = settle(extract(cells, config))
+    some = cells.join(hints.select("doc_id").distinct(), "doc_id", "left_semi")
+    second = settle(extract(some, config, hints))
+    count = lambda df, n: df.groupBy("doc_id").agg(F.count_if(F.col("state") == "measured").alias(n))
+    better = count(second, "n").join(count(first, "was"), "doc_id", "left").where(F.col("n") > F.coalesce("was", F.lit(0))).select("doc_id")
+    return first.join(better, "doc_id", "left_anti").unionByName(second.join(better, "doc_id", "left_semi"))
+
+
+def extract(cells: DataFrame, config: Config = Config(), hints: DataFrame | None = None) -> DataFrame:
     """Measurements of cell grids (doc_id, backend, table_no, row, col, raw), all documents at once.
 
     Tables of statistics found in plain text are left out (B17), and, if asked for, grids too
@@ -85,13 +114,22 @@ def extract(cells: DataFrame, config: Config = Config()) -> DataFrame:
     filled downwards (W01), cells parsed, rows that are no samples left out, local ids made
     (B19), versions of several backends reconciled, flagged samples removed under a cap (F03),
     and a row given for each mineral (N13).  Each stage has its switch (P05).
+
+    hints (L07, N12): doc_id, table_no and any of header_row, transpose, sample_id_col and unit_override, one row a table; what is not null
+    takes the place of what would be found.
     """
+    if hints is not None:
+        hints = settle(hints.select("doc_id", "table_no", *((F.col(c) if c in hints.columns else F.lit(None)).cast(t).alias(c) for c, t in HINT_COLUMNS.items())))
     table = ["doc_id", "backend", "table_no"]
     cells = settle(grid.clean_cells(cells.where(F.col("backend").isin(*config.backends))))  # files are read and parsed once
     first = cells.groupBy(*table).agg(F.min("row").alias("first"))
     heads = first.join(grid.header_row(cells, table), table, "left").select(*table, F.coalesce("header_row", "first").alias("h"))
+    if hints is not None:
+        heads = heads.join(hints.select("doc_id", "table_no", "header_row"), ["doc_id", "table_no"], "left").select(*table, F.coalesce("header_row", "h").alias("h"))
     raw_headers = cells.join(heads, table).where("row = h").select(*table, "col", F.col("raw").alias("header"))
     turned = grid.transposed(cells, raw_headers, table)
+    if hints is not None:
+        turned = settle(_hinted_turns(turned, cells, hints, table))
     cells = grid.transpose(cells, turned, table)
     heads = heads.join(turned, table, "left").select(*table, F.coalesce("label_col", "h").alias("h"))
     placed = settle(cells.join(heads, table))
@@ -105,9 +143,16 @@ def extract(cells: DataFrame, config: Config = Config()) -> DataFrame:
         headers, starts = named_columns(body, headers, table)
         body = body.join(settle(starts), table).where("row >= start").drop("start")
     headers = grid.unique_headers(headers, table)
-    ids = settle(grid.sample_id_column(headers, grid.column_profile(body, table), table))
+    ids = grid.sample_id_column(headers, grid.column_profile(body, table), table)
+    if hints is not None:
+        low = lambda c: F.lower(F.trim(c))
+        named = headers.join(hints.select("doc_id", "table_no", "sample_id_col"), ["doc_id", "table_no"]).where(low("header") == low("sample_id_col")).groupBy(*table).agg(F.min("col").alias("col"))
+        ids = named.unionByName(ids.join(named, table, "left_anti"))
+    ids = settle(ids)
     rows = grid.measurements(body, headers, table, ids, config.least_elements, config.fill_ids, config.filter_rows)
     rows = rows.withColumns({"ord": F.col("table_no").cast("long") * 1_000_000 + F.col("row"), "__key": F.coalesce("sample_local_id", "sample_name")})
+    if hints is not None:
+        rows = _hinted_units(rows, hints)
     rows = settle(rows)  # what follows reads them several times
     if config.validate:
         rows = without_flagged(rows, "__key", "sample_name", "ord")

@@ -359,3 +359,15 @@ def test_files_of_one_name_are_two_documents(spark, tmp_path):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "t.csv").write_text(f"Sample,Fe,Cu,Zn\n{folder},1,2,3\n")
     assert {r.doc_id for r in cli._cells(spark, str(tmp_path)).select("doc_id").distinct().collect()} == {"a/t.csv", "b/t.csv"}
+
+
+def test_hints_are_kept_where_they_help(spark):
+    """One document is misread without its hint, and one hint makes things worse."""
+    good = [["Fe", "Cu", "Zn", "Pb"], ["Sample", "Fe", "Cu", "Zn"], ["S1", "1", "2", "3"], ["S2", "4", "5", "6"]]
+    plain = [["Sample", "Fe", "Cu", "Zn"], ["T1", "1", "2", "3"], ["T2", "4", "5", "6"]]
+    cells = [(d, "docling", 0, r, c, x) for d, rows in (("a", good), ("b", plain)) for r, row in enumerate(rows) for c, x in enumerate(row)]
+    hints = frame(spark, [("a", 0, 1, "wt%"), ("b", 0, 2, None)], "doc_id string, table_no int, header_row int, unit_override string")
+    got = {(r.doc_id, r.sample_name, r.element): (r.value_ppm, r.original_unit) for r in pipelines.corrected(frame(spark, cells, "doc_id string, backend string, table_no int, row int, col int, raw string"), hints).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "b"} == {("b", f"T{n}", e): (v, "ppm") for n, vs in ((1, (1.0, 2.0, 3.0)), (2, (4.0, 5.0, 6.0))) for e, v in zip(("fe", "cu", "zn"), vs, strict=True)}
+    hinted = {(r.doc_id, r.sample_name, r.element): (r.value_ppm, r.original_unit) for r in pipelines.extract(frame(spark, cells, "doc_id string, backend string, table_no int, row int, col int, raw string").where("doc_id = 'a'"), hints=hints).collect()}
+    assert hinted == {("a", f"S{n}", e): (v * 10_000, "wt%") for n, vs in ((1, (1.0, 2.0, 3.0)), (2, (4.0, 5.0, 6.0))) for e, v in zip(("fe", "cu", "zn"), vs, strict=True)}
