@@ -212,3 +212,21 @@ def hinted_extraction(spark, sf_dir):
     answer = F.concat(F.lit('Hints: {"header_row": 1, "transpose": false, "sample_id_col": "probe"'), F.when(even, ', "unit_override": "wt%"').otherwise(""), F.lit("}"))
     hints = heads.select("doc_id").distinct().select("doc_id", F.lit(0).alias("table_no"), answers.hints(answer).alias("h")).select("doc_id", "table_no", "h.*")
     return pipelines.extract(grid_cells, hints=hints).select("doc_id", "sample_name", "element", "value_ppm", "original_value", "original_unit")
+
+
+@query("""WITH t AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row, o_orderkey, o_orderstatus, o_totalprice FROM orders),
+c AS (
+  SELECT o_custkey, row, unnest([0, 1, 2]) AS col, false AS is_header, unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus || ' & co', CAST(o_totalprice AS VARCHAR)]) AS raw FROM t
+  UNION ALL SELECT o_custkey, 0, unnest([0, 1, 2]), true, unnest(['Key', 'Status', 'Price']) FROM (SELECT DISTINCT o_custkey FROM orders)
+)
+SELECT o_custkey, count(*) AS n_cells, count(*) FILTER (is_header) AS n_headers, md5(string_agg(row || ':' || col || ':' || raw, '|' ORDER BY row, col)) AS cells FROM c GROUP BY o_custkey""")
+def html_tables(spark, sf_dir):
+    """Cells of tables in web pages, with a head, markup inside cells, entities and other text around; a page is a customer's orders."""
+    o = _read(spark, sf_dir, "orders")
+    j = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    line = j("<tr><td>", F.col("o_orderkey").cast("string"), "</td><td> <b>", F.col("o_orderstatus"), "</b> &amp; co</td><td>", F.col("o_totalprice").cast("string"), "</td></tr>")
+    body = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    page = j("<html><body><p>Orders</p><table><thead><tr><th>Key</th><th>Status</th><th>Price</th></tr></thead><tbody>", F.col("body"), "</tbody></table><p>end</p></body></html>")
+    cells = tables.parse_tables(body.select("o_custkey", page.alias("html")), "html", tables.html_cells)
+    text = F.transform(F.sort_array(F.collect_list(F.struct("row", "col", "raw"))), lambda x: F.concat_ws(":", x["row"].cast("string"), x["col"].cast("string"), x["raw"]))
+    return cells.groupBy("o_custkey").agg(F.count("*").alias("n_cells"), F.count_if("is_header").alias("n_headers"), F.md5(F.array_join(text, "|")).alias("cells"))
