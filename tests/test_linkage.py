@@ -371,3 +371,25 @@ def test_hints_are_kept_where_they_help(spark):
     assert {k: v for k, v in got.items() if k[0] == "b"} == {("b", f"T{n}", e): (v, "ppm") for n, vs in ((1, (1.0, 2.0, 3.0)), (2, (4.0, 5.0, 6.0))) for e, v in zip(("fe", "cu", "zn"), vs, strict=True)}
     hinted = {(r.doc_id, r.sample_name, r.element): (r.value_ppm, r.original_unit) for r in pipelines.extract(frame(spark, cells, "doc_id string, backend string, table_no int, row int, col int, raw string").where("doc_id = 'a'"), hints=hints).collect()}
     assert hinted == {("a", f"S{n}", e): (v * 10_000, "wt%") for n, vs in ((1, (1.0, 2.0, 3.0)), (2, (4.0, 5.0, 6.0))) for e, v in zip(("fe", "cu", "zn"), vs, strict=True)}
+
+
+def test_more_commands(spark, tmp_path):
+    from tablewright.plans import cli
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for d, n in (("a.csv", 1), ("b.csv", 5)):
+        (source / d).write_text("Sample,Fe ppm,Cu ppm,Zn ppm\n" + "".join(f"S{k},{k + n},2,3\n" for k in range(2)))
+    spark.createDataFrame([("a.csv", 1, 1.0, "fe"), ("a.csv", 2, 2.0, "cu"), ("a.csv", 3, 99.0, "zn")], "doc_id string, ord int, value double, type string").write.parquet(str(tmp_path / "gold"))
+    cli.main(["list", str(source), str(tmp_path / "before")], spark)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "before")).collect())) == [("a.csv", False), ("b.csv", False)]
+    cli.main(["paper", str(source), str(tmp_path / "one"), "--doc", "b.csv"], spark)
+    assert {(r.doc_id, r.value_ppm) for r in spark.read.parquet(str(tmp_path / "one")).where("element = 'fe'").collect()} == {("b.csv", 5.0), ("b.csv", 6.0)}
+    cli.main(["batch-quality", str(source), str(tmp_path / "batch")], spark)
+    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "batch" / "quality")).collect()} == {"a.csv", "b.csv"}
+    cli.main(["list", str(source), str(tmp_path / "after"), "--done", str(tmp_path / "batch" / "results")], spark)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "after")).collect())) == [("a.csv", True), ("b.csv", True)]
+    cli.main(["benchmark", str(source), str(tmp_path / "scores"), "--gold", str(tmp_path / "gold")], spark)
+    scores = spark.read.parquet(str(tmp_path / "scores")).where("doc_id = 'a.csv'").collect()
+    assert {r.variant for r in scores} == {"full", "no_promotion", "no_id_fill", "no_row_filter", "only_data_tables"}
+    assert {(r.tp, r.fp, r.fn) for r in scores if r.variant == "full"} == {(2, 4, 1)}
