@@ -264,8 +264,8 @@ def paired_bootstrap(spark, sf_dir):
 @query("""SELECT o_orderkey, CAST(o_totalprice / 1000 AS BIGINT) AS price, row_number() OVER (ORDER BY CAST(o_totalprice / 1000 AS BIGINT) DESC, o_orderkey DESC) AS row_number,
 rank() OVER (ORDER BY CAST(o_totalprice / 1000 AS BIGINT) DESC) AS rank, dense_rank() OVER (ORDER BY CAST(o_totalprice / 1000 AS BIGINT) DESC) AS dense_rank FROM orders""")
 def global_ranks(spark, sf_dir):
-    """Ranks of all orders by price in thousands, with ties, by ranges of the price."""
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000).cast("long").alias("price"))
+    """Ranks of all orders by price in thousands (halves go to the even one), with ties, by ranges of the price."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.rint(F.col("o_totalprice") / 1000).cast("long").alias("price"))
     return ranks.global_ranks(o, "price", "o_orderkey", descending=True)
 
 
