@@ -5,12 +5,18 @@ similarity reaches a bound must share COMMON of the first few members in that or
 prefixes: what is left when the least overlap that counts is taken off, and COMMON - 1 more), or all they need to share if that is less.
 So only prefixes are indexed, and members that nearly all sets have are hardly ever in one.  Candidates that the sizes
 or the places of a shared member rule out are dropped in the join; the rest are verified.
+
+Where an index does not help, because one side is small or most sets share their rarest members too, overlaps
+of all pairs are counted instead: blocks of sets meet in cells, a product of 0-1 matrices a cell, and only pairs that reach the bound leave it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tablewright.functions import strings
 from tablewright.plans.stages import settle
@@ -42,10 +48,11 @@ COMMON = 3
 def prefixes(sets: DataFrame, order: DataFrame, least: float, measure: str) -> DataFrame:
     """side, by, id, n, place (from 1) and member of the members by which a set is indexed.
 
-    sets: side, by, id, members (an array without repeats); order: by, member and how many sets have it.
+    sets: side, by, id, members (an array without repeats); order: by, hash of a member and how many sets have it.  Members are
+    given as hashes; two of one hash can only make more candidates.
     """
     need, _, _ = _BOUNDS[measure]
-    tall = sets.select("side", "by", "id", F.size("members").alias("n"), F.explode("members").alias("member"))
+    tall = sets.select("side", "by", "id", F.size("members").alias("n"), F.explode("members").alias("m")).select("side", "by", "id", "n", F.xxhash64("m").alias("member"))
     ranked = tall.join(order, ["by", "member"]).groupBy("side", "by", "id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "member"))).alias("own"))
     # A hair is taken off the bound, so that rounding never drops a pair.
     taken = (F.col("n") - F.ceil(need(F.col("n"), least) - 1e-9) + COMMON).cast("int")
@@ -57,9 +64,17 @@ def candidates(sets: DataFrame, least: float, measure: str = "dice", itself: boo
 
     itself: there is one side, "a", and pairs are those with a < b.
     """
+    return _met(_index(sets, least, measure), least, measure, itself)
+
+
+def _index(sets: DataFrame, least: float, measure: str) -> DataFrame:
+    order = sets.select("by", F.explode("members").alias("m")).groupBy("by", F.xxhash64("m").alias("member")).agg(F.count("*").alias("sets"))
+    return settle(prefixes(sets, order, least, measure))
+
+
+def _met(index: DataFrame, least: float, measure: str, itself: bool) -> DataFrame:
+    """Pairs of an index that share enough of their prefixes."""
     _, both, _ = _BOUNDS[measure]
-    order = sets.select("by", F.explode("members").alias("member")).groupBy("by", "member").agg(F.count("*").alias("sets"))
-    index = settle(prefixes(sets, order, least, measure))
     a, b = (index.where(F.col("side") == s).select("by", "member", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "place"))) for s, x in (("a", "a"), ("a" if itself else "b", "b")))
     pairs = a.join(b, ["by", "member"])
     n, m, i, j = (F.col(c) for c in ("a_n", "b_n", "a_place", "b_place"))
@@ -72,21 +87,128 @@ def candidates(sets: DataFrame, least: float, measure: str = "dice", itself: boo
     return shared.where("k >= least").select("by", "a", "b")
 
 
+#: Sets of a block; members that a product takes at once; pairs that are given at once.
+BLOCK, MEMBERS, PAIRS = 2048, 4096, 1 << 14
+#: All pairs are compared if they are at most so many a set, or so many a pair of the index.
+A_SET, A_PAIR = 256, 16
+
+
+def _places(members: pa.ListArray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in words of each member that is among them, by place."""
+    of = np.repeat(np.arange(len(members)), np.diff(np.asarray(members.offsets)))
+    at = pa.compute.index_in(members.flatten(), words)
+    known = np.asarray(at.is_valid())
+    row, place = of[known], np.asarray(at.drop_null())
+    order = np.argsort(place, kind="stable")
+    return row[order], place[order]
+
+
+def _overlaps(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """Number of members that each set of one side shares with each of the other; members go in parts, so the matrices are of bounded size."""
+    words = left.flatten().unique()
+    words = words.filter(pa.compute.is_in(words, right.flatten().unique()))
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(len(x), *_places(x, words)) for x in (left, right)]
+    for start in range(0, len(words), MEMBERS):
+        parts = []
+        for n, row, place in sides:
+            a, b = np.searchsorted(place, [start, start + MEMBERS])
+            part = np.zeros((n, min(MEMBERS, len(words) - start)), np.float32)
+            part[row[a:b], place[a:b] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _cell(rows: pa.Table, least: float, measure: str, strict: bool, same: bool):
+    """Batches (a, b, score) of a cell's pairs that reach the bound; same: of its first sets with one another, each once."""
+    first = rows.column("first").combine_chunks()
+    a, b = (rows.filter(m).combine_chunks() for m in (first, pa.compute.invert(first)))
+    b = a if same else b
+    if not a.num_rows or not b.num_rows:
+        return
+    x, y = (t.column("members").combine_chunks() for t in (a, b))
+    overlap = _overlaps(x, y)
+    n, m = (np.diff(np.asarray(t.offsets)).astype(np.float64) for t in (x, y))
+    for at in range(0, len(n), 256):
+        score = _BOUNDS[measure][2](overlap[at : at + 256].astype(np.float64), n[at : at + 256, None], m[None])
+        i, j = np.nonzero((score > least) if strict else (score >= least - 1e-12))
+        if same:
+            i, j = i[keep := j > i + at], j[keep]
+        for k in range(0, len(i), PAIRS):
+            ii, jj = i[k : k + PAIRS], j[k : k + PAIRS]
+            yield pa.RecordBatch.from_arrays([a.column("id").combine_chunks().take(pa.array(ii + at)), b.column("id").combine_chunks().take(pa.array(jj)), pa.array(score[ii, jj])], ["a", "b", "score"])
+
+
+def all_pairs(sets: DataFrame, n_a: int, n_b: int, least: float, measure: str, strict: bool, itself: bool) -> DataFrame:
+    """(a, b, score) of the pairs of sets of one `by` that reach the bound, by comparing all: every block of a side with every one of the other (itself: with those after it).
+
+    sets: as for candidates(); n_a and n_b: how many each side has.  A task holds a cell of two blocks at a time.
+    """
+    blocks = [max(1, -(-n // BLOCK)) for n in (n_a, n_a if itself else n_b)]
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == "a", blocks[0]).otherwise(blocks[1]))
+    other = F.explode(F.when(F.col("side") == "a", F.sequence(F.lit(0), F.lit(blocks[1] - 1))).otherwise(F.sequence(F.lit(0), F.lit(blocks[0] - 1))))
+    rows = sets.select("side", "id", "members", own.alias("own")).select("*", other.alias("other"))
+    first = (F.col("own") <= F.col("other")) if itself else (F.col("side") == "a")
+    cell = F.when(first, F.col("own") * blocks[1] + F.col("other")).otherwise(F.col("other") * blocks[1] + F.col("own"))
+    rows = rows.select(cell.alias("cell"), first.alias("first"), "id", "members")
+    cells = blocks[0] * (blocks[1] + 1) // 2 if itself else blocks[0] * blocks[1]
+    tasks = min(cells, 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def pairs(batches):
+        held, at = [], None
+        same = lambda: itself and at // blocks[1] == at % blocks[1]
+        for batch in batches:
+            numbers = np.asarray(batch.column("cell"))
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if held and numbers[s] != at:
+                    yield from _cell(pa.Table.from_batches(held), least, measure, strict, same())
+                    held = []
+                at = numbers[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from _cell(pa.Table.from_batches(held), least, measure, strict, same())
+
+    kind = sets.schema["id"].dataType
+    schema = StructType([StructField("a", kind), StructField("b", kind), StructField("score", DoubleType())])
+    found = rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(pairs, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score") if itself else found
+
+
 def similar_sets(left: DataFrame, right: DataFrame | None, least: float, measure: str = "dice", strict: bool = False) -> DataFrame:
     """All pairs (by, a, b, score) of sets whose similarity is `least` or more (strict: more).
 
     left and right: by, id and members, an array without repeats (numbered() makes multisets into such), one row an id; ids of one
     type.  Only sets of equal `by` meet.  Without right the pairs are those of left with itself, each once (a < b).  Empty
     and null sets are similar to none.  What is alike should be put together before: equal sets are as many pairs as there are.
+
+    Ids may be long texts: the index is of numbers of sets and hashes of members, and ids are added to the pairs that are found.
     """
     columns = lambda df, side: df.where(F.size("members") > 0).select(F.lit(side).alias("side"), "by", "id", "members")
-    sets = columns(left, "a") if right is None else columns(left, "a").unionByName(columns(right, "b"))
-    found = candidates(sets, least, measure, right is None)
-    side = lambda s, x: sets.where(F.col("side") == s).select("by", F.col("id").alias(x), F.col("members").alias(f"{x}_members"))
-    pairs = found.join(side("a", "a"), ["by", "a"]).join(side("a" if right is None else "b", "b"), ["by", "b"])
+    itself = right is None
+    sets = settle((columns(left, "a") if itself else columns(left, "a").unionByName(columns(right, "b"))).withColumn("no", F.monotonically_increasing_id()))
+    sizes = sets.groupBy("by").agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"))
+    whole = sizes.agg(F.count("*").alias("kinds"), F.sum("n_a").alias("a"), F.sum("n_b").alias("b"), F.first("by").alias("by")).first()
+    pairs_there = (whole["a"] or 0) * (whole["a"] / 2 if itself else whole["b"]) if whole["kinds"] == 1 else None
+    every = lambda: all_pairs(sets, whole["a"], whole["b"], least, measure, strict, itself).crossJoin(F.broadcast(sets.select("by").limit(1))).select("by", "a", "b", "score")
+    if pairs_there is not None and pairs_there <= A_SET * (whole["a"] + whole["b"]):
+        return every()
+    index = _index(sets.select("side", "by", F.col("no").alias("id"), "members"), least, measure)
+    if pairs_there is not None:
+        held = index.groupBy("member").agg(F.count_if(F.col("side") == "a").cast("double").alias("a"), F.count_if(F.col("side") == "b").cast("double").alias("b"))
+        met = held.agg(F.sum(F.col("a") * (F.col("a") / 2 if itself else F.col("b")))).first()[0] or 0
+        if pairs_there <= A_PAIR * met:
+            return every()
+    found = _met(index, least, measure, itself)
+    side = lambda s, x: sets.where(F.col("side") == s).select("by", F.col("no").alias(x), F.col("id").alias(f"{x}_id"), F.col("members").alias(f"{x}_members"))
+    pairs = found.join(side("a", "a"), ["by", "a"]).join(side("a" if itself else "b", "b"), ["by", "b"])
     overlap = F.size(F.array_intersect("a_members", "b_members"))
     score = _BOUNDS[measure][2](overlap, F.size("a_members"), F.size("b_members"))
-    scored = pairs.select("by", "a", "b", score.alias("score"))
+    ends = (F.least("a_id", "b_id"), F.greatest("a_id", "b_id")) if itself else (F.col("a_id"), F.col("b_id"))
+    scored = pairs.select("by", ends[0].alias("a"), ends[1].alias("b"), score.alias("score"))
     return scored.where((F.col("score") > least) if strict else (F.col("score") >= least - 1e-12))
 
 
