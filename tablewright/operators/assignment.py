@@ -1,7 +1,7 @@
 """Matchings of most weight in sparse bipartite graphs of any size.
 
 Edges are cut twice before anything is solved.  A node needs no more than its best k edges, where k is the number of nodes on
-the other side's competitors, i.e. the size of its own side in its component: the others can take at most k - 1 of them.  And
+the other side's competitors, i.e. the size of its own side (of the table, then of its component): the others can take at most k - 1 of them.  And
 components have nothing to do with each other.  A component of bounded size is then solved exactly in a task (many
 components a task); the others go through auction rounds, joins and aggregates of their edges with
 the prices so far, so no component is ever gathered that is larger than the bound.
@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from tablewright.operators.components import connected
 from tablewright.plans.stages import settle
 
-#: Cells of the weight matrix that a task may hold: 32 MB.
-CELLS = 1 << 22
+#: Edges that a task may hold, and steps (nodes of the smaller side squared, times all nodes) that it may take for a component.
+CELLS, STEPS = 1 << 22, 1 << 34
 
 
 def solve(left: np.ndarray, right: np.ndarray, weight: np.ndarray, cardinality: bool = True) -> np.ndarray:
     """Which edges are in a matching of most edges, and of those of most weight (cardinality off: of most weight); weights are above 0.
 
-    Shortest augmenting paths from the smaller side, a node at a time, over the whole row of the other side at once.
+    Shortest augmenting paths from the smaller side, a node at a time, over all edges of a node at once; memory is by the edge.
     A node that is better left alone is matched to a place of its own that costs nothing.
     """
     rows, r = np.unique(left, return_inverse=True)
@@ -32,25 +32,28 @@ def solve(left: np.ndarray, right: np.ndarray, weight: np.ndarray, cardinality:
         rows, columns, r, c = columns, rows, c, r
     n, m = len(rows), len(columns)
     bonus = 1.0 + n * float(weight.max()) if cardinality else 0.0
-    cost = np.zeros((n, m + n))
-    cost[:, :m] = np.inf
-    cost[r, c] = -(weight + bonus)
-    cost[:, m:] = np.inf
-    cost[np.arange(n), m + np.arange(n)] = 0.0
+    # Edges by row; after a row's own comes the place where it is left alone, column m + row.
+    start, to, cost = np.concatenate([r, np.arange(n)]), np.concatenate([c, m + np.arange(n)]), np.concatenate([-(weight + bonus), np.zeros(n)])
+    by_row = np.argsort(start, kind="stable")
+    to, cost, ends = to[by_row], cost[by_row], np.searchsorted(start[by_row], np.arange(n + 1))
     u, v, owner = np.zeros(n), np.zeros(m + n), np.full(m + n, -1)
     for row in range(n):
         # Dijkstra over columns with reduced costs; column -1 stands for the row that looks for a place.
+        # Ahead are the distances of columns that are not done.
         least, came, done = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool)
+        ahead = least.copy()
         i, at, far = row, -1, 0.0
         while True:
-            way = far + cost[i] - u[i] - v
-            shorter = ~done & (way < least)
-            least[shorter], came[shorter] = way[shorter], at
-            at = int(np.argmin(np.where(done, np.inf, least)))
+            own = to[ends[i] : ends[i + 1]]
+            way = far + cost[ends[i] : ends[i + 1]] - u[i] - v[own]
+            shorter = ~done[own] & (way < least[own])
+            near = own[shorter]
+            least[near], came[near], ahead[near] = way[shorter], at, way[shorter]
+            at = int(np.argmin(ahead))
             far = least[at]
             if owner[at] < 0:
                 break
-            done[at] = True
+            done[at], ahead[at] = True, np.inf
             i = owner[at]
         u[row] += far
         held = np.flatnonzero(done)
@@ -108,23 +111,27 @@ def max_weight_matching(edges: DataFrame, cardinality: bool = True, cells: int =
     counts.  Nodes are of any type with an order; a node of a and one of b are different even if they look the same.
     cardinality off: of most weight, however many edges that has.
 
-    A component is solved exactly if the square of its smaller side, or its two sides, span at most `cells` pairs after each node has dropped edges that it
-    cannot need.  Larger ones are auctioned: their weight is at most `epsilon` a node below the most there is, and there `cardinality` counts an edge as
+    A component is solved exactly if it has at most `cells` edges after each node has dropped those that it
+    cannot need, and takes at most STEPS.  Larger ones are auctioned: their weight is at most `epsilon` a node below the most there is, and there `cardinality` counts an edge as
     twice the heaviest one, so no exchange of up to two edges for one more is missed.  An empty table gives no rows.
     """
     kinds = [edges.schema[c].dataType for c in ("a", "b")]
     weight = F.col("weight").cast("double")
     one = settle(edges.where((weight > 0) & ~F.isnan(weight)).dropna(subset=["a", "b"]).groupBy("a", "b").agg(F.max(weight).alias("weight")))
+    # No node needs more edges than its side has nodes, wherever they are: a first cut, before components are known.
+    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("weight"), "a", "b"))
+    n_a, n_b = one.agg(F.count_distinct("a"), F.count_distinct("b")).first()
+    one = settle(one.withColumns({"k_a": rank("a"), "k_b": rank("b")}).where((F.col("k_a") <= n_a) & (F.col("k_b") <= n_b)).drop("k_a", "k_b"))
     node = lambda side, c: F.struct(F.lit(side).alias("side"), *(F.when(F.lit(side == s), F.col(c) if side == s else F.lit(None)).cast(k).alias(s) for s, k in zip("ab", kinds, strict=True)))
     parts = connected(one.select(node("a", "a").alias("x"), node("b", "b").alias("y")), "x", "y")
     of_a = parts.where("node.side = 'a'").select(F.col("node.a").alias("a"), "component")
     sizes = parts.groupBy("component").agg(F.count_if(F.col("node.side") == "a").alias("n_a"), F.count_if(F.col("node.side") == "b").alias("n_b"))
     placed = settle(one.join(of_a, "a").join(sizes, "component"))
-    # The best edges of each node, as many as its side has nodes.
-    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("weight"), "a", "b"))
+    # The best edges of each node, as many as its side has nodes in the component.
     kept = placed.withColumns({"k_a": rank("a"), "k_b": rank("b")}).where("k_a <= n_a and k_b <= n_b").drop("n_a", "n_b", "k_a", "k_b")
-    sides = kept.groupBy("component").agg(F.count_distinct("a").alias("s_a"), F.count_distinct("b").alias("s_b"))
-    sides = settle(sides.select("component", (F.least("s_a", "s_b") * (F.greatest("s_a", "s_b") + F.least("s_a", "s_b")) <= cells).alias("small")))
+    sides = kept.groupBy("component").agg(F.count("*").alias("edges"), F.count_distinct("a").alias("s_a"), F.count_distinct("b").alias("s_b"))
+    steps = F.pow(F.least("s_a", "s_b").cast("double"), F.lit(2)) * (F.col("s_a") + F.col("s_b"))
+    sides = settle(sides.select("component", ((F.col("edges") <= cells) & (steps <= STEPS)).alias("small")))
     kept = settle(kept.join(sides, "component"))
     out = _solved(kept.where("small").select("component", "a", "b", "weight"), cardinality).drop("component")
     large = kept.where("not small")
