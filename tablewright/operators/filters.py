@@ -122,8 +122,17 @@ def may_be_relevant(text: Column) -> Column:
 
 def valid_assays(rows: DataFrame, types: list[str]) -> DataFrame:
     """assay records of a known type, other than those not tested, with canonical units and targets."""
-    kept = rows.where(F.col("type").isin(*types) & ~F.coalesce(F.lower(F.trim("value")).isin(*vocab.NOT_TESTED), F.lit(False)))
-    return kept.withColumns({"unit": strings.canonical(F.col("unit"), vocab.ASSAY_UNITS, blanks=True), "target": strings.canonical(F.col("target"), vocab.TARGETS)})
+    return assay_names(tested(rows, types))
+
+
+def tested(rows: DataFrame, types: list[str]) -> DataFrame:
+    """assay records of a known type, other than those not tested."""
+    return rows.where(F.col("type").isin(*types) & ~F.coalesce(F.lower(F.trim("value")).isin(*vocab.NOT_TESTED), F.lit(False)))
+
+
+def assay_names(rows: DataFrame) -> DataFrame:
+    """canonical units and targets."""
+    return rows.withColumns({"unit": strings.canonical(F.col("unit"), vocab.ASSAY_UNITS, blanks=True), "target": strings.canonical(F.col("target"), vocab.TARGETS)})
 
 
 def component_of(c: Column) -> Column:
@@ -137,9 +146,18 @@ def component_of(c: Column) -> Column:
 
 def valid_compositions(rows: DataFrame) -> DataFrame:
     """composition records of a known component with a value; unknown units are mol."""
+    return with_value(component_names(rows))
+
+
+def component_names(rows: DataFrame) -> DataFrame:
+    """known components by their formulas, others left out; unknown units are mol."""
     unit = F.coalesce(numbers.glass_unit(F.col("unit")), F.lit("mol"))
-    out = rows.withColumns({"component": component_of(F.col("component")), "unit": unit})
-    return out.where(F.col("component").isNotNull() & (null_kind(F.col("value"), "composition") == "none"))
+    return rows.withColumns({"component": component_of(F.col("component")), "unit": unit}).where("component is not null")
+
+
+def with_value(rows: DataFrame) -> DataFrame:
+    """composition records whose value is one."""
+    return rows.where(null_kind(F.col("value"), "composition") == "none")
 
 
 def valid_results(rows: DataFrame) -> DataFrame:

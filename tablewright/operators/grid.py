@@ -126,12 +126,21 @@ def transpose(cells: DataFrame, which: DataFrame, table: list[str]) -> DataFrame
 def numeric_cells(cells: DataFrame, headers: DataFrame, table: list[str]) -> DataFrame:
     """(table..., row, col, raw, value, row_label, header, cell_index) of numeric cells; a row's label is its first cell."""
     core = F.trim(F.regexp_replace(F.split_part("raw", F.lit("±"), F.lit(1)), r"\(.*?\)", ""))
-    value = numbers.plain_float(F.replace(F.regexp_replace(core, r"^[<>~]\s*|\s*%$", ""), F.lit(","), F.lit("")))
-    labels = cells.where("col = 0").select(*table, "row", F.col("raw").alias("row_label"))
-    rows = cells.withColumn("value", value).where("value is not null").join(labels, [*table, "row"], "left").join(headers.select(*table, "col", "header"), [*table, "col"], "left")
+    marked = F.when(F.col("raw").rlike("[0-9]"), numbers.plain_float(F.replace(F.regexp_replace(core, r"^[<>~]\s*|\s*%$", ""), F.lit(","), F.lit(""))))
+    value = F.coalesce(numbers.plain_float(F.col("raw")), marked)
+    label = F.max(F.when(F.col("col") == 0, F.col("raw"))).over(Window.partitionBy(*table, "row"))
+    rows = cells.withColumn("value", value).withColumn("row_label", label).where("value is not null").join(headers.select(*table, "col", "header"), [*table, "col"], "left")
     return rows.withColumn("cell_index", F.format_string("CA(%d,%d)", F.col("row") + 1, F.col("col")))
 
 
+def by_text(rows: DataFrame, text: Column, read) -> DataFrame:
+    """rows with the columns that read (of a table with a column of texts, and its name) makes of each distinct text, null too; it leaves texts out with their rows."""
+    # What is read of a grouping column, the optimizer would read of every row before the grouping.
+    rows = rows.withColumn("__text", text)
+    once = rows.groupBy("__text").agg(F.first("__text").alias("__said")).select("__said")
+    return rows.join(read(once, "__said"), F.col("__text").eqNullSafe(F.col("__said"))).drop("__text", "__said")
+
+
 def interpret_headers(headers: DataFrame, table: list[str], domain: str, caption: Column | None = None) -> DataFrame:
     """Type, unit and target of assay headers; component and unit of composition headers (mol if neither header nor caption names it)."""
     h, low = F.col("header"), F.lower("header")
@@ -168,11 +177,12 @@ def assemble(cells: DataFrame, headers: DataFrame, table: list[str], domain: str
     rows = cells.join(data, [*table, "col"])
     if domain == "result":
         # What the header does not say, the row's label may; a row that names no measure is a model.
-        said = _named_parts(F.lower(F.trim("row_label")))
-        rows = rows.withColumns({f"__{k}": c for k, c in said.items()})
+        names = ["metric", "dataset", "task", "statistic", "parameter"]
+        said = [f"__{k}" for k in names]
+        rows = by_text(rows, F.lower(F.trim("row_label")), lambda df, c: df.select(c, *(v.alias(f"__{k}") for k, v in _named_parts(F.col(c)).items())))
         part = lambda k: F.coalesce(F.col(k), F.col(f"__{k}"))
         kind = F.when(part("parameter").isNotNull(), "Hyper-parameter/Architecture").when(part("statistic").isNotNull(), "Data Stat.").when(part("metric").isNotNull(), "Result").otherwise("Other")
-        model = F.when(F.coalesce(*(F.col(f"__{k}") for k in said)).isNull(), F.trim("row_label"))
+        model = F.when(F.coalesce(*said).isNull(), F.trim("row_label"))
         out = rows.select(*table, "row", "col", F.trim("raw").alias("value"), kind.alias("type"), model.alias("model"), part("dataset").alias("dataset"), part("metric").alias("metric"), part("task").alias("task"), part("statistic").alias("attribute_name"), part("parameter").alias("parameter_name"), "cell_index")
         return out.where("type <> 'Other'")
     if domain == "assay":

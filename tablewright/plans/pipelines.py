@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import numbers, strings, vocab
 from tablewright.operators import consensus, filters, grid, merging, metrics
-from tablewright.plans.stages import settle
+from tablewright.plans.stages import settle, spread
 
 
 @dataclass(frozen=True)
@@ -167,15 +167,23 @@ def extract(cells: DataFrame, config: Config = Config(), hints: DataFrame | None
 def domain_records(cells: DataFrame, headers: DataFrame, domain: str, config: Config = Config()) -> DataFrame:
     """Records of pre-parsed tables (doc_id, table_no, row, col, raw) of a domain (assay, composition or result), validated and deduplicated.
 
-    Headers are read by rules; records of results have the model of their row's label, and the metric, dataset, task, statistic or
+    Headers are read by rules, each text once, and what validation makes of names is made of the headers' names, not record by record; records of results have the model of their row's label, and the metric, dataset, task, statistic or
     parameter that header or label name.
     """
     table = ["doc_id", "table_no"]
-    data = grid.assemble(grid.numeric_cells(cells, headers, table), grid.interpret_headers(headers, table, domain), table, domain)
+
+    def meaning(texts, text):
+        known = grid.interpret_headers(texts.withColumn("header", F.col(text)), [], domain).drop("header").where("is_data")
+        if config.validate and domain != "result":
+            known = filters.assay_names(known) if domain == "assay" else filters.component_names(known)
+        return known
+
+    cells = spread(cells, *table)
+    data = grid.assemble(grid.numeric_cells(cells, headers, table), grid.by_text(headers, F.col("header"), meaning), table, domain)
     if domain == "result":
         return result_records(data, ["table_no", "row", "col"], config)
     if config.validate:
-        data = filters.valid_assays(data, [t for _, t in vocab.ASSAY_TYPES]) if domain == "assay" else filters.valid_compositions(data.withColumn("value", F.col("value").cast("string")))
+        data = filters.tested(data, [t for _, t in vocab.ASSAY_TYPES]) if domain == "assay" else filters.with_value(data.withColumn("value", F.col("value").cast("string")))
     keys = ["doc_id", "value", "treatment", "target", "type"] if domain == "assay" else ["doc_id", "sample_id", "component", "value"]
     return consensus.keep_first(data, keys, ["table_no", "row", "col"])
 

@@ -21,3 +21,13 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by keys to a partition for each shuffle partition of the session, two a core at least.
+
+    For steps that make much of each row: a small file is read by one task, and what a shuffle writes of few bytes is read by few,
+    however much work is to be done.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
