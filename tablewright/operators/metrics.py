@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import strings, vocab
+from tablewright.plans.stages import settle
 
 TIER_WEIGHTS = {"t1": 0.30, "t2": 0.40, "t3": 0.15, "t4": 0.15}
 
@@ -244,6 +245,7 @@ def bootstrap(values: DataFrame, value: str, index: str, n: int, replicates: int
 
 def bootstrap_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
     """The means at the ranks that cut off half the rest at either end, and the share of means at or below 0."""
+    means = settle(means)  # one row a replicate, of many to make them
     n = means.count()
     ranked = means.withColumn("k", F.row_number().over(Window.orderBy("mean", "replicate")) - 1)
     lo, hi = int((1 - level) / 2 * n), min(n - 1, int((1 + level) / 2 * n))
@@ -261,10 +263,16 @@ def _draws(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     A linear mix of row, replicate and seed modulo the prime 2^31 - 1 is squared and shifted four times, all in
     64-bit integers, and compared with the Poisson distribution; SQL can do the same.
     """
-    x = ((ids[:, None] % _PRIME) * 48271 + np.arange(replicates)[None, :] * 69621 + seed) % _PRIME
+    # By such a prime, 31 bits and those above them leave what their sum leaves; after two sums x is at most the prime and 1.
+    fold = lambda x: (x & _PRIME) + (x >> 31)
+    x = fold(fold(((ids % _PRIME) * 48271)[:, None] + (np.arange(replicates) * 69621 + seed)[None, :]))
     for step in range(4):
-        x = (x * x + 16807 * (step + 1) + x) % _PRIME
-    return np.searchsorted([int(_PRIME * p) for p in _POISSON], x.ravel(), side="right").reshape(x.shape)
+        x = fold(fold(x * x + (x + 16807 * (step + 1))))
+    x = np.where(x >= _PRIME, x - _PRIME, x).astype(np.int32)
+    out = np.zeros(x.shape, np.int8)
+    for p in _POISSON:
+        out += x >= int(_PRIME * p)
+    return out
 
 
 def poisson_bootstrap(values: DataFrame, unit: str, columns: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -280,8 +288,8 @@ def poisson_bootstrap(values: DataFrame, unit: str, columns: list[str], replicat
         total = np.zeros((replicates, len(columns) + 1))
         some = False
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 64):  # as many as a core's cache holds the draws of
+                part = batch.slice(a, 64)
                 w = _draws(part.column(0).to_numpy(), replicates, seed)
                 v = np.column_stack([np.ones(part.num_rows), *(part.column(k + 1).to_numpy() for k in range(len(columns)))])
                 total += w.T.astype(float) @ v
