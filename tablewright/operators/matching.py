@@ -285,7 +285,7 @@ def name_match(pred: DataFrame, gold: DataFrame, doc: list[str], name: str = "na
     candidates come from a join on the prefixes that end before a separator.
     """
     side = lambda df: df.select(*doc, F.col(name).alias("own")).dropna().distinct().withColumn("norm", strings.sample_name(F.col("own"))).select(*doc, "own", "norm", F.struct("norm", "own").alias("at"))
-    found = records(side(pred), side(gold), doc, [["own"], ["norm"]], ["own", "norm"], order="at")
+    found = settle(records(side(pred), side(gold), doc, [["own"], ["norm"]], ["own", "norm"], order="at"))  # read for the pairs, and for what is left of either side twice
     pairs = found.where("pass_no is not null").select(*doc, F.col("g_own").alias("g_name"), F.col("p_own").alias("p_name"), F.col("pass_no").alias("phase"))
     left = lambda x: found.where(f"pass_no is null and {x}_own is not null").select(*doc, F.col(f"{x}_own").alias(f"{x}_name"), F.col(f"{x}_norm").alias(f"{x}_norm"))
     ends = lambda c: F.filter(F.sequence(F.lit(1), F.length(c)), lambda k: F.contains(F.lit(PREFIX_SEPARATORS), F.substr(c, k + 1, F.lit(1))) & (k < F.length(c)))
