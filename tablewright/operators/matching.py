@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tablewright.functions import strings
 from tablewright.operators import dictionary, ranks, similarity
-from tablewright.plans.stages import settle
+from tablewright.plans.stages import settle, spread
 
 
 def records(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[str]], columns: list[str] | None = None, order: str = "ord") -> DataFrame:
@@ -36,7 +36,8 @@ def records(pred: DataFrame, gold: DataFrame, doc: list[str], passes: list[list[
         return df.select(*doc, *(F.col(k).alias(f"__k_{k}") for k in keys), F.lit(true).alias("__true"), F.col(order).alias("__ord"), F.struct(*(F.col(c).alias(c) for c in columns), F.col(order).alias("__o")).alias("__row"))
 
     place = [*doc, *(f"__k_{k}" for k in shared)]
-    rows = side(pred, False).unionByName(side(gold, True)).repartition(*place).withColumns({"__pass": F.lit(None).cast("int"), "__rank": F.lit(None).cast("int")})
+    # Each pass sorts what a task has, so tasks are as many as partitions, not as few as their bytes would let them be.
+    rows = spread(side(pred, False).unionByName(side(gold, True)), *place).withColumns({"__pass": F.lit(None).cast("int"), "__rank": F.lit(None).cast("int")})
     for number, names in enumerate(passes, 1):
         by = [*place, *(f"__k_{k}" for k in names if k not in shared)]
         rows = rows.withColumn("__open", F.col("__pass").isNull() & ~F.greatest(*(F.col(f"__k_{k}").isNull() for k in names), F.lit(False)))
