@@ -7,6 +7,9 @@ Arrow UDFs meant for distinct values only.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +31,16 @@ def table(mapping: dict[str, str]) -> Column:
     return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in mapping.items())), F.lit("\x01"), F.lit("\x02"))
 
 
+def bound(c: Column, make: Callable[[Column], Column]) -> Column:
+    """make(c), c being evaluated once however often make names it: as the element of an array."""
+    return F.get(F.transform(F.array(c), make), 0)
+
+
+def one_of(texts: list[str]) -> str:
+    """A pattern of alternatives, taken as they are."""
+    return "(?:" + "|".join(map(re.escape, texts)) + ")"
+
+
 def collapse(c: Column) -> Column:
     """White space runs become one blank; none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -50,7 +63,11 @@ def value_core(c: Column) -> Column:
     follows is short and has letters, blanks and unit marks only, that is a unit; else the text stays as it is.
     """
     plain = F.trim(F.split_part(F.split_part(F.translate(c.cast("string"), "\u00a0\u2009", ""), F.lit("\u00b1"), F.lit(1)), F.lit("("), F.lit(1)))
-    tail = F.ltrim(plain, F.lit("<>+-0123456789., "))
+    return bound(plain, lambda x: bound(F.ltrim(x, F.lit("<>+-0123456789., ")), lambda tail: F.when(tail == "", x).otherwise(_without_unit(x, tail))))
+
+
+def _without_unit(plain: Column, tail: Column) -> Column:
+    """A value before its bracket, without a unit; tail: what follows its signs and digits."""
     power = F.ltrim(F.substr(tail, F.lit(2)), F.lit("+-0123456789"))
     # The letter e is a power of ten only if digits follow it.
     raised = F.lower(F.left(tail, F.lit(1))).eqNullSafe("e") & (F.length(power) < F.length(tail) - 1)
@@ -135,12 +152,18 @@ def element_header(c: Column) -> Column:
     symbol, a name, or a symbol with an isotope number of two digits or more after or
     before it (six characters at most).
     """
-    raw = F.lower(F.trim(c))
+    # Every symbol and name has a letter, so numbers are done with at once.
+    return bound(F.lower(F.trim(c)), lambda raw: F.when(raw.rlike("[a-z]"), _element(raw)))
+
+
+def _element(raw: Column) -> Column:
+    """The element of a lower-cased header."""
     s = F.regexp_replace(raw, r"_pp[mb]_(content|conc)$", "")
     s = F.regexp_replace(s, r"_pp[mb]_m\d+", "")
     s = F.regexp_replace(s, r"[_\s]+(mean|2se|2sd|sd|se|median|avg|rsd|1sd|1se)$", "")
     cut = lambda acc, e: F.when(F.endswith(acc, e), F.left(acc, F.length(acc) - F.length(e))).otherwise(acc)
-    s = F.aggregate(F.split(F.lit("\x01".join(vocab.UNIT_ENDINGS)), "\x01"), s, cut)
+    endings = F.split(F.lit("\x01".join(vocab.UNIT_ENDINGS)), "\x01")
+    s = bound(s, lambda x: F.when(x.rlike(one_of(vocab.UNIT_ENDINGS) + r"\z"), F.aggregate(endings, x, cut)).otherwise(x))
     s = F.trim(F.regexp_replace(F.trim(s), "_+$", ""))
     names = table({e: e for e in vocab.ELEMENTS} | vocab.ELEMENT_NAMES)
 
@@ -149,8 +172,7 @@ def element_header(c: Column) -> Column:
         tries = F.array(x, F.when(F.length(x) <= 6, after), F.when(F.length(x) <= 6, before))
         return F.get(F.filter(F.transform(tries, lambda t: F.try_element_at(names, t)), lambda e: e.isNotNull()), 0)
 
-    # The cleaned header is bound once, as the element of an array, and looked up in its three readings.
-    found = F.get(F.transform(F.array(s), symbol), 0)
+    found = bound(s, symbol)  # looked up in its three readings
     return F.when(~raw.rlike(r"_pp[mb]_(lod|dl|det_lim)$"), found)
 
 
@@ -217,9 +239,7 @@ def country_code(c: Column) -> Column:
     """The country that a text names first in the list, as three letters."""
     names = F.array(*(F.struct(F.lit(f" {n} ").alias("n"), F.lit(code).alias("c")) for n, code in vocab.COUNTRIES.items()))
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "), F.lit(" "))
-    # The text is bound once, as the element of an array.
-    first = lambda text: F.get(F.filter(names, lambda x: F.contains(text, x["n"])), 0)["c"]
-    return F.get(F.transform(F.array(padded), first), 0)
+    return bound(padded, lambda text: F.get(F.filter(names, lambda x: F.contains(text, x["n"])), 0)["c"])
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +15,7 @@ NOT_A_SAMPLE = ["note", "source", "remark", "abbreviation", "detection limit", "
 
 def _starts(low: Column, names: list[str]) -> Column:
     """Whether a lower-cased text starts with one of some names, as a whole word."""
-    whole = lambda n: low.startswith(n) & ~F.substring(low, len(n) + 1, 1).rlike("[0-9a-z_]")
-    return reduce(lambda a, b: a | b, map(whole, names))
+    return low.rlike("^" + strings.one_of(names) + "(?![0-9a-z_])")
 
 
 def _words(low: Column) -> Column:
@@ -28,32 +25,42 @@ def _words(low: Column) -> Column:
 
 def is_statistic(name: Column) -> Column:
     """a row of statistics: it starts with one's name, has one among its words, or says how many spots it is of (n = 24)."""
-    low = strings.collapse(F.lower(name))
-    tight = F.replace(low, F.lit(" "), F.lit(""))
-    count = F.split_part(tight, F.lit("n="), F.lit(1))
-    # n = at the start, in brackets, or after a mineral's short name.
-    counted = tight.contains("n=") & ((count == "") | (count.endswith("(") & tight.rlike(r"n=[0-9]+[)]")) | (F.length(count).between(2, 4) & F.contains(low, F.lit(" n"))))
-    return _starts(low, vocab.STATISTIC_ROWS) | F.arrays_overlap(_words(low), F.array(*map(F.lit, vocab.STATISTIC_WORDS))) | counted
+
+    def counted(low, tight):
+        # n = at the start, in brackets, or after a mineral's short name.
+        count = F.split_part(tight, F.lit("n="), F.lit(1))
+        return tight.contains("n=") & ((count == "") | (count.endswith("(") & tight.rlike(r"n=[0-9]+[)]")) | (F.length(count).between(2, 4) & F.contains(low, F.lit(" n"))))
+
+    def told(low):
+        word = low.rlike("(?<![0-9a-z])" + strings.one_of(vocab.STATISTIC_WORDS) + "(?![0-9a-z])")
+        return _starts(low, vocab.STATISTIC_ROWS) | word | strings.bound(F.replace(low, F.lit(" "), F.lit("")), lambda tight: counted(low, tight))
+
+    return strings.bound(strings.collapse(F.lower(name)), told)
 
 
 def is_heading(name: Column) -> Column:
     """a row of units or of remarks on the table, or a header row that came with the data."""
-    low = strings.collapse(F.lower(name))
-    return _starts(low, vocab.UNIT_ROWS + vocab.NOTE_ROWS) | (low == "sample")
+    return strings.bound(strings.collapse(F.lower(name)), lambda low: _starts(low, vocab.UNIT_ROWS + vocab.NOTE_ROWS) | (low == "sample"))
 
 
 def is_reference_material(name: Column) -> Column:
     """the letters of a reference material and its number (MASS-1, G_NIST610, BHVO-2G), with s_ or g_ of sulfide and glass standards before them."""
     low = F.replace(strings.collapse(F.lower(name)), F.lit("nist srm"), F.lit("nistsrm"))
-    low = F.when(F.left(low, F.lit(2)).isin("s_", "g_"), F.substr(low, F.lit(3))).otherwise(low)
-    letters = F.regexp_replace(low, "[^a-z].*$", "")
-    number = F.ltrim(F.substr(low, F.length(letters) + 1), F.lit(" _-"))
-    known = F.array(*map(F.lit, vocab.ROW_STANDARDS))
-    shorter = F.substr(letters, F.lit(2))
-    series = F.when(F.array_contains(known, letters), letters).when(F.left(letters, F.lit(1)).isin("s", "g") & F.array_contains(known, shorter), shorter)
-    # A few stand alone, or with a word in place of the number.
-    bare = ((series == "nist") & (number == "")) | ((series == "usgs") & (F.size(_words(low)) == 2)) | low.startswith("stdgl") | (low == "reference standard")
-    return F.coalesce(bare, F.lit(False)) | F.coalesce(number.rlike("^[0-9]+[a-z]?$") & series.isNotNull(), F.lit(False))
+
+    def told(low, letters):
+        number = F.ltrim(F.substr(low, F.length(letters) + 1), F.lit(" _-"))
+        known = F.array(*map(F.lit, vocab.ROW_STANDARDS))
+        shorter = F.substr(letters, F.lit(2))
+        series = F.when(F.array_contains(known, letters), letters).when(F.left(letters, F.lit(1)).isin("s", "g") & F.array_contains(known, shorter), shorter)
+        # A few stand alone, or with a word in place of the number.
+        bare = ((series == "nist") & (number == "")) | ((series == "usgs") & (F.size(_words(low)) == 2)) | low.startswith("stdgl") | (low == "reference standard")
+        return F.coalesce(bare, F.lit(False)) | F.coalesce(number.rlike("^[0-9]+[a-z]?$") & series.isNotNull(), F.lit(False))
+
+    own = lambda low: F.when(F.left(low, F.lit(2)).isin("s_", "g_"), F.substr(low, F.lit(3))).otherwise(low)
+    # Most names start like none of them.
+    like = "^[sg]?" + strings.one_of(vocab.ROW_STANDARDS) + "|^stdgl|^reference standard"
+    read = lambda x: F.when(x.rlike(like), strings.bound(F.regexp_replace(x, "[^a-z].*$", ""), lambda letters: told(x, letters)))
+    return F.coalesce(strings.bound(strings.bound(low, own), read), F.lit(False))
 
 
 def is_note(c: Column) -> Column:
@@ -110,8 +117,11 @@ def capped_removal(rows: DataFrame, table: list[str], flag: Column, order: str,
 
 def is_unsafe_name(name: Column) -> Column:
     """a name that is a statistic and nothing else, has a count of analyses in brackets, or starts a source line."""
-    low = strings.collapse(F.lower(name))
-    tight = F.replace(low, F.lit(" "), F.lit(""))
+    # As the other filters, it names the text once.
+    return strings.bound(strings.collapse(F.lower(name)), lambda low: _unsafe(low, F.replace(low, F.lit(" "), F.lit(""))))
+
+
+def _unsafe(low: Column, tight: Column) -> Column:
     return low.isin(*vocab.SAFE_REMOVALS) | (tight == "n=") | tight.rlike(r"[(]n=[0-9]+[)]") | low.startswith("source: ")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import numbers, strings, vocab
 from tablewright.operators.filters import component_of, is_sample
 from tablewright.operators.windows import fill_sparse_ids
+from tablewright.plans.stages import settle
 
 #: Names of columns by role, in order of preference.
 ROLES = {
@@ -111,9 +112,10 @@ def unit_rows(cells: DataFrame, table: list[str], first: int = 3) -> DataFrame:
 
 def transposed(cells: DataFrame, headers: DataFrame, table: list[str]) -> DataFrame:
     """(table..., label_col): tables with under 3 element headers where one of the first 3 columns has 5 element labels or more, 30 percent of its cells."""
-    few = headers.groupBy(*table).agg(F.count_if(strings.element_header(F.col("header")).isNotNull()).alias("k")).where("k < 3").select(*table)
-    by = cells.where("col < 3 and trim(raw) <> ''").groupBy(*table, "col").agg(F.count("*").alias("n"), F.count_if(strings.element_header(F.col("raw")).isNotNull()).alias("e"))
-    return by.where("e >= 5 and e >= 0.3 * n").groupBy(*table).agg(F.min("col").alias("label_col")).join(few, table, "left_semi")
+    few = settle(headers.groupBy(*table).agg(F.count_if(strings.element_header(F.col("header")).isNotNull()).alias("k")).where("k < 3").select(*table))
+    # The cells of other tables are not read for elements.
+    by = cells.where("col < 3 and trim(raw) <> ''").join(few, table, "left_semi").groupBy(*table, "col").agg(F.count("*").alias("n"), F.count_if(strings.element_header(F.col("raw")).isNotNull()).alias("e"))
+    return by.where("e >= 5 and e >= 0.3 * n").groupBy(*table).agg(F.min("col").alias("label_col"))
 
 
 def transpose(cells: DataFrame, which: DataFrame, table: list[str]) -> DataFrame:

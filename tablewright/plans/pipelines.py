@@ -47,10 +47,17 @@ def grid_ablations(base: Config) -> dict[str, Config]:
 def split_minerals(rows: DataFrame) -> DataFrame:
     """A row for each mineral of a list; a mineral that is not given is inferred from the analysis id."""
     named = F.filter(F.transform(F.split("mineral", ","), lambda x: F.trim(x)), lambda x: x != "")
-    inferred = strings.first_pattern(F.coalesce("sample_local_id", "sample_name"), [(m, m) for m in sorted(vocab.MINERALS, key=len, reverse=True)])
-    code = F.lower(F.regexp_extract(F.coalesce("sample_local_id", "sample_name"), r"(?i)(?:^|[^a-z])(" + "|".join(sorted(vocab.MINERAL_CODES, key=len, reverse=True)) + r")(?:[^a-z]|$)", 1))
-    coded = F.try_element_at(strings.table(vocab.MINERAL_CODES), code)
-    return rows.withColumn("mineral", F.explode_outer(F.when(F.size(named) > 0, named))).withColumn("mineral", F.coalesce("mineral", inferred, coded))
+    names = sorted(vocab.MINERALS, key=len, reverse=True)
+
+    def inferred(text):
+        # The names are gone through one by one only where one of them is there.
+        name = F.when(F.lower(text).rlike(strings.one_of(names)), strings.first_pattern(text, [(m, m) for m in names]))
+        code = F.regexp_extract(text, r"(?i)(?:^|[^a-z])(" + "|".join(sorted(vocab.MINERAL_CODES, key=len, reverse=True)) + r")(?:[^a-z]|$)", 1)
+        coded = strings.bound(F.lower(code), lambda x: F.when(x != "", F.try_element_at(strings.table(vocab.MINERAL_CODES), x)))
+        return F.coalesce(name, coded)
+
+    out = rows.withColumn("mineral", F.explode_outer(F.when(F.size(named) > 0, named)))
+    return out.withColumn("mineral", F.coalesce("mineral", strings.bound(F.coalesce("sample_local_id", "sample_name"), inferred)))
 
 
 def named_columns(body: DataFrame, headers: DataFrame, table: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +69,7 @@ def named_columns(body: DataFrame, headers: DataFrame, table: list[str]) -> tupl
     # Cells without text are not in the grid, so a column without a name is one that only the body has.
     every = body.select(*table, "col").distinct().join(headers, [*table, "col"], "left").select(*table, "col", F.coalesce("header", F.lit("")).alias("header"))
     first = body.groupBy(*table).agg(F.min("row").alias("row"))
-    second = body.join(first, [*table, "row"], "left_semi")
+    second = settle(body.join(first, [*table, "row"], "left_semi"))  # else what is asked of its texts would be asked of all cells before the join
     labels = second.join(second.where(numbers.plain_float(F.col("raw")).isNotNull()), table, "left_anti")
     merged = settle(grid.merge_header_rows(every, labels, table).join(every.withColumnRenamed("header", "was"), [*table, "col"]))
     gained = merged.groupBy(*table).agg(F.bool_or((F.col("was") == "") & (F.col("header") != "")).alias("gained"))
@@ -126,6 +133,7 @@ def extract(cells: DataFrame, config: Config = Config(), hints: DataFrame | None
     heads = first.join(grid.header_row(cells, table), table, "left").select(*table, F.coalesce("header_row", "first").alias("h"))
     if hints is not None:
         heads = heads.join(hints.select("doc_id", "table_no", "header_row"), ["doc_id", "table_no"], "left").select(*table, F.coalesce("header_row", "h").alias("h"))
+    heads = settle(heads)  # read for the headers, for tables to be turned and for the body
     raw_headers = cells.join(heads, table).where("row = h").select(*table, "col", F.col("raw").alias("header"))
     turned = grid.transposed(cells, raw_headers, table)
     if hints is not None:
