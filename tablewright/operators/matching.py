@@ -377,20 +377,21 @@ def error_classes(pred: DataFrame, gold: DataFrame, doc: list[str], near: bool =
     if near:
         rows = settle(rows)  # read for each class, and by the match within the tolerance
     same = lambda c: F.coalesce(strings.normalize_text(F.col(f"p_{c}")), F.lit("")) == F.coalesce(strings.normalize_text(F.col(f"g_{c}")), F.lit(""))
-    wrong = rows.where("pass_no is not null").where(~(same("type") & same("unit"))).select(F.lit("VAL_MATCH_ATTR_WRONG").alias("class"))
+    wrong = F.when(F.col("pass_no").isNotNull() & ~(same("type") & same("unit")), "VAL_MATCH_ATTR_WRONG")
+    lone = [F.when(F.col("g_ord").isNull(), "OVER_EXTRACT"), F.when(F.col("p_ord").isNull(), "MISSED")]
+    # One scan of the records, since each branch of a union would match them anew.
+    out = rows.select(F.explode(F.array_compact(F.array(wrong, *([] if near else lone)))).alias("class"))
     number = lambda c: F.regexp_extract(c.cast("string"), r"([-+]?\d*\.?\d+)", 1).try_cast("double")
     lone_p = rows.where("g_ord is null").select(*doc, F.col("p_ord").alias("ord"), number(F.col("p_value")).alias("value"))
     lone_g = rows.where("p_ord is null").select(*doc, F.col("g_ord").alias("ord"), number(F.col("g_value")).alias("value"))
-    out = wrong
     if near:
         close = tolerance_match(lone_p, lone_g, doc, tolerance=0.05, relative=True)
         lone_p = lone_p.join(close.select(*doc, F.col("p_ord").alias("ord")), [*doc, "ord"], "left_anti")
         lone_g = lone_g.join(close.select(*doc, F.col("g_ord").alias("ord")), [*doc, "ord"], "left_anti")
-        out = out.union(close.select(F.lit("NEAR_MISS")))
+        out = out.union(close.select(F.lit("NEAR_MISS"))).union(lone_p.select(F.lit("OVER_EXTRACT"))).union(lone_g.select(F.lit("MISSED")))
     missing = F.coalesce(F.col("value").cast("string"), F.lit("")) == ""
     schema_errors = pred.where(missing | (F.coalesce(F.col("type").cast("string"), F.lit("")) == "")).select(F.lit("SCHEMA_ERR"))
-    out = out.union(lone_p.select(F.lit("OVER_EXTRACT"))).union(lone_g.select(F.lit("MISSED"))).union(schema_errors)
-    return out.groupBy("class").agg(F.count("*").alias("n"))
+    return out.union(schema_errors).groupBy("class").agg(F.count("*").alias("n"))
 
 
 def closest_text(nodes: DataFrame, wanted: DataFrame, page: list[str], levels: tuple[float, ...] = (0.8, 0.5, 0.25)) -> DataFrame:
