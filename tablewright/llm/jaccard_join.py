@@ -22,6 +22,7 @@ Only links inside a component that is already known are left out, so components
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from tablewright.llm.graph import components
 from tablewright.llm.store import release, settle
 
 WIDTH, PERCENT, PIVOTS = 5, 80, 2
+#: Words of 64 bits of the filter of ids (8 MB).
+FILTER_WORDS = 1 << 20
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -95,6 +98,36 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b", "need").mapInArrow(_overlaps, "a long, b long")
 
 
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each id in the filter."""
+    mixed = T.mix(ids.astype(np.uint64))
+    return (mixed >> np.uint64(6)) % np.uint64(FILTER_WORDS), np.uint64(1) << (mixed & np.uint64(63))
+
+
+def _maybe_in(wanted: DataFrame):
+    """A column function: whether an id (doc) may be one of the wanted table, by a filter of fixed size; never false for one that is."""
+
+    def bits(batches):
+        for batch in batches:
+            word, bit = _places(np.asarray(batch.column(0)))
+            words, at = np.unique(word, return_inverse=True)
+            out = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(out, at, bit)
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(out.view(np.int64))], ["word", "bits"])
+
+    found = wanted.select("doc").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(FILTER_WORDS, np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    sent = wanted.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(doc: pd.Series) -> pd.Series:
+        word, bit = _places(doc.fillna(0).to_numpy(np.int64))
+        return pd.Series((sent.value[word.astype(np.int64)] & bit) != 0)
+
+    return test
+
+
 def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs (doc_id, text).
 
@@ -126,7 +159,8 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     every = settle(docs.mapInArrow(prefixes, "doc long, n long, s1 long, s2 long, prefix array<long>"))
     kept = every.where("n > 0 and doc is not null")
-    one = kept.groupBy("doc").agg(F.min(F.struct("s1", "s2", "n")).alias("x")).select("doc", "x.*")
+    sizes_of = settle(every.drop("prefix"))  # what remains of the sets when their prefixes are done with
+    one = sizes_of.where("n > 0 and doc is not null").groupBy("doc").agg(F.min(F.struct("s1", "s2", "n")).alias("x")).select("doc", "x.*")
     same = one.groupBy("s1", "s2", "n").agg(F.min("doc").alias("first"))
     copies = one.join(same, ["s1", "s2", "n"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
 
@@ -175,7 +209,10 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             yield _batch([s for s, k in zip(sets, same, strict=True) if k], {"doc": batch.column("doc").filter(pa.array(same)), "n": signs["n"].filter(pa.array(same))}, "hashes")
 
     able = settle(able)
-    sets = settle(docs.join(able, "doc").mapInArrow(whole, "doc long, n long, hashes array<long>"))
+    release(every)
+    # Most texts have no link; those that certainly have none are not shuffled.
+    maybe = _maybe_in(able)
+    sets = settle(docs.where(maybe(F.col("doc"))).join(able, "doc").mapInArrow(whole, "doc long, n long, hashes array<long>"))
 
     def postings(batches):
         """Rows (h, docs): the documents of a batch that hold a shingle."""
@@ -232,7 +269,7 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     for done in (able, sets, columns, links, labelled, labels):
         release(done)
     return (
-        every.join(final.withColumnRenamed("v", "doc"), "doc", "left")
+        sizes_of.join(final.withColumnRenamed("v", "doc"), "doc", "left")
         .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "doc").alias("component_id"))
     )
 
