@@ -32,6 +32,8 @@ from tablewright.llm.graph import components
 from tablewright.llm.store import release, settle
 
 WIDTH, PERCENT, PIVOTS = 5, 80, 2
+#: Words of 64 bits of the filter of ids (8 MB).
+FILTER_WORDS = 1 << 20
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -95,6 +97,36 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b", "need").mapInArrow(_overlaps, "a long, b long")
 
 
+def _places(doc: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each id in the filter of ids; null is as 0."""
+    mixed = T.mix(np.asarray(doc.fill_null(0)).astype(np.uint64))
+    return ((mixed >> np.uint64(6)) % np.uint64(FILTER_WORDS)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63))
+
+
+def _maybe_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs (doc, text) whose doc is in the wanted table, and a few others: a filter of fixed size goes to all tasks, so no text is shuffled for it."""
+
+    def bits(batches):
+        for batch in batches:
+            word, bit = _places(batch.column(0))
+            words, at = np.unique(word, return_inverse=True)
+            out = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(out, at, bit)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(out.view(np.int64))], ["word", "bits"])
+
+    found = wanted.select("doc").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FILTER_WORDS, np.uint64)
+    table[np.asarray(found.column("word"))] = np.asarray(found.column("bits")).view(np.uint64)
+    sent = wanted.sparkSession.sparkContext.broadcast(table)
+
+    def some(batches):
+        for batch in batches:
+            word, bit = _places(batch.column(0))
+            yield batch.filter(pa.array((sent.value[word] & bit) != 0))
+
+    return docs.mapInArrow(some, docs.schema)
+
+
 def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs (doc_id, text).
 
@@ -126,7 +158,8 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     every = settle(docs.mapInArrow(prefixes, "doc long, n long, s1 long, s2 long, prefix array<long>"))
     kept = every.where("n > 0 and doc is not null")
-    one = kept.groupBy("doc").agg(F.min(F.struct("s1", "s2", "n")).alias("x")).select("doc", "x.*")
+    sizes = settle(every.drop("prefix"))  # what is left of a set when its prefix is done with
+    one = sizes.where("n > 0 and doc is not null").groupBy("doc").agg(F.min(F.struct("s1", "s2", "n")).alias("x")).select("doc", "x.*")
     same = one.groupBy("s1", "s2", "n").agg(F.min("doc").alias("first"))
     copies = one.join(same, ["s1", "s2", "n"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
 
@@ -175,7 +208,9 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             yield _batch([s for s, k in zip(sets, same, strict=True) if k], {"doc": batch.column("doc").filter(pa.array(same)), "n": signs["n"].filter(pa.array(same))}, "hashes")
 
     able = settle(able)
-    sets = settle(docs.join(able, "doc").mapInArrow(whole, "doc long, n long, hashes array<long>"))
+    release(every)
+    # Most texts can have no link, and need not be shuffled.
+    sets = settle(_maybe_in(docs, able).join(able, "doc").mapInArrow(whole, "doc long, n long, hashes array<long>"))
 
     def postings(batches):
         """Rows (h, docs): the documents of a batch that hold a shingle."""
@@ -217,8 +252,8 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         labels = components(links)
         labelled = settle(columns.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("c", "doc")))
     # Columns with several components: each set outside the most frequent one, with all sets of other components.
-    sizes = labelled.groupBy("h", "c").count()
-    main = sizes.groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "main")
+    counts = labelled.groupBy("h", "c").count()
+    main = counts.groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "main")
     several = labelled.join(main, "h")
     x = several.where("c <> main").select("h", *(F.col(k).alias(f"{k}_x") for k in ("doc", "n", "place", "c")))
     y = several.select("h", *(F.col(k).alias(f"{k}_y") for k in ("doc", "n", "place", "c")))
@@ -232,7 +267,7 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     for done in (able, sets, columns, links, labelled, labels):
         release(done)
     return (
-        every.join(final.withColumnRenamed("v", "doc"), "doc", "left")
+        sizes.join(final.withColumnRenamed("v", "doc"), "doc", "left")
         .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "doc").alias("component_id"))
     )
 

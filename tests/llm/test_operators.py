@@ -599,3 +599,12 @@ def test_no_candidates_survive(spark):
 
 def test_digests():
     assert decontam.digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
+
+
+def test_texts_that_cannot_be_linked_are_not_shuffled(spark):
+    """Operator 3: the filter of ids lets all wanted ids through, and few others."""
+    docs = spark.range(-5000, 5000).select(F.when(F.col("id") != 7, F.col("id")).alias("doc"), F.lit("x").alias("text")).repartition(3)
+    wanted = docs.where("doc % 5 = 0")
+    kept = {r.doc for r in jaccard_join._maybe_in(docs, wanted).collect()}
+    assert kept >= {r.doc for r in wanted.collect()} and len(kept) < 2050
+    assert jaccard_join._maybe_in(docs, wanted.where("doc > 9999")).count() == 0
