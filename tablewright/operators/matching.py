@@ -318,22 +318,28 @@ def position_pairs(pred: DataFrame, gold: DataFrame, doc: list[str], index: str,
     many predicted rows as true ones, each true row in order takes the unused prediction of
     the highest score above `least`, the first of equals.
     """
-    n = lambda df, name: df.groupBy(*doc).agg(F.count_distinct(index).alias(name))
-    kind = n(gold, "n_g").join(n(pred, "n_p"), doc).select(*doc, (F.col("n_p") > over * F.col("n_g")).alias("large"))
     number = F.col(value).cast("double")
-    side = lambda df, i, v: df.where((number > 0) & ~F.isnan(number)).select(*doc, F.col(index).cast("long").alias(i), F.col(element).alias("element"), number.alias(v)).join(kind, doc)
-    g, p = side(gold, "g_index", "g"), side(pred, "p_index", "p")
+    side = lambda df, true: df.select(*doc, F.col(index).cast("long").alias("__at"), F.col(element).alias("element"), number.alias("__v"), F.lit(true).alias("__true"))
+    # Both sides meet in one shuffle; documents are told apart and aligned where their rows lie.
+    rows = spread(side(pred, False).unionByName(side(gold, True)), *doc, rows=pred.count() + gold.count())
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy(*doc, "__true", "__at").orderBy("element")) == 1)
+    n = lambda true: F.count_if(F.col("first") & F.col("__at").isNotNull() & (F.col("__true") == true)).over(Window.partitionBy(*doc))
+    rows = rows.withColumn("large", n(False) > over * n(True)).where("__v > 0 and not isnan(__v) and __at is not null and element is not null").dropna(subset=doc)
     close = F.abs(F.col("p") - F.col("g")) / F.col("g") < tolerance
 
-    shifted = p.where("not large").drop("large").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(offsets - 1)))).withColumn("g_index", F.col("p_index") - F.col("shift"))
-    scored = g.where("not large").drop("large").join(shifted, [*doc, "g_index", "element"]).groupBy(*doc, "shift", "g_index", "p_index").agg((F.count_if(close) / F.count("*")).alias("score"))
-    total = scored.groupBy(*doc, "shift").agg(F.round(F.sum("score"), 9).alias("total"))
-    best = total.groupBy(*doc).agg((-F.max(F.struct("total", (-F.col("shift")).alias("n")))["n"]).alias("shift"))
-    aligned = scored.join(best, [*doc, "shift"]).where(F.col("score") >= least).select(*doc, "g_index", "p_index", "score")
+    reach = Window.partitionBy(*doc, "element").orderBy("__at").rangeBetween(0, offsets - 1)
+    met = rows.where("not large").withColumn("met", F.collect_list(F.when(~F.col("__true"), F.struct(F.col("__at").alias("p_index"), F.col("__v").alias("p")))).over(reach)).where("__true")
+    pairs = met.select(*doc, F.col("__at").alias("g_index"), F.col("__v").alias("g"), F.inline("met"))
+    scored = pairs.groupBy(*doc, "g_index", "p_index").agg((F.count_if(close) / F.count("*")).alias("score")).withColumn("shift", F.col("p_index") - F.col("g_index"))
+    total = F.round(F.sum("score").over(Window.partitionBy(*doc, "shift")), 9)
+    best = -F.max(F.struct("total", (-F.col("shift")).alias("n"))).over(Window.partitionBy(*doc))["n"]
+    aligned = scored.withColumn("total", total).withColumn("best", best).where((F.col("shift") == F.col("best")) & (F.col("score") >= least)).select(*doc, "g_index", "p_index", "score")
 
     # Values that agree are in the same class of sizes or in neighbouring ones.
     size = lambda c: F.floor(F.ln(c) / -math.log(1 - tolerance)).cast("long")
-    lg, lp = g.where("large").drop("large"), p.where("large").drop("large")
+    own = settle(rows.where("large"))
+    large = lambda true, i, v: own.where(F.col("__true") == true).select(*doc, F.col("__at").alias(i), "element", F.col("__v").alias(v))
+    lg, lp = large(True, "g_index", "g"), large(False, "p_index", "p")
     near = lg.withColumn("size", F.explode(F.sequence(size("g") - 1, size("g") + 1))).join(lp.withColumn("size", size("p")), [*doc, "element", "size"]).where(close)
     elements = lambda df, i, c: df.groupBy(*doc, i).agg(F.collect_set("element").alias(c))
     both = near.groupBy(*doc, "g_index", "p_index").agg(F.count("*").alias("n"))

@@ -23,11 +23,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+#: Rows of a partition where spread is told how many there are.
+ROWS = 1 << 17
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """The rows dealt out by keys to a partition for each shuffle partition of the session, two a core at least.
 
     For steps that make much of each row: a small file is read by one task, and what a shuffle writes of few bytes is read by few,
-    however much work is to be done.
+    however much work is to be done.  If the number of rows is given, partitions grow with it, so that what a task holds does not.
     """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS))
     return df.repartition(n, *keys)
