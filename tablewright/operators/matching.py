@@ -409,6 +409,10 @@ def closest_text(nodes: DataFrame, wanted: DataFrame, page: list[str], levels: t
     return wanted.select(*page, "attribute", "value").join(found, [*page, "value"], "left").select(*page, "attribute", "value", F.coalesce("node_text", F.lit("<NULL>")).alias("node_text"), "f1")
 
 
+#: Pairs of a label and a name that are sent to all tasks.
+FEW_PAIRS = 1 << 16
+
+
 def material_of(cells: DataFrame, names: DataFrame, table: list[str]) -> DataFrame:
     """For each value cell (row, col) the label cell above or left of it that best contains a known name or is contained in one.
 
@@ -416,22 +420,25 @@ def material_of(cells: DataFrame, names: DataFrame, table: list[str]) -> DataFra
     lengths, then the smaller column, then the smaller row.  Which label holds which name is found by two scans of the distinct texts
     (found_names); the best label before a cell is a running maximum down its column and along its row.
     """
-    own = names.select(*table, F.lower(F.trim("material")).alias("material")).where("material <> ''").distinct()
+    own = names.select(*table, F.lower(F.trim("material")).alias("material")).where("material <> ''").dropna(subset=table)
     marked = cells.select(*table, "row", "col", F.lower(F.trim("raw")).alias("label"), F.col("raw").rlike(r"^\s*[<>]?\s*[-+]?\d").alias("is_value"))
-    labels, materials = marked.select("label").where("label <> ''").distinct(), own.select("material").distinct()
+    labels, materials = settle(marked.select("label").where("label <> ''").distinct()), settle(own.select("material").distinct())
     inside = dictionary.found_names(labels, ["label"], "label", materials, "material").withColumnRenamed("name", "material")
     around = dictionary.found_names(materials, ["material"], "material", labels, "label").withColumnRenamed("name", "label")
     ratio = F.least(F.length("label"), F.length("material")) / F.greatest(F.length("label"), F.length("material"))
-    pairs = inside.unionByName(around).distinct().withColumn("ratio", ratio)
-    known = marked.select(*table, "label").distinct().join(pairs, "label").join(own, [*table, "material"])
-    best = known.groupBy(*table, "label").agg(F.max(F.struct("ratio", "material")).alias("b"))
-    placed = marked.join(best, [*table, "label"], "left")
+    pairs = settle(inside.unionByName(around).distinct().withColumn("ratio", ratio))
+    # Few pairs go to all tasks, so no cell is shuffled by its text.
+    pairs = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
+    # Cells and names of a table meet in one shuffle.
+    met = marked.join(pairs, "label", "left").drop("label").unionByName(own.withColumn("__own", F.lit(True)), allowMissingColumns=True)
+    met = spread(met, *table, rows=cells.count())
+    known = F.max("__own").over(Window.partitionBy(*table, "material"))
     # By ratio, then the smaller column and row, then the name.
-    rank = F.when(F.col("b").isNotNull(), F.struct(F.col("b.ratio").alias("ratio"), (-F.col("col")).alias("c"), (-F.col("row")).alias("r"), F.col("b.material").alias("material")))
-    placed = placed.withColumn("rank", rank)
+    rank = F.when(known & F.col("material").isNotNull(), F.struct("ratio", (-F.col("col")).alias("c"), (-F.col("row")).alias("r"), "material"))
+    placed = met.withColumn("rank", rank).where("__own is null").groupBy(*table, "row", "col").agg(F.max("rank").alias("rank"), F.max("is_value").alias("is_value"))
     before = lambda line, along: F.max("rank").over(Window.partitionBy(*table, line).orderBy(along).rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumns({"above": before("col", "row"), "left": before("row", "col")})
-    return placed.where(F.col("is_value")).withColumn("best", F.greatest("above", "left")).where("best is not null").select(*table, "row", "col", F.col("best.material").alias("material"))
+    return placed.where("is_value").withColumn("best", F.greatest("above", "left")).where("best is not null").select(*table, "row", "col", F.col("best.material").alias("material"))
 
 
 def tuple_counts(pred: DataFrame, gold: DataFrame, keys: list[str], doc: list[str]) -> DataFrame:
