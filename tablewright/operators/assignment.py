@@ -101,18 +101,72 @@ def auction(edges: DataFrame, epsilon: float, rounds: int = 100_000) -> DataFram
         out = settle(done if out is None else out.union(done))
         offers = best.where("gain > 0").groupBy("b").agg(F.max(F.struct((F.col("price") + F.col("gain") - F.col("second") + epsilon).alias("price"), "a", "weight")).alias("o"))
         held = settle(held.join(offers, "b", "left").select("b", *(F.coalesce(F.col(f"o.{c}"), F.col(c)).alias(c) for c in ("price", "a", "weight"))))
+    else:
+        raise RuntimeError(f"the auction has not ended after {rounds} rounds")
     return held.where("a is not null").select("a", "b", "weight")
 
 
-def max_weight_matching(edges: DataFrame, cardinality: bool = True, cells: int = CELLS, epsilon: float = 1e-6) -> DataFrame:
+def augment(edges: DataFrame, cardinality: bool = True) -> DataFrame:
+    """Edges (a, b, weight) of a matching as solve() finds it, for edges that no task could hold.
+
+    All nodes of a without a place look for shortest ways at once, over edges that cost what they are below the worth of their a and the price of their b: to a free
+    place, or to a node of a that is better left alone.  Ways of different starts have no node in common, so all are taken
+    that are no longer than the first second way of one start; worths and prices are then moved by that length, which keeps
+    every edge covered and every free place without a price.  A round is joins and aggregates; nothing is collected but that
+    length.  Each round places or leaves at least one node, so there are at most as many as there are nodes of a.
+    """
+    bonus = 1.0 + edges.select("a").distinct().count() * edges.agg(F.max("weight")).first()[0] if cardinality else 0.0
+    edges = settle(edges.select("a", "b", "weight"))
+    kind = edges.schema["b"].dataType
+    rows = settle(edges.groupBy("a").agg((F.max("weight") + bonus).alias("worth")).withColumn("b", F.lit(None).cast(kind)))
+    prices = settle(edges.select("b").distinct().withColumn("price", F.lit(0.0)))
+    # Never below nothing, so that rounding makes no way shorter by a further step.
+    cost = F.greatest(F.lit(0.0), F.col("worth") + F.col("price") - (F.col("weight") + bonus))
+    while not rows.where("b is null").isEmpty():
+        held = rows.where("b is not null")
+        ahead, ways = rows.where("b is null").select("a", "worth", F.lit(0.0).alias("d")), None
+        while ways is None or not ahead.isEmpty():
+            near = ahead.join(edges, "a").join(prices, "b").groupBy("b").agg(F.min(F.struct((F.col("d") + cost).alias("d"), F.col("a").alias("via"))).alias("near"))
+            if ways is None:
+                ways = settle(near.select("b", F.col("near").alias("way"), F.lit(True).alias("new")))
+            else:
+                new = F.col("near").isNotNull() & (F.col("way").isNull() | (F.col("near.d") < F.col("way.d")))
+                ways = settle(ways.drop("new").join(near, "b", "full").select("b", F.when(new, F.col("near")).otherwise(F.col("way")).alias("way"), new.alias("new")))
+            ahead = ways.where("new").join(held, "b").select("a", "worth", "way.d")
+        # Nodes of a that are reached, how far they are, and the node of a before them; that of a start is itself.
+        there = settle(rows.join(ways.drop("new"), "b", "left").where("b is null or way is not null").select("a", "b", "worth", F.coalesce("way.d", F.lit(0.0)).alias("d"), F.coalesce("way.via", "a").alias("via")))
+        starts = there.select("a", F.col("via").alias("start"))
+        while True:
+            further = settle(starts.join(starts.select(F.col("a").alias("start"), F.col("start").alias("next")), "start").select("a", "start", "next"))
+            starts = further.select("a", F.col("next").alias("start"))
+            if further.where("next <> start").isEmpty():
+                break
+        ends = there.select("a", F.lit(None).cast(kind).alias("to"), (F.col("d") + F.col("worth")).alias("d")).union(ways.join(held, "b", "left_anti").select("way.via", F.col("b").alias("to"), "way.d"))
+        ranked = settle(ends.join(starts, "a").withColumn("k", F.row_number().over(Window.partitionBy("start").orderBy("d", "a", "to"))).where("k <= 2"))
+        length = ranked.agg(F.coalesce(F.min(F.when(F.col("k") == 2, F.col("d"))), F.max("d"))).first()[0]
+        # Along a way every node of a takes the next place and gives its own to the node before.
+        at = settle(ranked.where((F.col("k") == 1) & (F.col("d") <= length)).select("a", "to"))
+        taken = at
+        while not (at := settle(at.join(there, "a").where("b is not null").select(F.col("via").alias("a"), F.col("b").alias("to")))).isEmpty():
+            taken = taken.union(at)
+        moved = lambda d: F.coalesce(F.greatest(F.lit(0.0), length - F.col(d)), F.lit(0.0))
+        taken = taken.withColumn("taken", F.lit(True))
+        after = rows.join(there.select("a", "d"), "a", "left").join(taken, "a", "left").where("taken is null or to is not null")
+        rows = settle(after.select("a", (F.col("worth") - moved("d")).alias("worth"), F.coalesce("to", "b").alias("b")))
+        prices = settle(prices.join(ways, "b", "left").select("b", (F.col("price") + moved("way.d")).alias("price")))
+    return rows.join(edges, ["a", "b"]).select("a", "b", "weight")
+
+
+def max_weight_matching(edges: DataFrame, cardinality: bool = True, cells: int = CELLS, epsilon: float = 0.0) -> DataFrame:
     """The edges (a, b, weight) of a matching of most edges and, of those, of most weight.
 
     edges: a, b and weight; those that lack one, or whose weight is not above 0, are none; of repeated ones the heaviest
     counts.  Nodes are of any type with an order; a node of a and one of b are different even if they look the same.
     cardinality off: of most weight, however many edges that has.
 
-    A component is solved exactly if it has at most `cells` edges after each node has dropped those that it
-    cannot need, and takes at most STEPS.  Larger ones are auctioned: their weight is at most `epsilon` a node below the most there is, and there `cardinality` counts an edge as
+    Every component is solved exactly: in a task if it has at most `cells` edges after each node has dropped those that it
+    cannot need, and takes at most STEPS; by augment() otherwise.  Sums are of doubles, and of matchings that are equally good any may be given.  With an `epsilon` above 0 larger ones are auctioned instead: their
+    weight is at most `epsilon` a node below the most there is, and there `cardinality` counts an edge as
     twice the heaviest one, so no exchange of up to two edges for one more is missed.  An empty table gives no rows.
     """
     kinds = [edges.schema[c].dataType for c in ("a", "b")]
@@ -137,6 +191,8 @@ def max_weight_matching(edges: DataFrame, cardinality: bool = True, cells: int =
     large = kept.where("not small")
     if large.isEmpty():
         return out
+    if epsilon <= 0:
+        return out.unionByName(augment(large, cardinality))
     bonus = 2 * large.agg(F.max("weight")).first()[0] if cardinality else 0.0
     sold = auction(large.select("a", "b", (F.col("weight") + bonus).alias("weight")), epsilon)
     return out.unionByName(sold.select("a", "b", (F.col("weight") - bonus).alias("weight")))
