@@ -133,7 +133,7 @@ max(CASE WHEN l_partkey % 2 = 0 THEN l_quantity END) AS cu_ppm, max(CASE WHEN l_
 FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1 GROUP BY l_orderkey, l_linenumber""")
 def flat_graph(spark, sf_dir):
     """Analyses of a graph as rows again, those of one record."""
-    flat = graph.flatten(*_graph(spark, sf_dir), ["cu", "zn"])
+    flat = graph.flatten(*_graph(spark, sf_dir, properties="columns"), ["cu", "zn"])
     l = _read(spark, sf_dir, "lineitem")  # noqa: E741
     once = l.groupBy("l_orderkey", "l_linenumber").count().where("count = 1").select(F.concat(F.lit("analysis:"), F.col("l_orderkey").cast("string"), F.lit(":s"), F.col("l_linenumber").cast("string")).alias("analysis"))
     return flat.join(once, "analysis", "left_semi")
