@@ -7,7 +7,7 @@ So only prefixes are indexed, and members that nearly all sets have are hardly e
 or the places of a shared member rule out are dropped in the join; the rest are verified.
 
 Where an index does not help, because one side is small or most sets share their rarest members too, overlaps
-of all pairs are counted instead: blocks of sets meet in cells, a product of 0-1 matrices a cell, and only pairs that reach the bound leave it.
+of all pairs are counted instead: parts of both sides meet in cells, a product of 0-1 matrices for two blocks of a cell, and only pairs that reach the bound leave it.
 """
 
 from __future__ import annotations
@@ -89,6 +89,8 @@ def _met(index: DataFrame, least: float, measure: str, itself: bool) -> DataFram
 
 #: Sets of a block; members that a product takes at once; pairs that are given at once.
 BLOCK, MEMBERS, PAIRS = 2048, 4096, 1 << 14
+#: Sets, and members of sets, that a side of a cell may have.
+CELL, CELL_MEMBERS = 1 << 16, 1 << 22
 #: All pairs are compared if they are at most so many a set, or so many a pair of the index.
 A_SET, A_PAIR = 256, 16
 
@@ -125,8 +127,13 @@ def _cell(rows: pa.Table, least: float, measure: str, strict: bool, same: bool):
     first = rows.column("first").combine_chunks()
     a, b = (rows.filter(m).combine_chunks() for m in (first, pa.compute.invert(first)))
     b = a if same else b
-    if not a.num_rows or not b.num_rows:
-        return
+    for i in range(0, a.num_rows, BLOCK):
+        for j in range(i if same else 0, b.num_rows, BLOCK):
+            yield from _product(a.slice(i, BLOCK), b.slice(j, BLOCK), least, measure, strict, same and i == j)
+
+
+def _product(a: pa.Table, b: pa.Table, least: float, measure: str, strict: bool, same: bool):
+    """_cell() of two blocks of sets."""
     x, y = (t.column("members").combine_chunks() for t in (a, b))
     overlap = _overlaps(x, y)
     n, m = (np.diff(np.asarray(t.offsets)).astype(np.float64) for t in (x, y))
@@ -140,12 +147,25 @@ def _cell(rows: pa.Table, least: float, measure: str, strict: bool, same: bool):
             yield pa.RecordBatch.from_arrays([a.column("id").combine_chunks().take(pa.array(ii + at)), b.column("id").combine_chunks().take(pa.array(jj)), pa.array(score[ii, jj])], ["a", "b", "score"])
 
 
+def _parts(sets: tuple[int, int], members: tuple[int, int], cells: int, itself: bool) -> list[int]:
+    """In how many parts each side goes.  A set is shuffled once for each part of the other side, so these are as few as the bounds of a cell allow, and make `cells` cells if there are blocks enough."""
+    most = [max(1, -(-n // BLOCK)) for n in sets]
+    fewest = [min(m, max(1, -(-n // CELL), -(-k // CELL_MEMBERS))) for m, n, k in zip(most, sets, members, strict=True)]
+    if itself:
+        return [max(fewest[0], min(most[0], int(np.ceil(np.sqrt(2 * cells)))))] * 2
+    a = max(fewest[0], min(most[0], int(np.ceil(np.sqrt(cells)))))
+    b = max(fewest[1], min(most[1], -(-cells // a)))
+    return [max(a, min(most[0], -(-cells // b))), b]
+
+
 def all_pairs(sets: DataFrame, n_a: int, n_b: int, least: float, measure: str, strict: bool, itself: bool) -> DataFrame:
-    """(a, b, score) of the pairs of sets of one `by` that reach the bound, by comparing all: every block of a side with every one of the other (itself: with those after it).
+    """(a, b, score) of the pairs of sets of one `by` that reach the bound, by comparing all: every part of a side with every one of the other (itself: with those after it).
 
-    sets: as for candidates(); n_a and n_b: how many each side has.  A task holds a cell of two blocks at a time.
+    sets: as for candidates(); n_a and n_b: how many each side has.  A task holds a cell of two parts at a time.
     """
-    blocks = [max(1, -(-n // BLOCK)) for n in (n_a, n_a if itself else n_b)]
+    shuffled = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = {r["side"]: r["n"] for r in sets.groupBy("side").agg(F.sum(F.size("members")).alias("n")).collect()}
+    blocks = _parts((n_a, n_a if itself else n_b), (held.get("a", 0), held.get("a" if itself else "b", 0)), 2 * shuffled, itself)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == "a", blocks[0]).otherwise(blocks[1]))
     other = F.explode(F.when(F.col("side") == "a", F.sequence(F.lit(0), F.lit(blocks[1] - 1))).otherwise(F.sequence(F.lit(0), F.lit(blocks[0] - 1))))
     rows = sets.select("side", "id", "members", own.alias("own")).select("*", other.alias("other"))
@@ -153,7 +173,7 @@ def all_pairs(sets: DataFrame, n_a: int, n_b: int, least: float, measure: str, s
     cell = F.when(first, F.col("own") * blocks[1] + F.col("other")).otherwise(F.col("other") * blocks[1] + F.col("own"))
     rows = rows.select(cell.alias("cell"), first.alias("first"), "id", "members")
     cells = blocks[0] * (blocks[1] + 1) // 2 if itself else blocks[0] * blocks[1]
-    tasks = min(cells, 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(cells, 4 * shuffled)
 
     def pairs(batches):
         held, at = [], None
